@@ -13,10 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that reach a Python worker at a time, so that long texts don't come by the thousand.
+ARROW_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that the cluster names in ``spark.checkpoint.dir``.
 
     Only a session without that setting (a local test) gets a folder of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = tempfile.mkdtemp(prefix="spark-")

@@ -11,7 +11,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:

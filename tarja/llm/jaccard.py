@@ -42,6 +42,9 @@ HOT_FROM = 32
 #: Sets that are compared in one task, and members of a token's group that are.
 BLOCK = 2048
 PIVOTS = 8
+#: Bits of the map of wanted ids, and how many ids it takes at most.
+BITMAP_BITS = 25
+MAPPED = 1 << 22
 
 
 def _signatures(batches):
@@ -134,13 +137,40 @@ def _groups(batches):
         yield closed(rest_t, rest_d)
 
 
-def _candidates(batches):
-    for b in batches:
-        ids = b.column("doc_id")
-        for row, data, offsets in text_slices(b.column("text")):
-            h, starts = shingle_sets(data, offsets)
-            own = [h[starts[i] : starts[i + 1]] for i in range(len(offsets) - 1)]
-            yield pa.RecordBatch.from_arrays([ids.slice(row, len(own)), pa.array(np.diff(starts)), pa.array([count_vector(x) for x in own], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], ["id", "n", "vec", "tokens"])
+def _candidates(bits: np.ndarray | None):
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            if bits is not None:
+                at = b.column("doc_id").to_numpy() & ((1 << BITMAP_BITS) - 1)
+                b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            ids = b.column("doc_id")
+            for row, data, offsets in text_slices(b.column("text")):
+                h, starts = shingle_sets(data, offsets)
+                d1, _ = set_digests(h, starts)
+                own = []
+                for i, key in enumerate(zip(ids.slice(row, len(d1)).to_pylist(), d1.tolist(), strict=True)):
+                    if starts[i] < starts[i + 1] and key not in seen:
+                        seen.add(key)
+                        own.append(i)
+                sets = [h[starts[i] : starts[i + 1]] for i in own]
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(d1)).take(pa.array(own, pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([count_vector(x) for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "n", "vec", "tokens"])
+
+    return run
+
+
+def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, n, vec, tokens) of the wanted documents, and perhaps of some more. Up to MAPPED ids
+    are told to the scan by a bit map of 4 MB; beyond that the texts are shuffled to meet them."""
+    form = "id long, n long, vec binary, tokens binary"
+    if wanted.count() > MAPPED:
+        return docs.join(wanted, "doc_id", "left_semi").mapInArrow(_candidates(None), form)
+    bit = F.pmod("doc_id", F.lit(1 << BITMAP_BITS))
+    pages = wanted.groupBy(F.floor(bit / 32768).alias("page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits"))
+    bits = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
+    for r in pages.collect():  # at most 1,024 pages of 4 KB
+        bits[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return docs.mapInArrow(_candidates(bits), form)
 
 
 def _by_key(batches, keys: list[str]):
@@ -237,7 +267,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     groups = written(_sorted_groups(first, ["token"]).mapInArrow(_groups, "g long, low long, high long, own long, d1 long").dropDuplicates(["g", "low", "high", "d1"]), folder, "groups")
 
     wanted = groups.select("d1").distinct().join(classes, "d1").select(F.col("id").alias("doc_id")).distinct()
-    points = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_candidates, "id long, n long, vec binary, tokens binary").where("n > 0").dropDuplicates(["id"]), folder, "points")
+    points = written(_points(docs, written(wanted, folder, "wanted")), folder, "points")
 
     members = groups.join(classes.select("d1", "id"), "d1").join(points.select("id", "n", "vec"), "id").select("g", "low", "high", "own", "id", "n", "vec")
     may = written(_sorted_groups(members, ["g", "low", "high"]).mapInArrow(_bounded, "a long, b long").distinct(), folder, "may")
