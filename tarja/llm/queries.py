@@ -6,7 +6,16 @@ from importlib import import_module
 
 #: Query, module, and whether the module has its SQL for DuckDB in ``ORACLE_SQL``.
 QUERIES = {
+    "op1_token_counts": "tokens",
+    "op2_suffix_dedup": "repeats",
     "op3_jaccard_join": "jaccard",
+    "op4_sentencepiece": "pieces",
+    "op5_topk_search": "topk",
+    "op6_mixing": "mixing",
+    "op7_quality_rules": "quality",
+    "op8_line_dedup": "lines",
+    "op9_chat_format": "chat",
+    "op10_sharding": "shards",
 }
 
 

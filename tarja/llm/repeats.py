@@ -4,8 +4,9 @@ Every byte of a document covered by a string of LENGTH bytes that also starts an
 removed. Suffixes of all the bytes together don't fit one task, so equal strings meet as follows:
 
 1. Each window of LENGTH bytes is filed under the least hash among its byte runs of ANCHOR
-   bytes. Equal windows hold the same runs, so they share that key. Adjacent windows of one
-   key form a segment, about one for each 85 bytes; only its key, digest and place are shuffled.
+   bytes. Equal windows hold the same runs, so they share that key, at the same place. Adjacent
+   windows with one such run form a segment, about one for each 85 bytes; only its key, digest and
+   place are shuffled.
 2. Sorted by key and digest, a segment next to one of the same key may hold a repeated window, and
    one with an equal digest holds nothing else. One row of look-behind and look-ahead decides it,
    so a key or a digest that a third of the documents share needs no memory.
@@ -52,6 +53,30 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - step)], h[width - step :]) if width > step else h
 
 
+def _by_anchor(runs: np.ndarray, least: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int):
+    """Windows first..last of one least hash, cut where the leftmost run that has it changes. So
+    equal windows hold that run at the same place, and no two windows of a segment are equal."""
+    n = len(runs) + 1
+    keys, rank = np.unique(least[first], return_inverse=True)
+    at = np.flatnonzero(runs <= keys[-1])
+    k = np.minimum(np.searchsorted(keys, runs[at]), len(keys) - 1)
+    hit = keys[k] == runs[at]
+    places = np.sort(k[hit] * n + at[hit])
+    low = np.searchsorted(places, rank * n + first)
+    many = np.searchsorted(places, rank * n + last + reach, side="right") - low
+    owner = np.repeat(np.arange(len(first)), many)
+    place = places[np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(owner))] - rank[owner] * n
+    inner = place < last[owner]
+    start = np.concatenate([first, place[inner] + 1])
+    of = np.concatenate([np.arange(len(first)), owner[inner]])
+    order = np.argsort(start, kind="stable")
+    start, of = start[order], of[order]
+    end = last[of]
+    same = of[1:] == of[:-1]
+    end[:-1][same] = start[1:][same] - 1
+    return start, end
+
+
 def _segments(length: int):
     def run(batches):
         for b in batches:
@@ -59,7 +84,8 @@ def _segments(length: int):
                 if len(data) < length:
                     continue
                 ranges = RangeHash(data)
-                least = _sliding_min(ranges.every(ANCHOR), length - ANCHOR + 1)
+                runs = ranges.every(ANCHOR)
+                least = _sliding_min(runs, length - ANCHOR + 1)
                 size = np.diff(offsets)
                 long = np.flatnonzero(size >= length)
                 inside = np.zeros(len(least) + 1, dtype=np.int8)
@@ -69,6 +95,9 @@ def _segments(length: int):
                 first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])]))
                 last = np.append(first[1:], len(least)) - 1
                 first, last = first[inside[first]], last[inside[first]]
+                if not len(first):
+                    continue
+                first, last = _by_anchor(runs, least, first, last, length - ANCHOR)
                 of = np.searchsorted(offsets, first, side="right") - 1
                 key, digest = least[first], ranges(first, last + length)
                 own = pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(size)), b.column("th").slice(row, len(size))], ["doc_id", "th"]).take(pa.array(of))
