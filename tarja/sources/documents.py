@@ -64,7 +64,7 @@ def write_results(docs: DataFrame, entities: DataFrame, path: str, form: str = "
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array, with or without a byte order mark."""
-    return spark.read.schema(SNAPSHOT).option("multiLine", True).option("encoding", "UTF-8").json(path)
+    return spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
 
 
 def write_snapshot(run: DataFrame, path: str) -> None:
