@@ -43,17 +43,14 @@ def _words(text: Column) -> Column:
 
 def temperature(shares: DataFrame, target: float = ENTROPY, limit: float = REPEATS, budget: float | None = None) -> tuple[float, float]:
     """(exponent, budget) for (source, words); see the module."""
-    spark = shares.sparkSession
     totals = shares.agg(F.count("*").alias("n"), F.sum("words").alias("words")).first()
     if not totals["n"]:
         return 1.0, 0.0
     p = F.log(F.col("words") / F.lit(float(totals["words"])))
 
     def tried(low: float, high: float) -> list:
-        steps = spark.range(33).select((F.lit(low) + F.lit(high - low) * F.col("id") / 32).alias("x"))
         power = F.exp(F.col("x") * F.col("p"))
         found = shares.select(p.alias("p")).withColumn("x", F.explode(F.array(*(F.lit(low + (high - low) * k / 32) for k in range(33)))))
-        del steps
         # entropy = log z - x * sum(p * power) / z; repetition = budget * power / (z * words)
         return found.groupBy("x").agg(F.sum(power).alias("z"), F.sum(F.col("p") * power).alias("pz"), F.max((F.col("x") - 1) * F.col("p")).alias("most"), F.min((F.col("x") - 1) * F.col("p")).alias("least")).orderBy("x").collect()
 
@@ -104,11 +101,10 @@ def copies(docs: DataFrame, budget: float | None = None, target: float = ENTROPY
     own = written(own, folder, "words")
     shares = written(own.groupBy("source").agg(F.sum("n_words").alias("words")), folder, "shares")
     exponent, budget = temperature(shares, target, limit, budget)
-    total = shares.agg(F.sum("words").alias("total"), F.count("*").alias("n"))
-    power = F.exp(F.lit(exponent) * F.log(F.col("words") / F.col("total")))
-    sized = shares.join(F.broadcast(total.select("total")), F.lit(True)).withColumn("power", power)
-    z = sized.agg(F.sum("power").alias("z"))
-    quota = sized.join(F.broadcast(z), F.lit(True)).select(F.col("source").alias("s"), (F.col("power") / F.col("z")).alias("weight"), "words")
+    total = shares.agg(F.sum("words")).first()[0] or 1
+    power = F.exp(F.lit(exponent) * F.log(F.col("words") / F.lit(float(total))))
+    z = shares.agg(F.sum(power)).first()[0] or 1.0
+    quota = shares.select(F.col("source").alias("s"), (power / F.lit(z)).alias("weight"), "words")
     # a quota a rounding error away from whole blocks is whole blocks
     blocks = F.col("weight") * F.lit(budget) / F.col("words")
     quota = quota.withColumn("full", F.floor(blocks + 1e-9)).withColumn("rest", F.round(F.greatest(F.lit(0.0), F.col("weight") * F.lit(budget) - F.col("full") * F.col("words")))).select("s", "weight", "full", "rest")

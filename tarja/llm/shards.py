@@ -88,12 +88,12 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS) ->
     cells = counts.groupBy("curve_index").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(along), F.lit(0))).select("curve_index", "base")
     within = Window.partitionBy("curve_index").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(cells, "curve_index").select("curve_index", "part", (F.col("base") + F.col("before")).alias("offset"))
-    total = rows.agg(F.count("*").alias("total"))
+    total = max(1, rows.count())
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("curve_index", "part").orderBy("doc_id", "size", "text_crc32")))
-    placed = ranked.join(offsets, ["curve_index", "part"]).withColumn("rank", F.col("offset") + F.col("nth") - 1).join(F.broadcast(total), F.lit(True))
-    shard = F.expr(f"(rank * {shards}) div total")
+    placed = ranked.join(offsets, ["curve_index", "part"]).withColumn("rank", F.col("offset") + F.col("nth") - 1)
+    shard = F.expr(f"(rank * {shards}) div {total}L")
     # the first rank r with r * shards div total = s is ceil(s * total / shards)
-    first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
+    first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
     return placed.withColumn("shard", shard).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("curve_index").cast("int").alias("curve_index")
     )
