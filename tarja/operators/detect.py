@@ -128,7 +128,12 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text",
     rules = RULES if rules is None else rules
     spans = docs.select("doc_id", F.col(text).alias("__t"), F.explode(span_array(text, rules)).alias("s"))
     rows = spans.select("doc_id", "s.*", F.substring("__t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("found"))
-    return rows if raw else dedupe_same_entity(above_threshold(rows, terms.MIN_SCORE))
+    return rows if raw else reduced(rows)
+
+
+def reduced(rows: DataFrame) -> DataFrame:
+    """E9 and E2 on raw spans."""
+    return dedupe_same_entity(above_threshold(rows, terms.MIN_SCORE))
 
 
 def with_context(spans: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:

@@ -46,9 +46,9 @@ def analysed_entities(policy: DataFrame, protected: DataFrame) -> DataFrame:
 def with_policy(spans: DataFrame, policy: DataFrame) -> DataFrame:
     """Each span with its entity's operator; without one, DEFAULT's, else keep. The policy has a row
     for each entity, so it is broadcast."""
-    default = policy.where(F.col("entity") == "DEFAULT").agg(F.first("op").alias("d"))
+    default = policy.where(F.col("entity") == "DEFAULT").select("op").first()
     met = spans.join(F.broadcast(policy.select("entity", "op", "new_value", "masking_char", "chars_to_mask", "from_end")), "entity", "left")
-    return met.join(F.broadcast(default), F.lit(True)).withColumn("op", F.coalesce("op", "d", F.lit("keep"))).drop("d")
+    return met.withColumn("op", F.coalesce("op", F.lit(default["op"] if default else "keep")))
 
 
 def masked(found: Column, char: Column, n: Column, from_end: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..functions import text as tx
 from ..operators import names as nm
-from ..operators.detect import Rule, detect, rules_for, with_context
+from ..operators.detect import Rule, detect, reduced, rules_for, with_context
 from ..operators.policy import PROTECTED, analysed_entities, apply_spans, default_policy, entity_table
 from ..operators.spans import clean_marks
 from ..sources.documents import admit_pdfs, join_pages, with_status
@@ -46,9 +46,11 @@ def anonymize(docs: DataFrame, index: DataFrame | None = None, policy: DataFrame
     if rules is None:
         wanted = analysed_entities(policy, spark.createDataFrame([(e,) for e in PROTECTED], "entity string"))
         rules = rules_for(r["entity"] for r in wanted.collect())  # one for each entity
-    # the masked texts are read by detection, context and application; the spans by the last and the tables
+    # each table is read several times from here on: texts by detection, context and application, raw
+    # spans by both sides of the reduction, spans by the application and the tables
     masked = written(mask_person_names(docs, index))
-    spans = written(with_context(detect(masked, rules), masked))
+    raw = written(detect(masked, rules, raw=True))
+    spans = written(with_context(reduced(raw), masked))
     accepted = spans.where("kept")
     return Anonymized(apply_spans(masked, accepted, policy), spans, entity_table(accepted))
 
