@@ -8,12 +8,12 @@ A document's set is its distinct five-word shingles (``shingles``). Two document
    first tokens of one and the m // 4 + 1 first of the other, in any common order, share a token.
    The order puts rare tokens first. Counts come from all documents by lossy counting (a
    token seen once in a partition is not reported there); the list of frequent tokens is at most
-   HOT_TOKENS long and is broadcast (4 MB). The order decides the work, never the result.
-3. Members of a token's group become points: shingles hashed into 256 groups, counted. An R-tree
-   bounds the overlap by summed coordinate minima; pairs whose bound suffices join in a
+   HOT_TOKENS long and is broadcast (6.4 MB). The order decides the work, never the result.
+3. Members of a token's group become points: shingles hashed into 256 groups or, for larger sets, more,
+   counted. An R-tree bounds the overlap by summed coordinate minima; pairs whose bound suffices join in a
    union-find, and only its tree edges leave the task. Their components, the clusters, contain
    every true link.
-4. Each cluster's sets meet once, the R-tree names the pairs, and true overlaps decide. A cluster
+4. Only documents in clusters are read again for their sets. Each cluster's sets meet once, the R-tree names the pairs, and true overlaps decide. A cluster
    of over BLOCK sets is first compared with a few pivots; blocks of those that no pivot took are
    then compared with blocks of all, so memory stays bounded and no pair that could join two
    components is passed over.
@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import components, shared_folder, table, written
 from .hashing import U, text_slices
-from .rtree import count_vector, spanning, vectors
+from .rtree import count_vector, spanning
 from .shingles import set_digests, shingle_sets
 
 #: Most frequent tokens that the order knows, 16 bytes each.
-HOT_TOKENS = 250_000
+HOT_TOKENS = 400_000
 #: A token in so many sets may be called frequent.
-HOT_FROM = 32
+HOT_FROM = 6
 #: Sets that are compared in one task, and members of a token's group that are.
 BLOCK = 2048
 PIVOTS = 8
@@ -137,7 +137,7 @@ def _groups(batches):
         yield closed(rest_t, rest_d)
 
 
-def _candidates(bits: np.ndarray | None):
+def _candidates(bits: np.ndarray | None, whole: bool):
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for b in batches:
@@ -154,23 +154,29 @@ def _candidates(bits: np.ndarray | None):
                         seen.add(key)
                         own.append(i)
                 sets = [h[starts[i] : starts[i + 1]] for i in own]
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(d1)).take(pa.array(own, pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([count_vector(x) for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "n", "vec", "tokens"])
+                cols = [ids.slice(row, len(d1)).take(pa.array(own, pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([count_vector(x) for x in sets], pa.binary())]
+                names = ["id", "n", "vec"]
+                if whole:
+                    cols.append(pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()))
+                    names.append("tokens")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, vec, tokens) of the wanted documents, and perhaps of some more. Up to MAPPED ids
-    are told to the scan by a bit map of 4 MB; beyond that the texts are shuffled to meet them."""
-    form = "id long, n long, vec binary, tokens binary"
+def _points(docs: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
+    """(id, n, vec) of the wanted documents, with their tokens if ``whole``, and perhaps of some more. Up
+    to MAPPED ids are told to the scan by a bit map of 4 MB; beyond that the texts are shuffled to
+    meet them."""
+    form = "id long, n long, vec binary" + ", tokens binary" * whole
     if wanted.count() > MAPPED:
-        return docs.join(wanted, "doc_id", "left_semi").mapInArrow(_candidates(None), form)
+        return docs.join(wanted, "doc_id", "left_semi").mapInArrow(_candidates(None, whole), form)
     bit = F.pmod("doc_id", F.lit(1 << BITMAP_BITS))
     pages = wanted.groupBy(F.floor(bit / 32768).alias("page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits"))
     bits = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
     for r in pages.collect():  # at most 1,024 pages of 4 KB
         bits[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return docs.mapInArrow(_candidates(bits), form)
+    return docs.mapInArrow(_candidates(bits, whole), form)
 
 
 def _by_key(batches, keys: list[str]):
@@ -202,7 +208,7 @@ def _bounded(batches):
         if t.num_rows < 2:
             continue
         sides = t.column("own").to_numpy() if t.column("low")[0] != t.column("high")[0] else None
-        if found := spanning(t.column("id").to_numpy(), vectors(t.column("vec").to_pylist()), t.column("n").to_numpy(), None, sides):
+        if found := spanning(t.column("id").to_numpy(), t.column("vec").to_pylist(), t.column("n").to_numpy(), None, sides):
             yield _edges(found)
 
 
@@ -212,7 +218,7 @@ def _verified(batches):
             continue
         sides = t.column("own").to_numpy() if t.column("low")[0] != t.column("high")[0] else None
         sets = [np.frombuffer(x, dtype="<u8") for x in t.column("tokens").to_pylist()]
-        if found := spanning(t.column("id").to_numpy(), vectors(t.column("vec").to_pylist()), t.column("n").to_numpy(), sets, sides):
+        if found := spanning(t.column("id").to_numpy(), t.column("vec").to_pylist(), t.column("n").to_numpy(), sets, sides):
             yield _edges(found)
 
 
@@ -267,18 +273,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     groups = written(_sorted_groups(first, ["token"]).mapInArrow(_groups, "g long, low long, high long, own long, d1 long").dropDuplicates(["g", "low", "high", "d1"]), folder, "groups")
 
     wanted = groups.select("d1").distinct().join(classes, "d1").select(F.col("id").alias("doc_id")).distinct()
-    points = written(_points(docs, written(wanted, folder, "wanted")), folder, "points")
+    points = _points(docs, written(wanted, folder, "wanted"), False)
 
-    members = groups.join(classes.select("d1", "id"), "d1").join(points.select("id", "n", "vec"), "id").select("g", "low", "high", "own", "id", "n", "vec")
+    members = groups.join(classes.select("d1", "id"), "d1").join(points, "id").select("g", "low", "high", "own", "id", "n", "vec")
     may = written(_sorted_groups(members, ["g", "low", "high"]).mapInArrow(_bounded, "a long, b long").distinct(), folder, "may")
     clusters = components(may, folder, "clusters").withColumnRenamed("component", "cluster")
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    held = points.join(clusters.join(size, "cluster"), "id")
+    held = _points(docs, clusters.select(F.col("id").alias("doc_id")), True).join(clusters.join(size, "cluster"), "id")
     zero = F.lit(0).cast("long")
     small = held.where(F.col("size") <= BLOCK).select("cluster", zero.alias("low"), zero.alias("high"), zero.alias("own"), "id", "n", "vec", "tokens")
     links = written(_sorted_groups(small, ["cluster", "low", "high"]).mapInArrow(_verified, "a long, b long"), folder, "links")
     if not size.where(F.col("size") > BLOCK).isEmpty():
-        links = written(links.unionByName(_large_clusters(held.where(F.col("size") > BLOCK), folder)), folder, "all-links")
+        large = written(held.where(F.col("size") > BLOCK), folder, "large")
+        links = written(links.unionByName(_large_clusters(large, folder)), folder, "all-links")
     linked = components(links, folder, "components")
 
     found = classes.join(linked, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))

@@ -8,19 +8,30 @@ GROUPS = 256
 LEAF, FAN = 32, 16
 
 
+def resolution(n: int) -> int:
+    """Groups for a set of n tokens: GROUPS, doubled until there are as many as tokens."""
+    return GROUPS << max(0, (max(n, 1) - 1).bit_length() - (GROUPS.bit_length() - 1))
+
+
 def count_vector(hashes: np.ndarray) -> bytes:
-    """How many of the tokens fall into each of GROUPS groups; the width grows with the largest count."""
-    counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    """How many of the tokens fall into each group, by the first bits of the hash; the width grows with the
+    largest count. Summing neighbours gives the vector of half as many groups."""
+    bits = resolution(len(hashes)).bit_length() - 1
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype("u1" if counts.max(initial=0) < 256 else "<u2" if counts.max() < 65536 else "<u4").tobytes()
 
 
-def vectors(packed: list[bytes]) -> np.ndarray:
+def fold(vector: np.ndarray, groups: int) -> np.ndarray:
+    return vector.reshape(groups, -1).sum(axis=1, dtype=np.int64) if len(vector) > groups else vector
+
+
+def vectors(packed: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The points at GROUPS groups, and each at its own resolution."""
     kinds = {1: "u1", 2: "<u2", 4: "<u4"}
-    own = [np.frombuffer(x, dtype=kinds[len(x) // GROUPS]) for x in packed]
-    out = np.empty((len(own), GROUPS), dtype=max((x.dtype for x in own), key=lambda t: t.itemsize))
-    for i, x in enumerate(own):
-        out[i] = x
-    return out
+    own = [np.frombuffer(x, dtype=kinds[len(x) // resolution(int(n))]) for x, n in zip(packed, sizes, strict=True)]
+    coarse = [fold(x, GROUPS) for x in own]
+    most = max((int(x.max(initial=0)) for x in coarse), default=0)
+    return np.array(coarse, dtype="u1" if most < 256 else "u2" if most < 65536 else "u4").reshape(len(own), GROUPS), own
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -88,14 +99,16 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def spanning(ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+def spanning(ids: np.ndarray, packed: list[bytes], sizes: np.ndarray, sets: list[np.ndarray] | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(smallest id, id) for each id that links join to a smaller one.
 
-    Without ``sets``, two points link when the bound allows it; with them, when the true overlap
-    suffices. Pairs that are joined already are passed over. ``sides``: only points of different
-    sides are compared."""
+    The tree bounds at GROUPS groups; pairs that pass are bounded again at the finer resolution of
+    the two, as large sets need. Without ``sets``, two points link when that bound allows it; with them, when
+    the true overlap suffices. Pairs that are joined already are passed over. ``sides``: only points
+    of different sides are compared."""
     by_id = np.argsort(ids, kind="stable")
-    ids, points, sizes = ids[by_id], points[by_id], sizes[by_id]
+    ids, sizes = ids[by_id], sizes[by_id]
+    points, fine = vectors([packed[i] for i in by_id], sizes)
     sets = [sets[i] for i in by_id] if sets is not None else None
     sides = sides[by_id] if sides is not None else None
     tree, forest = RTree(points, sizes), Forest(len(ids))
@@ -107,6 +120,9 @@ def spanning(ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, sets: list[
         for j in near.tolist():
             if forest.find(i) == forest.find(j):
                 continue
+            groups = min(len(fine[i]), len(fine[j]))
+            if groups > GROUPS and np.minimum(fold(fine[i], groups), fold(fine[j], groups)).sum(dtype=np.int64) < needed(sizes[i], sizes[j]):
+                continue
             if sets is not None:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if both < needed(sizes[i], sizes[j]):
