@@ -94,7 +94,7 @@ def _first_tokens(hot: np.ndarray, counts: np.ndarray):
                         order = np.lexsort((h, weight, of))
                         h = h[order]
                 take = fresh[of] & (place <= (n // 4)[of])
-                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(d1[of[take]].view(np.int64))], ["token", "d1"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(d1[of[take]].view(np.int64)), pa.array(n[of[take]])], ["token", "d1", "n"])
             if len(seen) > 1_000_000:
                 seen.clear()
 
@@ -103,16 +103,17 @@ def _first_tokens(hot: np.ndarray, counts: np.ndarray):
 
 def _groups(batches):
     """From rows sorted by token: the members of groups of two sets or more, under a fingerprint of
-    the membership, so that tokens with the same members make one group."""
-    rest_t, rest_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    the membership, so that tokens with the same members make one group. Linked sets differ by a
+    third in size at most, so a token's members are cut into groups where the next size is further off."""
+    rest_t, rest_d, rest_n = (np.zeros(0, np.int64) for _ in range(3))
 
-    def closed(t, d):
-        order = np.lexsort((d, t))
-        t, d = t[order], d[order]
+    def closed(t, d, n):
+        order = np.lexsort((d, n, t))
+        t, d, n = t[order], d[order], n[order]
         new = np.ones(len(t), dtype=bool)
         new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-        t, d = t[new], d[new]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        t, d, n = t[new], d[new], n[new]
+        first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (3 * n[1:] > 4 * n[:-1])]))
         size = np.diff(np.append(first, len(t)))
         _, prints = set_digests(d.view(U), np.append(first, len(t)))
         g = np.repeat(np.arange(len(size)), size)
@@ -126,15 +127,15 @@ def _groups(batches):
         return pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(own), pa.array(d[many][row])], ["g", "low", "high", "own", "d1"])
 
     for b in batches:
-        t, d = np.concatenate([rest_t, b.column("token").to_numpy()]), np.concatenate([rest_d, b.column("d1").to_numpy()])
+        t, d, n = (np.concatenate([rest, b.column(c).to_numpy()]) for rest, c in ((rest_t, "token"), (rest_d, "d1"), (rest_n, "n")))
         if not len(t):
             continue
         cut = int(np.searchsorted(t, t[-1], side="left"))
         if cut:
-            yield closed(t[:cut], d[:cut])
-        rest_t, rest_d = t[cut:], d[cut:]
+            yield closed(t[:cut], d[:cut], n[:cut])
+        rest_t, rest_d, rest_n = t[cut:], d[cut:], n[cut:]
     if len(rest_t):
-        yield closed(rest_t, rest_d)
+        yield closed(rest_t, rest_d, rest_n)
 
 
 def _candidates(bits: np.ndarray | None, whole: bool):
@@ -269,7 +270,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     order = np.argsort(token)
     hot, counts = token[order], top["count"].to_numpy(dtype=np.int64)[order]
 
-    first = texts.mapInArrow(_first_tokens(hot, counts), "token long, d1 long")
+    first = texts.mapInArrow(_first_tokens(hot, counts), "token long, d1 long, n long")
     groups = written(_sorted_groups(first, ["token"]).mapInArrow(_groups, "g long, low long, high long, own long, d1 long").dropDuplicates(["g", "low", "high", "d1"]), folder, "groups")
 
     wanted = groups.select("d1").distinct().join(classes, "d1").select(F.col("id").alias("doc_id")).distinct()
