@@ -100,8 +100,17 @@ def _segments(length: int):
                 first, last = _by_anchor(runs, least, first, last, length - ANCHOR)
                 of = np.searchsorted(offsets, first, side="right") - 1
                 key, digest = least[first], ranges(first, last + length)
+                # equal segments of one document are one row with the places of the others
+                order = np.lexsort((first, digest, key, of))
+                first, last, of, key, digest = (x[order] for x in (first, last, of, key, digest))
+                head = np.ones(len(first), dtype=bool)
+                head[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+                at = np.flatnonzero(head)
+                many = np.diff(np.append(at, len(first))) - 1
+                more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array((first - offsets[of])[~head].astype(np.int32)))
+                first, last, of, key, digest = (x[at] for x in (first, last, of, key, digest))
                 own = pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(size)), b.column("th").slice(row, len(size))], ["doc_id", "th"]).take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), pa.array(digest.view(np.int64)), own.column(0), own.column(1), pa.array((first - offsets[of]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["h", "digest", "doc_id", "th", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), pa.array(digest.view(np.int64)), own.column(0), own.column(1), pa.array((first - offsets[of]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), more], ["h", "digest", "doc_id", "th", "start", "windows", "more"])
 
     return run
 
@@ -125,8 +134,9 @@ def _shared(batches):
         if before is not None:
             same_h[0] = before[0] == h[0]
             same_g[0] = same_h[0] and before[1] == g[0]
-        covered = same_g[:-1] | same_g[1:]
-        take = (same_h[:-1] | same_h[1:]) & ~again
+        twice = np.asarray(pc.list_value_length(t.column("more").combine_chunks())) > 0
+        covered = same_g[:-1] | same_g[1:] | twice
+        take = (same_h[:-1] | same_h[1:] | twice) & ~again
         out = n - 1 if more else n
         take[out:] = False
         return t.append_column("covered", pa.array(covered)).append_column("kind", pa.array(~same_g[:-1])).filter(pa.array(take)), (h[out - 1], g[out - 1]) if out else before
@@ -263,18 +273,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     place = "doc_id long, th long, start int, windows int"
+    form = f"h long, digest long, {place}, more array<int>"
     by = ["h", "digest", "doc_id", "th", "start"]
-    segments = docs.mapInArrow(_segments(length), f"h long, digest long, {place}").repartition("h").sortWithinPartitions(*by)
-    shared = written(segments.mapInArrow(_shared, f"h long, digest long, {place}, covered boolean, kind boolean"), folder, "shared")
+    segments = docs.mapInArrow(_segments(length), form).repartition("h").sortWithinPartitions(*by)
+    shared = written(segments.mapInArrow(_shared, f"{form}, covered boolean, kind boolean"), folder, "shared")
     kinds = shared.where("kind").groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    compared = written(shared.where("kind").join(kinds, "h"), folder, "compared")
+    compared = written(shared.where("kind").drop("more").join(kinds, "h"), folder, "compared")
 
     def at_text(places: DataFrame, how: str) -> DataFrame:
         own = places.groupBy(F.col("doc_id").alias("p_doc"), F.col("th").alias("p_th")).agg(F.collect_list(F.struct(*(c for c in ("h", "start", "windows") if c in places.columns))).alias("places"))
         return docs.join(own, docs.doc_id.eqNullSafe(own.p_doc) & (docs.th == own.p_th), how).select("doc_id", "th", "text", "places")
 
     cut = at_text(compared.where(F.col("kinds") <= BLOCK), "inner").mapInArrow(_cut(length), "h long, doc_id long, th long, start int, piece binary")
-    ranges = shared.where("covered").select("doc_id", "th", "start", "windows")
+    ranges = shared.where("covered").select("doc_id", "th", F.explode(F.concat(F.array("start"), "more")).alias("start"), "windows")
     ranges = ranges.unionByName(cut.repartition("h").sortWithinPartitions("h", "doc_id", "th", "start").mapInArrow(_sorted_repeats(length), place))
     if not compared.where(F.col("kinds") > BLOCK).isEmpty():
         windows = written(at_text(compared.where(F.col("kinds") > BLOCK), "inner").mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, th long, start int"), folder, "windows")
