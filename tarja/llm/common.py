@@ -36,23 +36,45 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _rooted(up: DataFrame, folder: str, name: str) -> DataFrame:
+    """(id, component) of a forest whose pointers lead to smaller ids: pointers jump, twice as far each round, until all meet roots."""
+    k = 0
+    while True:
+        k += 1
+        top = up.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        up = written(up.join(top, "component").select("id", F.col("root").alias("component"), (F.col("root") < F.col("component")).alias("moved")), folder, f"{name}-{k}")
+        still = up.where("moved").isEmpty()
+        up = up.select("id", "component")
+        if still:
+            return up
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b): component is the smallest id reachable.
 
-    Labels spread by minimum over links and then jump to the label of their label, so
-    that the number of rounds grows with the logarithm of a chain's length. Every
-    round's labels are written to the shared folder. Minima are combined before each
-    shuffle, so a vertex with very many links costs no more than its links. Null ends are
-    dropped; repeated links and self links change nothing; no edges give no rows."""
+    Every vertex points to its smallest neighbour, if that is smaller; the trees of these pointers
+    become the vertices of the next phase, under their smallest ids, until no links are left. A root
+    that takes in no other vertex has a smaller neighbour in the next phase, so two phases leave
+    half of the vertices at most, and the pointers of a phase need the logarithm of their
+    depth; there is no limit to stop at. What a round gives is written to the shared folder. Minima are
+    combined before each shuffle, so a vertex with very many links costs no more than its links. Null
+    ends are dropped; repeated links and self links change nothing; no edges give no rows."""
     e = edges.select("a", "b").where("a is not null and b is not null")
-    both = written(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder, f"{name}-links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), folder, f"{name}-0")
-    for k in range(1, 200):
-        near = both.join(labels, both.b == labels.id).groupBy(both.a.alias("id")).agg(F.min("component").alias("near"))
-        met = labels.join(near, "id").select("id", F.least("component", "near").alias("met"), "component")
-        up = labels.select(F.col("id").alias("met"), F.col("component").alias("up"))
-        labels = written(met.join(up, "met", "left").select("id", F.least("met", F.coalesce("up", "met")).alias("component"), (F.least("met", F.coalesce("up", "met")) < F.col("component")).alias("moved")), folder, f"{name}-{k}")
-        if labels.where("moved").isEmpty():
-            break
-        labels = labels.select("id", "component")
-    return labels.select("id", "component")
+    e = written(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-links")
+    labels, phase = None, 0
+    while True:
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), folder, f"{name}-{phase}-0")
+        up = _rooted(up, folder, f"{name}-{phase}")
+        root = up.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        if labels is None:
+            labels = up
+        else:
+            labels = written(labels.join(root, "component", "left").select("id", F.coalesce("root", "component").alias("component")), folder, f"{name}-{phase}-labels")
+        # the larger end first: where it points to the other one, the link is used up before the ends with many links are shuffled
+        half = e.join(root, e.b == root.component).select("a", F.col("root").alias("b")).where("a <> b").distinct()
+        left = half.join(root, half.a == root.component).select(F.col("root").alias("a"), "b").where("a <> b")
+        e = written(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-{phase}-links")
+        if e.isEmpty():
+            return labels
+        phase += 1

@@ -162,6 +162,15 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 200: 200}
 
 
+def test_components_of_long_chains(spark):
+    shuffled = list(range(3000))
+    random.Random(5).shuffle(shuffled)
+    chains = [[0, *range(1200, 0, -1)], [5000 + k for k in shuffled], list(range(9000, 10500))]
+    edges = [pair for c in chains for pair in zip(c, c[1:], strict=False)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), shared_folder(spark), "t").collect()}
+    assert got == {i: min(c) for c in chains for i in c}
+
+
 # --- 4
 
 
