@@ -12,7 +12,9 @@ A document's set is its distinct five-word shingles (``shingles``). Two document
 3. Members of a token's group become points: shingles hashed into 256 groups or, for larger sets, more,
    counted. An R-tree bounds the overlap by summed coordinate minima; pairs whose bound suffices join in a
    union-find, and only its tree edges leave the task. Their components, the clusters, contain
-   every true link.
+   every true link. A token of over BLOCK rows is only passed on by the task that sorts it; its members are
+   counted, and told apart by size, with partial aggregates, first bounded with a few pivots, and outsiders
+   then meet in blocks that Spark shuffles.
 4. Only documents in clusters are read again for their sets. Each cluster's sets meet once, the R-tree names the pairs, and true overlaps decide. A cluster
    of over BLOCK sets is first compared with a few pivots; blocks of those that no pivot took are
    then compared with blocks of all, so memory stays bounded and no pair that could join two
@@ -27,19 +29,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, shared_folder, table, written
 from .hashing import U, text_slices
-from .rtree import count_vector, spanning
+from .rtree import count_vector, fold, needed, spanning, vectors
 from .shingles import set_digests, shingle_sets
 
 #: Most frequent tokens that the order knows, 16 bytes each.
 HOT_TOKENS = 400_000
 #: A token in so many sets may be called frequent.
 HOT_FROM = 6
-#: Sets that are compared in one task, and members of a token's group that are.
+#: Sets that are compared in one task, and rows of a token that make one group there.
 BLOCK = 2048
 PIVOTS = 8
 #: Bits of the map of wanted ids, and how many ids it takes at most.
@@ -101,13 +103,13 @@ def _first_tokens(hot: np.ndarray, counts: np.ndarray):
     return run
 
 
-def _groups(batches):
+def _groups(block: int):
     """From rows sorted by token: the members of groups of two sets or more, under a fingerprint of
     the membership, so that tokens with the same members make one group. Linked sets differ by a
-    third in size at most, so a token's members are cut into groups where the next size is further off."""
-    rest_t, rest_d, rest_n = (np.zeros(0, np.int64) for _ in range(3))
+    third in size at most, so a token's members are cut into groups where the next size is further off.
+    A token of over ``block`` rows is passed on row by row under itself, with the sizes, as ``large``."""
 
-    def closed(t, d, n):
+    def small(t, d, n):
         order = np.lexsort((d, n, t))
         t, d, n = t[order], d[order], n[order]
         new = np.ones(len(t), dtype=bool)
@@ -118,24 +120,45 @@ def _groups(batches):
         _, prints = set_digests(d.view(U), np.append(first, len(t)))
         g = np.repeat(np.arange(len(size)), size)
         many = size[g] > 1
-        key, size_of, within = prints[g][many].view(np.int64), size[g][many], (np.arange(len(t)) - first[g])[many]
-        # a large group is cut into blocks, and a member goes to each pair of blocks with its own
-        blocks = (size_of + BLOCK - 1) // BLOCK
-        row = np.repeat(np.arange(len(key)), blocks)
-        other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        own = within[row] // BLOCK
-        return pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(own), pa.array(d[many][row])], ["g", "low", "high", "own", "d1"])
+        return rows(prints[g][many].view(np.int64), False, np.zeros(int(many.sum()), np.int64), d[many])
 
-    for b in batches:
-        t, d, n = (np.concatenate([rest, b.column(c).to_numpy()]) for rest, c in ((rest_t, "token"), (rest_d, "d1"), (rest_n, "n")))
-        if not len(t):
-            continue
-        cut = int(np.searchsorted(t, t[-1], side="left"))
-        if cut:
-            yield closed(t[:cut], d[:cut], n[:cut])
-        rest_t, rest_d, rest_n = t[cut:], d[cut:], n[cut:]
-    if len(rest_t):
-        yield closed(rest_t, rest_d, rest_n)
+    def rows(g, large, n, d):
+        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), large)), pa.array(n), pa.array(d)], ["g", "large", "n", "d1"])
+
+    def closed(t, d, n):
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        count = np.diff(np.append(first, len(t)))
+        far = np.repeat(count > block, count)
+        if far.any():
+            yield rows(t[far], True, n[far], d[far])
+        if not far.all():
+            yield small(t[~far], d[~far], n[~far])
+
+    def run(batches):
+        rest = t, d, n = tuple(np.zeros(0, np.int64) for _ in range(3))
+        open_token = None
+        for b in batches:
+            t, d, n = (np.concatenate([r, b.column(c).to_numpy()]) for r, c in zip(rest, ("token", "d1", "n"), strict=True))
+            if open_token is not None:
+                k = int(np.searchsorted(t, open_token, side="right"))
+                if k:
+                    yield rows(t[:k], True, n[:k], d[:k])
+                t, d, n = t[k:], d[k:], n[k:]
+            rest = t, d, n
+            if not len(t):
+                continue
+            open_token = None
+            cut = int(np.searchsorted(t, t[-1], side="left"))
+            if cut:
+                yield from closed(t[:cut], d[:cut], n[:cut])
+            rest = t[cut:], d[cut:], n[cut:]
+            if len(rest[0]) > block:
+                yield rows(rest[0], True, rest[2], rest[1])
+                open_token, rest = int(t[-1]), (t[:0], d[:0], n[:0])
+        if len(rest[0]):
+            yield from closed(*rest)
+
+    return run
 
 
 def _candidates(bits: np.ndarray | None, whole: bool):
@@ -233,25 +256,68 @@ def _with_pivot(batches):
         yield _edges(found)
 
 
+def _near_pivot(batches):
+    for b in batches:
+        found = []
+        for i, p, n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("id", "pivot", "n", "pivot_n", "vec", "pivot_vec")), strict=True):
+            _, (x, y) = vectors([x, y], np.array([n, m]))
+            groups = min(len(x), len(y))
+            if np.minimum(fold(x, groups), fold(y, groups)).sum(dtype=np.int64) >= needed(n, m):
+                found.append((min(i, p), max(i, p)))
+        yield _edges(found)
+
+
 def _sorted_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def _pivots(members: DataFrame, key: str) -> DataFrame:
+    """(key, pivot): a few members of each group of ``members`` (key, size, id), mostly the same ones for groups with mostly the same members."""
+    every = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("size") / (8 * PIVOTS))))).cast("long")
+    some = F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("id"), every) == 0, F.col("id"))))
+    return members.groupBy(key).agg(F.slice(some, 1, PIVOTS).alias("pivot")).select(key, F.explode("pivot").alias("pivot"))
+
+
+def _block_pairs(members: DataFrame, key: str, linked: DataFrame, folder: str, name: str) -> DataFrame:
+    """``members`` (key, id, ...) once for each pair of blocks (low, high) that its block ``own`` meets.
+
+    Links to pivots join members to parts. Outsiders of a group's main part, in blocks, meet one
+    another and all others; those of the main part need not meet."""
+    rank = F.xxhash64("id")
+    part = components(linked, folder, name)
+    members = members.join(part, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    main = members.groupBy(key, "part").count().groupBy(key).agg(F.max(F.struct("count", "part"))["part"].alias("main"))
+    members = members.join(main, key).withColumn("out", F.col("part") != F.col("main"))
+    blocks = members.groupBy(key).agg(F.ceil(F.count_if("out") / BLOCK).alias("outs"), F.ceil(F.count_if(~F.col("out")) / BLOCK).alias("ins"))
+    members = members.join(blocks.where("outs > 0"), key).withColumn("own", F.when(F.col("out"), F.pmod(rank, F.col("outs"))).otherwise(F.col("outs") + F.pmod(rank, F.col("ins"))))
+    pairs = members.withColumn("other", F.explode(F.when(F.col("out"), F.sequence(F.lit(0).cast("long"), F.col("outs") + F.col("ins") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1))))
+    return pairs.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+
+def _large_groups(docs: DataFrame, large: DataFrame, classes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Of tokens with many members, ``large`` (g, n, d1): bounded links to pivots (a, b), and the
+    members (g, low, high, own, id, n, vec) of the pairs of blocks that are left to bound."""
+    sizes = Window.partitionBy("g").orderBy("n")
+    bands = large.select("g", "n").distinct().withColumn("cut", F.coalesce((3 * F.col("n") > 4 * F.lag("n").over(sizes)).cast("int"), F.lit(0)))
+    bands = bands.select("g", "n", F.sum("cut").over(sizes).alias("band"))
+    members = large.join(bands, ["g", "n"]).select(F.xxhash64("g", "band").alias("g"), "d1")
+    prints = members.groupBy("g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("d1")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "d1")).alias("y"))
+    one = prints.where("size > 1").groupBy("size", "x", "y").agg(F.min("g").alias("g")).select("g", "size")
+    members = written(members.join(one, "g").join(classes.select("d1", "id"), "d1").select("g", "size", "id").distinct(), folder, "large-members")
+    wanted = written(members.select(F.col("id").alias("doc_id")).distinct(), folder, "large-wanted")
+    points = written(_points(docs, wanted, False), folder, "large-points")
+    pairs = members.join(_pivots(members, "g"), "g").select("id", "pivot").where("id <> pivot").distinct()
+    pairs = pairs.join(points, "id").join(points.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("vec").alias("pivot_vec")), "pivot")
+    linked = written(pairs.select("id", "pivot", "n", "pivot_n", "vec", "pivot_vec").mapInArrow(_near_pivot, "a long, b long").distinct(), folder, "group-pivot-links")
+    left = _block_pairs(members, "g", linked, folder, "group-pivot-parts").select("g", "low", "high", "own", "id")
+    return linked, left.join(points, "id").select("g", "low", "high", "own", "id", "n", "vec")
+
+
 def _large_clusters(large: DataFrame, folder: str) -> DataFrame:
     """Verified links inside clusters of over BLOCK sets."""
-    rank = F.xxhash64("id")
-    pivots = large.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(rank, F.greatest(F.lit(1), F.col("size") / (8 * PIVOTS)).cast("long")) == 0, F.col("id")))), 1, PIVOTS).alias("pivot")).select("cluster", F.explode("pivot").alias("pivot"))
-    pivots = pivots.join(large.select(F.col("id").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
+    pivots = _pivots(large, "cluster").join(large.select(F.col("id").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
     linked = written(large.join(pivots, "cluster").select("id", "pivot", "tokens", "pivot_tokens").mapInArrow(_with_pivot, "a long, b long"), folder, "pivot-links")
-    part = components(linked, folder, "pivot-parts")
-    members = large.join(part, "id", "left").withColumn("part", F.coalesce("component", "id"))
-    main = members.groupBy("cluster", "part").count().groupBy("cluster").agg(F.max(F.struct("count", "part"))["part"].alias("main"))
-    members = members.join(main, "cluster").withColumn("out", F.col("part") != F.col("main"))
-    # outsiders, in blocks, meet one another and all others; those of the main part need not meet
-    blocks = members.groupBy("cluster").agg((F.floor(F.count_if("out") / BLOCK) + 1).alias("outs"), (F.floor(F.count_if(~F.col("out")) / BLOCK) + 1).alias("ins"))
-    members = members.join(blocks, "cluster").withColumn("own", F.when(F.col("out"), F.pmod(rank, F.col("outs"))).otherwise(F.col("outs") + F.pmod(rank, F.col("ins"))))
-    pairs = members.withColumn("other", F.explode(F.when(F.col("out"), F.sequence(F.lit(0).cast("long"), F.col("outs") + F.col("ins") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1))))
-    pairs = pairs.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "vec", "tokens")
+    pairs = _block_pairs(large, "cluster", linked, folder, "pivot-parts").select("cluster", "low", "high", "own", "id", "n", "vec", "tokens")
     return linked.unionByName(_sorted_groups(pairs, ["cluster", "low", "high"]).mapInArrow(_verified, "a long, b long"))
 
 
@@ -271,17 +337,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     hot, counts = token[order], top["count"].to_numpy(dtype=np.int64)[order]
 
     first = texts.mapInArrow(_first_tokens(hot, counts), "token long, d1 long, n long")
-    groups = written(_sorted_groups(first, ["token"]).mapInArrow(_groups, "g long, low long, high long, own long, d1 long").dropDuplicates(["g", "low", "high", "d1"]), folder, "groups")
+    groups = written(_sorted_groups(first, ["token"]).mapInArrow(_groups(BLOCK), "g long, large boolean, n long, d1 long").distinct(), folder, "groups")
+    few, large = groups.where("not large").select("g", "d1"), groups.where("large").select("g", "n", "d1")
 
-    wanted = groups.select("d1").distinct().join(classes, "d1").select(F.col("id").alias("doc_id")).distinct()
+    wanted = few.select("d1").distinct().join(classes, "d1").select(F.col("id").alias("doc_id")).distinct()
     points = _points(docs, written(wanted, folder, "wanted"), False)
 
-    members = groups.join(classes.select("d1", "id"), "d1").join(points, "id").select("g", "low", "high", "own", "id", "n", "vec")
-    may = written(_sorted_groups(members, ["g", "low", "high"]).mapInArrow(_bounded, "a long, b long").distinct(), folder, "may")
+    zero = F.lit(0).cast("long")
+    members = few.join(classes.select("d1", "id"), "d1").join(points, "id").select("g", zero.alias("low"), zero.alias("high"), zero.alias("own"), "id", "n", "vec")
+    near = None
+    if not large.isEmpty():
+        near, left = _large_groups(docs, large, classes, folder)
+        members = members.unionByName(left)
+    bounded = _sorted_groups(members, ["g", "low", "high"]).mapInArrow(_bounded, "a long, b long")
+    may = written((bounded.unionByName(near) if near else bounded).distinct(), folder, "may")
     clusters = components(may, folder, "clusters").withColumnRenamed("component", "cluster")
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     held = _points(docs, clusters.select(F.col("id").alias("doc_id")), True).join(clusters.join(size, "cluster"), "id")
-    zero = F.lit(0).cast("long")
     small = held.where(F.col("size") <= BLOCK).select("cluster", zero.alias("low"), zero.alias("high"), zero.alias("own"), "id", "n", "vec", "tokens")
     links = written(_sorted_groups(small, ["cluster", "low", "high"]).mapInArrow(_verified, "a long, b long"), folder, "links")
     if not size.where(F.col("size") > BLOCK).isEmpty():

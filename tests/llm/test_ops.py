@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,32 @@ def test_jaccard(spark, docs, texts, monkeypatch):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
+def test_a_large_group_is_not_multiplied_in_its_task():
+    batch = lambda t, d: pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(d, pa.int64()), pa.array([9] * len(t), pa.int64())], ["token", "d1", "n"])
+    got = pa.Table.from_batches(jaccard._groups(4)([batch([1, 1, 2, 2, 2], [5, 6, 0, 1, 2]), batch([2] * 7, range(3, 10)), batch([2, 3, 3, 3], [10, 5, 6, 6])])).to_pylist()
+    large = [r for r in got if r["large"]]
+    assert sorted((r["g"], r["d1"], r["n"]) for r in large) == [(2, k, 9) for k in range(11)]
+    few = [(r["g"], r["d1"]) for r in got if not r["large"]]
+    assert len({g for g, _ in few}) == 1 and {d for _, d in few} == {5, 6}
+
+
+def test_jaccard_of_large_groups(spark, monkeypatch):
+    rng = random.Random(3)
+    shared = words(rng, 60)
+    texts = []
+    for _ in range(3):  # near copies, and families that share a passage but don't link
+        base = shared + words(rng, 60)
+        texts += [" ".join(base[:k] + ["other", str(k)] + base[k:]) for k in range(60, 100)]
+    texts += [" ".join(shared + words(rng, n)) for n in range(20, 200, 6)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    called = []
+    whole = jaccard._large_groups
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "_large_groups", lambda *x: called.append(1) or whole(*x))
+    assert by_id(jaccard.jaccard_components(docs), "n_shingles", "component_id") == brute_jaccard(texts)
+    assert called
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 101), (101, 102), (7, 7), (None, 3), (200, 200)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), shared_folder(spark), "t").collect()}
