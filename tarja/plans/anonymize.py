@@ -37,15 +37,16 @@ def mask_person_names(docs: DataFrame, index: DataFrame | None = None) -> DataFr
     return nm.mask_common_names(three, index) if index is not None else three
 
 
-def anonymize(docs: DataFrame, index: DataFrame | None = None, policy: DataFrame | None = None, rules: list[Rule] | None = None) -> Anonymized:
-    """P5: the flow S1 to S7 on ``docs`` (doc_id, text, and names, an array, if there are any)."""
+def anonymize(docs: DataFrame, index: DataFrame | None = None, policy: DataFrame | None = None, rules: list[Rule] | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> Anonymized:
+    """P5: the flow S1 to S7 on ``docs`` (doc_id, text, and names, an array, if there are any), with the
+    user's titles and common terms unless ``rules`` are given."""
     spark = docs.sparkSession
     if "names" not in docs.columns:
         docs = docs.withColumn("names", F.array().cast("array<string>"))
     policy = default_policy(spark) if policy is None else policy
     if rules is None:
         wanted = analysed_entities(policy, spark.createDataFrame([(e,) for e in PROTECTED], "entity string"))
-        rules = rules_for(r["entity"] for r in wanted.collect())  # one for each entity
+        rules = rules_for((r["entity"] for r in wanted.collect()), titles, common)  # one for each entity
     # each table is read several times from here on: texts by detection, context and application, raw
     # spans by both sides of the reduction, spans by the application and the tables
     masked = written(mask_person_names(docs, index))
@@ -55,9 +56,9 @@ def anonymize(docs: DataFrame, index: DataFrame | None = None, policy: DataFrame
     return Anonymized(apply_spans(masked, accepted, policy), spans, entity_table(accepted))
 
 
-def anonymize_pdf_corpus(pdf_docs: DataFrame, pages: DataFrame, index: DataFrame | None = None) -> tuple[DataFrame, Anonymized]:
+def anonymize_pdf_corpus(pdf_docs: DataFrame, pages: DataFrame, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> tuple[DataFrame, Anonymized]:
     """(admission with names, result): gate, pages joined, names from the metadata, the flow."""
     admitted = admit_pdfs(pdf_docs, pages).withColumn("names", tx.metadata_names(F.col("metadata")))
     good = admitted.where(F.col("status") == "ok").select("doc_id", "names")
     texts = join_pages(pages.join(good, "doc_id", "left_semi"))
-    return admitted, anonymize(with_status(texts.join(good, "doc_id")).where(F.col("status") == "ok").drop("status"), index)
+    return admitted, anonymize(with_status(texts.join(good, "doc_id")).where(F.col("status") == "ok").drop("status"), index, titles=titles, common=common)

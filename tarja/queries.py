@@ -372,7 +372,7 @@ def _kept(s: SparkSession, d: str) -> DataFrame:
 
 def _flow(s: SparkSession, d: str) -> flow.Anonymized:
     docs = cases(s, d).select("doc_id", F.col("texto").alias("text"), F.when(F.col("doc_id") % 15 == 14, F.array(F.lit("Antônio de Souza Santos"))).otherwise(F.array().cast("array<string>")).alias("names"))
-    return flow.anonymize(docs, _sample_index(s))
+    return flow.anonymize(docs, _sample_index(s), titles=terms.SAMPLE_TITLES)
 
 
 query("p5_anonymize")(lambda s, d: _flow(s, d).documents.select("doc_id", "text", "metadado_nomes_pf_total", "metadado_ocorrencias_forcadas"))
@@ -454,7 +454,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
     top = f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
     cases(s, d).select("doc_id", "texto", F.array().cast("array<string>").alias("nomes_metadados")).write.json(f"{top}/in")
-    anonymize_stream(s, f"{top}/in", f"{top}/out", f"{top}/state", _sample_index(s)).awaitTermination()
+    anonymize_stream(s, f"{top}/in", f"{top}/out", f"{top}/state", _sample_index(s), terms.SAMPLE_TITLES).awaitTermination()
     return s.read.parquet(f"{top}/out").select("doc_id", "texto_anonimizado", F.size("entidades").alias("n"))
 
 
@@ -463,7 +463,7 @@ query("t1_anonymize_stream")(_stream)
 
 def _pdf(s: SparkSession, d: str) -> DataFrame:
     docs = _pdf_docs(s, d, gates=False)
-    admitted, done = flow.anonymize_pdf_corpus(docs, _pages(s, d), _sample_index(s))
+    admitted, done = flow.anonymize_pdf_corpus(docs, _pages(s, d), _sample_index(s), terms.SAMPLE_TITLES)
     lines = rp.summary_lines(done.documents, done.entities, "PDF", done.documents)
     return admitted.select("doc_id", "status").join(done.documents.select("doc_id", "text"), "doc_id", "left").join(lines, "doc_id", "left")
 

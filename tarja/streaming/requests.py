@@ -11,19 +11,19 @@ from ..plans.anonymize import anonymize
 from ..sources.documents import REQUEST
 
 
-def answer(batch: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def answer(batch: DataFrame, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> DataFrame:
     """(doc_id, texto_anonimizado, entidades) for (doc_id, text, names)."""
-    done = anonymize(batch, index)
+    done = anonymize(batch, index, titles=titles, common=common)
     return done.documents.select("doc_id", F.col("text").alias("texto_anonimizado")).join(nested_entities(batch, done.entities), "doc_id")
 
 
-def anonymize_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, index: DataFrame | None = None) -> StreamingQuery:
+def anonymize_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> StreamingQuery:
     """JSON requests that arrive in ``source``; answers, by batch, in ``sink``. A batch that is run
     again writes over its own folder, so each request is answered once."""
     requests = spark.readStream.schema(REQUEST).json(source)
     docs = requests.select("doc_id", F.col("texto").alias("text"), F.coalesce("nomes_metadados", F.array().cast("array<string>")).alias("names"))
 
     def handle(batch: DataFrame, number: int) -> None:
-        answer(batch, index).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        answer(batch, index, titles, common).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return docs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
