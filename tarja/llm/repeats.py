@@ -3,19 +3,22 @@
 Every byte of a document covered by a string of LENGTH bytes that also starts anywhere else is
 removed. Suffixes of all the bytes together don't fit one task, so equal strings meet as follows:
 
-1. Each window of LENGTH bytes is filed under the least hash among its byte runs of ANCHOR
+1. Texts are known by a 64-bit hash. A text of two documents or more is covered as a whole; its
+   windows stand for all its copies.
+2. Each window of LENGTH bytes is filed under the least key among its byte runs of ANCHOR
    bytes. Equal windows hold the same runs, so they share that key, at the same place. Adjacent
-   windows with one such run form a segment, about one for each 85 bytes; only its key, digest and
-   place are shuffled.
-2. Sorted by key and digest, a segment next to one of the same key may hold a repeated window, and
-   one with an equal digest holds nothing else. One row of look-behind and look-ahead decides it,
-   so a key or a digest that a third of the documents share needs no memory.
-3. Of the segments of a key that differ, one of each kind goes with its bytes to the key's task. A
-   suffix array over them, by two-stage sorting, and the common prefixes of neighbours in it name
-   the repeated windows.
-4. A key with over BLOCK different segments would fill a task; its windows are grouped one by one by
-   a 128-bit hash instead, counted before the shuffle.
-5. Covered ranges meet the text again and cut it.
+   windows with one such run form a segment, about one for each 85 bytes.
+3. Segments are counted by key before the shuffle, and those alone under their key go. Of the
+   others, equal ones (by digest) collapse to one representative with a flag that it is covered.
+   Both are partial aggregates and joins that adaptive execution splits, so a passage
+   that a third of the documents hold fills no task.
+4. Of each key that has unlike representatives, a suffix array over their bytes, by two-stage
+   sorting, and the common prefixes of neighbours in it name the repeated windows.
+5. A key with over BLOCK representatives would fill a task. Its segments are cut into runs of WIDTHS
+   places relative to the anchor, and filed under the bytes that all windows of such a run hold, so
+   that windows which can be equal stay together; counting, collapsing and sorting start over on
+   those. At the last width a run is one window and nothing unlike is left under a key.
+6. Covered ranges meet the text again and cut it.
 
 A null text is empty. Texts shorter than LENGTH keep everything. Rows alike in doc_id and text
 are one document, which is no repetition of itself, and each gives its row; rows with one
@@ -25,8 +28,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,15 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_folder, table, written
-from .hashing import U, RangeHash, mix, text_slices
+from .hashing import U, RangeDigest, mix, run_keys, text_slices
 from .suffix import repeated
 
 LENGTH = 200
 ANCHOR = 32
-#: Different segments of one key that one task compares; about 290 bytes each.
+#: Unlike segments of one key that one task sorts; about 290 bytes each.
 BLOCK = 2048
+#: Window places of one run when the segments of a key are cut, from one round to the next.
+WIDTHS = (24, 4, 1)
 #: Bytes that are sorted at a time.
 SORTED = 1 << 19
+#: Texts that a task remembers so as not to cut copies again.
+SEEN = 1 << 20
+
+SEGMENT = "h long, digest long, th long, start int, windows int, lead int"
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -54,8 +61,9 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _by_anchor(runs: np.ndarray, least: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int):
-    """Windows first..last of one least hash, cut where the leftmost run that has it changes. So
-    equal windows hold that run at the same place, and no two windows of a segment are equal."""
+    """(first window, last window, anchor) of segments: windows first..last of one least key, cut where the
+    leftmost run that has it changes. So equal windows hold that run, the anchor, at the same place,
+    and no two windows of a segment are equal."""
     n = len(runs) + 1
     keys, rank = np.unique(least[first], return_inverse=True)
     at = np.flatnonzero(runs <= keys[-1])
@@ -74,17 +82,29 @@ def _by_anchor(runs: np.ndarray, least: np.ndarray, first: np.ndarray, last: np.
     end = last[of]
     same = of[1:] == of[:-1]
     end[:-1][same] = start[1:][same] - 1
-    return start, end
+    anchor = places[np.searchsorted(places, rank[of] * n + end)] - rank[of] * n
+    return start, end, anchor
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def _segments(length: int):
+    """From (th, text): SEGMENT, and ``more``, the places of the text's other segments equal to this one."""
+
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = [h not in seen and not seen.add(h) for h in b.column("th").to_pylist()]
+            b = b.filter(pa.array(fresh, pa.bool_()))
+            th = b.column("th").to_numpy()
             for row, data, offsets in text_slices(b.column("text")):
                 if len(data) < length:
                     continue
-                ranges = RangeHash(data)
-                runs = ranges.every(ANCHOR)
+                runs = run_keys(data, ANCHOR)
                 least = _sliding_min(runs, length - ANCHOR + 1)
                 size = np.diff(offsets)
                 long = np.flatnonzero(size >= length)
@@ -97,115 +117,95 @@ def _segments(length: int):
                 first, last = first[inside[first]], last[inside[first]]
                 if not len(first):
                     continue
-                first, last = _by_anchor(runs, least, first, last, length - ANCHOR)
+                first, last, anchor = _by_anchor(runs, least, first, last, length - ANCHOR)
                 of = np.searchsorted(offsets, first, side="right") - 1
-                key, digest = least[first], ranges(first, last + length)
-                # equal segments of one document are one row with the places of the others
+                key, digest, lead = least[first], RangeDigest(data)(first, last + length), anchor - last
+                # equal segments of one text are one row with the places of the others
                 order = np.lexsort((first, digest, key, of))
-                first, last, of, key, digest = (x[order] for x in (first, last, of, key, digest))
+                first, last, of, key, digest, lead = (x[order] for x in (first, last, of, key, digest, lead))
                 head = np.ones(len(first), dtype=bool)
                 head[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
                 at = np.flatnonzero(head)
                 many = np.diff(np.append(at, len(first))) - 1
                 more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array((first - offsets[of])[~head].astype(np.int32)))
-                first, last, of, key, digest = (x[at] for x in (first, last, of, key, digest))
-                own = pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(size)), b.column("th").slice(row, len(size))], ["doc_id", "th"]).take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), pa.array(digest.view(np.int64)), own.column(0), own.column(1), pa.array((first - offsets[of]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), more], ["h", "digest", "doc_id", "th", "start", "windows", "more"])
+                first, last, of, key, digest, lead = (x[at] for x in (first, last, of, key, digest, lead))
+                cols = [_signed(mix(key)), _signed(digest), pa.array(th[row + of]), pa.array((first - offsets[of]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(lead.astype(np.int32)), more]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "digest", "th", "start", "windows", "lead", "more"])
 
     return run
 
 
-def _shared(batches):
-    """Rows sorted by all columns -> those that share their key, marked ``covered`` if their digest is
-    shared and ``kind`` if they are the first of their digest."""
-    held = None
-    before = None
-
-    def marked(t: pa.Table, before, more: bool):
-        h, g, d, th, s = (t.column(c).combine_chunks() for c in ("h", "digest", "doc_id", "th", "start"))
-        h, g, th, s = (np.asarray(x) for x in (h, g, th, s))
-        d = np.asarray(d.fill_null(np.iinfo(np.int64).min))
-        n = len(h)
-        same_h, same_g = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
-        same_h[1:n] = h[1:] == h[:-1]
-        same_g[1:n] = same_h[1:n] & (g[1:] == g[:-1])
-        again = np.zeros(n, dtype=bool)
-        again[1:] = same_g[1:n] & (d[1:] == d[:-1]) & (th[1:] == th[:-1]) & (s[1:] == s[:-1])
-        if before is not None:
-            same_h[0] = before[0] == h[0]
-            same_g[0] = same_h[0] and before[1] == g[0]
-        twice = np.asarray(pc.list_value_length(t.column("more").combine_chunks())) > 0
-        covered = same_g[:-1] | same_g[1:] | twice
-        take = (same_h[:-1] | same_h[1:] | twice) & ~again
-        out = n - 1 if more else n
-        take[out:] = False
-        return t.append_column("covered", pa.array(covered)).append_column("kind", pa.array(~same_g[:-1])).filter(pa.array(take)), (h[out - 1], g[out - 1]) if out else before
-
-    def distinct(t: pa.Table) -> pa.Table:
-        """Without the rows that a repeated input row gave."""
-        cols = [np.asarray(t.column(c).combine_chunks().fill_null(np.iinfo(np.int64).min) if c == "doc_id" else t.column(c).combine_chunks()) for c in ("h", "digest", "doc_id", "th", "start")]
-        new = np.zeros(t.num_rows, dtype=bool)
-        new[:1] = True
-        for x in cols:
-            new[1:] |= x[1:] != x[:-1]
-        return t if new.all() else t.filter(pa.array(new))
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = distinct(pa.concat_tables([held, t]) if held is not None else t)
-        if t.num_rows < 2:
-            held = t if t.num_rows else held
-            continue
-        found, before = marked(t, before, True)
-        held = t.slice(t.num_rows - 1)
-        yield from found.to_batches()
-    if held is not None and held.num_rows:
-        yield from marked(held, before, False)[0].to_batches()
-
-
 def _bytes_of(column: pa.Array, i: int) -> bytes:
     value = column[i].as_py()
     return value.encode("utf-8") if value else b""
 
 
 def _cut(length: int):
+    """From (th, text, places): the places with their bytes, once for each text of a task."""
+
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            doc, th = b.column("doc_id").to_pylist(), b.column("th").to_pylist()
-            for i, places in enumerate(b.column("places").to_pylist()):
+            if len(seen) > SEEN:
+                seen.clear()
+            own, pieces, of = [], [], []
+            for i, (h, places) in enumerate(zip(b.column("th").to_pylist(), b.column("places"), strict=True)):
+                if h in seen:
+                    continue
+                seen.add(h)
                 text = _bytes_of(b.column("text"), i)
-                for p in places:
-                    for col, x in zip(out, (p["h"], doc[i], th[i], p["start"], text[p["start"] : p["start"] + p["windows"] - 1 + length]), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["h", "doc_id", "th", "start", "piece"])
+                part = places.values
+                starts = part.field("start").to_numpy()
+                ends = starts + part.field("windows").to_numpy() - 1 + length
+                own.append(part)
+                of += [h] * len(part)
+                pieces += [text[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+            if own:
+                t = pa.Table.from_batches([pa.RecordBatch.from_struct_array(x) for x in own]).combine_chunks()
+                yield from t.append_column("th", pa.array(of, pa.int64())).append_column("piece", pa.array(pieces, pa.binary())).select(["h", "th", "start", "windows", "lead", "kinds", "piece"]).to_batches()
 
     return run
 
 
-def _windows(length: int):
+def _runs(length: int, width: int):
+    """Segments with their bytes -> runs of at most ``width`` window places relative to the anchor, filed
+    under the bytes that every window at such places holds."""
+
     def run(batches):
         for b in batches:
-            doc, th = b.column("doc_id").to_pylist(), b.column("th").to_pylist()
-            for i, places in enumerate(b.column("places").to_pylist()):
-                data = np.frombuffer(_bytes_of(b.column("text"), i), dtype=np.uint8)
-                one, two = RangeHash(data), RangeHash(data ^ np.uint8(0x5A))
-                at = np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in places])
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(one(at, at + length).view(np.int64)), pa.array(two(at, at + length).view(np.int64)), pa.array([doc[i]] * n, pa.int64()), pa.array([th[i]] * n, pa.int64()), pa.array(at.astype(np.int32))], ["w1", "w2", "doc_id", "th", "start"])
+            for row, data, offsets in text_slices(b.column("piece")):
+                n = len(offsets) - 1
+                h, th, start, windows, lead = (b.column(c).slice(row, n).to_numpy(zero_copy_only=False) for c in ("h", "th", "start", "windows", "lead"))
+                # a window's distance is what lies between its start and the anchor
+                far = (lead + windows - 1).astype(np.int64)
+                low, many = lead // width, far // width - lead // width + 1
+                of = np.repeat(np.arange(n), many)
+                block = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
+                high = np.minimum(far[of], (block + 1) * width - 1)
+                least = np.maximum(lead[of], block * width)
+                at = offsets[of] + far[of] - high
+                count = high - least + 1
+                digest = RangeDigest(data)
+                core = offsets[of] + far[of] - block * width
+                key = mix(mix(digest(core, core + length - width + 1) + h.view(U)[of]) + (block * 64 + width).astype(U))
+                piece = [data[a:z].tobytes() for a, z in zip(at.tolist(), (at + count - 1 + length).tolist(), strict=True)]
+                cols = [_signed(key), _signed(digest(at, at + count - 1 + length)), pa.array(th[of]), pa.array((start[of] + far[of] - high).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(least.astype(np.int32)), pa.array(piece, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "digest", "th", "start", "windows", "lead", "piece"])
 
     return run
 
 
 def _sorted_repeats(length: int):
+    """From pieces sorted by key: the ranges (th, start, windows) that stand twice under their key."""
+
     def run(batches):
         held = None
 
         def found(t: pa.Table):
             new = np.zeros(t.num_rows, dtype=bool)
             new[:1] = True
-            for c in ("h", "doc_id", "th", "start"):  # a repeated row's pieces are one
-                x = t.column(c).combine_chunks().fill_null(np.iinfo(np.int64).min if c == "doc_id" else 0).to_numpy()
+            for c in ("h", "th", "start"):  # a text that two tasks have cut gives each piece twice
+                x = t.column(c).to_numpy()
                 new[1:] |= x[1:] != x[:-1]
             t = t if new.all() else t.filter(pa.array(new))
             starts = t.column("start").to_numpy()
@@ -218,7 +218,7 @@ def _sorted_repeats(length: int):
                     first.append(starts[i] + at[cut])
                     count.append(np.diff(np.append(cut, len(at))))
             if rows:
-                own = t.select(["doc_id", "th"]).take(pa.array(np.concatenate(rows))).combine_chunks()
+                own = t.select(["th"]).take(pa.array(np.concatenate(rows))).combine_chunks()
                 yield from own.append_column("start", pa.array(np.concatenate(first), pa.int32())).append_column("windows", pa.array(np.concatenate(count), pa.int32())).to_batches()
 
         for b in batches:
@@ -241,59 +241,90 @@ def _sorted_repeats(length: int):
     return run
 
 
-def _result(length: int):
+def _kept(length: int):
+    """From (doc_id, text, places): what is removed, as merged spans of bytes, and what remains."""
+
     def run(batches):
         for b in batches:
-            n, removed, spans, digest = [], [], [], []
-            for i, places in enumerate(b.column("places").to_pylist()):
+            n, spans, rest = [], [], []
+            for i, places in enumerate(b.column("places")):
                 text = _bytes_of(b.column("text"), i)
-                kept, gone, runs = text, 0, 0
-                if places:
-                    change = np.zeros(len(text) + 1, dtype=np.int64)
-                    at = np.array([p["start"] for p in places])
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + np.array([p["windows"] for p in places]) - 1 + length, -1)
-                    covered = np.cumsum(change[:-1]) > 0
-                    gone = int(covered.sum())
-                    runs = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                    kept = np.frombuffer(text, dtype=np.uint8)[~covered].tobytes()
                 n.append(len(text))
-                removed.append(gone)
-                spans.append(runs)
-                digest.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                if not places.is_valid:
+                    spans.append([])
+                    rest.append(text)
+                    continue
+                at = places.values.field("start").to_numpy()
+                end = np.minimum(at + places.values.field("windows").to_numpy() - 1 + length, len(text))
+                order = np.argsort(at, kind="stable")
+                at, end = at[order], np.maximum.accumulate(end[order])
+                new = np.flatnonzero(np.concatenate([[True], at[1:] > end[:-1]]))
+                start, stop = at[new], end[np.append(new[1:], len(at)) - 1]
+                spans.append([{"start": a, "end": z} for a, z in zip(start.tolist(), stop.tolist(), strict=True)])
+                rest.append(b"".join(text[a:z] for a, z in zip([0, *stop.tolist()], [*start.tolist(), len(text)], strict=True)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(rest, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
 
+def _decided(segments: DataFrame, folder: str, name: str) -> DataFrame:
+    """``segments`` that matter, with ``covered`` (its equal stands elsewhere), ``first`` (it
+    represents its equals) and ``kinds`` (unlike representatives of its key)."""
+    place = F.xxhash64("th", "start")
+    more = F.max(F.size("more") > 0)
+    busy = segments.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("z"), more.alias("m")).where("a <> z or m").select("h")
+    shared = written(segments.join(busy, "h"), folder, f"{name}-shared")
+    equal = shared.groupBy("h", "digest").agg(F.min(place).alias("a"), F.max(place).alias("z"), more.alias("m"))
+    equal = written(equal.select("h", "digest", F.col("a").alias("place"), (F.expr("a <> z") | F.col("m")).alias("covered")), folder, f"{name}-equal")
+    kinds = equal.groupBy("h").agg(F.count("*").alias("kinds"))
+    told = equal.join(kinds, "h").where("covered or kinds > 1")
+    met = shared.join(told, ["h", "digest"]).withColumn("first", place == F.col("place")).drop("place")
+    return written(met.where(F.col("covered") | F.col("first")), folder, f"{name}-decided")
+
+
+def removed_spans(docs: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
+    """(th, start, windows): starts of repeated strings of ``length`` bytes, in runs, for docs (doc_id, th, text)."""
+    bytes_ = F.octet_length(F.coalesce("text", F.lit("")))
+    copies = docs.groupBy("th").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max(F.col("doc_id").isNull()).alias("none"), F.max(bytes_).alias("n"))
+    ranges = copies.where((F.expr("a <> z") | (F.col("none") & F.col("a").isNotNull())) & (F.col("n") >= length))
+    ranges = ranges.select("th", F.lit(0).alias("start"), (F.col("n") - (length - 1)).cast("int").alias("windows"))
+    texts = docs.select("th", "text")
+    segments = written(texts.mapInArrow(_segments(length), f"{SEGMENT}, more array<int>"), folder, "segments")
+    for k, width in enumerate((*WIDTHS, 0)):
+        met = _decided(segments, folder, f"round-{k}")
+        places = F.explode(F.concat(F.array("start"), "more"))
+        ranges = ranges.unionByName(met.where("covered").select("th", places.alias("start"), "windows"))
+        unlike = met.where(F.col("first") & (F.col("kinds") > 1))
+        if k == 0:
+            own = unlike.groupBy("th").agg(F.collect_list(F.struct("h", "start", "windows", "lead", "kinds")).alias("places"))
+            pieces = texts.join(own, "th").mapInArrow(_cut(length), "h long, th long, start int, windows int, lead int, kinds long, piece binary")
+            unlike = written(pieces, folder, "pieces")
+        few = unlike if not width else unlike.where(F.col("kinds") <= BLOCK)
+        ranges = ranges.unionByName(few.select("h", "th", "start", "piece").repartition("h").sortWithinPartitions("h", "th", "start").mapInArrow(_sorted_repeats(length), "th long, start int, windows int"))
+        many = unlike.where(F.col("kinds") > BLOCK)
+        if not width or many.isEmpty():
+            return ranges
+        runs = many.select("h", "th", "start", "windows", "lead", "piece").mapInArrow(_runs(length, width), f"{SEGMENT}, piece binary")
+        segments = written(runs.withColumn("more", F.array().cast("array<int>")), folder, f"runs-{k}")
+    return ranges
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; see the module."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
+    """(doc_id, n_bytes, spans, kept) for every row: the size of the text, the maximal removed runs of
+    its bytes, and the bytes that remain, which may split a character; see the module."""
+    folder = shared_folder(docs.sparkSession)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    place = "doc_id long, th long, start int, windows int"
-    form = f"h long, digest long, {place}, more array<int>"
-    by = ["h", "digest", "doc_id", "th", "start"]
-    segments = docs.mapInArrow(_segments(length), form).repartition("h").sortWithinPartitions(*by)
-    shared = written(segments.mapInArrow(_shared, f"{form}, covered boolean, kind boolean"), folder, "shared")
-    kinds = shared.where("kind").groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    compared = written(shared.where("kind").drop("more").join(kinds, "h"), folder, "compared")
-
-    def at_text(places: DataFrame, how: str) -> DataFrame:
-        own = places.groupBy(F.col("doc_id").alias("p_doc"), F.col("th").alias("p_th")).agg(F.collect_list(F.struct(*(c for c in ("h", "start", "windows") if c in places.columns))).alias("places"))
-        return docs.join(own, docs.doc_id.eqNullSafe(own.p_doc) & (docs.th == own.p_th), how).select("doc_id", "th", "text", "places")
-
-    cut = at_text(compared.where(F.col("kinds") <= BLOCK), "inner").mapInArrow(_cut(length), "h long, doc_id long, th long, start int, piece binary")
-    ranges = shared.where("covered").select("doc_id", "th", F.explode(F.concat(F.array("start"), "more")).alias("start"), "windows")
-    ranges = ranges.unionByName(cut.repartition("h").sortWithinPartitions("h", "doc_id", "th", "start").mapInArrow(_sorted_repeats(length), place))
-    if not compared.where(F.col("kinds") > BLOCK).isEmpty():
-        windows = written(at_text(compared.where(F.col("kinds") > BLOCK), "inner").mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, th long, start int"), folder, "windows")
-        at = F.struct("doc_id", "th", "start")  # a repeated row is at the same place
-        twice = windows.groupBy("w1", "w2").agg(F.min(at).alias("a"), F.max(at).alias("z")).where(~F.col("a").eqNullSafe(F.col("z"))).select("w1", "w2")
-        ranges = ranges.unionByName(windows.join(twice, ["w1", "w2"]).select("doc_id", "th", "start", F.lit(1).alias("windows")))
-    return at_text(ranges, "left").mapInArrow(_result(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    own = removed_spans(docs, folder, length).groupBy("th").agg(F.collect_list(F.struct("start", "windows")).alias("places"))
+    return docs.join(own, "th", "left").select("doc_id", "text", "places").mapInArrow(_kept(length), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+
+
+def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found = remove_repeats(docs, length)
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return repeat_report(table(spark, sf_dir, "documents"))

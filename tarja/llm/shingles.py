@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .hashing import U, RangeHash, mix
+from .hashing import RangeDigest, U, mix
 
 WORDS = 5
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -27,7 +27,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     here, before = inside[1:], inside[:-1]
     begins = np.flatnonzero(here[:-1] & (~before[:-1] | first[:-1]))
     ends = np.flatnonzero(before & (~here | first))
-    words = RangeHash(low)(begins, ends)
+    words = RangeDigest(low)(begins, ends)
     row = np.searchsorted(offsets, begins, side="right") - 1
     count = np.bincount(row, minlength=rows)
     n = len(words)

@@ -100,21 +100,45 @@ def brute_repeats(texts, length):
 COLS2 = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def test_repeats(spark, docs, texts, monkeypatch):
+@pytest.mark.parametrize("block", [2048, 3, 1])
+def test_repeats(spark, docs, texts, monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)  # of 1: every key with unlike segments is cut down to windows
     want = brute_repeats(texts, repeats.LENGTH)
     assert sum(v[1] for v in want.values()) > 0
-    assert by_id(repeats.remove_repeats(docs), *COLS2) == want
-    monkeypatch.setattr(repeats, "BLOCK", 1)  # all keys by the way for large ones
-    assert by_id(repeats.remove_repeats(docs), *COLS2) == want
-    assert repeats.remove_repeats(empty(spark)).count() == 0
+    assert by_id(repeats.repeat_report(docs), *COLS2) == want
+    assert repeats.repeat_report(empty(spark)).count() == 0
+
+
+def test_repeats_of_a_hot_passage(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = " ".join(words(rng, 90))
+    texts = [f"{' '.join(words(rng, 30))} {passage[rng.randrange(3):]} {' '.join(words(rng, 30))}" for _ in range(60)]
+    texts += [f"{t[:60]} {passage[:260]} {t[60:]}" for t in texts[:12]] + [passage, "a" * 900, "ab" * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want = brute_repeats(texts, repeats.LENGTH)
+    for block in (2048, 7):
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        assert by_id(repeats.repeat_report(df), *COLS2) == want
+
+
+def test_repeats_gives_texts_and_spans(spark):
+    part = " ".join(words(random.Random(8), 60))
+    df = spark.createDataFrame([(1, f"é {part} x"), (2, f"{part} é"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(df).collect()}
+    size = len(part) + 1  # the space behind it, too
+    assert [tuple(s) for s in got[1]["spans"]] == [(3, 3 + size)] and bytes(got[1]["kept"]).decode() == "é x"
+    assert [tuple(s) for s in got[2]["spans"]] == [(0, size)] and bytes(got[2]["kept"]).decode() == "é"
+    assert got[3]["spans"] == [] and bytes(got[3]["kept"]) == b""
 
 
 def test_a_repeated_row_is_no_repetition_of_itself(spark):
     text = " ".join(words(random.Random(3), 80))
-    df = spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")
-    assert sorted(r["n_removed"] for r in repeats.remove_repeats(df).collect()) == [0, 0, 0]
-    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
-    assert {r["n_removed"] for r in repeats.remove_repeats(df).collect()} == {len(text)}
+    removed = lambda rows: sorted(r["n_removed"] for r in repeats.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert removed([(1, text), (1, text), (None, None), (None, None)]) == [0, 0, 0, 0]
+    assert removed([(None, text), (None, text)]) == [0, 0]
+    assert removed([(1, text), (2, text), (2, text)]) == [len(text)] * 3
+    assert removed([(1, text), (None, text)]) == [len(text)] * 2
+    assert removed([(1, text), (1, text + " more")]) == [len(text)] * 2
 
 
 @pytest.mark.parametrize("seed", range(4))
