@@ -3,26 +3,28 @@
 A document's set is its distinct five-word shingles (``shingles``). Two documents link when
 100 * intersection >= 75 * union; the result is the connected components of the links.
 
-1. Equal sets are one class: two 64-bit digests of the set, grouped with map-side combine.
+1. Equal sets are one class: two 64-bit digests of the set, grouped with map-side combine. Words and
+   shingles are hashed modulo a prime under two bases, so no pattern of letters makes unlike words meet.
 2. Partition keys that lose no link: of two linked sets of n and m tokens, the n // 4 + 1
    first tokens of one and the m // 4 + 1 first of the other, in any common order, share a token.
-   The order puts rare tokens first. Counts come from all documents by lossy counting (a
-   token seen once in a partition is not reported there); the list of frequent tokens is at most
+   The order puts rare tokens first. Counts come from all texts by lossy counting (a
+   token seen once in a stretch of a partition is not reported there); the list of frequent tokens is at most
    HOT_TOKENS long and is broadcast (6.4 MB). The order decides the work, never the result.
 3. Members of a token's group become points: shingles hashed into 256 groups or, for larger sets, more,
    counted. An R-tree bounds the overlap by summed coordinate minima; pairs whose bound suffices join in a
    union-find, and only its tree edges leave the task. Their components, the clusters, contain
-   every true link. A token of over BLOCK rows is only passed on by the task that sorts it; its members are
+   every true link. A token of over BLOCK rows or BLOCK_BYTES is only passed on by the task that sorts it; its members are
    counted, and told apart by size, with partial aggregates, first bounded with a few pivots, and outsiders
    then meet in blocks that Spark shuffles.
-4. Only documents in clusters are read again for their sets. Each cluster's sets meet once, the R-tree names the pairs, and true overlaps decide. A cluster
-   of over BLOCK sets is first compared with a few pivots; blocks of those that no pivot took are
+4. Only texts in clusters are read again for their sets. Each cluster's sets meet once, the R-tree names the pairs, and true overlaps decide. A cluster
+   of over BLOCK sets or BLOCK_BYTES is first compared with a few pivots; blocks of those that no pivot took are
    then compared with blocks of all, so memory stays bounded and no pair that could join two
    components is passed over.
 
-Nulls and texts without words have empty sets and stay alone. Rows with a null doc_id are
-dropped. Repeated doc_ids with unlike texts: each text links, the id takes the smallest component
-and the largest set size. Extra columns are ignored. An empty table gives an empty result.
+Every row is a document and gives its row. Nulls and texts without words have empty sets and stay alone: their
+component is their own doc_id. A component's id is the smallest doc_id that isn't null among its rows, or null if
+there is none. Rows that share a doc_id are linked only if their texts are. Extra columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,42 +43,69 @@ from .shingles import set_digests, shingle_sets
 HOT_TOKENS = 400_000
 #: A token in so many sets may be called frequent.
 HOT_FROM = 6
-#: Sets that are compared in one task, and rows of a token that make one group there.
+#: Sets that are compared in one task, and rows of a token that make one group there; and their bytes.
 BLOCK = 2048
+BLOCK_BYTES = 32 << 20
 PIVOTS = 8
-#: Bits of the map of wanted ids, and how many ids it takes at most.
+#: Texts and sets that a task remembers, and tokens that it counts at a time.
+SEEN = 1 << 20
+COUNTED = 1 << 22
+#: Bits of the map of wanted texts, and how many it takes at most.
 BITMAP_BITS = 25
 MAPPED = 1 << 22
 
 
+def weight(n):
+    """About the bytes that a set of n tokens takes in a task, with its count vector."""
+    return 256 + 10 * n
+
+
+def _unseen(b: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
+    """The rows whose text this task hasn't had yet."""
+    if len(seen) > SEEN:
+        seen.clear()
+    return b.filter(pa.array([h not in seen and not seen.add(h) for h in b.column("th").to_pylist()], pa.bool_()))
+
+
 def _signatures(batches):
     for b in batches:
-        ids = b.column("doc_id")
+        ids, th = b.column("doc_id"), b.column("th")
         for row, data, offsets in text_slices(b.column("text")):
             h, starts = shingle_sets(data, offsets)
             d1, d2 = set_digests(h, starts)
-            yield pa.RecordBatch.from_arrays([ids.slice(row, len(d1)), pa.array(np.diff(starts)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["doc_id", "n", "d1", "d2"])
+            k = len(d1)
+            yield pa.RecordBatch.from_arrays([ids.slice(row, k), th.slice(row, k), pa.array(np.diff(starts)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["doc_id", "th", "n", "d1", "d2"])
 
 
 def _frequent(batches):
-    """Tokens that this partition's documents hold twice or more. Over all documents, over a
+    """Tokens that a stretch of this partition's texts holds twice or more. Over all texts, over a
     third of each one's tokens: those of small hash, where first tokens come from."""
-    held = []
+    seen: set[int] = set()
+    held, size = [], 0
+
+    def counted():
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        token, count = token[count > 1], count[count > 1]
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "count"])
+
     for b in batches:
-        for _, data, offsets in text_slices(b.column("text")):
+        for _, data, offsets in text_slices(_unseen(b, seen).column("text")):
             h, _ = shingle_sets(data, offsets)
             held.append(h[h < U(int(0.36 * 2**64))])
+            size += len(held[-1])
+            if size > COUNTED:
+                yield counted()
+                held, size = [], 0
     if held:
-        token, count = np.unique(np.concatenate(held), return_counts=True)
-        token, count = token[count > 1], count[count > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "count"])
+        yield counted()
 
 
 def _first_tokens(hot: np.ndarray, counts: np.ndarray):
     def run(batches):
+        texts: set[int] = set()
         seen: set[int] = set()
         for b in batches:
-            for _, data, offsets in text_slices(b.column("text")):
+            for _, data, offsets in text_slices(_unseen(b, texts).column("text")):
                 h, starts = shingle_sets(data, offsets)
                 if not len(h):
                     continue
@@ -91,13 +120,13 @@ def _first_tokens(hot: np.ndarray, counts: np.ndarray):
                 place = np.arange(len(h)) - starts[of]
                 if len(hot):
                     k = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                    weight = np.where(hot[k] == h, counts[k], 0)
-                    if weight.any():
-                        order = np.lexsort((h, weight, of))
+                    rank = np.where(hot[k] == h, counts[k], 0)
+                    if rank.any():
+                        order = np.lexsort((h, rank, of))
                         h = h[order]
                 take = fresh[of] & (place <= (n // 4)[of])
                 yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(d1[of[take]].view(np.int64)), pa.array(n[of[take]])], ["token", "d1", "n"])
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
 
     return run
@@ -107,7 +136,7 @@ def _groups(block: int):
     """From rows sorted by token: the members of groups of two sets or more, under a fingerprint of
     the membership, so that tokens with the same members make one group. Linked sets differ by a
     third in size at most, so a token's members are cut into groups where the next size is further off.
-    A token of over ``block`` rows is passed on row by row under itself, with the sizes, as ``large``."""
+    A token of over ``block`` rows, or BLOCK_BYTES, is passed on row by row under itself, with the sizes, as ``large``."""
 
     def small(t, d, n):
         order = np.lexsort((d, n, t))
@@ -128,7 +157,7 @@ def _groups(block: int):
     def closed(t, d, n):
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         count = np.diff(np.append(first, len(t)))
-        far = np.repeat(count > block, count)
+        far = np.repeat((count > block) | (np.add.reduceat(weight(n), first) > BLOCK_BYTES), count)
         if far.any():
             yield rows(t[far], True, n[far], d[far])
         if not far.all():
@@ -152,7 +181,7 @@ def _groups(block: int):
             if cut:
                 yield from closed(t[:cut], d[:cut], n[:cut])
             rest = t[cut:], d[cut:], n[cut:]
-            if len(rest[0]) > block:
+            if len(rest[0]) > block or weight(rest[2]).sum() > BLOCK_BYTES:
                 yield rows(rest[0], True, rest[2], rest[1])
                 open_token, rest = int(t[-1]), (t[:0], d[:0], n[:0])
         if len(rest[0]):
@@ -163,22 +192,20 @@ def _groups(block: int):
 
 def _candidates(bits: np.ndarray | None, whole: bool):
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        texts: set[int] = set()
+        seen: set[int] = set()
         for b in batches:
             if bits is not None:
-                at = b.column("doc_id").to_numpy() & ((1 << BITMAP_BITS) - 1)
+                at = b.column("th").to_numpy() & ((1 << BITMAP_BITS) - 1)
                 b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            ids = b.column("doc_id")
-            for row, data, offsets in text_slices(b.column("text")):
+            if len(seen) > SEEN:
+                seen.clear()
+            for _, data, offsets in text_slices(_unseen(b, texts).column("text")):
                 h, starts = shingle_sets(data, offsets)
-                d1, _ = set_digests(h, starts)
-                own = []
-                for i, key in enumerate(zip(ids.slice(row, len(d1)).to_pylist(), d1.tolist(), strict=True)):
-                    if starts[i] < starts[i + 1] and key not in seen:
-                        seen.add(key)
-                        own.append(i)
+                d1 = set_digests(h, starts)[0].view(np.int64).tolist()
+                own = [i for i, d in enumerate(d1) if starts[i] < starts[i + 1] and d not in seen and not seen.add(d)]
                 sets = [h[starts[i] : starts[i + 1]] for i in own]
-                cols = [ids.slice(row, len(d1)).take(pa.array(own, pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([count_vector(x) for x in sets], pa.binary())]
+                cols = [pa.array([d1[i] for i in own], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([count_vector(x) for x in sets], pa.binary())]
                 names = ["id", "n", "vec"]
                 if whole:
                     cols.append(pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()))
@@ -188,19 +215,21 @@ def _candidates(bits: np.ndarray | None, whole: bool):
     return run
 
 
-def _points(docs: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
-    """(id, n, vec) of the wanted documents, with their tokens if ``whole``, and perhaps of some more. Up
-    to MAPPED ids are told to the scan by a bit map of 4 MB; beyond that the texts are shuffled to
-    meet them."""
+def _points(texts: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
+    """(id, n, vec) of the sets of the wanted texts (th), with their tokens if ``whole``, and perhaps of some more. Up
+    to MAPPED texts are told to the scan by a bit map of 4 MB; beyond that all texts are shuffled to
+    meet them. A set that several tasks have met comes once."""
     form = "id long, n long, vec binary" + ", tokens binary" * whole
     if wanted.count() > MAPPED:
-        return docs.join(wanted, "doc_id", "left_semi").mapInArrow(_candidates(None, whole), form)
-    bit = F.pmod("doc_id", F.lit(1 << BITMAP_BITS))
-    pages = wanted.groupBy(F.floor(bit / 32768).alias("page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits"))
-    bits = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
-    for r in pages.collect():  # at most 1,024 pages of 4 KB
-        bits[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return docs.mapInArrow(_candidates(bits, whole), form)
+        found = texts.join(wanted, "th", "left_semi").mapInArrow(_candidates(None, whole), form)
+    else:
+        bit = F.pmod("th", F.lit(1 << BITMAP_BITS))
+        pages = wanted.groupBy(F.floor(bit / 32768).alias("page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits"))
+        bits = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
+        for r in pages.collect():  # at most 1,024 pages of 4 KB
+            bits[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+        found = texts.mapInArrow(_candidates(bits, whole), form)
+    return found.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "vec", "tokens")[: 2 + whole]))
 
 
 def _by_key(batches, keys: list[str]):
@@ -279,7 +308,7 @@ def _pivots(members: DataFrame, key: str) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame, key: str, linked: DataFrame, folder: str, name: str) -> DataFrame:
-    """``members`` (key, id, ...) once for each pair of blocks (low, high) that its block ``own`` meets.
+    """``members`` (key, id, n, ...) once for each pair of blocks (low, high) that its block ``own`` meets.
 
     Links to pivots join members to parts. Outsiders of a group's main part, in blocks, meet one
     another and all others; those of the main part need not meet."""
@@ -288,24 +317,24 @@ def _block_pairs(members: DataFrame, key: str, linked: DataFrame, folder: str, n
     members = members.join(part, "id", "left").withColumn("part", F.coalesce("component", "id"))
     main = members.groupBy(key, "part").count().groupBy(key).agg(F.max(F.struct("count", "part"))["part"].alias("main"))
     members = members.join(main, key).withColumn("out", F.col("part") != F.col("main"))
-    blocks = members.groupBy(key).agg(F.ceil(F.count_if("out") / BLOCK).alias("outs"), F.ceil(F.count_if(~F.col("out")) / BLOCK).alias("ins"))
+    size = lambda side: F.greatest(F.ceil(F.count_if(side) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(side, weight(F.col("n")))), F.lit(0)) / BLOCK_BYTES))
+    blocks = members.groupBy(key).agg(size(F.col("out")).alias("outs"), size(~F.col("out")).alias("ins"))
     members = members.join(blocks.where("outs > 0"), key).withColumn("own", F.when(F.col("out"), F.pmod(rank, F.col("outs"))).otherwise(F.col("outs") + F.pmod(rank, F.col("ins"))))
     pairs = members.withColumn("other", F.explode(F.when(F.col("out"), F.sequence(F.lit(0).cast("long"), F.col("outs") + F.col("ins") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1))))
     return pairs.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
 
-def _large_groups(docs: DataFrame, large: DataFrame, classes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Of tokens with many members, ``large`` (g, n, d1): bounded links to pivots (a, b), and the
+def _large_groups(texts: DataFrame, large: DataFrame, classes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Of tokens with many members, ``large`` (g, n, id): bounded links to pivots (a, b), and the
     members (g, low, high, own, id, n, vec) of the pairs of blocks that are left to bound."""
     sizes = Window.partitionBy("g").orderBy("n")
     bands = large.select("g", "n").distinct().withColumn("cut", F.coalesce((3 * F.col("n") > 4 * F.lag("n").over(sizes)).cast("int"), F.lit(0)))
     bands = bands.select("g", "n", F.sum("cut").over(sizes).alias("band"))
-    members = large.join(bands, ["g", "n"]).select(F.xxhash64("g", "band").alias("g"), "d1")
-    prints = members.groupBy("g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("d1")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "d1")).alias("y"))
+    members = large.join(bands, ["g", "n"]).select(F.xxhash64("g", "band").alias("g"), "id", "n")
+    prints = members.groupBy("g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     one = prints.where("size > 1").groupBy("size", "x", "y").agg(F.min("g").alias("g")).select("g", "size")
-    members = written(members.join(one, "g").join(classes.select("d1", "id"), "d1").select("g", "size", "id").distinct(), folder, "large-members")
-    wanted = written(members.select(F.col("id").alias("doc_id")).distinct(), folder, "large-wanted")
-    points = written(_points(docs, wanted, False), folder, "large-points")
+    members = written(members.join(one, "g").select("g", "size", "id", "n").distinct(), folder, "large-members")
+    points = written(_points(texts, written(_texts_of(members, classes), folder, "large-wanted"), False), folder, "large-points")
     pairs = members.join(_pivots(members, "g"), "g").select("id", "pivot").where("id <> pivot").distinct()
     pairs = pairs.join(points, "id").join(points.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("vec").alias("pivot_vec")), "pivot")
     linked = written(pairs.select("id", "pivot", "n", "pivot_n", "vec", "pivot_vec").mapInArrow(_near_pivot, "a long, b long").distinct(), folder, "group-pivot-links")
@@ -321,14 +350,20 @@ def _large_clusters(large: DataFrame, folder: str) -> DataFrame:
     return linked.unionByName(_sorted_groups(pairs, ["cluster", "low", "high"]).mapInArrow(_verified, "a long, b long"))
 
 
+def _texts_of(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(th): a text for each set (id)."""
+    return members.select("id").distinct().join(classes, "id").select("th").distinct()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document; see the module."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    texts = docs.select("text")
-    sets = written(docs.mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long"), folder, "sets")
-    classes = written(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), folder, "classes")
+    """(doc_id, n_shingles, component_id) for every row; see the module."""
+    folder = shared_folder(docs.sparkSession)
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    texts = docs.select("th", "text")
+    sets = written(docs.mapInArrow(_signatures, "doc_id long, th long, n long, d1 long, d2 long"), folder, "sets")
+    classes = written(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.min("th").alias("th")), folder, "classes")
+    named = classes.select(F.col("d1").alias("id"), "doc", "th")
 
     frequent = texts.mapInArrow(_frequent, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HOT_FROM)
     top = frequent.orderBy(F.desc("count"), "token").limit(HOT_TOKENS).toPandas()
@@ -337,32 +372,48 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     hot, counts = token[order], top["count"].to_numpy(dtype=np.int64)[order]
 
     first = texts.mapInArrow(_first_tokens(hot, counts), "token long, d1 long, n long")
-    groups = written(_sorted_groups(first, ["token"]).mapInArrow(_groups(BLOCK), "g long, large boolean, n long, d1 long").distinct(), folder, "groups")
-    few, large = groups.where("not large").select("g", "d1"), groups.where("large").select("g", "n", "d1")
-
-    wanted = few.select("d1").distinct().join(classes, "d1").select(F.col("id").alias("doc_id")).distinct()
-    points = _points(docs, written(wanted, folder, "wanted"), False)
+    groups = _sorted_groups(first, ["token"]).mapInArrow(_groups(BLOCK), "g long, large boolean, n long, d1 long").withColumnRenamed("d1", "id")
+    groups = written(groups.distinct(), folder, "groups")
+    few, large = groups.where("not large").select("g", "id"), groups.where("large").select("g", "n", "id")
 
+    points = _points(texts, written(_texts_of(few, named), folder, "wanted"), False)
     zero = F.lit(0).cast("long")
-    members = few.join(classes.select("d1", "id"), "d1").join(points, "id").select("g", zero.alias("low"), zero.alias("high"), zero.alias("own"), "id", "n", "vec")
+    members = few.join(points, "id").select("g", zero.alias("low"), zero.alias("high"), zero.alias("own"), "id", "n", "vec")
     near = None
     if not large.isEmpty():
-        near, left = _large_groups(docs, large, classes, folder)
+        near, left = _large_groups(texts, large, named, folder)
         members = members.unionByName(left)
     bounded = _sorted_groups(members, ["g", "low", "high"]).mapInArrow(_bounded, "a long, b long")
     may = written((bounded.unionByName(near) if near else bounded).distinct(), folder, "may")
     clusters = components(may, folder, "clusters").withColumnRenamed("component", "cluster")
-    size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    held = _points(docs, clusters.select(F.col("id").alias("doc_id")), True).join(clusters.join(size, "cluster"), "id")
-    small = held.where(F.col("size") <= BLOCK).select("cluster", zero.alias("low"), zero.alias("high"), zero.alias("own"), "id", "n", "vec", "tokens")
+    held = written(_points(texts, written(_texts_of(clusters, named), folder, "clustered"), True).join(clusters, "id"), folder, "held")
+    size = held.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(weight(F.col("n"))).alias("bytes"))
+    size = written(size.select("cluster", "size", ((F.col("size") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).alias("large")), folder, "sizes")
+    held = held.join(size, "cluster")
+    small = held.where("not large").select("cluster", zero.alias("low"), zero.alias("high"), zero.alias("own"), "id", "n", "vec", "tokens")
     links = written(_sorted_groups(small, ["cluster", "low", "high"]).mapInArrow(_verified, "a long, b long"), folder, "links")
-    if not size.where(F.col("size") > BLOCK).isEmpty():
-        large = written(held.where(F.col("size") > BLOCK), folder, "large")
-        links = written(links.unionByName(_large_clusters(large, folder)), folder, "all-links")
-    linked = components(links, folder, "components")
-
-    found = classes.join(linked, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    return sets.join(found, ["d1", "d2"], "left").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if not size.where("large").isEmpty():
+        links = written(links.unionByName(_large_clusters(written(held.where("large"), folder, "large"), folder)), folder, "all-links")
+    linked = written(components(links, folder, "components").join(named, "id").select("id", "component", "doc"), folder, "linked")
+
+    least = linked.groupBy("component").agg(F.min("doc").alias("component_id"))
+    found = classes.join(linked.join(least, "component").select(F.col("id").alias("d1"), "component_id"), "d1", "left")
+    found = found.select("d1", "d2", F.when(F.col("component_id").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    met = sets.join(found, ["d1", "d2"], "left")
+    return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each component one row of ``docs`` stays, all its columns as they are: the one with the smallest
+    doc_id, a null coming last; of equal ones the first as read. Rows decide, not doc_ids: a
+    text that links to nothing stays, whatever its doc_id. Texts without words all stay."""
+    folder = shared_folder(docs.sparkSession)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), folder, "rows")
+    parts = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), "__row")
+    met = parts.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    stay = met.groupBy("component_id").agg(F.min(order)["__row"].alias("__row")).select("__row")
+    return rows.join(stay, "__row", "left_semi").drop("__row")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
