@@ -7,9 +7,10 @@ With these, |q - x|^2 is at least sum(len * ((mq - mx)^2 + (sq - sx)^2)), so the
 bounded from coarse to fine against each query's k-th score so far, and only pairs that survive
 every resolution are computed exactly.
 
-The query set goes out in blocks of QUERIES vectors, the only broadcast; every block passes over all
-vectors, each partition keeps its k best for each query, and those few meet by query. Nothing else
-leaves a task. Ties go to the smaller vec_id, so a bound equal to the k-th score still counts.
+Vectors are dealt by hash to parts of about PART components. The queries are repeated for each part and
+come behind its vectors in the order of rows, so a task holds one part's vectors and a block of QUERIES queries
+at a time; one pass over the vectors answers all queries. Each part gives its k best for each query, and
+those few meet by query. Nothing is collected or broadcast.
 
 Vectors that are null, or hold a null or non-finite component, take no part, nor do rows with a
 null vec_id; a vec_id with unlike vectors stands for each of them, like rows once. Of vectors of
@@ -28,8 +29,10 @@ from .common import shared_folder, table, written
 
 K = 10
 SCALE = 1024.0
-#: Queries in one broadcast block: 4 MB at 128 components.
-QUERIES = 4096
+#: Components of the vectors of one part, 8 bytes each.
+PART = 1 << 21
+#: Queries that a task compares at a time, and vectors that are bounded at once.
+QUERIES = 512
 CHUNK = 2048
 #: Below this the sums stay whole numbers in doubles.
 SAFE = float(1 << 52)
@@ -74,87 +77,106 @@ def _summaries(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _search(ids: np.ndarray, queries: list, k: int):
-    longest = max((len(q) for q in queries), default=0)
-
-    def fold(best, found_q, found_s, found_i):
-        """The k best of each query among those so far and these."""
-        q = np.concatenate([best[0], found_q])
-        s = np.concatenate([best[1], found_s])
-        i = np.concatenate([best[2], found_i])
-        order = np.lexsort((i, -s, q))
-        q, s, i = q[order], s[order], i[order]
-        first = np.searchsorted(q, np.arange(len(ids)))
-        keep = np.arange(len(q)) - first[q] < k
-        q, s, i = q[keep], s[keep], i[keep]
-        least = np.full(len(ids), -np.inf)
-        full = np.bincount(q, minlength=len(ids)) >= k
-        last = np.searchsorted(q, np.arange(len(ids)), side="right") - 1
-        least[full] = s[last[full]]
-        return (q, s, i), least
+class _Part:
+    """The vectors of a part in chunks, each with its summaries."""
+
+    def __init__(self, ids: list[int], rows: list):
+        self.longest = max(map(len, rows), default=0)
+        self.chunks = []
+        for a in range(0, len(rows), CHUNK):
+            own = rows[a : a + CHUNK]
+            self.chunks.append((np.array(ids[a : a + CHUNK], dtype=np.int64), own))
+        self.ready: dict[int, list] = {}
+
+    def matrices(self, width: int) -> list:
+        if width not in self.ready:
+            self.ready = {width: [(x := _matrix(rows, width), _summaries(x)) for _, rows in self.chunks]}
+        return self.ready[width]
+
+
+def _folded(best, found, k: int, n: int):
+    """The k best of each of n queries among those so far and these (query, score, id), and the k-th scores."""
+    q, s, i = (np.concatenate([x, y]) for x, y in zip(best, found, strict=True))
+    order = np.lexsort((i, -s, q))
+    q, s, i = q[order], s[order], i[order]
+    first = np.searchsorted(q, np.arange(n))
+    keep = np.arange(len(q)) - first[q] < k
+    q, s, i = q[keep], s[keep], i[keep]
+    least = np.full(n, -np.inf)
+    full = np.bincount(q, minlength=n) >= k
+    least[full] = s[(np.searchsorted(q, np.arange(n), side="right") - 1)[full]]
+    return (q, s, i), least
+
+
+def _products(a: np.ndarray, b: np.ndarray, at: np.ndarray, cand: np.ndarray, dense: float) -> np.ndarray:
+    """Products of the pairs (at, cand) of rows of a and b: by one matrix product if there are many."""
+    if len(at) > dense * len(a) * len(b):
+        return (a @ b.T)[at, cand]
+    return np.concatenate([np.einsum("ij,ij->i", a[at[c : c + 65536]], b[cand[c : c + 65536]]) for c in range(0, max(1, len(at)), 65536)])
+
+
+def _answers(part: _Part, ids: np.ndarray, queries: list, k: int) -> pd.DataFrame:
+    n = len(ids)
+    none = np.zeros(0, dtype=np.int64)
+    best, least = (none, none, none), np.full(n, -np.inf)
+    longest = max(part.longest, max(map(len, queries), default=0))
+    width = max(4, 1 << (longest - 1).bit_length()) if longest else 4
+    q = _matrix(queries, width)
+    coarse = _summaries(q)
+    most = (q * q).sum(axis=1).max()
+    for (own, rows), (x, levels) in zip(part.chunks, part.matrices(width), strict=True):
+        size = np.sqrt((x * x).sum(axis=1).max() * most)
+        if not size < SAFE:
+            pairs = [(m, sum(int(u) * int(v) for u, v in zip(queries[m], r, strict=False)), i) for m in range(n) for r, i in zip(rows, own.tolist(), strict=True) if i != ids[m]]
+            best, least = _folded(best, [np.array([p[c] for p in pairs], dtype=np.int64) for c in range(3)], k, n)
+            continue
+        slack = 1e-6 * size + 1e-6  # doubles' rounding; it only lets more pairs through
+        at, cand = np.nonzero(coarse[0] @ levels[0].T + slack >= least[:, None])
+        for qs, xs in zip(coarse[1:], levels[1:], strict=True):
+            ok = _products(qs, xs, at, cand, 0.2) + slack >= least[at]
+            at, cand = at[ok], cand[ok]
+        other = ids[at] != own[cand]
+        at, cand = at[other], cand[other]
+        score = _products(q, x, at, cand, 0.05).astype(np.int64)
+        good = score >= least[at]
+        best, least = _folded(best, (at[good], score[good], own[cand[good]]), k, n)
+    return pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[2], "score": best[1]})
+
+
+def _search(k: int):
+    """From rows (part, query, id, v) sorted by part, its vectors first: each part's k best for each query."""
 
     def run(frames):
-        none = np.zeros(0, dtype=np.int64)
-        best, least = (none, none, none), np.full(len(ids), -np.inf)
-        ready = 0
+        at, part, ids, rows = None, None, [], []
         for f in frames:
-            for a in range(0, len(f), CHUNK):
-                part = f.iloc[a : a + CHUNK]
-                own, rows = part["vec_id"].to_numpy(), part["v"].tolist()
-                width = max(4, 1 << (max(longest, max(map(len, rows))) - 1).bit_length()) if longest or any(map(len, rows)) else 4
-                if width != ready:
-                    q = _matrix(queries, width)
-                    coarse, ready = _summaries(q), width
-                x = _matrix(rows, width)
-                size = np.sqrt((x * x).sum(axis=1).max() * (q * q).sum(axis=1).max())
-                if not size < SAFE:
-                    pairs = [(n, sum(int(u) * int(v) for u, v in zip(queries[n], r, strict=False)), i) for n in range(len(ids)) for r, i in zip(rows, own, strict=True) if i != ids[n]]
-                    at, score, where = (np.array([p[c] for p in pairs], dtype=np.int64) for c in range(3))
-                    best, least = fold(best, at, score, where)
-                    continue
-                slack = 1e-6 * size + 1e-6  # doubles' rounding; it only lets more pairs through
-                levels = _summaries(x)
-                at, cand = np.nonzero(coarse[0] @ levels[0].T + slack >= least[:, None])
-                for qs, xs in zip(coarse[1:], levels[1:], strict=True):
-                    if len(at) > 0.2 * len(ids) * len(x):
-                        ok = (qs @ xs.T)[at, cand] + slack >= least[at]
-                    else:
-                        ok = np.concatenate([np.einsum("ij,ij->i", qs[at[c : c + 65536]], xs[cand[c : c + 65536]]) for c in range(0, max(1, len(at)), 65536)]) + slack >= least[at]
-                    at, cand = at[ok], cand[ok]
-                other = ids[at] != own[cand]
-                at, cand = at[other], cand[other]
-                if len(at) > 0.05 * len(ids) * len(x):
-                    score = (q @ x.T)[at, cand]
-                else:
-                    score = np.concatenate([np.einsum("ij,ij->i", q[at[c : c + 65536]], x[cand[c : c + 65536]]) for c in range(0, max(1, len(at)), 65536)])
-                score = score.astype(np.int64)
-                good = score >= least[at]
-                best, least = fold(best, at[good], score[good], own[cand[good]])
-        yield pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[2], "score": best[1]})
+            new = np.flatnonzero(np.diff(f["part"].to_numpy(), prepend=f["part"].iloc[0] - 1)) if len(f) else []
+            for a, z in zip(new, [*new[1:], len(f)], strict=True):
+                own = f.iloc[a:z]
+                if own["part"].iloc[0] != at:
+                    at, part, ids, rows = own["part"].iloc[0], None, [], []
+                held = own[~own["query"]]
+                ids += held["id"].tolist()
+                rows += held["v"].tolist()
+                asked = own[own["query"]]
+                if len(asked) and rows:
+                    part = part or _Part(ids, rows)
+                    for c in range(0, len(asked), QUERIES):
+                        block = asked.iloc[c : c + QUERIES]
+                        yield _answers(part, block["id"].to_numpy(dtype=np.int64), block["v"].tolist(), k)
 
     return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): see the module. Both inputs as ``integer_vectors`` gives them."""
-    spark = vectors.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(vectors.sparkSession)
     vectors = written(vectors.distinct(), folder, "vectors")
-    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
-    count = queries.count()
-    blocks = max(1, -(-count // QUERIES))
-    queries = written(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), folder, "queries")
-    parts = []
-    for block in range(blocks):
-        own = queries.where(F.col("block") == block).select("query_id", "q").toPandas()
-        if len(own):
-            parts.append(vectors.mapInPandas(_search(own["query_id"].to_numpy(), own["q"].tolist(), k), "query_id long, vec_id long, score long"))
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not parts:
-        return spark.createDataFrame([], schema)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    parts = max(1, -(-size["n"] * (size["width"] or 1) // PART))
+    held = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).alias("part"), F.lit(False).alias("query"), F.col("vec_id").alias("id"), "v")
+    asked = queries.distinct().select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(True).alias("query"), F.col("vec_id").alias("id"), "v")
+    both = held.unionByName(asked).repartition("part").sortWithinPartitions("part", "query")
+    found = both.mapInPandas(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
