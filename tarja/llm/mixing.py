@@ -9,17 +9,19 @@ five times at once: 31 exponents between the bounds are put against all sources
 exponent, and the two next to the target are the new bounds.
 
 A source of w words and weight q has a quota of q * budget words. It is filled in blocks, each a permutation
-of all the source's texts in an order of its own (MD5 of seed, block, doc_id), as many whole
+of all the source's texts in an order of its own (MD5 of seed, block, doc_id, text hash), as many whole
 blocks as fit and the front of one more, up to the text that reaches the quota. Without a budget, the
-smallest at which no source is cut is taken.
+smallest at which no source is cut is taken. Every row of the mixture has its block and its place in it, so
+that reading sources block by block, by place, gives the mixture in its order.
 
-Word sums for the front of the last block come in two steps, by source and one of BUCKETS ranges of the
-permutation's key, then inside the range where the quota falls; so a source with a third of all texts
-is spread over BUCKETS tasks. All of it is DataFrame work.
+Places, and word sums for the front of the last block, come in two steps: by ranges of the permutation's
+key, of about RANGE texts each, and then inside a range; so a source with a third of all texts is spread
+over as many tasks as it has ranges. All of it is DataFrame work.
 
 A null source is a source of its own. A text has at least one word's weight, null and empty ones
-included. Rows with equal doc_id and source order by their text's hash; repeated rows are copies, each with its own count. One
-source has weight 1. An empty table gives an empty result; extra columns are kept by ``mixed``.
+included. Repeated rows are texts of their own, each with its own place; where doc_id and text hash are equal, too, their
+order is that in which the rows were read. One source has weight 1. An empty table gives an empty result; extra
+columns are kept by ``mixture``.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from .common import shared_folder, table, written
 #: Entropy to reach, as a part of the largest possible; repetitions of a source at most.
 ENTROPY, REPEATS = 0.985, 4.0
 SEED = "1"
-BUCKETS = 256
+#: Texts in one range of a permutation, about.
+RANGE = 1024
 PASSES = 8
 
 
@@ -42,7 +45,7 @@ def _words(text: Column) -> Column:
 
 
 def temperature(shares: DataFrame, target: float = ENTROPY, limit: float = REPEATS, budget: float | None = None) -> tuple[float, float]:
-    """(exponent, budget) for (source, words); see the module."""
+    """(exponent, budget) for (source, words), one row for each source; see the module."""
     totals = shares.agg(F.count("*").alias("n"), F.sum("words").alias("words")).first()
     if not totals["n"]:
         return 1.0, 0.0
@@ -93,40 +96,61 @@ def temperature(shares: DataFrame, target: float = ENTROPY, limit: float = REPEA
     return exponent, float(budget)
 
 
-def copies(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, limit: float = REPEATS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, n_words, weight, copies, th) for every row: how often the mixture takes it."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words(F.col("text")).alias("n_words"), F.xxhash64("text").alias("th"))
-    own = written(own, folder, "words")
-    shares = written(own.groupBy("source").agg(F.sum("n_words").alias("words")), folder, "shares")
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """(row, doc_id, source, n_words, th), ``row`` unlike for all rows, and other columns."""
+    doc, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    own = {"__row": F.monotonically_increasing_id(), "__doc": doc, "__source": source, "__words": _words(F.col("text")), "__th": F.xxhash64(F.col("text").cast("string"))}
+    return docs.withColumns(own).select(*own, *more)
+
+
+def _placed(own: DataFrame, folder: str, budget: float | None, target: float, limit: float, seed: str) -> DataFrame:
+    """(__row, __doc, __source, __words, __weight, __block, __place) for each row of the mixture."""
+    shares = written(own.groupBy(F.col("__source").alias("source")).agg(F.sum("__words").alias("words"), F.count("*").alias("texts")), folder, "shares")
     exponent, budget = temperature(shares, target, limit, budget)
     total = shares.agg(F.sum("words")).first()[0] or 1
     power = F.exp(F.lit(exponent) * F.log(F.col("words") / F.lit(float(total))))
     z = shares.agg(F.sum(power)).first()[0] or 1.0
-    quota = shares.select(F.col("source").alias("s"), (power / F.lit(z)).alias("weight"), "words")
+    quota = shares.select("source", (power / F.lit(z)).alias("__weight"), "words", F.ceil(F.col("texts") / RANGE).alias("__ranges"))
     # a quota a rounding error away from whole blocks is whole blocks
-    blocks = F.col("weight") * F.lit(budget) / F.col("words")
-    quota = quota.withColumn("full", F.floor(blocks + 1e-9)).withColumn("rest", F.round(F.greatest(F.lit(0.0), F.col("weight") * F.lit(budget) - F.col("full") * F.col("words")))).select("s", "weight", "full", "rest")
-    quota = written(quota, folder, "quota")
-    joined = own.join(quota, own["source"].eqNullSafe(quota["s"])).drop("s")
-    keyed = joined.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("th")))).withColumn("bucket", F.pmod(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), F.lit(65536)))
-    keyed = keyed.withColumn("bucket", F.floor(F.col("bucket") * BUCKETS / 65536).cast("int"))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("n_words").alias("n"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "th").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("before", F.coalesce(F.sum("n_words").over(inside), F.lit(0))).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    taken = F.col("full") + F.when(F.col("ahead") + F.col("before") < F.col("rest"), 1).otherwise(0)
-    return placed.select("doc_id", "source", "n_words", F.round("weight", 9).alias("weight"), taken.cast("long").alias("copies"), "th")
+    wanted = F.col("__weight") * F.lit(budget)
+    quota = quota.withColumn("__full", F.floor(wanted / F.col("words") + 1e-9)).withColumn("__rest", F.round(F.greatest(F.lit(0.0), wanted - F.col("__full") * F.col("words")))).drop("words")
+    met = own.join(written(quota, folder, "quota"), own["__source"].eqNullSafe(F.col("source"))).drop("source")
+    last = F.col("__full") - F.when(F.col("__rest") > 0, 0).otherwise(1)
+    many = met.where(last >= 0).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("__block"), F.coalesce(F.col("__doc").cast("string"), F.lit("")), F.col("__th")))
+    many = many.withColumn("__key", key).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * F.col("__ranges") / F.lit(1 << 32)))
+    group = ["__source", "__block"]
+    ahead = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = many.groupBy(*group, "__range").agg(F.sum("__words").alias("w"), F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    sums = sums.select(F.col("__source").alias("s"), F.col("__block").alias("b"), F.col("__range").alias("r"), F.coalesce(F.sum("w").over(ahead), none).alias("w"), F.coalesce(F.sum("n").over(ahead), none).alias("n"))
+    inside = Window.partitionBy(*group, "__range").orderBy("__key", "__row").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = many.withColumns({"__before": F.coalesce(F.sum("__words").over(inside), none), "__nth": F.count("*").over(inside)})
+    found = ranked.join(sums, ranked["__source"].eqNullSafe(sums["s"]) & (F.col("__block") == F.col("b")) & (F.col("__range") == F.col("r")))
+    taken = found.where((F.col("__block") < F.col("__full")) | (F.col("w") + F.col("__before") < F.col("__rest")))
+    return taken.select("__row", "__doc", "__source", "__words", F.round("__weight", 9).alias("__weight"), "__block", (F.col("n") + F.col("__nth")).alias("__place"))
+
+
+def placements(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, limit: float = REPEATS, seed: str = SEED) -> DataFrame:
+    """(doc_id, source, n_words, weight, block, place) for each row of the mixture, blocks and places from 0."""
+    folder = shared_folder(docs.sparkSession)
+    found = _placed(written(_keyed(docs), folder, "rows"), folder, budget, target, limit, seed)
+    return found.select(F.col("__doc").alias("doc_id"), F.col("__source").alias("source"), F.col("__words").alias("n_words"), F.col("__weight").alias("weight"), F.col("__block").alias("block"), F.col("__place").alias("place"))
+
+
+def mixture(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, limit: float = REPEATS, seed: str = SEED) -> DataFrame:
+    """The rows of the mixture with all columns of ``docs``, and block and place as ``mix_block`` and ``mix_place``."""
+    folder = shared_folder(docs.sparkSession)
+    rows = written(_keyed(docs, *docs.columns), folder, "rows")
+    found = _placed(rows.select("__row", "__doc", "__source", "__words", "__th"), folder, budget, target, limit, seed)
+    places = found.select("__row", F.col("__block").alias("mix_block"), F.col("__place").alias("mix_place"))
+    return rows.join(places, "__row").select(*docs.columns, "mix_block", "mix_place")
 
 
 def mixed(docs: DataFrame, budget: float | None = None) -> DataFrame:
-    """The rows of the mixture: each of ``docs`` as often as ``copies`` has it, one block after another."""
-    often = copies(docs, budget).groupBy(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("th").alias("__th")).agg(F.max("copies").alias("__copies"))
-    met = docs.join(often, docs["doc_id"].cast("long").eqNullSafe(often["__doc"]) & docs["source"].cast("string").eqNullSafe(often["__source"]) & (F.xxhash64(docs["text"].cast("string")) == often["__th"]))
-    return met.where("__copies > 0").withColumn("__block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """``mixture`` with the columns of ``docs`` only."""
+    return mixture(docs, budget).select(*docs.columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    return copies(table(spark, sf_dir, "documents")).drop("th")
+    return placements(table(spark, sf_dir, "documents"))
