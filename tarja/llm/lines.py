@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import shared_folder, table, written
 
 WINDOW = 3
@@ -76,8 +77,12 @@ def _without_gone(docs: DataFrame) -> DataFrame:
     own = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     gone = covered_lines(own, folder).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     met = base.join(gone, base["doc_id"].cast("long").eqNullSafe(gone["__doc"]) & (F.xxhash64(base["text"]) == gone["__th"]), "left")
-    keep = F.filter(F.transform(_lines(), lambda x, i: F.struct(x.alias("x"), F.array_contains("__gone", i).alias("g"))), lambda s: ~s["g"])
-    return met.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda s: s["x"]), "\n")))
+
+    def kept(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))  # by hash, so linear in the lines
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    return met.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(let(_lines(), kept)))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
