@@ -4,14 +4,17 @@ A conversation's turns, each written by a template, are a path in a tree in whic
 the same first turns share nodes. Conversations are sorted by the digests of their turns, which is
 the tree's depth-first order, and split over tasks by ranges of it (with the id behind, so
 that even one conversation told by a third of all splits). Each task walks its range with the
-path of open nodes and fills packs of about PACK characters: a node's text stands once in a pack, with
+path of open nodes and fills packs of about PACK tokens: a node's tokens stand once in a pack, with
 
-- its span in the pack's text, its parent and the position id of its first character (the length of
-  all before it on its path, whatever else stands in the pack);
+- their span in the pack's tokens, the parent and the position id of the first one (the number of tokens
+  before it on its path, whatever else stands in the pack);
 - the intervals of the pack that it attends to: its ancestors' spans (adjoining ones merged) and its own;
 - the span under the loss mask: an assistant's text.
 
-A new pack begins with the open path again, so packs need nothing of one another.
+A conversation that opens a pack brings its whole path, so packs need nothing of one another. What the template
+writes and what was said are encoded apart, so no token crosses the edge of a text or of the loss mask, and a prefix
+has the same tokens in every conversation. The tokenizer is a byte-level one, whose tokens decode to
+exactly the text; strings of its special tokens are ordinary text.
 
 Template: ``<s>`` before the first turn; then ``[INST] text [/INST]`` for a user, ``<<SYS>>text<</SYS>>``
 for a system, ``text</s>`` for an assistant and ``[ROLE=hex]text</s>`` for any other role, with the
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,12 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Characters of text after which a pack ends.
-PACK = 1 << 18
+#: Tokens after which a pack ends.
+PACK = 1 << 16
 _ESCAPE = re.compile(r"([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>|ROLE=)")
 _UNESCAPE = re.compile(r"([<\[])\\(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>|ROLE=)")
 _TURN = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>(?P<system>.*?)<</SYS>>|\[ROLE=(?P<role>[0-9a-f]*)\](?P<other>.*?)</s>|(?P<assistant>.*?)</s>", re.S)
-PACK_SCHEMA = "text string, nodes array<struct<start:int,end:int,parent:int,position:long,attends:array<struct<start:int,end:int>>,loss_start:int,loss_end:int>>, leaves array<struct<conv_id:long,node:int,n_turns:long>>"
+PACK_SCHEMA = "tokens array<int>, nodes array<struct<start:int,end:int,parent:int,position:long,attends:array<struct<start:int,end:int>>,loss_start:int,loss_end:int>>, leaves array<struct<conv_id:long,node:int,n_turns:long>>"
 READ_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 _ESCAPED = r"regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>|ROLE=)', '\1\\\2\3', 'g')"
@@ -69,16 +73,27 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2\3", text)
 
 
-def written_turn(role: str | None, text: str) -> tuple[str, int, int]:
-    """The turn by the template, and the span of an assistant's text in it (else 0, 0)."""
+def turn_parts(role: str | None, text: str) -> tuple[str, str, str]:
+    """A turn by the template: what stands before the escaped text, the text, and what stands behind it."""
     own = escape(text)
     if role == "assistant":
-        return f"{own}</s>", 0, len(own)
+        return "", own, "</s>"
     if role == "user":
-        return f"[INST] {own} [/INST]", 0, 0
+        return "[INST] ", own, " [/INST]"
     if role == "system":
-        return f"<<SYS>>{own}<</SYS>>", 0, 0
-    return f"[ROLE={(role or '').encode().hex()}]{own}</s>", 0, 0
+        return "<<SYS>>", own, "<</SYS>>"
+    return f"[ROLE={(role or '').encode().hex()}]", own, "</s>"
+
+
+@cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    own.encode_special_tokens = True
+    return own
 
 
 def _conversations(rows: DataFrame) -> DataFrame:
@@ -90,12 +105,15 @@ def _conversations(rows: DataFrame) -> DataFrame:
 
 class _Pack:
     def __init__(self):
-        self.parts, self.size, self.nodes, self.leaves, self.open = [], 0, [], [], []
+        self.tokens, self.nodes, self.leaves, self.open = [], [], [], []
 
-    def add(self, key: str, text: str, loss: tuple[int, int]) -> None:
-        """A child of the last open node."""
+    def add(self, key: tuple, parts: list[list[int]], loss: bool) -> None:
+        """A child of the last open node: the tokens before its text, of it, and behind it."""
         parent = self.open[-1][1] if self.open else -1
-        start, end = self.size, self.size + len(text)
+        start = len(self.tokens)
+        for part in parts:
+            self.tokens += part
+        end = len(self.tokens)
         above = self.nodes[parent] if parent >= 0 else None
         attends = [dict(x) for x in above["attends"]] if above else []
         if attends and attends[-1]["end"] == start:
@@ -103,72 +121,88 @@ class _Pack:
         else:
             attends.append({"start": start, "end": end})
         position = above["position"] + above["end"] - above["start"] if above else 0
-        self.nodes.append({"start": start, "end": end, "parent": parent, "position": position, "attends": attends, "loss_start": start + loss[0], "loss_end": start + loss[1]})
-        self.parts.append(text)
-        self.size = end
+        masked = start + len(parts[0]) if loss else start
+        self.nodes.append({"start": start, "end": end, "parent": parent, "position": position, "attends": attends, "loss_start": masked, "loss_end": masked + len(parts[1]) if loss else masked})
         self.open.append((key, len(self.nodes) - 1))
 
     def row(self) -> dict:
-        return {"text": "".join(self.parts), "nodes": self.nodes, "leaves": self.leaves}
-
-
-def _packed(frames):
-    pack = _Pack()
-    for f in frames:
-        for conv, turns in zip(f["conv_id"].tolist(), f["turns"].tolist(), strict=True):
-            if pack.size >= PACK or len(pack.leaves) >= 4096:
-                yield pd.DataFrame([pack.row()])
-                pack = _Pack()
-            same = 0
-            while same < len(turns) and same < len(pack.open) and pack.open[same][0] == (turns[same]["role"], turns[same]["text"]):
-                same += 1
-            del pack.open[same:]
-            for depth, t in enumerate(turns[same:], same):
-                text, a, z = written_turn(t["role"], t["text"])
-                head = "" if depth else "<s>"
-                pack.add((t["role"], t["text"]), head + text, (a + len(head), z + len(head)) if z or t["role"] == "assistant" else (0, 0))
-            pack.leaves.append({"conv_id": None if conv is None else int(conv), "node": pack.open[-1][1], "n_turns": len(turns)})
-    if pack.leaves:
-        yield pd.DataFrame([pack.row()])
-
-
-def format_conversations(rows: DataFrame) -> DataFrame:
-    """Packs (text, nodes, leaves) for rows (conv_id, turn, role, text); see the module."""
+        return {"tokens": self.tokens, "nodes": self.nodes, "leaves": self.leaves}
+
+
+def _packed(path: str):
+    def run(frames):
+        model = _tokenizer(path)
+        pack = _Pack()
+        for f in frames:
+            for conv, turns in zip(f["conv_id"].tolist(), f["turns"].tolist(), strict=True):
+                if len(pack.tokens) >= PACK or len(pack.leaves) >= 4096:
+                    yield pd.DataFrame([pack.row()])
+                    pack = _Pack()
+                same = 0
+                while same < len(turns) and same < len(pack.open) and pack.open[same][0] == (turns[same]["role"], turns[same]["text"]):
+                    same += 1
+                del pack.open[same:]
+                texts = [x for t in turns[same:] for x in turn_parts(t["role"], t["text"])]
+                if texts and not same:
+                    texts[0] = "<s>" + texts[0]
+                ids = [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
+                for k, t in enumerate(turns[same:]):
+                    pack.add((t["role"], t["text"]), ids[3 * k : 3 * k + 3], t["role"] == "assistant")
+                pack.leaves.append({"conv_id": None if conv is None else int(conv), "node": pack.open[-1][1], "n_turns": len(turns)})
+        if pack.leaves:
+            yield pd.DataFrame([pack.row()])
+
+    return run
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def format_conversations(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """Packs (tokens, nodes, leaves) for rows (conv_id, turn, role, text); see the module. ``tokenizer``: the file of
+    a byte-level tokenizer, at the same path on every executor."""
     own = _conversations(rows)
-    return own.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").drop("path").mapInPandas(_packed, PACK_SCHEMA)
-
-
-def _read(frames):
-    for f in frames:
-        for text, nodes, leaves in zip(f["text"], f["nodes"], f["leaves"], strict=True):
-            out = []
-            for leaf in leaves:
-                spans = [(x["start"], x["end"]) for x in nodes[leaf["node"]]["attends"]]
-                whole = "".join([text[a:z] for a, z in spans])
-                chain, at = [], leaf["node"]
-                while at >= 0:
-                    chain.append(nodes[at])
-                    at = nodes[at]["parent"]
-                loss = "".join([unescape(text[x["loss_start"] : x["loss_end"]]) for x in reversed(chain)])
-                turns = hashlib.sha256()
-                count = 0
-                for m in _TURN.finditer(whole, 3):
-                    kind = m.lastgroup
-                    role = bytes.fromhex(m["role"]).decode() if kind == "other" else kind
-                    turns.update(f"{role}\n{unescape(m[kind])}\n".encode())
-                    count += 1
-                out.append((leaf["conv_id"], count, turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
-
-
-def read_back(packs: DataFrame) -> DataFrame:
+    return own.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").drop("path").mapInPandas(_packed(tokenizer), PACK_SCHEMA)
+
+
+def _read(path: str):
+    def run(frames):
+        model = _tokenizer(path)
+        decode = lambda ids: model.decode(ids, skip_special_tokens=False)
+        for f in frames:
+            for tokens, nodes, leaves in zip(f["tokens"], f["nodes"], f["leaves"], strict=True):
+                tokens, out = list(map(int, tokens)), []
+                for leaf in leaves:
+                    whole = decode([x for s in nodes[leaf["node"]]["attends"] for x in tokens[s["start"] : s["end"]]])
+                    chain, at = [], leaf["node"]
+                    while at >= 0:
+                        chain.append(nodes[at])
+                        at = nodes[at]["parent"]
+                    loss = "".join([unescape(decode(tokens[x["loss_start"] : x["loss_end"]])) for x in reversed(chain) if x["loss_end"] > x["loss_start"]])
+                    turns = hashlib.sha256()
+                    count = 0
+                    for m in _TURN.finditer(whole, 3):
+                        kind = m.lastgroup
+                        role = bytes.fromhex(m["role"]).decode() if kind == "other" else kind
+                        turns.update(f"{role}\n{unescape(m[kind])}\n".encode())
+                        count += 1
+                    out.append((leaf["conv_id"], count, turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole)))
+                yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+
+    return run
+
+
+def read_back(packs: DataFrame, tokenizer: str) -> DataFrame:
     """The digests of every conversation, taken from the packs alone: its text is what its last node
     attends to, its turns are parsed from that, its loss text is what its path has under the mask."""
-    return packs.mapInPandas(_read, READ_SCHEMA)
+    return packs.mapInPandas(_read(tokenizer), READ_SCHEMA)
 
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(rows.unionByName(extra)))
+    return read_back(format_conversations(rows.unionByName(extra), tokenizer_path()), tokenizer_path())
