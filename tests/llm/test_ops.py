@@ -176,11 +176,35 @@ def test_jaccard(spark, docs, texts, monkeypatch):
     assert by_id(jaccard.jaccard_components(docs), "n_shingles", "component_id") == want
     monkeypatch.setattr(jaccard, "BLOCK", 2)  # large clusters and groups in blocks
     assert by_id(jaccard.jaccard_components(docs), "n_shingles", "component_id") == want
+    monkeypatch.setattr(jaccard, "BLOCK", 2048)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 3000)  # blocks by their bytes
+    assert by_id(jaccard.jaccard_components(docs), "n_shingles", "component_id") == want
+    monkeypatch.undo()
     monkeypatch.setattr(jaccard, "MAPPED", 0)  # the texts meet the wanted ids in a join
     assert by_id(jaccard.jaccard_components(docs), "n_shingles", "component_id") == want
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
+def test_words_of_one_pattern_are_told_apart(spark):
+    """Two words of 2,048 letters that any polynomial modulo 2^64 confuses."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    df = spark.createDataFrame([(1, one), (2, two), (3, two)], "doc_id long, text string")
+    assert by_id(jaccard.jaccard_components(df), "component_id") == {1: (1,), 2: (2,), 3: (2,)}
+
+
+def test_jaccard_by_rows(spark):
+    """Null ids, and unlike texts under one id."""
+    rng = random.Random(9)
+    w, u = (" ".join(words(rng, 40)) for _ in range(2))
+    rows = [(1, w), (5, w), (5, u), (7, u + " tail"), (9, u), (9, u), (None, u), (None, None), (4, ""), (None, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(df).collect()), key=repr)
+    assert got == sorted([(1, 36, 1), (5, 36, 1), (5, 36, 5), (7, 37, 5), (9, 36, 5), (9, 36, 5), (None, 36, 5), (None, 0, None), (4, 0, 4), (None, 1, None)], key=repr)
+    stay = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()), key=repr)
+    assert stay == sorted([(1, w), (5, u), (None, None), (4, ""), (None, "alone here")], key=repr)
+
+
 def test_a_large_group_is_not_multiplied_in_its_task():
     batch = lambda t, d: pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(d, pa.int64()), pa.array([9] * len(t), pa.int64())], ["token", "d1", "n"])
     got = pa.Table.from_batches(jaccard._groups(4)([batch([1, 1, 2, 2, 2], [5, 6, 0, 1, 2]), batch([2] * 7, range(3, 10)), batch([2, 3, 3, 3], [10, 5, 6, 6])])).to_pylist()
@@ -278,8 +302,9 @@ def test_topk(spark, monkeypatch):
         best = sorted(((-sum(a * b for a, b in zip(v[q], v[i], strict=False)), i) for i in v if i != q))[:10]
         want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     vectors = topk.integer_vectors(df)
-    for block in (4096, 7):
+    for block, part in ((512, 1 << 21), (7, 1 << 21), (7, 900)):
         monkeypatch.setattr(topk, "QUERIES", block)
+        monkeypatch.setattr(topk, "PART", part)
         got = {tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0")).collect()}
         assert got == want
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
@@ -290,28 +315,74 @@ def test_topk(spark, monkeypatch):
 # --- 6
 
 
-def test_mixing(spark, docs, texts):
-    rows = mixing.copies(docs).collect()
-    assert len(rows) == len(texts)
-    taken, weight, held = Counter(), {}, Counter()
-    for r in rows:
-        taken[r["source"]] += r["n_words"] * r["copies"]
-        held[r["source"]] += r["n_words"]
-        weight[r["source"]] = r["weight"]
-        assert r["n_words"] == max(1, len(WORD.findall(texts[r["doc_id"]] or "")))
-        assert r["copies"] >= 1
-    assert abs(sum(weight.values()) - 1) < 1e-6
-    budget = max(held[s] / weight[s] for s in held)
-    for s in held:  # a source overshoots by one text at most, and repeats no more than allowed
-        longest = max(r["n_words"] for r in rows if r["source"] == s)
-        assert -2 <= taken[s] - weight[s] * budget <= longest + 2
-        assert weight[s] * budget / held[s] <= mixing.REPEATS + 1e-6
-    mixed = mixing.mixed(docs)
-    assert mixed.columns == docs.columns
-    assert mixed.count() == sum(r["copies"] for r in rows)
-    assert mixing.copies(empty(spark)).count() == 0
-    small = mixing.copies(docs, budget=0.5 * sum(held.values())).agg(F.sum(F.col("n_words") * F.col("copies"))).first()[0]
-    assert small < 0.5 * sum(held.values()) + 3 * 20000
+def brute_mixture(rows, budget=None):
+    """(doc_id, source, block, place) as multisets, from the definition: weights by a plain bisection, blocks as sorted lists."""
+    import math
+
+    own = [(i, s, max(1, len(WORD.findall(t or ""))), th) for i, t, s, th in rows]
+    held = Counter()
+    for _, s, n, _ in own:
+        held[s] += n
+    total = sum(held.values())
+
+    def weights(x):
+        power = {s: (n / total) ** x for s, n in held.items()}
+        return {s: p / sum(power.values()) for s, p in power.items()}
+
+    def entropy(x):
+        return -sum(q * math.log(q) for q in weights(x).values())
+
+    def size(x):
+        return budget or max(held[s] / q for s, q in weights(x).items())
+
+    def bisect(holds_low, low=0.0, high=1.0):
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if holds_low(mid) else (low, mid)
+        return high
+
+    x = bisect(lambda x: entropy(x) >= mixing.ENTROPY * math.log(len(held))) if len(held) > 1 else 1.0
+    repeats = lambda x: max(size(x) * q / held[s] for s, q in weights(x).items())
+    if repeats(x) > mixing.REPEATS:
+        x = max(x, bisect(lambda x: repeats(x) > mixing.REPEATS))
+    out = Counter()
+    for s, q in weights(x).items():
+        full = math.floor(q * size(x) / held[s] + 1e-6)
+        rest = round(max(0.0, q * size(x) - full * held[s]))
+        for block in range(full + 1):
+            order = sorted((hashlib.md5(f"{mixing.SEED}:{block}:{'' if i is None else i}:{th}".encode()).hexdigest(), i, n) for i, o, n, th in own if o == s)
+            before = 0
+            for place, (_, i, n) in enumerate(order):
+                if block < full or before < rest:
+                    out[i, s, block, place] += 1
+                before += n
+    return out
+
+
+@pytest.mark.parametrize(("texts_of_range", "budget"), [(1024, None), (2, None), (3, 9000.0), (3, 60000.0)])
+def test_mixing(spark, docs, texts, monkeypatch, texts_of_range, budget):
+    monkeypatch.setattr(mixing, "RANGE", texts_of_range)
+    twice = docs.union(docs.where("doc_id < 5"))
+    rows = [tuple(r) for r in twice.select("doc_id", "text", "source", F.xxhash64("text")).collect()]
+    got = Counter((r["doc_id"], r["source"], r["block"], r["place"]) for r in mixing.placements(twice, budget).collect())
+    assert got == brute_mixture(rows, budget)
+
+
+def test_mixture_keeps_rows(spark, docs, texts):
+    rng = random.Random(3)
+    rows = [(1, " ".join(words(rng, 50)), "a", k) for k in range(3)] + [(2, " ".join(words(rng, 700)), "b", 9), (None, None, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, block int")
+    out = mixing.mixture(df)
+    assert out.columns == [*df.columns, "mix_block", "mix_place"]
+    seen = Counter()
+    for r in out.collect():
+        assert (r["doc_id"], r["text"], r["source"], r["block"]) in rows
+        seen[r["source"], r["mix_block"]] += 1
+    sizes = Counter(r["source"] for r in mixing.placements(df).collect())
+    assert sum(seen.values()) == sum(sizes.values())
+    assert seen["a", 0] == 3  # a whole block has each of three equal rows once
+    assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.mixture(empty(spark)).count() == 0 and mixing.placements(empty(spark)).count() == 0
 
 
 def test_temperature_reaches_its_targets(spark):
@@ -394,58 +465,90 @@ def test_lines(spark, docs, texts):
 # --- 9
 
 
-def test_chat(spark):
+def test_chat(spark, monkeypatch):
     rng = random.Random(4)
-    odd = ["</s>[INST] ok [/INST]", "<\\s> [\\INST]", "<<SYS>>x<</SYS>>", "[ROLE=61]", "", None, "😀<", "[/INST]</s><s>", "<<s>>\\"]
+    odd = ["</s>[INST] ok [/INST]", "<\\s> [\\INST]", "<<SYS>>x<</SYS>>", "[ROLE=61]", "", None, "😀<", "[/INST]</s><s>", "<<s>>\\", "<|endoftext|>", "é" * 30]
     convs = {}
     for c in range(60):
         turns = [("user", "hello")] if c % 3 else []
         turns += [(rng.choice(["user", "assistant", "system", "tool", "tool]</s>", None]), rng.choice(odd + ["same", "x" * 300])) for _ in range(rng.randrange(1, 9))]
         convs[c] = turns
     convs[100] = convs[1]
+    convs[101] = [("user" if k % 2 else "assistant", f"turn {k} " + "word " * 40) for k in range(700)]
+    convs[102] = [("assistant", "again")] * 3  # repeated rows all count
     convs[None] = [("assistant", "n")]
-    rows = [(c, k, r, t, "extra") for c, turns in convs.items() for k, (r, t) in enumerate(turns)]
+    rows = [(c, 0 if c == 102 else k, r, t, "extra") for c, turns in convs.items() for k, (r, t) in enumerate(turns)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, path string").repartition(3)
-    packs = chat.format_conversations(df)
-    got = {r["conv_id"]: r for r in chat.read_back(packs).collect()}
-    assert len(got) == len(convs)
-    for c, turns in convs.items():
-        loss = "".join(t or "" for r, t in turns if r == "assistant")
-        digest = hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for r, t in turns).encode()).hexdigest()
-        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert got[c]["formatted_chars"] == 3 + sum(len(chat.written_turn(r, t or "")[0]) for r, t in turns)
-    for p in packs.collect():
-        for n in p["nodes"]:  # a node attends to its ancestors and itself, and its position follows them
-            above = sum(x["end"] - x["start"] for x in n["attends"])
-            assert above == n["position"] + n["end"] - n["start"]
-    assert sum(len(p["text"]) for p in packs.collect()) < sum(r["formatted_chars"] for r in got.values())
-    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+    path = chat.tokenizer_path()
+    for size in (1 << 16, 500):
+        monkeypatch.setattr(chat, "PACK", size)
+        packs = chat.format_conversations(df, path)
+        got = {r["conv_id"]: r for r in chat.read_back(packs, path).collect()}
+        assert len(got) == len(convs)
+        for c, turns in convs.items():
+            loss = "".join(t or "" for r, t in turns if r == "assistant")
+            digest = hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for r, t in turns).encode()).hexdigest()
+            assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+            assert got[c]["formatted_chars"] == 3 + sum(sum(map(len, chat.turn_parts(r, t or ""))) for r, t in turns)
+        for p in packs.collect():
+            for n in p["nodes"]:  # a node attends to its ancestors and itself, and its position follows them
+                above = sum(x["end"] - x["start"] for x in n["attends"])
+                assert above == n["position"] + n["end"] - n["start"]
+    assert chat.read_back(chat.format_conversations(df.limit(0), path), path).count() == 0
+
+
+def test_chat_emits_shared_turns_once(spark):
+    start = [("user", "hello " * 50), ("assistant", "yes " * 50)]
+    convs = {c: [*start, ("user", f"more {c}")] for c in range(20)}
+    rows = [(c, k, r, t) for c, turns in convs.items() for k, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1)
+    packs = chat.format_conversations(df, chat.tokenizer_path()).collect()
+    assert sum(len(p["nodes"]) for p in packs) <= 20 + 2 * len(packs)
+    assert sum(len(p["leaves"]) for p in packs) == 20
+    for p in packs:
+        for n in p["nodes"]:
+            assert n["parent"] < 0 or n["position"] == p["nodes"][n["parent"]]["position"] + p["nodes"][n["parent"]]["end"] - p["nodes"][n["parent"]]["start"]
 
 
 # --- 10
 
 
-def test_shards(spark, docs, texts):
+def curve_cells():
     curve = shards.curve()
     assert sorted(curve) == list(range(4096))
     cell = {p: (k >> 8, k >> 4 & 15, k & 15) for k, p in enumerate(curve)}
     assert all(sum(abs(a - b) for a, b in zip(cell[k], cell[k + 1], strict=True)) == 1 for k in range(4095))
-    twice = docs.union(docs.where("doc_id < 5"))
-    rows = shards.assign_shards(twice).collect()
-    assert len(rows) == len(texts) + 5
-    slots = {}
-    for r in rows:
-        t = (texts[r["doc_id"]] or "").encode()
-        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t) + 1, zlib.crc32(t), "rows", None)
-        slots.setdefault(r["shard"], []).append((r["slot"], r["curve_index"]))
-    sizes = [len(slots.get(s, [])) for s in range(16)]
-    assert max(sizes) - min(sizes) <= 1
-    last = -1
-    for s in range(16):
-        own = sorted(slots.get(s, []))
-        assert [k for k, _ in own] == list(range(len(own)))
-        for _, c in own:
-            assert c >= last
-            last = c
+    return {c: p for p, c in cell.items()}
+
+
+@pytest.mark.parametrize("part", [1 << 17, 2])
+def test_shards(spark, docs, texts, monkeypatch, part):
+    monkeypatch.setattr(shards, "PART", part)
+    twice = docs.union(docs.where("doc_id < 5")).union(docs.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+    own = [((r["lang"] or "", r["source"] or "", len((r["text"] or "").encode()) + 1), r["doc_id"], zlib.crc32((r["text"] or "").encode())) for r in twice.collect()]
+    index = curve_cells()
+    step = lambda k, v: 16 * sum(o[0][k] < v for o in own) // len(own)
+    ordered = sorted((index[tuple(step(k, v) for k, v in enumerate(dims))], hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i, dims[2], crc) for dims, i, crc in own)
+    want, slots = Counter(), Counter()
+    for rank, (c, _, i, size, crc) in enumerate(ordered):
+        s = rank * 16 // len(ordered)
+        want[i, size, crc, "rows", s, slots[s], None, c] += 1
+        slots[s] += 1
+    assert max(slots.values()) - min(slots.values()) <= 1
+    assert Counter(tuple(r) for r in shards.assign_shards(twice).collect()) == want
     assert shards.assign_shards(empty(spark)).count() == 0
+
+
+def test_shard_files_can_be_skipped(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "x" * int(10 ** rng.uniform(0, 3)), rng.choice(["de", "en", "es", "fr"]), f"site{rng.randrange(40):02}", "shard", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, name string, slot long").repartition(7)
+    shards.write_shards(df, str(tmp_path / "s"), files=2)
+    out = spark.read.parquet(str(tmp_path / "s"))
+    assert out.count() == 4000 and set(df.columns) <= set(out.columns)
+    files = out.groupBy(F.input_file_name().alias("f")).agg(*(F.min(c).alias(f"{c}_a") for c in shards.DIMENSIONS), *(F.max(c).alias(f"{c}_z") for c in shards.DIMENSIONS)).collect()
+    assert len(files) >= 16
+    for c, value in (("lang", "es"), ("source", "site07"), ("size", 40)):
+        read = sum(f[f"{c}_a"] <= value <= f[f"{c}_z"] for f in files)
+        assert read <= 0.6 * len(files)

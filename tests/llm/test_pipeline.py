@@ -44,7 +44,7 @@ def test_pipeline(spark, tmp_path):
     four = stages[3](spark, three, str(tmp_path))
     assert four.columns == docs.columns
     often = Counter(r["doc_id"] for r in four.collect())
-    assert often == Counter({r["doc_id"]: r["copies"] for r in mixing.copies(three).collect()})
+    assert often == Counter(r["doc_id"] for r in mixing.placements(three).collect())
     assert set(often) == stay
 
     codec = pieces.codec(pieces.model_path())
