@@ -17,24 +17,30 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the quality rules keep. Null, empty and very short texts go; equal texts share a verdict; an
+    empty table gives an empty one."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the lines of three-line windows that stood earlier; ``n_chars`` follows the text. A null
+    text stays null; rows alike in doc_id and text are one text."""
     return lines.dedup_lines(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the rows of its smallest doc_id stay; rows without one stay too."""
-    first = jaccard.jaccard_components(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__doc"))
-    return docs.join(first, docs["doc_id"].cast("long") == first["__doc"], "left_anti")
+    """Of each component of near duplicates one row, that of the smallest doc_id. Rows are compared, not ids:
+    unlike texts under one doc_id, or under none, are rows of their own. Texts without words all stay."""
+    return jaccard.keep_one(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mixture takes it. A null source is one of its own; repeated rows count each."""
     return mixing.mixed(docs)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, ids, decoded_sha256, round_trip) for each row, whole texts; a null text is an empty one."""
     return pieces.encode_pieces(docs, pieces.model_path())
 
 
