@@ -70,13 +70,12 @@ def tokenize(s: Column) -> Column:
 def clean_name(s: Column) -> Column:
     """White space collapsed, "e outros" and all after it cut, one closing mark dropped."""
     one = F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)\s+", " "))
-    cut = F.regexp_replace(one, r"(?iU)\s+e\s+outros?\b.*$", "")
-    return F.trim(F.regexp_replace(cut, r"(?U)\s*[-,:;]\s*$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(one, AND_OTHERS, ""), LAST_MARK, ""))
 
 
 def clean_metadata_name(s: Column) -> Column:
     """B4 without a leading honorific."""
-    bare = F.trim(F.regexp_replace(clean_name(s), r"(?iU)^\s*(?:dr\.?|dra\.?|sr\.?|sra\.?|des\.?|desembargador(?:a)?|ministro(?:a)?)\s+", ""))
+    bare = F.trim(F.regexp_replace(clean_name(s), LEADING_HONORIFIC, ""))
     return F.btrim(F.regexp_replace(bare, r"(?U)\s+", " "), F.lit(" -;:,"))
 
 
@@ -210,6 +209,9 @@ def _names(found: list[Column], clean, good) -> Column:
 
 
 # Patterns.
+AND_OTHERS = r"(?iU)\s+e\s+outros?\b.*$"
+LAST_MARK = r"(?U)\s*[-,:;]\s*$"
+LEADING_HONORIFIC = r"(?iU)^\s*(?:dr\.?|dra\.?|sr\.?|sra\.?|des\.?|desembargador(?:a)?|ministro(?:a)?)\s+"
 ROLES = "|".join(terms.TARGET_ROLES)
 PARTY_LABEL = rf"(?imUd)^\s*({ROLES})\s*:\s*(.+?)\s*$"
 PARTY_IN_BRACKETS = rf"(?imUd)^\s*(.+?)\s*\(\s*({ROLES})\s*\)\s*$"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -10,10 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as tx
-from .spans import above_threshold, dedupe_same_entity, find_spans_sql
+from .spans import above_threshold, chunks, clean_marks, cut, dedupe_same_entity, located, marked
 
 FLAGS = "(?iUsmd)"
-SPAN_ARRAY = "array<struct<entity:string,rule:string,start:int,end:int,score:double>>"
 
 
 class Rule(NamedTuple):
@@ -37,49 +37,54 @@ def _listed(entity: str, words: Iterable[str], score: float) -> list[Rule]:
     return [Rule(entity, entity.lower(), rf"\b(?:{tx.any_of(words)})\b", score)] if words else []
 
 
+def title_gate(titles: list[str]) -> str:
+    """The distinct first words of the titles, up to what a regex may vary; none if a title has no such word."""
+    firsts = set()
+    for t in titles:
+        word = re.match(r"\w*", t)[0]
+        if t[len(word) : len(word) + 1] in ("?", "*", "{"):
+            word = word[:-1]
+        if not word or "|" in re.sub(r"\([^()]*\)", "", t):
+            return ""
+        firsts.add(word)
+    return rf"(?iU)\b(?:{'|'.join(sorted(firsts))})"
+
+
 def title_rules(titles: list[str]) -> list[Rule]:
-    """D3: titles are regexes as they stand, tried in their order; the first words gate."""
-    return [Rule("LEGAL_TITLE", "legal_title", rf"\b({'|'.join(titles)})(?:\([A-Z]\))?\b", 1.0)] if titles else []
-
-
-# Patterns and scores.
-_UF = f"(?:{terms.STATES})"
-_N = r"(?:n[ºo°.]?\s*)?"
-_CPF = r"\d{3}\.?\d{3}\.?\d{3}-?\d{2}"
-_W = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]"
-_V = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´\-]"
-_STREET = r"(?:rua|ra|avenida|av\.?|travessa|trav\.?|alameda|pra[cç]a|rodovia|estrada"
-_RG = r"(?=[A-Z0-9.\-X]{3,20}\b)(?=[A-Z0-9.\-X]*\d)[A-Z0-9.\-X]{3,20}"
-_ISSUER = r"(?:\s*[-,]?\s*(?:SSP|SESP|PC|IFP|DGPC|SJS|SJTC|SSDS|POL[ÍI]CIA\s+CIVIL)\s*\/\s*[A-Z]{2})?\b"
-_DIGIT, _STREETS = r"\d", r"(?i)\b(?:ru?a|av|trav|alameda|pra|rodovia|estrada|vicinal)"
+    """D3: titles are regexes as they stand, tried in their order; their first words gate."""
+    return [Rule("LEGAL_TITLE", "legal_title", rf"\b({'|'.join(titles)})(?:\([A-Z]\))?\b", 1.0, title_gate(titles))] if titles else []
+
+
+_DIGIT, _STREETS = r"(?U)\d", r"(?iU)\b(?:ru?a|av|trav|alameda|pra|rodovia|estrada|vicinal)"
+# Entities, rules, patterns and scores that results must agree on. The gates are this library's own.
 RULES = [
     Rule("CPF", "cpf_formatado", r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", 1.0, _DIGIT),
     Rule("CPF", "cpf_com_separadores", r"\b\d{3}[.\s]\d{3}[.\s]\d{3}[-\s]\d{2}\b", 0.99, _DIGIT),
-    Rule("CPF", "cpf_com_rotulo", rf"\bCPF\s*{_N}:?\s*{_CPF}\b", 1.0, _DIGIT),
-    Rule("CPF", "cin_com_rotulo", rf"\bCIN\s*{_N}:?\s*{_CPF}\b", 1.0, _DIGIT),
-    Rule("CPF", "carteira_identidade_nacional_com_numero", rf"\bCarteira\s+de\s+Identidade\s+Nacional\b[\s:\-nºo°\.]{{0,20}}{_CPF}\b", 0.99, _DIGIT),
+    Rule("CPF", "cpf_com_rotulo", r"\bCPF\s*(?:n[ºo°.]?\s*)?:?\s*\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", 1.0, _DIGIT),
+    Rule("CPF", "cin_com_rotulo", r"\bCIN\s*(?:n[ºo°.]?\s*)?:?\s*\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", 1.0, _DIGIT),
+    Rule("CPF", "carteira_identidade_nacional_com_numero", r"\bCarteira\s+de\s+Identidade\s+Nacional\b[\s:\-nºo°\.]{0,20}\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", 0.99, _DIGIT),
     Rule("CPF", "cpf_apenas_numeros", r"(?<!\d)\d{11}(?!\d)", 0.995, _DIGIT),
-    Rule("OAB_NUMBER", "oab_uf_numero", rf"\bOAB\s*(?:n[º°.]?\s*)?(?:/|-)?\s*{_UF}\s*(?:[Nn][º°o.\?]?\s*)?[-.]?\s*\d{{1,6}}(?:\.\d{{3}})?\b", 0.90, _DIGIT),
-    Rule("OAB_NUMBER", "oab_numero_uf", rf"\bOAB\s*(?:n[º°.]?\s*)?\d{{1,6}}(?:\.\d{{3}})?\s*\/\s*{_UF}\b", 0.88, _DIGIT),
-    Rule("OAB_NUMBER", "oab_uf_numero_compacto", rf"\bOAB\s*(?:/|-)?\s*{_UF}\s*[-.]?\s*\d{{4,6}}(?:\.\d{{3}})?\b", 0.80, _DIGIT),
-    Rule("OAB_NUMBER", "oab_uf_numero_sem_prefixo", rf"(?<!/)\b{_UF}\s*[-.]?\s*\d{{4,6}}(?:\.\d{{3}})?\b", 0.70, _DIGIT),
+    Rule("OAB_NUMBER", "oab_uf_numero", r"\bOAB\s*(?:n[º°.]?\s*)?(?:/|-)?\s*(?:AC|AL|AP|AM|BA|CE|DF|ES|GO|MA|MT|MS|MG|PA|PB|PR|PE|PI|RJ|RN|RS|RO|RR|SC|SP|SE|TO)\s*(?:[Nn][º°o.\?]?\s*)?[-.]?\s*\d{1,6}(?:\.\d{3})?\b", 0.9, _DIGIT),
+    Rule("OAB_NUMBER", "oab_numero_uf", r"\bOAB\s*(?:n[º°.]?\s*)?\d{1,6}(?:\.\d{3})?\s*\/\s*(?:AC|AL|AP|AM|BA|CE|DF|ES|GO|MA|MT|MS|MG|PA|PB|PR|PE|PI|RJ|RN|RS|RO|RR|SC|SP|SE|TO)\b", 0.88, _DIGIT),
+    Rule("OAB_NUMBER", "oab_uf_numero_compacto", r"\bOAB\s*(?:/|-)?\s*(?:AC|AL|AP|AM|BA|CE|DF|ES|GO|MA|MT|MS|MG|PA|PB|PR|PE|PI|RJ|RN|RS|RO|RR|SC|SP|SE|TO)\s*[-.]?\s*\d{4,6}(?:\.\d{3})?\b", 0.8, _DIGIT),
+    Rule("OAB_NUMBER", "oab_uf_numero_sem_prefixo", r"(?<!/)\b(?:AC|AL|AP|AM|BA|CE|DF|ES|GO|MA|MT|MS|MG|PA|PB|PR|PE|PI|RJ|RN|RS|RO|RR|SC|SP|SE|TO)\s*[-.]?\s*\d{4,6}(?:\.\d{3})?\b", 0.7, _DIGIT),
     Rule("PHONE_NUMBER_BR", "telefone_com_ddd", r"(?<!\d)(?:\(?\d{2}\)?\s*)(?:9\d{4}|\d{4})[-\s]\d{4}(?!\d)", 0.93, _DIGIT),
     Rule("PHONE_NUMBER_BR", "telefone_sem_ddd", r"(?<!\d)(?:9\d{4}|\d{4})-\d{4}(?!\d)", 0.92, _DIGIT),
     Rule("CEP_NUMBER", "cep_com_rotulo", r"\bCEP\s*[:\-]?\s*\d{5}-?\d{3}\b", 0.99, _DIGIT),
     Rule("CEP_NUMBER", "cep_hifen", r"\b\d{5}-\d{3}\b", 0.93, _DIGIT),
     Rule("CEP_NUMBER", "cep_pontuado", r"\b\d{2}\.\d{3}-\d{3}\b", 0.93, _DIGIT),
-    Rule("ENDERECO_LOGRADOURO", "logradouro_com_numero_e_complemento", rf"\b{_STREET})\s+{_W}+(?:\s+{_W}+){{0,8}}\s*,\s*{_N}\d+[A-Za-z0-9/\-]*\s*,\s*{_W}{{2,}}(?:\s+{_W}{{2,}}){{0,5}}", 0.97, _STREETS),
-    Rule("ENDERECO_LOGRADOURO", "logradouro_prefixado", rf"\b{_STREET}|vicinal)\s+{_W}+(?:\s+{_W}+){{0,8}}(?:\s*,?\s*{_N}\d+[A-Za-z0-9/\-]*)?(?:\s*,\s*{_W}{{2,}}(?:\s+{_W}{{2,}}){{0,5}})?", 0.90, _STREETS),
-    Rule("ENDERECO_LOGRADOURO", "beco_viela_ramal_com_numero", rf"\b(?:beco|viela|ramal|ladeira|passagem)\s+{_V}+(?:\s+{_V}+){{0,6}}\s*,\s*(?:casa\s*)?\d+[A-Za-z0-9/\-]*(?:\s*,?\s*(?:bairro\s*:?\s*)?{_V}+(?:\s+{_V}+){{0,4}})?", 0.98, _DIGIT),
+    Rule("ENDERECO_LOGRADOURO", "logradouro_com_numero_e_complemento", r"\b(?:rua|ra|avenida|av\.?|travessa|trav\.?|alameda|pra[cç]a|rodovia|estrada)\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]+(?:\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]+){0,8}\s*,\s*(?:n[ºo°.]?\s*)?\d+[A-Za-z0-9/\-]*\s*,\s*[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]{2,}(?:\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]{2,}){0,5}", 0.97, _STREETS),
+    Rule("ENDERECO_LOGRADOURO", "logradouro_prefixado", r"\b(?:rua|ra|avenida|av\.?|travessa|trav\.?|alameda|pra[cç]a|rodovia|estrada|vicinal)\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]+(?:\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]+){0,8}(?:\s*,?\s*(?:n[ºo°.]?\s*)?\d+[A-Za-z0-9/\-]*)?(?:\s*,\s*[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]{2,}(?:\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]{2,}){0,5})?", 0.9, _STREETS),
+    Rule("ENDERECO_LOGRADOURO", "beco_viela_ramal_com_numero", r"\b(?:beco|viela|ramal|ladeira|passagem)\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´\-]+(?:\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´\-]+){0,6}\s*,\s*(?:casa\s*)?\d+[A-Za-z0-9/\-]*(?:\s*,?\s*(?:bairro\s*:?\s*)?[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´\-]+(?:\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´\-]+){0,4})?", 0.98, _DIGIT),
     Rule("ENDERECO_LOGRADOURO", "vicinal_composta", r"\bVicinal\s+\d{1,3}\s+com\s+Vicinal\s+\d{1,3}\b", 0.95, _DIGIT),
-    Rule("ENDERECO_LOGRADOURO", "quadra_lote", r"\b(?:quadra|qd\.?)\s*[A-Za-z0-9\-]+(?:\s*,?\s*(?:lote|lt\.?)\s*[A-Za-z0-9\-]+)?\b", 0.88, r"(?i)\bq(?:ua)?d"),
-    Rule("ENDERECO_LOGRADOURO", "setor_condominio_residencial", rf"\b(?:setor|condom[ií]nio|residencial)\s+{_W}+(?:\s+{_W}+){{0,5}}\b", 0.82, r"(?i)\b(?:setor|condom|residencial)"),
+    Rule("ENDERECO_LOGRADOURO", "quadra_lote", r"\b(?:quadra|qd\.?)\s*[A-Za-z0-9\-]+(?:\s*,?\s*(?:lote|lt\.?)\s*[A-Za-z0-9\-]+)?\b", 0.88, r"(?iU)\bq(?:ua)?d"),
+    Rule("ENDERECO_LOGRADOURO", "setor_condominio_residencial", r"\b(?:setor|condom[ií]nio|residencial)\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]+(?:\s+[A-Za-zÀ-ÖØ-öø-ÿ0-9'`´.\-]+){0,5}\b", 0.82, r"(?iU)\b(?:setor|condom|residencial)"),
     Rule("CNH", "cnh_formatado", r"\bCNH\s*(?:nº|n\.)?\s*\d{11}\b", 0.99, _DIGIT),
     Rule("SIAPE", "siape_formatado", r"\bSIAPE\s*(?:nº|n\.)?\s*\d{7}\b", 0.98, _DIGIT),
     Rule("SIAPE", "siape_apenas_numeros", r"\b(?<![\w])\d{7}(?![\w])\b", 0.85, _DIGIT),
-    Rule("RG_NUMBER", "rg_com_rotulo", rf"\bRG\s*{_N}[:\-]?\s*{_RG}(?:\s*-\s*\dª\s*VIA)?{_ISSUER}", 0.99, _DIGIT),
-    Rule("RG_NUMBER", "registro_geral_com_numero", rf"\bRegistro\s+Geral\s*{_N}[:\-]?\s*{_RG}{_ISSUER}", 0.98, _DIGIT),
-    Rule("RG_NUMBER", "cedula_ou_carteira_identidade_com_numero", rf"\b(?:C[ÉE]DULA\s+DE\s+IDENTIDADE|CARTEIRA\s+DE\s+IDENTIDADE(?!\s+NACIONAL))\s*{_N}[:\-]?\s*{_RG}{_ISSUER}", 0.95, _DIGIT),
+    Rule("RG_NUMBER", "rg_com_rotulo", r"\bRG\s*(?:n[ºo°.]?\s*)?[:\-]?\s*(?=[A-Z0-9.\-X]{3,20}\b)(?=[A-Z0-9.\-X]*\d)[A-Z0-9.\-X]{3,20}(?:\s*-\s*\dª\s*VIA)?(?:\s*[-,]?\s*(?:SSP|SESP|PC|IFP|DGPC|SJS|SJTC|SSDS|POL[ÍI]CIA\s+CIVIL)\s*\/\s*[A-Z]{2})?\b", 0.99, _DIGIT),
+    Rule("RG_NUMBER", "registro_geral_com_numero", r"\bRegistro\s+Geral\s*(?:n[ºo°.]?\s*)?[:\-]?\s*(?=[A-Z0-9.\-X]{3,20}\b)(?=[A-Z0-9.\-X]*\d)[A-Z0-9.\-X]{3,20}(?:\s*[-,]?\s*(?:SSP|SESP|PC|IFP|DGPC|SJS|SJTC|SSDS|POL[ÍI]CIA\s+CIVIL)\s*\/\s*[A-Z]{2})?\b", 0.98, _DIGIT),
+    Rule("RG_NUMBER", "cedula_ou_carteira_identidade_com_numero", r"\b(?:C[ÉE]DULA\s+DE\s+IDENTIDADE|CARTEIRA\s+DE\s+IDENTIDADE(?!\s+NACIONAL))\s*(?:n[ºo°.]?\s*)?[:\-]?\s*(?=[A-Z0-9.\-X]{3,20}\b)(?=[A-Z0-9.\-X]*\d)[A-Z0-9.\-X]{3,20}(?:\s*[-,]?\s*(?:SSP|SESP|PC|IFP|DGPC|SJS|SJTC|SSDS|POL[ÍI]CIA\s+CIVIL)\s*\/\s*[A-Z]{2})?\b", 0.95, _DIGIT),
     Rule("MATRICULA_SIAPE", "matricula_siape", r"\b(matr[íi]cula|siape)\b", 0.95),
     Rule("ID_DOCUMENTO", "numero_beneficio_nb_formatado", r"\bNB\s*\d{1,3}(\.?\d{3}){2}-[\dX]\b", 0.98, _DIGIT),
     Rule("ID_DOCUMENTO", "id_numerico_longo_pje", r"\b\d{10,25}\b", 0.97, _DIGIT),
@@ -111,38 +116,51 @@ def rule_table(spark, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([(r.entity, r.name, r.pattern, r.score) for r in rules], "entity string, rule string, regex string, score double")
 
 
-def _rule_sql(text: str, r: Rule) -> str:
-    found = f"""transform({find_spans_sql(text, f'r"{FLAGS}{r.pattern}"')}, s -> named_struct('entity', '{r.entity}', 'rule', '{r.name}', 'start', s.start, 'end', s.`end`, 'score', {r.score}D))"""
-    return f"""if(rlike({text}, r"{r.gate or FLAGS + r.pattern}"), {found}, cast(array() as {SPAN_ARRAY}))"""
+def span_array(text: Column, rules: list[Rule]) -> Column:
+    """All rules' spans of a text, a column of its own, as one array<struct<entity, rule, score, start, end, found, context>>.
+
+    A rule whose gate finds nothing costs its gate only; of a rule without a match nothing but one pass. Patterns and names are
+    literals, whatever they hold. ``context``, for CPF, CIN and OAB_NUMBER, says whether a word of theirs is near (C10, C11)."""
 
+    def tried(r: Rule) -> Column:
+        found = marked(text, FLAGS + r.pattern)
+        return F.struct(F.lit(r.entity).alias("entity"), F.lit(r.name).alias("rule"), F.lit(float(r.score)).alias("score"), (F.when(F.rlike(text, F.lit(r.gate)), found) if r.gate else found).alias("marked"))
 
-def span_array(text: str, rules: list[Rule]) -> Column:
-    """All rules' spans of a text column in one array; a rule whose gate finds nothing costs its gate
-    only. As SQL text, since some forty rules as column objects take the driver seconds to build."""
-    return F.expr(f"concat({', '.join(_rule_sql(text, r) for r in rules)})") if rules else F.expr(f"cast(array() as {SPAN_ARRAY})")
+    def rows(r: Column) -> Column:
+        return F.transform(located(r["marked"]), lambda s: F.struct(r["entity"].alias("entity"), r["rule"].alias("rule"), r["score"].alias("score"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
 
+    def told(parts: Column, s: Column) -> Column:
+        near = lambda reach: cut(parts, s["start"] - reach, s["end"] + reach)
+        cpf, oab = F.rlike(near(terms.CPF_WINDOW), F.lit(tx.CPF_WORDS)), F.rlike(near(terms.OAB_WINDOW), F.lit(tx.OAB_WORDS))
+        return s.withField("context", F.when(s["entity"] == "OAB_NUMBER", oab).when(s["entity"].isin("CPF", "CIN"), cpf))
 
-def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", raw: bool = False) -> DataFrame:
-    """D: rows (doc_id, entity, rule, start, end, score, found) of ``docs`` (doc_id, text). Unless ``raw``,
+    def with_words(every: Column) -> Column:
+        doubtful = F.exists(every, lambda s: s["entity"].isin("CPF", "CIN", "OAB_NUMBER"))
+        plain = F.transform(every, lambda s: s.withField("context", F.lit(None).cast("boolean")))
+        return F.when(doubtful, tx.let(chunks(text), lambda parts: F.transform(every, lambda s: told(parts, s)))).otherwise(plain)
+
+    if not rules:
+        return F.array().cast("array<struct<entity:string,rule:string,score:double,start:int,end:int,found:string,context:boolean>>")
+    hits = F.filter(F.array(*map(tried, rules)), lambda r: r["marked"] != text)
+    return tx.let(F.flatten(F.transform(hits, rows)), with_words)
+
+
+def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", raw: bool = False, by: str = "doc_id", keep: Iterable[str] = ()) -> DataFrame:
+    """D: rows (by, *keep, entity, rule, score, start, end, found, context) of ``docs``. Unless ``raw``,
     spans below the threshold go (E9) and each entity's nested spans are reduced (E2)."""
-    rules = RULES if rules is None else rules
-    spans = docs.select("doc_id", F.col(text).alias("__t"), F.explode(span_array(text, rules)).alias("s"))
-    rows = spans.select("doc_id", "s.*", F.substring("__t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("found"))
-    return rows if raw else reduced(rows)
+    own = docs.select(by, *keep, clean_marks(F.col(text)).alias("__t"))
+    spans = own.select(by, *keep, F.explode(span_array(F.col("__t"), RULES if rules is None else rules)).alias("s")).select(by, *keep, "s.*")
+    return spans if raw else reduced(spans, by)
 
 
-def reduced(rows: DataFrame) -> DataFrame:
+def reduced(rows: DataFrame, by: str = "doc_id") -> DataFrame:
     """E9 and E2 on raw spans."""
-    return dedupe_same_entity(above_threshold(rows, terms.MIN_SCORE))
-
-
-def with_context(spans: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """``kept``: E4 (a CPF is valid or in context) and E5 (a bar number says so or is in context). Only
-    candidates of the two entities meet the text."""
-    doubtful = F.col("entity").isin("CPF", "CIN", "OAB_NUMBER")
-    t, a, z = F.col("__t"), F.col("start"), F.col("end")
-    met = spans.where(doubtful).join(docs.select("doc_id", F.col(text).alias("__t")), "doc_id")
-    cpf = tx.cpf_valid(F.col("found")) | tx.in_cpf_context(t, a, z)
-    oab = F.col("found").rlike(r"(?iU)\bOAB\b") | tx.in_oab_context(t, a, z)
-    met = met.withColumn("kept", F.when(F.col("entity") == "OAB_NUMBER", oab).otherwise(cpf)).drop("__t")
-    return met.unionByName(spans.where(~doubtful).withColumn("kept", F.lit(True)))
+    return dedupe_same_entity(above_threshold(rows, terms.MIN_SCORE), by)
+
+
+def with_context(spans: DataFrame) -> DataFrame:
+    """``kept``: E4 (a CPF is valid or in context) and E5 (a bar number says so or is in context), for spans of ``detect``."""
+    cpf = tx.cpf_valid(F.col("found")) | F.col("context")
+    oab = F.col("found").rlike(r"(?iU)\bOAB\b") | F.col("context")
+    kept = F.when(F.col("entity") == "OAB_NUMBER", oab).when(F.col("entity").isin("CPF", "CIN"), cpf).otherwise(True)
+    return spans.withColumn("kept", kept)

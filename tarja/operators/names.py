@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as tx
-from .spans import find_spans, inside_any, merge_array, splice_array
+from .spans import LOCATED, NO_SPANS, chunks, clean_marks, cut, find_matches, find_spans, merge_array, outside_all, splice_array
 
 
 def mask_names(text: Column, names: Column, placeholder: str) -> Column:
@@ -20,11 +20,41 @@ def company_spans(text: Column) -> Column:
     """Runs of capitalised words that hold a company term, merged."""
 
     def of(t: Column, pattern: str) -> Column:
-        return F.filter(find_spans(t, pattern), lambda s: tx.contains_term(tx.normalize_filter(F.substring(t, s["start"] + 1, s["end"] - s["start"])), terms.COMPANY_TERMS))
+        named = F.filter(find_matches(t, pattern), lambda s: tx.contains_term(tx.normalize_filter(s["found"]), terms.COMPANY_TERMS))
+        return F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
     return tx.let(text, lambda t: merge_array(F.concat(of(t, tx.COMPANY_UPPER), of(t, tx.COMPANY_MIXED))))
 
 
+def with_open_spans(df: DataFrame, text: str, spans: str) -> DataFrame:
+    """``df`` with its column ``spans``, array<struct<start, end>>, reduced to those that N2 and N4 may mask: not inside a
+    company's name, not near an address word, not beside < or >. Companies are looked for only if there are spans.
+
+    One column after another, as Spark resolves nested functions level by level."""
+    none = F.array().cast(NO_SPANS)
+    some = F.size(spans) > 0
+
+    def near(own: Column) -> Column:
+        def good(parts: Column, x: Column) -> Column:
+            a, z = x["start"], x["end"]
+            address = F.rlike(cut(parts, a - terms.ADDRESS_WINDOW, z + terms.ADDRESS_WINDOW), F.lit(tx.ADDRESS_WORDS))
+            return ~address & (cut(parts, a - 1, a) != "<") & (cut(parts, z, z + 1) != ">")
+
+        return tx.let(chunks(own["text"]), lambda parts: F.filter(own["spans"], lambda x: good(parts, x)))
+
+    df = df.withColumn("__firms", F.when(some, company_spans(F.col(text))).otherwise(none))
+    df = df.withColumn(spans, F.when(some, tx.let(F.struct(F.col(spans).alias("spans"), F.col("__firms").alias("firms")), lambda o: outside_all(o["spans"], o["firms"]))).otherwise(none))
+    return df.withColumn(spans, F.when(some, tx.let(F.struct(F.col(text).alias("text"), F.col(spans).alias("spans")), near)).otherwise(none)).drop("__firms")
+
+
+def spliced(text: str, spans: str, placeholder: str) -> Column:
+    return tx.let(F.struct(F.col(text).alias("text"), F.col(spans).alias("spans")), lambda o: splice_array(o["text"], put_all(o["spans"], placeholder)))
+
+
+def put_all(spans: Column, placeholder: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(placeholder).alias("put")))
+
+
 def name_index(names: DataFrame) -> DataFrame:
     """The distinct normalized words (``token``) of a list (``value``) that N4 masks."""
     blocked = [t for t in {*terms.NOT_A_NAME, *terms.COMPANY_TERMS} if " " not in t]
@@ -33,45 +63,32 @@ def name_index(names: DataFrame) -> DataFrame:
     return own.where((F.length("token") >= 3) & ~F.col("token").isin([*terms.CONNECTORS, *sorted(blocked)])).distinct()
 
 
-def token_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, token) for each word of ``docs`` (doc_id, text)."""
-    spans = docs.select("doc_id", F.col("text").alias("__t"), F.explode(find_spans(F.col("text"), tx.LETTERS)).alias("s"))
-    return spans.select("doc_id", "s.start", "s.end", tx.normalize_token(F.substring("__t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("token"))
+def listed_words(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(k1, k2, listed): for each text that has any, by two hashes of it, its words that are in the index.
 
+    Distinct words are looked up, not their occurrences; Spark's own size check decides whether the
+    index is broadcast. Texts go by their content, so ids play no part."""
+    every = F.array_distinct(F.transform(F.array_distinct(tx.tokenize(F.col("text"))), tx.normalize_token))
+    words = docs.select(*_content(), F.explode(every).alias("token"))
+    return words.join(index, "token", "left_semi").groupBy("k1", "k2").agg(F.collect_set("token").alias("listed"))
 
-def _in_list(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, hits): array of the word spans whose normalized form is in the index.
 
-    Distinct words are looked up, not their occurrences; the index is broadcast only by Spark's own
-    size check."""
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.transform(tx.tokenize(F.col("text")), tx.normalize_token))).alias("token"))
-    return words.join(index, "token", "left_semi").groupBy("doc_id").agg(F.collect_set("token").alias("listed"))
+def _content() -> list[Column]:
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), F.col("text")).alias("k2")]
 
 
 def mask_common_names(docs: DataFrame, index: DataFrame, placeholder: str = terms.NAME_PLACEHOLDER) -> DataFrame:
     """``docs`` with each listed word replaced, unless it stands in a company's name, in an address,
     or beside < or >."""
-    met = docs.join(_in_list(docs, index).withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left")
-    text = F.col("text")
+    one, two = _content()
+    listed = listed_words(docs, index).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("listed").alias("__listed"))
+    met = docs.join(listed, (one == F.col("__k1")) & (two == F.col("__k2")), "left")
     # only the document's listed words are looked for, as whole words with any accents
     letter = tx.LETTERS.removesuffix("+")
-    word = F.concat(F.lit(f"(?iu)(?<!{letter})(?:"), F.array_join(F.transform("listed", tx.flexible_words), "|"), F.lit(f")(?!{letter})"))
-    hits = find_spans(text, word)
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    replaced = "array<struct<start:int,end:int,put:string>>"
-
-    def open_(own: Column) -> Column:
-        t = own["text"]
-        kept = F.filter(own["hits"], lambda s: ~inside_any(s["start"], s["end"], own["firms"]) & ~tx.in_address_context(t, s["start"], s["end"]) & ~tx.beside_bracket(t, s["start"], s["end"]))
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(placeholder).alias("put")))
-
-    def masked(own: Column) -> Column:
-        firms = F.when(F.size(own["hits"]) > 0, company_spans(own["text"])).otherwise(none)
-        return tx.let(F.struct(own["text"].alias("text"), own["hits"].alias("hits"), firms.alias("firms")), lambda x: splice_array(x["text"], open_(x).cast(replaced)))
-
-    done = tx.let(F.struct(text.alias("text"), hits.alias("hits")), masked)
-    out = met.withColumn("text", F.when(F.col("listed").isNull(), text).otherwise(done))
-    return out.select(*docs.columns)
+    word = F.concat(F.lit(f"(?iu)(?<!{letter})(?:"), F.array_join(F.transform("__listed", tx.flexible_words), "|"), F.lit(f")(?!{letter})"))
+    hits = F.when(F.col("__listed").isNotNull(), find_spans(F.col("text"), word)).otherwise(F.array().cast(NO_SPANS))
+    found = with_open_spans(met.withColumn("__hits", hits), "text", "__hits")
+    return found.withColumn("text", F.when(F.size("__hits") > 0, spliced("text", "__hits", placeholder)).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def clean_metadata_names(names: Column) -> Column:
@@ -80,37 +97,50 @@ def clean_metadata_names(names: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(good, tx.clean_metadata_name)))
 
 
-def metadata_name_spans(docs: DataFrame) -> DataFrame:
-    """N2's spans: (doc_id, start, end), merged, for ``docs`` (doc_id, text, names).
+def _short_pattern(first: Column) -> Column:
+    """An honorific and a first name."""
+    return F.concat(F.lit(rf"(?iU)\b{tx.HONORIFIC}\s+"), tx.flexible_words(first), F.lit(r"\b"))
+
+
+def name_patterns(names: Column, firsts: Column) -> Column:
+    """N2's patterns for cleaned names: each name and its variants, and an honorific with a first name that only one of
+    the names has. ``firsts``: the names' first names."""
+
+    def each(own: Column) -> Column:
+        def of(name: Column, i: Column) -> Column:
+            first = F.get(own["firsts"], i)
+            alone = F.size(F.filter(own["firsts"], lambda f: tx.normalize_token(f) == tx.normalize_token(first))) == 1
+            return F.concat(F.transform(tx.name_variants(name), tx.accent_flexible_pattern), F.when((first != "") & alone, F.array(_short_pattern(first))).otherwise(F.array().cast("array<string>")))
+
+        return F.flatten(F.transform(own["names"], of))
+
+    return tx.let(F.struct(names.alias("names"), firsts.alias("firsts")), each)
+
 
-    Only documents with names are expanded, by name and by variant; each pattern is tried on its
-    document's text and spans inside companies, addresses and placeholders go."""
-    own = docs.select("doc_id", "text", clean_metadata_names(F.col("names")).alias("names")).where(F.size("names") > 0)
-    own = own.withColumn("firms", company_spans(F.col("text")))
-    named = own.withColumn("name", F.explode("names")).withColumn("first", tx.first_name(F.col("name")))
-    alike = F.count("*").over(Window.partitionBy("doc_id", tx.normalize_token(F.col("first"))))
-    named = named.withColumn("alike", alike)
-    variants = F.transform(tx.name_variants(F.col("name")), tx.accent_flexible_pattern)
-    short = F.concat(F.lit(rf"(?iU)\b{tx.HONORIFIC}\s+"), tx.flexible_words(F.col("first")), F.lit(r"\b"))
-    patterns = F.concat(variants, F.when((F.col("first") != "") & (F.col("alike") == 1), F.array(short)).otherwise(F.array().cast("array<string>")))
-    tried = named.withColumn("pattern", F.explode(patterns)).withColumn("s", F.explode(find_spans(F.col("text"), F.col("pattern"))))
-    t, a, z = F.col("text"), F.col("s.start"), F.col("s.end")
-    good = ~inside_any(a, z, F.col("firms")) & ~tx.in_address_context(t, a, z) & ~tx.semantically_blocked(F.substring(t, a + 1, z - a)) & ~tx.beside_bracket(t, a, z)
-    spans = tried.where(good).groupBy("doc_id").agg(merge_array(F.collect_set("s")).alias("spans"))
-    return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
+def with_metadata_name_spans(df: DataFrame, text: str, names: str, out: str) -> DataFrame:
+    """N2's spans, array<struct<start, end>>, merged, as the column ``out``, for cleaned ``names``. Each pattern is tried on its own, inside the row, and
+    spans in companies, addresses and placeholders go."""
+    some = (F.size(names) > 0) & (F.col(text) != "")
+    df = df.withColumn("__firsts", F.transform(names, tx.first_name))
+    df = df.withColumn("__patterns", F.when(some, name_patterns(F.col(names), F.col("__firsts"))).otherwise(F.array().cast("array<string>")))
+    found = tx.let(F.struct(F.col(text).alias("text"), F.col("__patterns").alias("patterns")), lambda o: F.flatten(F.transform(o["patterns"], lambda p: find_matches(o["text"], p))))
+    df = df.withColumn(out, F.when(F.size("__patterns") > 0, found).otherwise(F.array().cast(LOCATED)))
+    named = F.filter(out, lambda s: ~tx.semantically_blocked(s["found"]))
+    df = df.withColumn(out, F.array_distinct(F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    df = with_open_spans(df, text, out)
+    return df.withColumn(out, merge_array(F.col(out))).drop("__firsts", "__patterns")
 
 
 def mask_metadata_names(docs: DataFrame, placeholder: str = terms.NAME_PLACEHOLDER) -> DataFrame:
-    """``docs`` with the names masked, and the metrics."""
-    put = F.struct("start", "end", F.lit(placeholder).alias("put"))
-    spans = metadata_name_spans(docs).groupBy("doc_id").agg(F.collect_list(put).alias("__put")).withColumnRenamed("doc_id", "__doc")
-    met = docs.join(spans, F.col("doc_id") == F.col("__doc"), "left").withColumn("__n", F.size(clean_metadata_names(F.col("names"))))
-    spans_n = F.coalesce(F.size("__put"), F.lit(0))
-    return met.withColumns(
+    """``docs`` (text, names, ...) with the names masked, and the metrics. All inside the row."""
+    own = docs.withColumn("__t", clean_marks(F.coalesce(F.col("text"), F.lit("")))).withColumn("__names", clean_metadata_names(F.col("names")))
+    own = with_metadata_name_spans(own, "__t", "__names", "__spans")
+    some = F.col("__t") != ""
+    return own.withColumns(
         {
-            "text": F.when(F.col("__put").isNull(), F.col("text")).otherwise(splice_array(F.col("text"), F.col("__put"))),
-            "metadado_nome_identificado": (F.col("__n") > 0) & (F.coalesce(F.col("text"), F.lit("")) != ""),
-            "metadado_nomes_pf_total": F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.col("__n")),
-            "metadado_ocorrencias_forcadas": spans_n,
+            "text": F.when(F.size("__spans") > 0, spliced("__t", "__spans", placeholder)).otherwise(F.col("text")),
+            "metadado_nome_identificado": (F.size("__names") > 0) & some,
+            "metadado_nomes_pf_total": F.when(some, F.size("__names")).otherwise(0),
+            "metadado_ocorrencias_forcadas": F.size("__spans"),
         }
-    ).drop("__put", "__doc", "__n")
+    ).drop("__t", "__names", "__spans")

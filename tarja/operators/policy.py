@@ -6,12 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .spans import merge_across_space, resolve_conflicts, splice_array
+from .spans import chunks, cut, merge_across_space, resolve_conflicts, splice_array
 
 SCHEMA = "entity string, op string, new_value string, masking_char string, chars_to_mask int, from_end boolean, class int"
 
 # Entity, operator and its value.
-KEPT = "DEFAULT PERSON LOCATION DATE_TIME ESTADO_CIVIL ORGANIZACAO_CONHECIDA ID_DOCUMENTO LEGAL_TITLE LEGAL_OR_COMMON_TERM TERMO_COMUM".split()
+KEPT = [
+    "DEFAULT",
+    "PERSON",
+    "LOCATION",
+    "DATE_TIME",
+    "ESTADO_CIVIL",
+    "ORGANIZACAO_CONHECIDA",
+    "ID_DOCUMENTO",
+    "LEGAL_TITLE",
+    "LEGAL_OR_COMMON_TERM",
+    "TERMO_COMUM",
+]
 REPLACED = {
     "ENDERECO_LOGRADOURO": "<ENDERECO>",
     "EMAIL_ADDRESS": "<EMAIL>",
@@ -24,7 +35,8 @@ REPLACED = {
     "MATRICULA_SIAPE": "***",
 }
 MASKED = ["PHONE_NUMBER", "PHONE_NUMBER_BR"]
-PROTECTED = "SAFE_LOCATION LEGAL_HEADER ESTADO_CIVIL ORGANIZACAO_CONHECIDA ID_DOCUMENTO CNH SIAPE MATRICULA_SIAPE".split()
+MASK_CHAR, MASK_LAST = "*", 4
+PROTECTED = ["SAFE_LOCATION", "LEGAL_HEADER", "ESTADO_CIVIL", "ORGANIZACAO_CONHECIDA", "ID_DOCUMENTO", "CNH", "SIAPE", "MATRICULA_SIAPE"]
 # End of the fixed values.
 
 
@@ -33,7 +45,7 @@ def default_policy(spark: SparkSession) -> DataFrame:
     rank = lambda e, other: 1 if e in PROTECTED and e not in REPLACED else other
     rows = [(e, "keep", None, None, None, None, rank(e, 4)) for e in KEPT]
     rows += [(e, "replace", v, None, None, None, 2) for e, v in REPLACED.items()]
-    rows += [(e, "mask", None, "*", 4, True, 3) for e in MASKED]
+    rows += [(e, "mask", None, MASK_CHAR, MASK_LAST, True, 3) for e in MASKED]
     rows += [(e, "keep", None, None, None, None, 1) for e in PROTECTED if e not in KEPT and e not in REPLACED]
     return spark.createDataFrame(rows, SCHEMA)
 
@@ -43,19 +55,25 @@ def analysed_entities(policy: DataFrame, protected: DataFrame) -> DataFrame:
     return policy.select("entity").union(protected.select("entity")).distinct().where(~F.col("entity").isin("DEFAULT", "PERSON"))
 
 
+FIELDS = ["op", "new_value", "masking_char", "chars_to_mask", "from_end"]
+
+
 def with_policy(spans: DataFrame, policy: DataFrame) -> DataFrame:
-    """Each span with its entity's operator; without one, DEFAULT's, else keep. The policy has a row
-    for each entity, so it is broadcast."""
-    default = policy.where(F.col("entity") == "DEFAULT").select("op").first()
-    met = spans.join(F.broadcast(policy.select("entity", "op", "new_value", "masking_char", "chars_to_mask", "from_end")), "entity", "left")
-    return met.withColumn("op", F.coalesce("op", F.lit(default["op"] if default else "keep")))
+    """Each span with its entity's operator and values; without one, with DEFAULT's, else keep. ``policy`` has a row
+    for each entity; Spark's size check decides whether it is broadcast."""
+    own = policy.dropDuplicates(["entity"])
+    default = own.where(F.col("entity") == "DEFAULT").select(F.lit(True).alias("__any"), F.struct(*FIELDS).alias("__default"))
+    met = spans.join(own.select("entity", F.struct(*FIELDS).alias("__own")), "entity", "left").withColumn("__any", F.lit(True)).join(default, "__any", "left")
+    # an operator comes with its own values, none of DEFAULT's
+    met = met.withColumn("__op", F.coalesce("__own", "__default"))
+    return met.select(*(F.col(c) for c in spans.columns if c not in FIELDS), F.coalesce("__op.op", F.lit("keep")).alias("op"), *(F.col(f"__op.{c}").alias(c) for c in FIELDS[1:]))
 
 
 def masked(found: Column, char: Column, n: Column, from_end: Column) -> Column:
     """P4."""
-    k = F.least(n, F.length(found))
+    k = F.least(F.coalesce(n, F.lit(0)), F.length(found))
     rest = F.length(found) - k
-    stars = F.repeat(char, k)
+    stars = F.repeat(F.coalesce(char, F.lit(MASK_CHAR)), k)
     return F.when(F.coalesce(from_end, F.lit(True)), F.concat(F.substring(found, F.lit(1), rest), stars)).otherwise(F.concat(stars, F.substring(found, k + 1, rest)))
 
 
@@ -64,31 +82,32 @@ def replacement(found: Column) -> Column:
     return F.when(F.col("op") == "replace", F.col("new_value")).when(F.col("op") == "mask", masked(found, F.col("masking_char"), F.col("chars_to_mask"), F.col("from_end"))).otherwise(found)
 
 
-def apply_spans(docs: DataFrame, spans: DataFrame, policy: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the spans applied to the text.
+def apply_spans(docs: DataFrame, spans: DataFrame, policy: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:
+    """``docs`` with the spans applied to the text. ``by`` tells rows apart.
 
     Conflicts are resolved on rows without texts; the spans meet their text once, as one sorted
     array for each document."""
-    texts = docs.select("doc_id", F.col(text).alias("text"))
-    clear = merge_across_space(resolve_conflicts(spans.select("doc_id", "entity", "start", "end", "score")), texts)
-    ruled = with_policy(clear, policy).where(F.col("op") != "keep")
-    item = F.struct("start", "end", "op", "new_value", "masking_char", "chars_to_mask", "from_end")
-    own = ruled.groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_list(item)).alias("__spans"))
-    met = docs.join(own, F.col("doc_id") == F.col("__doc"), "left")
-    source = F.col(text)
-
-    def put(s: Column) -> Column:
-        found = F.substring(source, s["start"] + 1, s["end"] - s["start"])
-        value = F.when(s["op"] == "replace", s["new_value"]).otherwise(masked(found, s["masking_char"], s["chars_to_mask"], s["from_end"]))
+    clear = with_policy(resolve_conflicts(spans.select(by, "entity", "start", "end", "score"), by), policy)
+    item = F.struct("start", "end", "entity", "op", "new_value", "masking_char", "chars_to_mask", "from_end")
+    own = clear.groupBy(F.col(by).alias("__by")).agg(F.array_sort(F.collect_list(item)).alias("__spans"))
+    met = docs.join(own, F.col(by) == F.col("__by"), "left").withColumn("__parts", F.when(F.col("__spans").isNotNull(), chunks(F.col(text))))
+    both = F.struct(F.col("__parts").alias("parts"), F.col("__spans").alias("spans"))
+    met = met.withColumn("__spans", F.when(F.col("__spans").isNotNull(), tx.let(both, lambda o: merge_across_space(o["parts"], o["spans"]))))
+
+    def put(parts: Column, s: Column) -> Column:
+        found = cut(parts, s["start"], s["end"])
+        value = F.when(s["op"] == "replace", F.coalesce(s["new_value"], F.lit(""))).otherwise(masked(found, s["masking_char"], s["chars_to_mask"], s["from_end"]))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), value.alias("put"))
 
-    done = F.when(F.col("__spans").isNull(), source).otherwise(splice_array(source, F.transform("__spans", put)))
-    return met.withColumn(text, tx.public_placeholder(done)).drop("__doc", "__spans")
+    met = met.withColumn("__put", F.when(F.col("__spans").isNotNull(), tx.let(both, lambda o: F.transform(F.filter(o["spans"], lambda s: s["op"] != "keep"), lambda s: put(o["parts"], s)))))
+    done = tx.let(F.struct(F.col(text).alias("text"), F.col("__put").alias("put")), lambda o: splice_array(o["text"], o["put"]))
+    return met.withColumn(text, tx.public_placeholder(F.when(F.size("__put") > 0, done).otherwise(F.col(text)))).drop("__by", "__spans", "__parts", "__put")
 
 
-def entity_table(spans: DataFrame) -> DataFrame:
-    """Accepted spans, before conflicts are resolved. Offsets refer to the text after name masking."""
+def entity_table(spans: DataFrame, *keep: str) -> DataFrame:
+    """Accepted spans, before conflicts are resolved, with the columns ``keep``. Offsets refer to the text after name masking."""
     return spans.select(
+        *keep,
         "doc_id",
         F.col("entity").alias("entidade"),
         tx.public_placeholder(F.col("found")).alias("texto_detectado"),

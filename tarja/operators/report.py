@@ -6,42 +6,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def totals(entities: DataFrame) -> DataFrame:
+# In all of them ``by`` tells documents apart: the id, or the flows' row_id where ids may be null or repeated.
+
+
+def totals(entities: DataFrame, by: str = "doc_id") -> DataFrame:
     """R1."""
-    return entities.groupBy("doc_id").agg(F.count("*").alias("total"), F.countDistinct("entidade").alias("tipos"))
+    return entities.groupBy(by).agg(F.count("*").alias("total"), F.countDistinct("entidade").alias("tipos"))
 
 
-def top_types(entities: DataFrame, k: int = 3) -> DataFrame:
+def top_types(entities: DataFrame, k: int = 3, by: str = "doc_id") -> DataFrame:
     """R2: each document's k commonest types, ties by name."""
-    n = entities.groupBy("doc_id", "entidade").agg(F.count("*").alias("n"))
-    return n.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "entidade"))).where(F.col("pos") <= k)
+    n = entities.groupBy(by, "entidade").agg(F.count("*").alias("n"))
+    return n.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "entidade"))).where(F.col("pos") <= k)
+
 
+# The wording of the summary line.
+SUMMARY = "**Resumo ({}):** "
+SOME = "%d entidades detectadas em %d tipos. Principais ocorrencias: %s."
+NONE = "nenhuma entidade detectada."
+METADATA_FOUND = " Metadados (nomes PF): identificado (%d nome(s)); ocorrencias forcadas: %d."
+METADATA_NOT_FOUND = " Metadados (nomes PF): nao identificado."
+TIME = " Tempo total: {:.2f}s."
+# End of the fixed values.
 
-def summary_lines(docs: DataFrame, entities: DataFrame, origin: str, metrics: DataFrame | None = None, seconds: float | None = None) -> DataFrame:
-    """(doc_id, resumo) for each of ``docs``. ``metrics``: N3's columns by doc_id, for PDF."""
+
+def summary_lines(docs: DataFrame, entities: DataFrame, origin: str, metrics: DataFrame | None = None, seconds: float | None = None, by: str = "doc_id") -> DataFrame:
+    """(by, resumo) for each of ``docs``. ``metrics``: N3's columns, for PDF."""
     item = F.struct("pos", F.concat("entidade", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("t"))
-    top = top_types(entities).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["t"]), ", ").alias("top"))
-    met = docs.select("doc_id").join(totals(entities), "doc_id", "left").join(top, "doc_id", "left")
+    top = top_types(entities, by=by).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["t"]), ", ").alias("top"))
+    met = docs.select(by).join(totals(entities, by), by, "left").join(top, by, "left")
     about = F.lit("")
     if origin.upper() == "PDF":
+        about = F.lit(METADATA_NOT_FOUND)
         if metrics is not None:
-            met = met.join(metrics.select("doc_id", "metadado_nome_identificado", "metadado_nomes_pf_total", "metadado_ocorrencias_forcadas"), "doc_id", "left")
-            found = F.format_string(" Metadados (nomes PF): identificado (%d nome(s)); ocorrencias forcadas: %d.", F.col("metadado_nomes_pf_total"), F.col("metadado_ocorrencias_forcadas"))
-            about = F.when(F.coalesce("metadado_nome_identificado", F.lit(False)), found).otherwise(" Metadados (nomes PF): nao identificado.")
-        else:
-            about = F.lit(" Metadados (nomes PF): nao identificado.")
-    took = F.lit("" if seconds is None else f" Tempo total: {seconds:.2f}s.")
-    some = F.format_string("%d entidades detectadas em %d tipos. Principais ocorrencias: %s.", F.col("total"), F.col("tipos"), F.col("top"))
-    body = F.when(F.col("total").isNull(), "nenhuma entidade detectada.").otherwise(some)
-    return met.select("doc_id", F.concat(F.lit(f"**Resumo ({origin}):** "), body, about, took).alias("resumo"))
-
-
-def nested_entities(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """(doc_id, entidades): each document's entities by place; without any, an empty array."""
+            met = met.join(metrics.select(by, "metadado_nome_identificado", "metadado_nomes_pf_total", "metadado_ocorrencias_forcadas"), by, "left")
+            found = F.format_string(METADATA_FOUND, F.col("metadado_nomes_pf_total"), F.col("metadado_ocorrencias_forcadas"))
+            about = F.when(F.coalesce("metadado_nome_identificado", F.lit(False)), found).otherwise(about)
+    took = F.lit("" if seconds is None else TIME.format(seconds))
+    body = F.when(F.col("total").isNull(), NONE).otherwise(F.format_string(SOME, F.col("total"), F.col("tipos"), F.col("top")))
+    return met.select(by, F.concat(F.lit(SUMMARY.format(origin)), body, about, took).alias("resumo"))
+
+
+def nested_entities(docs: DataFrame, entities: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, entidades): each document's entities by place; without any, an empty array."""
     item = F.struct("inicio", (-F.col("fim")).alias("k"), "entidade", "texto_detectado", "fim", "score")
-    own = entities.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: F.struct(s["entidade"].alias("entidade"), s["texto_detectado"].alias("texto_detectado"), s["inicio"].alias("inicio"), s["fim"].alias("fim"), s["score"].alias("score"))).alias("entidades"))
+    own = entities.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: F.struct(s["entidade"].alias("entidade"), s["texto_detectado"].alias("texto_detectado"), s["inicio"].alias("inicio"), s["fim"].alias("fim"), s["score"].alias("score"))).alias("entidades"))
     kind = own.schema["entidades"].dataType
-    return docs.select("doc_id").join(own, "doc_id", "left").withColumn("entidades", F.coalesce("entidades", F.array().cast(kind)))
+    return docs.select(by).join(own, by, "left").withColumn("entidades", F.coalesce("entidades", F.array().cast(kind)))
 
 
 def by_entity(entities: DataFrame) -> DataFrame:

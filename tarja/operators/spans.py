@@ -1,17 +1,27 @@
-"""Spans: finding them in a text, and algebra on rows (doc_id, start, end, ...).
+"""Spans: finding them in a text, and algebra on arrays and on rows (doc_id, start, end, ...).
 
-Offsets count code points from 0; ``end`` is exclusive. Operators on rows partition by doc_id and carry no
-text, so one very long document costs a sort of its spans and no more."""
+Offsets count code points from 0; ``end`` is exclusive. Operators on arrays work inside a row, and none of them
+lets an array or a text grow step by step, so the work follows the length of the text. Operators on rows
+partition by ``by`` and carry no text, so one very long document costs a sort of its spans and no more.
+``by`` must tell texts apart: an id that is unique and not null (the flows give each row one)."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 
 OPEN, CLOSE = "\u0001", "\u0002"
+MARKS = f"[{OPEN}{CLOSE}]"
 NO_SPANS = "array<struct<start:int,end:int>>"
+LOCATED = "array<struct<start:int,end:int,found:string>>"
+#: Code points of one chunk of a text that is to be cut at many places.
+CHUNK = 1024
 
 
 def clean_marks(text: Column) -> Column:
@@ -19,143 +29,236 @@ def clean_marks(text: Column) -> Column:
     return F.translate(text, OPEN + CLOSE, "  ")
 
 
-def find_spans(text: Column, pattern: Column | str) -> Column:
-    """array<struct<start, end>> of all matches, left to right, without overlaps.
+#: How far apart the neighbours lie that ``running`` joins, round by round.
+REACHES = [4**k for k in range(13)]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """For each place of an array of int the sum (or ``op``) of all values up to it.
+
+    Each round joins four neighbours of the round before, which lie four times as far apart, in an array of the same
+    size; a round that an array is too short for passes it on."""
+
+    none = F.lit(-1 if op is F.greatest else 0)  # offsets are 0 or more
+
+    def joined(a: Column, reach: Column) -> Column:
+        def value(x: Column, i: Column) -> Column:
+            for k in (1, 2, 3):
+                x = op(x, F.coalesce(F.get(a, i - k * reach), none))
+            return x
+
+        return F.when(F.size(a) > reach, F.transform(a, value)).otherwise(a)
+
+    return F.aggregate(F.array(*map(F.lit, REACHES)), values, joined)
+
 
-    Matches are marked, the text is split at the marks, and a match starts where the lengths of the
-    pieces before it add up to. Built-in functions only, so it runs inside one stage."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    lengths = F.transform(F.split(F.regexp_replace(text, pattern, F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]"), F.length)
+def marked(text: Column, pattern: Column | str) -> Column:
+    """The text with each match between two marks."""
+    return F.regexp_replace(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(f"{OPEN}$0{CLOSE}"))
 
-    def step(acc: Column, n: Column) -> Column:
-        end = acc["at"] + n
-        hit = F.when(acc["inside"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).otherwise(F.array().cast(NO_SPANS))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.concat(acc["found"], hit).alias("found"))
 
-    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(NO_SPANS).alias("found"))
-    spans = F.aggregate(lengths, none, step)["found"]
-    return F.when(F.rlike(text, pattern), F.filter(spans, lambda s: s["end"] > s["start"])).otherwise(F.array().cast(NO_SPANS))
+def located(text: Column) -> Column:
+    """array<struct<start, end, found>> of what stands between marks in a marked text, empty matches left out.
 
+    The text is split at the marks; a match ends where the lengths of the pieces so far add up to."""
+
+    def of(p: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(p), 1) - 1), lambda j: F.length(F.get(p, 2 * j)) + F.length(F.get(p, 2 * j + 1)))
+
+        def span(end: Column, j: Column) -> Column:
+            found = F.get(p, 2 * j + 1)
+            return F.struct((end - F.length(found)).alias("start"), end.alias("end"), found.alias("found"))
+
+        return F.filter(F.transform(running(pairs), span), lambda s: s["end"] > s["start"])
+
+    return let(F.split(text, MARKS), lambda p: F.when(F.size(p) > 1, of(p)).otherwise(F.array().cast(LOCATED)))
+
+
+def find_matches(text: Column, pattern: Column | str) -> Column:
+    """D0 with what was found: all matches, left to right, without overlaps. Built-in functions only, so it
+    runs inside one stage; the work grows with the text and the logarithm of the number of matches."""
+    return let(clean_marks(text), lambda t: let(marked(t, pattern), lambda m: F.when(m != t, located(m)).otherwise(F.array().cast(LOCATED))))
+
+
+def find_spans(text: Column, pattern: Column | str) -> Column:
+    """array<struct<start, end>> of all matches."""
+    return F.transform(find_matches(text, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-def find_spans_sql(text: str, pattern: str) -> str:
-    """``find_spans`` as SQL, for a text and a pattern that are SQL themselves."""
-    none = f"cast(array() as {NO_SPANS})"
-    return f"""filter(aggregate(transform(split(regexp_replace({text}, {pattern}, '\\u0001$0\\u0002'), '[\\u0001\\u0002]'), p -> length(p)),
-      named_struct('at', 0, 'inside', false, 'found', {none}),
-      (acc, n) -> named_struct('at', acc.at + n, 'inside', not acc.inside, 'found', concat(acc.found, if(acc.inside, array(named_struct('start', acc.at, 'end', acc.at + n)), {none})))).found,
-      f -> f.`end` > f.start)"""
+
+def chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, of which ``parts`` are the chunks: only the chunks it touches are read. Offsets
+    beyond the text are cut off."""
+    start = F.greatest(start, F.lit(0))
+    each = F.transform(F.sequence(F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")), lambda c: F.substring(F.get(parts, c), F.greatest(start - c * CHUNK, F.lit(0)) + 1, F.least(end - c * CHUNK, F.lit(CHUNK)) - F.greatest(start - c * CHUNK, F.lit(0))))
+    return F.when(end > start, F.array_join(each, "")).otherwise("")
 
 
 def merge_array(spans: Column) -> Column:
     """E3 inside a row: overlapping and touching spans of an array become one."""
-    none = F.array().cast(NO_SPANS)
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(s)))
+    def of(s: Column) -> Column:
+        def islands(reach: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] > F.get(reach, i - 1)))
+            return let(heads, lambda h: F.transform(h, lambda i, j: F.struct(F.get(s, i)["start"].alias("start"), F.get(reach, F.coalesce(F.get(h, j + 1), F.size(s)) - 1).alias("end"))))
 
-    return F.aggregate(F.array_sort(spans), none, step)
+        return F.when(F.size(s) > 1, let(running(F.transform(s, lambda x: x["end"]), F.greatest), islands)).otherwise(s)
+
+    return let(F.array_sort(spans), of)
 
 
 def inside_any(start: Column, end: Column, spans: Column) -> Column:
-    """E1 inside a row: the span lies fully in one of the array's."""
+    """E1 inside a row, for one span: it lies fully in one of the array's."""
     return F.exists(spans, lambda p: (p["start"] <= start) & (end <= p["end"]))
 
 
+def outside_all(spans: Column, protected: Column) -> Column:
+    """E1 inside a row: array<struct<start, end>> of the spans that lie fully inside none of ``protected``, by start.
+
+    Both in one order by start; the widest reach of the protected ones so far decides."""
+    order = F.array_sort(F.concat(F.transform(protected, lambda p: F.struct(p["start"].alias("start"), F.lit(0).alias("own"), p["end"].alias("end"))), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("own"), s["end"].alias("end")))))
+
+    def of(both: Column) -> Column:
+        reach = running(F.transform(both, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(-1)), F.greatest)
+        return let(reach, lambda r: F.filter(both, lambda s, i: (s["own"] == 1) & (F.get(r, i) < s["end"])))
+
+    return F.transform(let(order, of), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _one_after_another(spans: Column) -> Column:
+    """Of spans sorted by start, those that don't start before the end of the one used last."""
+    kind = "struct<at:int,used:array<int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("used")).cast(kind)
+    step = lambda acc, i: F.when(F.get(spans, i)["start"] < acc["at"], acc).otherwise(F.struct(F.get(spans, i)["end"].alias("at"), F.concat(acc["used"], F.array(i)).alias("used")).cast(kind))
+    return F.transform(F.aggregate(F.sequence(F.lit(0), F.size(spans) - 1), start, step)["used"], lambda i: F.get(spans, i))
+
+
 def splice_array(text: Column, spans: Column) -> Column:
     """E6 inside a row: the text with each span of array<struct<start, end, put>> replaced. A span that
     starts before the end of the one used last is passed over."""
 
-    def spliced(own: Column) -> Column:
-        source = own["text"]
+    def spliced(s: Column) -> Column:
+        n = F.size(s)
+
+        def whole(parts: Column) -> Column:
+            def piece(i: Column) -> Column:
+                kept = cut(parts, F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"]), F.when(i == n, CHUNK * F.size(parts)).otherwise(F.get(s, i)["start"]))
+                return F.concat(kept, F.when(i == n, "").otherwise(F.get(s, i)["put"]))
 
-        def step(acc: Column, s: Column) -> Column:
-            piece = F.concat(acc["out"], F.substring(source, acc["at"] + 1, s["start"] - acc["at"]), s["put"])
-            return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), piece.alias("out")))
+            return F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")
 
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        return F.aggregate(F.array_sort(own["spans"]), start, step, lambda done: F.concat(done["out"], F.substring(source, done["at"] + 1, F.length(source))))
+        return let(chunks(text), whole)
 
-    return let(F.struct(text.alias("text"), spans.alias("spans")), spliced)
+    def own(s: Column) -> Column:
+        crossed = F.exists(F.sequence(F.lit(1), F.size(s)), lambda i: F.coalesce(F.get(s, i)["start"] < F.get(s, i - 1)["end"], F.lit(False)))
+        return F.when(F.size(s) == 0, text).otherwise(let(F.when(crossed, _one_after_another(s)).otherwise(s), spliced))
 
+    return let(F.array_sort(spans), own)
 
-def drop_contained(spans: DataFrame, protected: DataFrame) -> DataFrame:
+
+def drop_contained(spans: DataFrame, protected: DataFrame, by: str = "doc_id") -> DataFrame:
     """Without the spans that lie fully inside a protected span of their document.
 
     The widest reach of all protected spans that start no later decides, so one sorted pass does
     it, without pairs."""
-    both = spans.withColumn("__p", F.lit(False)).unionByName(protected.select("doc_id", "start", "end").withColumn("__p", F.lit(True)), allowMissingColumns=True)
-    w = Window.partitionBy("doc_id").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = spans.withColumn("__p", F.lit(False)).unionByName(protected.select(by, "start", "end").withColumn("__p", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy(by).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max(F.when(F.col("__p"), F.col("end"))).over(w)
     return both.withColumn("__reach", reach).where(~F.col("__p") & (F.col("__reach").isNull() | (F.col("__reach") < F.col("end")))).drop("__p", "__reach")
 
 
-def dedupe_same_entity(spans: DataFrame) -> DataFrame:
+def dedupe_same_entity(spans: DataFrame, by: str = "doc_id") -> DataFrame:
     """Of one entity's spans, those inside another with at least their score go; of equal ones
-    with equal scores one stays, by rule name."""
-    k = ["doc_id", "entity"]
-    ranked = spans.dropDuplicates([*k, "start", "end", "score", "rule"])
-    a, b = ranked.alias("a"), ranked.select(*k, F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("score").alias("sc2"), F.col("rule").alias("r2")).alias("b")
-    same = (F.col("s2") == F.col("start")) & (F.col("e2") == F.col("end")) & (F.col("sc2") == F.col("score"))
-    beaten = (F.col("s2") <= F.col("start")) & (F.col("end") <= F.col("e2")) & (F.col("sc2") >= F.col("score")) & (~same | (F.col("r2") < F.col("rule")))
-    return a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.entity") == F.col("b.entity")) & beaten, "left_anti")
-
-
-def merge_spans(spans: DataFrame, *by: str) -> DataFrame:
-    """(doc_id, *by, start, end) with overlapping and touching spans as one."""
-    keys = ["doc_id", *by]
+    the one with the highest score stays, then the first by rule name.
+
+    A span is compared with the widest reach of those that start no later and score no less. For that each
+    span joins the level of every score of its entity in the document up to its own; an entity has a handful of rules,
+    so of scores. No pairs are made."""
+    key = [by, "entity"]
+    best = F.row_number().over(Window.partitionBy(*key, "start", "end").orderBy(F.desc("score"), "rule"))
+    one = spans.withColumn("__nth", best).where(F.col("__nth") == 1).drop("__nth")
+    scored = one.withColumn("__scores", F.collect_set("score").over(Window.partitionBy(*key)))
+    levels = scored.withColumn("__level", F.explode(F.filter("__scores", lambda s: s <= F.col("score")))).drop("__scores")
+    w = Window.partitionBy(*key, "__level").orderBy("start")
+    before, same = F.max("end").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.max("end").over(w.rangeBetween(0, 0))
+    told = levels.withColumn("__beaten", F.coalesce(before >= F.col("end"), F.lit(False)) | (same > F.col("end")))
+    return told.where((F.col("__level") == F.col("score")) & ~F.col("__beaten")).drop("__level", "__beaten")
+
+
+def merge_spans(spans: DataFrame, *more: str, by: str = "doc_id") -> DataFrame:
+    """(by, *more, start, end) with overlapping and touching spans as one."""
+    keys = [by, *more]
     w = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    island = marked.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    more = [F.max("score").alias("score")] if "score" in spans.columns else []
-    return island.groupBy(*keys, "__i").agg(F.min("start").alias("start"), F.max("end").alias("end"), *more).drop("__i")
+    told = spans.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    island = told.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    score = [F.max("score").alias("score")] if "score" in spans.columns else []
+    return island.groupBy(*keys, "__i").agg(F.min("start").alias("start"), F.max("end").alias("end"), *score).drop("__i")
 
 
-def resolve_conflicts(spans: DataFrame, by_class: DataFrame | None = None) -> DataFrame:
-    """Spans that can be applied one after another.
+def resolve_conflicts(spans: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, entity, start, end, score): spans that can be applied one after another.
 
     Overlaps of one entity merge (touching ones stay apart); of equal spans the higher score stays, then the entity first by
     name; contained spans go; where two overlap in part, the earlier ends where the later starts."""
-    w = Window.partitionBy("doc_id", "entity").orderBy("start", "end")
+    w = Window.partitionBy(by, "entity").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("__new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
-    island = marked.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = island.groupBy("doc_id", "entity", "__i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")).drop("__i")
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("score"), "entity")
+    told = spans.withColumn("__new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
+    island = told.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = island.groupBy(by, "entity", "__i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")).drop("__i")
+    order = Window.partitionBy(by).orderBy("start", F.desc("end"), F.desc("score"), "entity")
     outer = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     alone = merged.withColumn("__o", outer).where(F.col("__o").isNull() | (F.col("end") > F.col("__o"))).drop("__o")
-    after = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))
+    after = F.lead("start").over(Window.partitionBy(by).orderBy("start"))
     return alone.withColumn("end", F.least("end", F.coalesce(after, F.col("end"))))
 
 
-def merge_across_space(spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """Neighbours of one entity with nothing but white space between them become one; (doc_id, text) joins."""
-    w = Window.partitionBy("doc_id").orderBy("start")
-    met = spans.join(texts.select("doc_id", "text"), "doc_id")
-    before = met.withColumn("__e", F.lag("entity").over(w)).withColumn("__end", F.lag("end").over(w))
-    gap = F.substring("text", F.col("__end") + 1, F.col("start") - F.col("__end"))
-    joins = (F.col("__e") == F.col("entity")) & (F.col("start") > F.col("__end")) & gap.rlike(r"(?U)^\s+$")
-    island = before.withColumn("__i", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("doc_id", "entity", "__i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")).drop("__i")
+def merge_across_space(parts: Column, spans: Column) -> Column:
+    """The end of E7, inside a row: of disjoint spans in order, array<struct<start, end, entity, ...>>, neighbours of one entity with
+    nothing but white space between them become one, with the first one's other fields. ``parts``: the text's chunks."""
+
+    def of(s: Column) -> Column:
+        def joins(i: Column) -> Column:
+            a, z = F.get(s, i - 1), F.get(s, i)
+            return (i > 0) & (a["entity"] == z["entity"]) & (z["start"] > a["end"]) & F.rlike(cut(parts, a["end"], z["start"]), F.lit(r"(?U)^\s+$"))
+
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.coalesce(joins(i), F.lit(False)))
+        return let(heads, lambda h: F.transform(h, lambda i, j: F.get(s, i).withField("end", F.get(s, F.coalesce(F.get(h, j + 1), F.size(s)) - 1)["end"])))
+
+    return let(spans, lambda s: F.when(F.size(s) > 1, of(s)).otherwise(s))
+
+
+def _picked(group: pd.DataFrame) -> pd.DataFrame:
+    """Spans of one document: in the order of preference, each that meets none taken before."""
+    ranked = group.assign(__n=group["start"] - group["end"], __s=-group["score"]).sort_values(["class", "__s", "__n", "start", "end", "entity"], kind="stable")
+    starts: list[int] = []
+    ends: list[int] = []  # of the spans taken, which don't overlap, both in order
+    taken = []
+    for at, a, z in zip(ranked.index, ranked["start"].tolist(), ranked["end"].tolist(), strict=True):
+        k = bisect_left(starts, a)
+        if (k == 0 or ends[k - 1] <= a) and (k == len(starts) or z <= starts[k]):
+            starts.insert(k, a)
+            ends.insert(k, z)
+            taken.append(at)
+    return group.loc[taken].drop(columns="class")
 
 
-def resolve_by_class(spans: DataFrame, classes: DataFrame) -> DataFrame:
-    """No overlap is left, and who stays is decided by class (1 first), then score, then
-    length, then start. ``classes``: (entity, class). One sorted array for each document."""
-    ranked = spans.join(F.broadcast(classes), "entity", "left").withColumn("class", F.coalesce("class", F.lit(99)))
-    item = F.struct(F.col("class"), (-F.col("score")).alias("s"), (F.col("start") - F.col("end")).alias("n"), F.col("start"), F.col("end"), F.col("entity"), F.col("score"))
-    grouped = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    kind = grouped.schema["all"].dataType
-    free = lambda acc, s: ~F.exists(acc, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    kept = F.aggregate("all", F.array().cast(kind), lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
-    return grouped.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.entity", "s.start", "s.end", "s.score")
+def resolve_by_class(spans: DataFrame, classes: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, entity, start, end, score): no overlap is left, and who stays is decided by class (1 first), then score, then
+    length, then start. ``classes``: (entity, class). Taking spans in turn is no set operation, so a
+    document's spans, without text, go through a sorted list of those taken."""
+    own = spans.select(by, "entity", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"))
+    ranked = own.join(classes.select("entity", F.col("class").cast("int").alias("class")), "entity", "left").select(*own.columns, F.coalesce("class", F.lit(99)).alias("class"))
+    return ranked.groupBy(by).applyInPandas(_picked, own.schema)
 
 
-def ordered(spans: DataFrame) -> DataFrame:
+def ordered(spans: DataFrame, by: str = "doc_id") -> DataFrame:
     """With ``pos``, the place of each span in its document by start, longer first, then entity."""
-    return spans.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "entity")))
+    return spans.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy("start", F.desc("end"), "entity")))
 
 
 def above_threshold(spans: DataFrame, least: float) -> DataFrame:

@@ -14,50 +14,66 @@ from ..operators.detect import Rule, detect, reduced, rules_for, with_context
 from ..operators.policy import PROTECTED, analysed_entities, apply_spans, default_policy, entity_table
 from ..operators.spans import clean_marks
 from ..sources.documents import admit_pdfs, join_pages, with_status
-from ..sources.shared import written
+from ..sources.shared import delete_folder, run_folder, written
+
+#: The flow's own key: each row of the input has one, whatever its doc_id.
+ROW = "row_id"
 
 
 @dataclass
 class Anonymized:
-    """``documents``: the input's columns with the text anonymized, and N3's metrics. ``spans``: raw spans with ``kept``.
-    ``entities``: the entity table."""
+    """``documents``: the input's columns with the text anonymized, row_id, and N3's metrics. ``spans``: raw spans with ``kept``.
+    ``entities``: the entity table. All have row_id and doc_id, and join on row_id; a doc_id may be null or stand
+    at several rows.
+
+    They read intermediate tables that hold personal data; ``release`` deletes those once the results are written."""
 
     documents: DataFrame
     spans: DataFrame
     entities: DataFrame
+    folder: str
 
+    def release(self) -> None:
+        delete_folder(self.documents.sparkSession, self.folder)
 
-def mask_person_names(docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """S1 to S4 on ``docs`` (doc_id, text, names): metadata names, target parties, contextual names, list."""
+
+def mask_named_persons(docs: DataFrame) -> DataFrame:
+    """S1 to S3 on ``docs`` (text, names, ...): metadata names, target parties, contextual names. All inside the row."""
     own = docs.withColumn("text", clean_marks(F.coalesce("text", F.lit("")))).withColumn("__original", F.col("text"))
     one = nm.mask_metadata_names(own)
     two = one.withColumn("__names", tx.party_names(F.col("__original"))).withColumn("text", nm.mask_names(F.col("text"), F.col("__names"), terms.PARTY_PLACEHOLDER_INNER))
     three = two.withColumn("__names", tx.contextual_names(F.col("text"))).withColumn("text", nm.mask_names(F.col("text"), F.col("__names"), terms.NAME_PLACEHOLDER))
-    three = three.drop("__names", "__original")
-    return nm.mask_common_names(three, index) if index is not None else three
+    return three.drop("__names", "__original")
 
 
 def anonymize(docs: DataFrame, index: DataFrame | None = None, policy: DataFrame | None = None, rules: list[Rule] | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> Anonymized:
     """P5: the flow S1 to S7 on ``docs`` (doc_id, text, and names, an array, if there are any), with the
-    user's titles and common terms unless ``rules`` are given."""
+    user's titles and common terms unless ``rules`` are given.
+
+    Each row is anonymized for itself: null and repeated doc_ids, repeated rows, null and empty texts (which give an
+    empty text) and other columns pass through. An empty table gives empty results."""
     spark = docs.sparkSession
+    folder = run_folder(spark)
     if "names" not in docs.columns:
         docs = docs.withColumn("names", F.array().cast("array<string>"))
     policy = default_policy(spark) if policy is None else policy
     if rules is None:
         wanted = analysed_entities(policy, spark.createDataFrame([(e,) for e in PROTECTED], "entity string"))
         rules = rules_for((r["entity"] for r in wanted.collect()), titles, common)  # one for each entity
-    # each table is read several times from here on: texts by detection, context and application, raw
-    # spans by both sides of the reduction, spans by the application and the tables
-    masked = written(mask_person_names(docs, index))
-    raw = written(detect(masked, rules, raw=True))
-    spans = written(with_context(reduced(raw), masked))
+    # each of these tables is read twice: texts by the lookup of their words and by what masks them, then by detection and
+    # application, spans by the application and the tables
+    masked = written(mask_named_persons(docs).withColumn(ROW, F.monotonically_increasing_id()), folder, "named")
+    if index is not None:  # S4
+        masked = written(nm.mask_common_names(masked, index), folder, "masked")
+    raw = detect(masked, rules, raw=True, by=ROW, keep=["doc_id"])
+    spans = written(with_context(reduced(raw, ROW)), folder, "spans")
     accepted = spans.where("kept")
-    return Anonymized(apply_spans(masked, accepted, policy), spans, entity_table(accepted))
+    return Anonymized(apply_spans(masked, accepted, policy, by=ROW), spans, entity_table(accepted, ROW), folder)
 
 
 def anonymize_pdf_corpus(pdf_docs: DataFrame, pages: DataFrame, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> tuple[DataFrame, Anonymized]:
-    """(admission with names, result): gate, pages joined, names from the metadata, the flow."""
+    """(admission with names, result): gate, pages joined, names from the metadata, the flow. Pages belong to a
+    document by doc_id, so here it is unique and not null."""
     admitted = admit_pdfs(pdf_docs, pages).withColumn("names", tx.metadata_names(F.col("metadata")))
     good = admitted.where(F.col("status") == "ok").select("doc_id", "names")
     texts = join_pages(pages.join(good, "doc_id", "left_semi"))

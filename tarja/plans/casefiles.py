@@ -1,7 +1,8 @@
 """Views derived from ``documents`` by SQL that Spark and DuckDB both read.
 
 ``documents`` holds no Brazilian identifiers, so each row gets a heading with some, chosen by
-doc_id, before its text. Two thirds of the CPF numbers are valid."""
+doc_id, before its text. Two thirds of the CPF numbers are valid. ``nome`` is the front of one of the
+text's lines, as a name may be cut from it."""
 
 from __future__ import annotations
 
@@ -20,53 +21,43 @@ def _check(source: str, n: int) -> str:
 
 
 _HEADINGS = [
-    "'CPF: ' || cpf || '; CIN ' || raw11",
-    "'portador da cédula de identidade nº ' || substring(n9, 1, 6) || ' SESP/RR'",
-    "'OAB/GO Nº 49.904; OAB ' || substring(n9, 1, 5) || '/GO; OAB GO ' || substring(n9, 1, 5)",
-    "'Representantes do polo ativo: FULANO - GO' || substring(n9, 1, 5)",
-    "'Linha solta com GO' || substring(n9, 1, 5) || ' e nada mais'",
-    "'residente na Rua Estrela Azul, ' || substring(n9, 1, 3) || ', Jardim Alto, CEP: ' || substring(n9, 1, 5) || '-' || substring(n9, 6, 3)",
-    "'local: Vicinal 0' || substring(n9, 1, 1) || ' com Vicinal 1' || substring(n9, 2, 1) || ', quadra 7, lote 12'",
-    "'NB ' || n9 || '1 e processo ' || substring(n9, 1, 7) || '-64.2023.4.01.4200'",
-    "'O autor Joaquim Rodrigues Prado, brasileiro, solteiro, recorre à Justiça.'",
-    "'MARCOS PAULO FERREIRA (REU)' || chr(10) || 'INSTITUTO BRASILEIRO DE AGUAS (AUTOR)'",
-    "'REQUERIDO: ANTONIO MENDES PRADO. O réu ANTÔNIO MENDES PRADO contestou.'",
-    "'AUTOR: Maria Helena Duarte e outros' || chr(10) || 'RG 1234567 SSP/GO'",
-    "'Sr. SEBASTIÃO compareceu; telefone (95) 9' || substring(n9, 1, 4) || '-' || substring(n9, 5, 4)",
-    "'SEBASTIAO FILHOS LTDA ajuizou; contato pessoa' || n9 || '@exemplo.org em 10/11/2023'",
-    "'Consta ANTÔNIO DE SOUZA SANTOS. Sr. Antônio veio. SIAPE ' || substring(n9, 1, 7) || ' CNH ' || raw11",
+    "'Documento juntado: CPF nº ' || cpf || ', conferido com o CIN ' || raw11 || '.'",
+    "'Trouxe cédula de identidade nº ' || substring(n9, 1, 7) || ' SSP/PA e RG: ' || substring(n9, 2, 6) || '.'",
+    "'Petição de advogada, OAB/PA nº ' || substring(n9, 1, 5) || ', com cópia à OAB ' || substring(n9, 2, 5) || '/TO.'",
+    "'Procurador da República, inscrição MT' || substring(n9, 1, 5) || ', juntada aos autos.'",
+    "'Código interno MT' || substring(n9, 1, 5) || ' do almoxarifado e CPF ' || cpf || '.'",
+    "'Mora na Avenida das Palmeiras, ' || substring(n9, 1, 3) || ', Bloco Norte, CEP ' || substring(n9, 1, 5) || '-' || substring(n9, 6, 3) || '.'",
+    "'Terreno na Vicinal ' || substring(n9, 1, 2) || ' com Vicinal ' || substring(n9, 3, 2) || '; quadra ' || substring(n9, 1, 1) || ', lote ' || substring(n9, 2, 2) || '.'",
+    "'Autos ' || substring(n9, 1, 7) || '-' || substring(n9, 8, 2) || '.2021.8.14.0301 e NB ' || substring(n9, 1, 3) || '.' || substring(n9, 4, 3) || '.' || substring(n9, 7, 3) || '-5.'",
+    "'Depôs o perito Caio Bastos Nogueira, casado, servidor da FUNASA.'",
+    "'HELENA VIANA TORRES (REQUERIDA)' || chr(10) || 'COOPERATIVA DOS PESCADORES (AUTORA)'",
+    "'RECORRENTE: Joaquim Teles Moreira' || chr(10) || 'Falou JOÁQUIM TELES MOREIRA ao final.'",
+    "'AUTORA: Beatriz Pires Falcão e outros' || chr(10) || 'matrícula SIAPE ' || substring(n9, 1, 7) || ' ativa'",
+    "'Dra. TEREZA, relatora, atendeu no telefone (91) 9' || substring(n9, 1, 4) || '-' || substring(n9, 5, 4) || ' em 03/05/2022.'",
+    "'DANIEL E FILHOS LTDA escreveu de caixa' || n9 || '@exemplo.org no dia 21/09/2022.'",
+    "'Ouviu-se EDUARDO DA COSTA LEAL; depois Eduardo da Costa saiu com o Dr. Eduardo. SIAPE ' || substring(n9, 1, 7) || ', CNH ' || raw11",
 ]
-_NAMES = ["Antônio  de Souza Santos", "Dra. Maria Helena Duarte e outros", "INSTITUTO FEDERAL -", "JOÃO;", "Processo Sentença Recurso Pereira", "José da Silva,", "Desembargador Caio Prado", "Advogado João Lima", "", "Moral Coletivo Pereira"]
+#: A name that the headings hold, for masking by metadata.
+METADATA_NAME = "Eduardo da Costa Leal"
 
 
 def _case(values: list[str]) -> str:
     return "case doc_id % " + str(len(values)) + " " + " ".join(f"when {k} then {v}" for k, v in enumerate(values)) + " end"
 
 
+_LINES = "(length(texto) - length(replace(texto, chr(10), '')) + 1)"
+_FRONT = " || ' ' || ".join(f"split_part(linha, ' ', {k})" for k in range(1, 6))
+
 CASE_FILES = f"""
-SELECT doc_id, text AS body, lang, source, n9, cpf, {_case([f"'{n}'" for n in _NAMES])} AS nome, {_case(_HEADINGS)} || chr(10) || text AS texto
-FROM (SELECT *, substring(raw11, 1, 3) || '.' || substring(raw11, 4, 3) || '.' || substring(raw11, 7, 3) || '-' || substring(raw11, 10, 2) AS cpf
-  FROM (SELECT *, substring(t10, 1, 10) || cast((cast({_check("t10", 10)} as int) + case when doc_id % 3 = 0 then 1 else 0 end) % 10 as string) AS raw11
-    FROM (SELECT *, n9 || {_check("n9", 9)} AS t10
-      FROM (SELECT *, lpad(cast((doc_id * 7919 + 123456789) % 1000000000 as string), 9, '0') AS n9 FROM {{documents}}) a) b) c) d
+SELECT doc_id, body, lang, source, n9, cpf, texto, {_FRONT} AS nome
+FROM (SELECT *, split_part(texto, chr(10), cast(doc_id % {_LINES} + 1 as int)) AS linha
+  FROM (SELECT doc_id, text AS body, lang, source, n9, cpf, {_case(_HEADINGS)} || chr(10) || text AS texto
+    FROM (SELECT *, substring(raw11, 1, 3) || '.' || substring(raw11, 4, 3) || '.' || substring(raw11, 7, 3) || '-' || substring(raw11, 10, 2) AS cpf
+      FROM (SELECT *, substring(t10, 1, 10) || cast((cast({_check("t10", 10)} as int) + case when doc_id % 3 = 0 then 1 else 0 end) % 10 as string) AS raw11
+        FROM (SELECT *, n9 || {_check("n9", 9)} AS t10
+          FROM (SELECT *, lpad(cast((doc_id * 7919 + 123456789) % 1000000000 as string), 9, '0') AS n9 FROM {{documents}}) a) b) c) d) e) f
 """
 
-#: Four spans for each document, of three entities.
-SPANS = "\nUNION ALL\n".join(
-    f"""SELECT doc_id, {k} AS k, cast((doc_id * 7 + {13 * k}) % 60 as int) AS "start", cast((doc_id * 7 + {13 * k}) % 60 + 1 + (doc_id * {k + 3}) % 20 as int) AS "end",
-  case (doc_id + {k}) % 3 when 0 then 'CPF' when 1 then 'CEP_NUMBER' else 'PHONE_NUMBER_BR' end AS entity, 'r{k}' AS rule,
-  cast((doc_id * 3 + {31 * k}) % 100 as double) / 100 AS score, source FROM {{documents}}"""
-    for k in range(4)
-)
-
-#: Two runs of a regression, with ids dropped and values changed by doc_id.
-SNAPSHOT = """SELECT cast(doc_id as string) AS id, texto AS output, doc_id FROM {cases} WHERE doc_id % 17 <> 3"""
-CURRENT = """SELECT cast(doc_id as string) AS id, case when doc_id % 11 = 5 then texto || '!' else texto end AS output, doc_id FROM {cases} WHERE doc_id % 13 <> 4"""
-
 
 def case_files(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.sql(CASE_FILES, documents=docs)
-
-
-def span_rows(docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.sql(SPANS.replace('"', "`"), documents=docs)

@@ -1,6 +1,7 @@
 """One query for each operator, with its SQL for DuckDB where SQL can say it.
 
-Both sides read ``documents`` whole, most through the views of ``plans.casefiles``."""
+Both sides read ``documents`` whole, most through the view of ``plans.casefiles``. Queries on spans, policies and reports
+work on the spans that the rules find in the whole texts; their SQL finds the same spans, with offsets, on its own."""
 
 from __future__ import annotations
 
@@ -21,11 +22,12 @@ from .operators import spans as sp
 from .plans import anonymize as flow
 from .plans import casefiles as cf
 from .sources import documents as src
+from .sources.shared import run_folder
+from .streaming import requests as rq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 CASES = "(" + cf.CASE_FILES.format(documents="documents") + ")"
-SPANS = "(" + cf.SPANS.format(documents="documents") + ")"
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -36,10 +38,6 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     return cf.case_files(documents(spark, d))
 
 
-def span_rows(spark: SparkSession, d: str) -> DataFrame:
-    return cf.span_rows(documents(spark, d))
-
-
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -62,7 +60,7 @@ _OUT = r"[^\p{L}\p{M}\p{N}_]"
 
 
 def s_norm(x: str) -> str:
-    return f"trim(upper(regexp_replace(strip_accents({x}), '\\s+', ' ', 'g')))"
+    return f"trim(upper(regexp_replace(strip_accents(replace(translate({x}, 'ºª', 'oa'), 'ß', 'ss')), '\\s+', ' ', 'g')))"
 
 
 def s_tokens(x: str) -> str:
@@ -81,7 +79,7 @@ _BLOCKED = s_list(sorted({*terms.BLOCKED_IN_NAMES, *terms.NOT_A_NAME, *terms.COM
 
 
 def s_real(x: str) -> str:
-    return f"list_filter(list_transform({s_tokens(x)}, lambda t: trim(upper(strip_accents(t)))), lambda t: NOT list_contains({s_list(terms.CONNECTORS)}, t))"
+    return f"list_filter(list_transform({s_tokens(x)}, lambda t: trim(upper(strip_accents(replace(translate(t, 'ºª', 'oa'), 'ß', 'ss'))))), lambda t: NOT list_contains({s_list(terms.CONNECTORS)}, t))"
 
 
 def s_blocked(x: str) -> str:
@@ -126,10 +124,17 @@ def s_window(a: str, z: str, n: int) -> str:
 
 # --- A: sources
 
-query("a1_read_documents", f"SELECT doc_id, texto AS text, CAST(0 AS INTEGER) AS n_names FROM {CASES} c")(lambda s, d: cases(s, d).select("doc_id", F.col("texto").alias("text"), F.size(F.coalesce(F.lit(None).cast("array<string>"), F.array().cast("array<string>"))).alias("n_names")))
-query("a2_reject_blank", "SELECT doc_id, CASE WHEN regexp_matches(CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END, '\\S') THEN 'ok' ELSE 'blank' END AS status FROM documents")(
-    lambda s, d: src.with_status(documents(s, d).select("doc_id", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")).alias("text"))).select("doc_id", "status")
-)
+
+def _requests(s: SparkSession, d: str, folder: str) -> str:
+    """The case files as JSON requests."""
+    path = f"{folder}/requests"
+    names = F.array(F.lit(cf.METADATA_NAME), F.col("nome"))
+    cases(s, d).select("doc_id", "texto", F.when(F.col("lang") == "es", names).alias("nomes_metadados")).write.json(path)
+    return path
+
+
+query("a1_read_documents", f"SELECT doc_id, texto AS text, CASE WHEN lang = 'es' THEN 2 ELSE 0 END AS n_names FROM {CASES} c")(lambda s, d: src.read_documents(s, _requests(s, d, run_folder(s))).select("doc_id", "text", F.size("names").alias("n_names")))
+query("a2_reject_blank", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 'ok' ELSE 'blank' END AS status FROM documents")(lambda s, d: src.with_status(documents(s, d).select("doc_id", "text")).select("doc_id", "status"))
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
@@ -138,38 +143,48 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", "page_no", F.substring("text", (F.col("page_no") - 1) * 1000 + 1, F.lit(1000)).alias("text"))
 
 
-def _pdf_docs(s: SparkSession, d: str, gates: bool = True) -> DataFrame:
-    """Documents as PDFs; ``gates``: some with a size or page count that isn't theirs, as the SQL of A3 has it."""
-    size = F.when(F.col("doc_id") % 29 == 3, 41 * 1024 * 1024).otherwise(F.length("texto"))
-    count = F.when(F.col("doc_id") % 31 == 5, 501).otherwise(F.ceil(F.length("body") / 1000))
-    if not gates:
-        size, count = F.octet_length("texto"), F.ceil(F.greatest(F.length("body"), F.lit(1)) / 1000)
+def _pdf_docs(s: SparkSession, d: str) -> DataFrame:
+    """Documents as PDFs, with their own sizes and page counts."""
     meta = F.create_map(F.lit("title"), F.concat(F.lit("AUTOR: "), F.col("nome"), F.lit("; Peça")), F.lit("author"), F.col("nome"), F.lit("subject"), F.lit("Sr. Carlos Prado | INSS"))
-    return cases(s, d).select("doc_id", size.cast("long").alias("size_bytes"), count.cast("int").alias("page_count"), meta.alias("metadata"))
+    count = F.ceil(F.greatest(F.length("body"), F.lit(1)) / 1000)
+    return cases(s, d).select("doc_id", F.octet_length("body").cast("long").alias("size_bytes"), count.cast("int").alias("page_count"), meta.alias("metadata"))
 
 
 query(
     "a3_pdf_admission",
-    f"""SELECT doc_id, CASE WHEN doc_id % 29 = 3 THEN 'too_large' WHEN doc_id % 31 = 5 OR ceil(length(body) / 1000.0) > 500 THEN 'too_many_pages' WHEN NOT regexp_matches(body, '\\S') THEN 'no_text' ELSE 'ok' END AS status FROM {CASES} c""",
+    "SELECT doc_id, CASE WHEN strlen(text) > 40 * 1024 * 1024 THEN 'too_large' WHEN ceil(length(text) / 1000.0) > 500 THEN 'too_many_pages' WHEN NOT regexp_matches(text, '\\S') THEN 'no_text' ELSE 'ok' END AS status FROM documents",
 )(lambda s, d: src.admit_pdfs(_pdf_docs(s, d), _pages(s, d)).select("doc_id", "status"))
 query("a4_join_pages", "SELECT doc_id, text FROM documents")(lambda s, d: src.join_pages(_pages(s, d)))
-query("a5_term_list", "SELECT count(*) AS n, count(DISTINCT v) AS different FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS v FROM documents) WHERE v <> ''")(
-    lambda s, d: documents(s, d).select(F.explode(F.split("text", "\n")).alias("v")).select(F.regexp_replace("v", r"(?U)^\s+|\s+$", "").alias("v")).where("v <> ''").agg(F.count("*").alias("n"), F.countDistinct("v").alias("different"))
-)
+
+
+def _term_file(s: SparkSession, d: str) -> DataFrame:
+    """All lines of all texts as a term list, read back."""
+    path = f"{run_folder(s)}/terms"
+    documents(s, d).select(F.replace("text", F.lit("\r"), F.lit(" "))).write.text(path)
+    return src.read_terms(s, path)
+
+
+query("a5_term_list", "SELECT v AS value, count(*) AS n FROM (SELECT regexp_replace(unnest(string_split(replace(text, chr(13), ' '), chr(10))), '^\\s+|\\s+$', '', 'g') AS v FROM documents) WHERE v <> '' GROUP BY v")(lambda s, d: _term_file(s, d).groupBy("value").agg(F.count("*").alias("n")))
+
+
+def _snapshot(s: SparkSession, d: str) -> DataFrame:
+    path = f"{run_folder(s)}/snapshot"
+    src.write_snapshot(_run(s, d, FIRST_RUN), path)
+    return s.read.schema(src.SNAPSHOT).json(path)
+
 
 # --- B: scalars
 
 on_cases("b1_normalize_filter", lambda: tx.normalize_filter(F.col("nome")), s_norm("nome"))
-on_cases("b2_normalize_token", lambda: tx.normalize_token(F.col("nome")), "trim(upper(strip_accents(nome)))")
+on_cases("b2_normalize_token", lambda: tx.normalize_token(F.col("nome")), "trim(upper(strip_accents(replace(translate(nome, 'ºª', 'oa'), 'ß', 'ss'))))")
 on_cases("b3_tokenize", lambda: F.array_join(tx.tokenize(F.col("texto")), "|"), f"array_to_string({s_tokens('texto')}, '|')")
 on_cases("b4_clean_name", lambda: tx.clean_name(F.col("nome")), s_clean("nome"))
 on_cases("b5_clean_metadata_name", lambda: tx.clean_metadata_name(F.col("nome")), s_clean_meta("nome"))
 on_cases("b6_digits_only", lambda: tx.digits_only(F.col("texto")), "regexp_replace(texto, '[^0-9]', '', 'g')")
 _DV = "(list_sum([CAST(substring(r, k, 1) AS INTEGER) * ({n} + 2 - k) FOR k IN range(1, {n} + 1)]) % 11)"
 _OK = " AND ".join(f"substring(r, {n + 1}, 1) = CAST(CASE WHEN {_DV.format(n=n)} < 2 THEN 0 ELSE 11 - {_DV.format(n=n)} END AS VARCHAR)" for n in (9, 10))
-query("b7_cpf_valid", f"SELECT doc_id, (r <> repeat(substring(r, 1, 1), 11) AND {_OK}) AS v FROM (SELECT doc_id, regexp_replace(cpf, '[^0-9]', '', 'g') AS r FROM {CASES} c)")(lambda s, d: cases(s, d).select("doc_id", tx.cpf_valid(F.col("cpf")).alias("v")))
 on_cases("b8_contains_term", lambda: tx.contains_term(tx.normalize_filter(F.col("texto")), terms.COMPANY_TERMS), s_has(s_norm("texto"), terms.COMPANY_TERMS))
-on_cases("b9_accent_flexible", lambda: F.rlike(F.col("texto"), tx.accent_flexible_pattern(F.when(F.col("doc_id") % 2 == 0, "Antonio Mendes Prado").otherwise("ANTÓNIO DE SOUZA"))), f"regexp_matches(upper(strip_accents(texto)), '(?:^|[^A-Z0-9_])' || CASE WHEN doc_id % 2 = 0 THEN 'ANTONIO\\s+MENDES\\s+PRADO' ELSE 'ANTONIO\\s+DE\\s+SOUZA' END || '(?:$|[^A-Z0-9_])')")
+on_cases("b9_accent_flexible", lambda: F.rlike(F.col("texto"), tx.accent_flexible_pattern(F.when(F.col("lang") == "en", "Joaquim Teles Moreira").otherwise("EDUÁRDO DA COSTA"))), f"regexp_matches(upper(strip_accents(replace(translate(texto, 'ºª', 'oa'), 'ß', 'ss'))), '(?:^|[^A-Z0-9_])' || CASE WHEN lang = 'en' THEN 'JOAQUIM\\s+TELES\\s+MOREIRA' ELSE 'EDUARDO\\s+DA\\s+COSTA' END || '(?:$|[^A-Z0-9_])')")
 _FIRST = f"coalesce(list_filter({s_tokens('nome')}, lambda t: NOT list_contains({s_list(terms.CONNECTORS)}, upper(t)))[1], '')"
 query("b10_first_name", f"SELECT doc_id, CASE WHEN {s_blocked('f')} THEN '' ELSE f END AS v FROM (SELECT doc_id, {_FIRST} AS f FROM {CASES} c)")(lambda s, d: cases(s, d).select("doc_id", tx.first_name(F.col("nome")).alias("v")))
 query(
@@ -208,7 +223,6 @@ on_cases("c6_contextual_names", lambda: F.array_join(tx.contextual_names(F.col("
 _META = ["'Sr. Carlos Prado | INSS'", "('AUTOR: ' || nome || '; Peça')", "nome"]
 _META_FOUND = "list_concat(list_concat({}, {}), list_concat(list_concat({}, {}), list_concat({}, {})))".format(*(f for m in _META for f in (s_all(m, tx.METADATA_ROLE, 1), f"regexp_split_to_array({m}, '[;\\n|]')")))
 query("c7_metadata_names", f"SELECT doc_id, {s_names([_META_FOUND], s_clean_meta, s_person)} AS v FROM {CASES} c")(lambda s, d: _pdf_docs(s, d).select("doc_id", F.array_join(tx.metadata_names(F.col("metadata")), "|").alias("v")))
-query("c8_company_spans")(lambda s, d: cases(s, d).select("doc_id", F.explode(nm.company_spans(F.col("texto"))).alias("s")).select("doc_id", "s.start", "s.end"))
 for _name, _f, _words, _reach in [
     ("c9_address_context", tx.in_address_context, tx.ADDRESS_WORDS, terms.ADDRESS_WINDOW),
     ("c10_cpf_context", tx.in_cpf_context, tx.CPF_WORDS, terms.CPF_WINDOW),
@@ -225,51 +239,100 @@ def _sample_index(s: SparkSession) -> DataFrame:
     return nm.name_index(s.createDataFrame([(n,) for n in terms.SAMPLE_NAMES], "value string"))
 
 
-on_cases("n1_mask_names", lambda: nm.mask_names(F.col("texto"), F.array(F.lit("MARCOS PAULO FERREIRA"), F.lit("Antonio Mendes Prado")), "<NOME>"), f"regexp_replace(regexp_replace(texto, '(?i)(^|{_OUT})MARCOS\\s+PAULO\\s+FERREIRA($|{_OUT})', '\\1<NOME>\\2', 'g'), '(?i)(^|{_OUT})[aàáâãäå][nñ]t[oòóôõö][nñ][iìíîï][oòóôõö]\\s+m[eèéêë][nñ]d[eèéêë]s\\s+pr[aàáâãäå]d[oòóôõö]($|{_OUT})', '\\1<NOME>\\2', 'g')")
+on_cases(
+    "n1_mask_names",
+    lambda: nm.mask_names(F.col("texto"), F.array(F.lit("HELENA VIANA TORRES"), F.lit("Joaquim Teles Moreira")), "<NOME>"),
+    f"regexp_replace(regexp_replace(texto, '(?i)(^|{_OUT})j[oòóôõö][aàáâãäå]q[uùúûü][iìíîï]m\\s+t[eèéêë]l[eèéêë]s\\s+m[oòóôõö]r[eèéêë][iìíîï]r[aàáâãäå]($|{_OUT})', '\\1<NOME>\\2', 'g'), '(?i)(^|{_OUT})h[eèéêë]l[eèéêë][nñ][aàáâãäå]\\s+v[iìíîï][aàáâãäå][nñ][aàáâãäå]\\s+t[oòóôõö]rr[eèéêë]s($|{_OUT})', '\\1<NOME>\\2', 'g')",
+)
 
 
 def _with_names(s: SparkSession, d: str) -> DataFrame:
-    return cases(s, d).select("doc_id", F.col("texto").alias("text"), F.array(F.lit("Antônio de Souza Santos"), F.col("nome")).alias("names"))
+    return cases(s, d).select("doc_id", F.col("texto").alias("text"), F.array(F.lit(cf.METADATA_NAME), F.col("nome")).alias("names"))
 
 
-query("n2_mask_metadata_names")(lambda s, d: nm.mask_metadata_names(_with_names(s, d)).select("doc_id", "text", "metadado_ocorrencias_forcadas"))
-query("n3_metadata_metrics", f"SELECT doc_id, true AS metadado_nome_identificado, CAST(len(list_distinct(list_concat(['Antônio de Souza Santos'], CASE WHEN {s_person('nome')} THEN [{s_clean_meta('nome')}] ELSE [] END))) AS INTEGER) AS metadado_nomes_pf_total FROM {CASES} c")(
+_METRICS = ["metadado_nome_identificado", "metadado_nomes_pf_total", "metadado_ocorrencias_forcadas"]
+query("n2_mask_metadata_names")(lambda s, d: nm.mask_metadata_names(_with_names(s, d)).select("doc_id", "text", *_METRICS))
+query("n3_metadata_metrics", f"SELECT doc_id, true AS metadado_nome_identificado, CAST(len(list_distinct(list_concat(['{cf.METADATA_NAME}'], CASE WHEN {s_person('nome')} THEN [{s_clean_meta('nome')}] ELSE [] END))) AS INTEGER) AS metadado_nomes_pf_total FROM {CASES} c")(
     lambda s, d: nm.mask_metadata_names(_with_names(s, d)).select("doc_id", "metadado_nome_identificado", "metadado_nomes_pf_total")
 )
-query("n4_mask_common_names")(lambda s, d: nm.mask_common_names(cases(s, d).select("doc_id", F.col("texto").alias("text")), _sample_index(s)))
-query("n5_name_index", f"SELECT DISTINCT token FROM (SELECT trim(upper(strip_accents(unnest({s_tokens('nome')})))) AS token FROM {CASES} c) WHERE length(token) >= 3 AND NOT list_contains({s_list([*terms.CONNECTORS, *sorted({t for t in {*terms.NOT_A_NAME, *terms.COMPANY_TERMS} if ' ' not in t})])}, token)")(
+query("n5_name_index", f"SELECT DISTINCT token FROM (SELECT trim(upper(strip_accents(replace(translate(unnest({s_tokens('nome')}), 'ºª', 'oa'), 'ß', 'ss')))) AS token FROM {CASES} c) WHERE length(token) >= 3 AND NOT list_contains({s_list([*terms.CONNECTORS, *sorted({t for t in {*terms.NOT_A_NAME, *terms.COMPANY_TERMS} if ' ' not in t})])}, token)")(
     lambda s, d: nm.name_index(cases(s, d).select(F.col("nome").alias("value")))
 )
 
-# --- D: detectors
+# --- D: detectors, with offsets and scores. In SQL matches are marked, the text is split at the marks, and the lengths of the
+# pieces add up. A rule with neighbours runs on a text in which each character outside words is doubled, so that two matches never
+# share one; what is found and counted is made single again.
+
+_SINGLE = f"regexp_replace({{}}, '([^\\p{{L}}\\p{{M}}\\p{{N}}_\\x01\\x02])[^\\p{{L}}\\p{{M}}\\p{{N}}_\\x01\\x02]', '\\1', 'g')".replace("{{}}", "{}")
+
+
+def _double(words: str) -> str:
+    """A pattern's plain characters outside words doubled."""
+    return re.sub(r"(\\[^A-Za-z0-9]|[ /,:;@=-])", r"\1\1", words)
+
+
+def s_marked(before: str, body: str, after: str, flags: str = "ims", doubled: bool = True) -> str:
+    """``texto`` with the matches of ``body`` between marks; ``before`` and ``after`` are patterns of neighbours."""
+    text = f"regexp_replace(texto, '({_OUT})', '\\1\\1', 'g')" if doubled else "texto"
+    last = 3 + re.compile(body).groups
+    made = f"regexp_replace({text}, '(?{flags})({before})({body})({after})', '\\1' || chr(1) || '\\2' || chr(2) || '\\{last}', 'g')" if before or after else f"regexp_replace({text}, '(?{flags})({body})', chr(1) || '\\1' || chr(2), 'g')"
+    return _SINGLE.replace("{}", made) if doubled else made
+
+
+def s_located(marked: str, columns: str, source: str) -> str:
+    """(columns, found, start, end) of what is marked in each row of ``source``."""
+    return f"""SELECT {columns}, p AS found, CAST(z - length(p) AS INTEGER) AS "start", CAST(z AS INTEGER) AS "end" FROM (
+  SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM (
+    SELECT *, unnest(s) AS p, unnest(range(1, len(s) + 1)) AS i FROM (SELECT *, string_split(replace({marked}, chr(2), chr(1)), chr(1)) AS s FROM {source} c))) WHERE i % 2 = 0 AND p <> ''"""
+
+
+_EDGE_A, _EDGE_Z = f"^|{_OUT}", f"$|{_OUT}"
+#: How RE2 says what the rules with look-around say: neighbours before, pattern on the doubled text, neighbours after.
+_NEIGHBOURS = {
+    "cpf_apenas_numeros": (r"^|[^\d]", r"\d{11}", r"$|[^\d]"),
+    "oab_uf_numero_sem_prefixo": (r"^|[^\p{L}\p{M}\p{N}_/]", None, ""),
+    "telefone_com_ddd": (r"^|[^\d]", r"(?:\({0,2}\d{2}\){0,2}\s*)(?:9\d{4}|\d{4})(?:--|\s\s)\d{4}", r"$|[^\d]"),
+    "telefone_sem_ddd": (r"^|[^\d]", r"(?:9\d{4}|\d{4})--\d{4}", r"$|[^\d]"),
+    "siape_apenas_numeros": (_EDGE_A, r"\d{7}", _EDGE_Z),
+    "phone_digits": (r"^|[^\d.\-/]", r"(?:\+\+\d{1,3}(?:\s\s)?)?\d{10,11}", r"$|[^\d.\-/]"),
+    "numeric_date": (r"^|[^\d.\-/]", r"\d{1,2}//\d{1,2}//\d{4}", r"$|[^\d\-/]"),
+}
+
+
+def s_rule(r: dt.Rule, columns: str) -> str:
+    """The spans of a rule in the case files, ``cf``: (columns, entity, rule, score, found, start, end)."""
+    quoted = lambda p: p.replace("'", "''")
+    if r.entity in ("SAFE_LOCATION", "LEGAL_HEADER", "TERMO_COMUM"):
+        words = re.fullmatch(r"\(\?:\^\|\(\?<=\\W\)\)\(\?:(.*)\)\(\?:\(\?=\\W\)\|\$\)", r.pattern)[1]
+        marked = s_marked(_EDGE_A, f"(?:{quoted(_double(words))})", _EDGE_Z)
+    elif r.name in _NEIGHBOURS:
+        before, body, after = _NEIGHBOURS[r.name]
+        if body:
+            marked = s_marked(before, body, after)
+        else:  # its \b before letters is what ``before`` says
+            marked = s_marked(before, quoted(r.pattern.removeprefix(r"(?<!/)\b")), after, doubled=False)
+    elif r.entity == "ENDERECO_LOGRADOURO":
+        marked = s_marked(_EDGE_A, quoted(r.pattern.removeprefix(r"\b")), "", doubled=False)
+    else:
+        marked = s_marked("", quoted(r.pattern), "", doubled=False)
+    return s_located(marked, f"{columns}, '{r.entity}' AS entity, '{r.name}' AS rule, CAST({r.score} AS DOUBLE) AS score", "cf")
 
 
-def s_rule(r: dt.Rule) -> str:
-    p = r.pattern.replace("'", "''")
-    if p.startswith(r"\b") and r.entity == "ENDERECO_LOGRADOURO":
-        return f"SELECT doc_id, '{r.entity}' AS entity, '{r.name}' AS rule, unnest(regexp_extract_all(texto, '(?ims)(?:^|{_OUT})({p[2:]})', 1)) AS found FROM {CASES} c"
-    if not re.search(r"\(\?<|\(\?=|\(\?!", p):
-        return f"SELECT doc_id, '{r.entity}' AS entity, '{r.name}' AS rule, unnest(regexp_extract_all(texto, '(?ims){p}')) AS found FROM {CASES} c"
-    # neighbours as groups: each outer character is doubled, so that two matches never share one
-    m = re.fullmatch(r"(?P<a>\(\?<!.*?\)|\(\?:\^\|\(\?<=\\W\)\)|\\b\(\?<!\[\\w\]\))?(?P<b>.*?)(?P<c>\(\?!.*?\)|\(\?:\(\?=\\W\)\|\$\)|\(\?!\[\\w\]\)\\b)?", p)
-    if m["b"].startswith(r"\b") and m["a"] == "(?<!/)":
-        before, body = r"(?:^|[^\p{L}\p{M}\p{N}_/])", m["b"][2:]
-    else:
-        before = _OUT if m["a"] and r"\w" in m["a"].lower() else "[^" + (m["a"] or "(?<!\\d)")[4:-1].strip("[]") + "]"
-        before, body = f"(?:^|{before})", m["b"]
-    after = "" if not m["c"] else f"(?:$|{_OUT})" if r"\w" in m["c"].lower() else "(?:$|[^" + m["c"][3:-1].strip("[]") + "])"
-    if r.entity in ("SAFE_LOCATION", "LEGAL_HEADER"):
-        words = {"SAFE_LOCATION": terms.SAFE_LOCATIONS, "LEGAL_HEADER": terms.LEGAL_HEADERS}[r.entity]
-        body = "(?:" + "|".join(re.sub(r"(\\.| )", r"\1\1", tx.literal(w)) for w in words) + ")"
-        double = lambda x: f"regexp_replace({x}, '({_OUT})', '\\1\\1', 'g')"
-        return f"SELECT doc_id, '{r.entity}' AS entity, '{r.name}' AS rule, regexp_replace(f, '({_OUT}){_OUT}', '\\1', 'g') AS found FROM (SELECT doc_id, unnest(regexp_extract_all({double('texto')}, '(?is){before}({body}){after}', 1)) AS f FROM {CASES} c)"
-    return f"SELECT doc_id, '{r.entity}' AS entity, '{r.name}' AS rule, unnest(regexp_extract_all(texto, '(?ims){before}({body}){after}', 1)) AS found FROM {CASES} c"
+def s_rules(rules: list[dt.Rule], columns: str = "doc_id") -> str:
+    return f"WITH cf AS {CASES} " + " UNION ALL ".join(f"SELECT * FROM ({s_rule(r, columns)})" for r in rules)
+
+
+def s_reduced(raw: str) -> str:
+    """E2 on raw spans, by pairs."""
+    return f"""(WITH raw AS {raw} SELECT * FROM raw a WHERE NOT EXISTS (SELECT 1 FROM raw b WHERE b.doc_id = a.doc_id AND b.entity = a.entity AND b."start" <= a."start" AND a."end" <= b."end" AND b.score >= a.score
+  AND (b."start" <> a."start" OR b."end" <> a."end" OR b.score <> a.score OR b.rule < a.rule)))"""
 
 
-def _detector(name: str, entity: str, sql: bool = True) -> None:
-    rules = dt.rules_for([entity])
-    text = f"SELECT doc_id, entity, rule, found, count(*) AS n FROM ({' UNION ALL '.join(map(s_rule, rules))}) GROUP BY ALL" if sql else None
-    query(name, text)(lambda s, d: dt.detect(cases(s, d), rules, "texto", raw=True).groupBy("doc_id", "entity", "rule", "found").agg(F.count("*").alias("n")))
+_SPAN = ["doc_id", "entity", "rule", "score", "found", "start", "end"]
+
+
+def _detector(name: str, rules: list[dt.Rule], sql: bool = True) -> None:
+    query(name, s_rules(rules) if sql else None)(lambda s, d: dt.detect(cases(s, d), rules, "texto", raw=True).select(*_SPAN))
 
 
 for _name, _entity, _sql in [
@@ -291,43 +354,54 @@ for _name, _entity, _sql in [
     ("d18_phone", "PHONE_NUMBER", True),
     ("d19_date", "DATE_TIME", True),
 ]:
-    _detector(_name, _entity, _sql)
-_TITLES = dt.title_rules(terms.SAMPLE_TITLES)
-query("d3_legal_title", f"SELECT doc_id, found, count(*) AS n FROM ({s_rule(_TITLES[0])}) GROUP BY ALL")(lambda s, d: dt.detect(cases(s, d), _TITLES, "texto", raw=True).groupBy("doc_id", "found").agg(F.count("*").alias("n")))
-_COMMON = dt.rules_for(["TERMO_COMUM"], common=["recorre", "e nada mais", "compareceu"])
-query("d11_common_terms", f"""SELECT doc_id, f AS found, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(texto, '(?is)(?:^|{_OUT})(recorre|e nada mais|compareceu)(?:$|{_OUT})', 1)) AS f FROM {CASES} c) GROUP BY ALL""")(
-    lambda s, d: dt.detect(cases(s, d), _COMMON, "texto", raw=True).groupBy("doc_id", "found").agg(F.count("*").alias("n"))
-)
+    _detector(_name, dt.rules_for([_entity]), _sql)
+_detector("d3_legal_title", dt.title_rules(terms.SAMPLE_TITLES))
+_detector("d11_common_terms", dt.rules_for(["TERMO_COMUM"], common=["juntada aos autos", "almoxarifado", "depois"]))
+_detector("d21_own_rule", dt.rules_for(["PROTOCOLO"], more=[dt.Rule("PROTOCOLO", "linha", r"\bquadra\s+\d+\b", 0.9)]))
 _PROTECTED = s_list(pl.PROTECTED)
-query("d20_entity_selection", f"SELECT CASE WHEN list_contains({_PROTECTED}, entity) THEN 'protected' ELSE 'policy' END AS kind, count(*) AS n FROM (SELECT DISTINCT entity FROM {SPANS} s UNION SELECT unnest({_PROTECTED})) WHERE entity NOT IN ('DEFAULT', 'PERSON') GROUP BY ALL")(
-    lambda s, d: pl.analysed_entities(span_rows(s, d).select("entity"), s.createDataFrame([(e,) for e in pl.PROTECTED], "entity string")).groupBy(F.when(F.col("entity").isin(pl.PROTECTED), "protected").otherwise("policy").alias("kind")).agg(F.count("*").alias("n"))
-)
-_OWN = [dt.Rule("PROTOCOLO", "linha", r"\bquadra\s+\d+\b", 0.9)]
-query("d21_own_rule", f"SELECT doc_id, entity, rule, found, count(*) AS n FROM ({s_rule(_OWN[0])}) GROUP BY ALL")(
-    lambda s, d: dt.detect(cases(s, d), dt.rules_for(["PROTOCOLO"], more=_OWN), "texto", raw=True).groupBy("doc_id", "entity", "rule", "found").agg(F.count("*").alias("n"))
-)
 
-# --- E: spans
+#: The rules whose spans the queries below work on.
+_RULES = dt.rules_for(["CPF", "CEP_NUMBER", "PHONE_NUMBER_BR", "SIAPE", "ID_DOCUMENTO", "OAB_NUMBER"])
+RAW = f"({s_rules(_RULES, 'doc_id, source, texto')})"
+SPANS = s_reduced(RAW)
 
-query("e1_drop_contained", f"""WITH s AS (SELECT * FROM {SPANS} s), p AS (SELECT * FROM s WHERE k = 0)
-SELECT doc_id, k, "start", "end" FROM s WHERE k > 0 AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = s.doc_id AND p."start" <= s."start" AND s."end" <= p."end")""")(
-    lambda s, d: (lambda x: sp.drop_contained(x.where("k > 0"), x.where("k = 0")).select("doc_id", "k", "start", "end"))(span_rows(s, d))
-)
-query("e2_dedupe_same_entity", f"""WITH s AS (SELECT * FROM {SPANS} s)
-SELECT doc_id, entity, rule, "start", "end" FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = a.doc_id AND b.entity = a.entity AND b."start" <= a."start" AND a."end" <= b."end" AND b.score >= a.score
-  AND (b."start" <> a."start" OR b."end" <> a."end" OR b.score <> a.score OR b.rule < a.rule))""")(lambda s, d: sp.dedupe_same_entity(span_rows(s, d)).select("doc_id", "entity", "rule", "start", "end"))
-_MERGED = f"""WITH s AS (SELECT * FROM {SPANS} s), m AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s),
-i AS (SELECT *, sum(CASE WHEN r IS NULL OR "start" > r THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM m),
-x AS (SELECT doc_id, min("start") AS "start", max("end") AS "end" FROM i GROUP BY doc_id, g)"""
-query("e3_merge_spans", f'{_MERGED} SELECT doc_id, "start", "end" FROM x')(lambda s, d: sp.merge_spans(span_rows(s, d).drop("score")).select("doc_id", "start", "end"))
+
+def raw_spans(s: SparkSession, d: str) -> DataFrame:
+    return dt.detect(cases(s, d), _RULES, "texto", raw=True, keep=["source"])
 
 
-def _found(s: SparkSession, d: str, *entities: str) -> DataFrame:
-    return dt.detect(cases(s, d), dt.rules_for(entities), "texto")
+def span_rows(s: SparkSession, d: str) -> DataFrame:
+    return dt.reduced(raw_spans(s, d))
+
+
+query("d20_entity_selection", f"SELECT entity, list_contains({_PROTECTED}, entity) AS protected FROM (SELECT DISTINCT entity FROM {SPANS} s UNION SELECT unnest({_PROTECTED})) WHERE entity NOT IN ('DEFAULT', 'PERSON')")(
+    lambda s, d: pl.analysed_entities(span_rows(s, d).select("entity"), s.createDataFrame([(e,) for e in pl.PROTECTED], "entity string")).select("entity", F.col("entity").isin(pl.PROTECTED).alias("protected"))
+)
+_DV = "(list_sum([CAST(substring(r, k, 1) AS INTEGER) * ({n} + 2 - k) FOR k IN range(1, {n} + 1)]) % 11)"
+_OK = " AND ".join(f"substring(r, {n + 1}, 1) = CAST(CASE WHEN {_DV.format(n=n)} < 2 THEN 0 ELSE 11 - {_DV.format(n=n)} END AS VARCHAR)" for n in (9, 10))
+_VALID = f"(length(r) = 11 AND r <> repeat(substring(r, 1, 1), 11) AND {_OK})"
+query("b7_cpf_valid", f"""SELECT doc_id, rule, "start", {_VALID} AS v FROM (SELECT *, regexp_replace(found, '[^0-9]', '', 'g') AS r FROM {RAW} s WHERE entity IN ('CPF', 'ID_DOCUMENTO'))""")(
+    lambda s, d: raw_spans(s, d).where(F.col("entity").isin("CPF", "ID_DOCUMENTO")).select("doc_id", "rule", "start", tx.cpf_valid(F.col("found")).alias("v"))
+)
 
+# --- E: spans
 
-query("e4_filter_cpf")(lambda s, d: dt.with_context(_found(s, d, "CPF"), cases(s, d), "texto").where("kept").select("doc_id", "rule", "found", "start", "end"))
-query("e5_filter_oab")(lambda s, d: dt.with_context(_found(s, d, "OAB_NUMBER"), cases(s, d), "texto").where("kept").select("doc_id", "rule", "found", "start", "end"))
+query("e1_drop_contained", f"""WITH s AS (SELECT * FROM {SPANS} s), p AS (SELECT * FROM s WHERE entity = 'ID_DOCUMENTO')
+SELECT doc_id, entity, rule, "start", "end" FROM s WHERE entity <> 'ID_DOCUMENTO' AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = s.doc_id AND p."start" <= s."start" AND s."end" <= p."end")""")(
+    lambda s, d: (lambda x: sp.drop_contained(x.where("entity <> 'ID_DOCUMENTO'"), x.where("entity = 'ID_DOCUMENTO'")).select("doc_id", "entity", "rule", "start", "end"))(span_rows(s, d))
+)
+query("e2_dedupe_same_entity", f'SELECT doc_id, entity, rule, score, found, "start", "end" FROM {SPANS} s')(lambda s, d: sp.dedupe_same_entity(raw_spans(s, d)).select(*_SPAN))
+_ISLANDS = """{name} AS (SELECT {keys}, min("start") AS "start", max("end") AS "end", max(score) AS score FROM (
+  SELECT *, sum(CASE WHEN r IS NULL OR "start" {over} r THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT *, max("end") OVER (PARTITION BY {keys} ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM {source})) GROUP BY {keys}, g)"""
+_MERGED = f"WITH s AS (SELECT * FROM {SPANS} s), {_ISLANDS.format(name='x', keys='doc_id', over='>', source='s')}"
+query("e3_merge_spans", f'{_MERGED} SELECT doc_id, "start", "end", score FROM x')(lambda s, d: sp.merge_spans(span_rows(s, d)).select("doc_id", "start", "end", "score"))
+_NEAR = "regexp_matches(" + s_window('"start"', '"end"', terms.CPF_WINDOW) + f", '{re2(tx.CPF_WORDS)}')"
+_NEAR_OAB = "regexp_matches(" + s_window('"start"', '"end"', terms.OAB_WINDOW) + f", '{re2(tx.OAB_WORDS)}')"
+_KEEPS = f"CASE entity WHEN 'CPF' THEN {_VALID} OR {_NEAR} WHEN 'OAB_NUMBER' THEN regexp_matches(found, '(?i)(?:^|{_OUT})OAB(?:$|{_OUT})') OR {_NEAR_OAB} ELSE true END"
+KEPT = f"(SELECT *, {_KEEPS} AS kept FROM (SELECT *, regexp_replace(found, '[^0-9]', '', 'g') AS r FROM {SPANS} s))"
+for _name, _entity in (("e4_filter_cpf", "CPF"), ("e5_filter_oab", "OAB_NUMBER")):
+    query(_name, f"SELECT doc_id, rule, found, \"start\", \"end\", kept FROM {KEPT} s WHERE entity = '{_entity}'")(lambda s, d, e=_entity: dt.with_context(dt.detect(cases(s, d), dt.rules_for([e]), "texto")).select("doc_id", "rule", "found", "start", "end", "kept"))
 query(
     "e6_splice",
     f"""{_MERGED}, c AS (SELECT doc_id, texto FROM {CASES} c),
@@ -337,103 +411,136 @@ SELECT c.doc_id, string_agg(substring(texto, e + 1, a - e) || '<X>', '' ORDER BY
 
 
 def _splice(s: SparkSession, d: str) -> DataFrame:
-    spans = sp.merge_spans(span_rows(s, d).drop("score")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", F.lit("<X>").alias("put"))).alias("spans"))
+    spans = sp.merge_spans(span_rows(s, d)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", F.lit("<X>").alias("put"))).alias("spans"))
     return cases(s, d).select("doc_id", "texto").join(spans, "doc_id").select("doc_id", sp.splice_array(F.col("texto"), F.col("spans")).alias("text"))
 
 
-query("e7_resolve_conflicts")(lambda s, d: sp.resolve_conflicts(span_rows(s, d).select("doc_id", "entity", "start", "end", "score")).select("doc_id", "entity", "start", "end", "score"))
-query("e8_ordered", f"""SELECT doc_id, k, "start", "end", entity, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, entity) AS INTEGER) AS pos FROM {SPANS} s""")(lambda s, d: sp.ordered(span_rows(s, d)).select("doc_id", "k", "start", "end", "entity", "pos"))
-query("e9_score_threshold", f'SELECT doc_id, k, score FROM {SPANS} s WHERE score >= 0.4')(lambda s, d: sp.above_threshold(span_rows(s, d), terms.MIN_SCORE).select("doc_id", "k", "score"))
-query("e10_priority")(lambda s, d: sp.resolve_by_class(span_rows(s, d), pl.default_policy(s).select("entity", "class")))
+query(
+    "e7_resolve_conflicts",
+    f"""WITH s AS (SELECT * FROM {SPANS} s), {_ISLANDS.format(name='x', keys='doc_id, entity', over='>=', source='s')},
+alone AS (SELECT * FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b."start" <= a."start" AND a."end" <= b."end"
+  AND (b."start" < a."start" OR a."end" < b."end" OR b.score > a.score OR (b.score = a.score AND b.entity < a.entity))))
+SELECT doc_id, entity, "start", least("end", coalesce(lead("start") OVER (PARTITION BY doc_id ORDER BY "start"), "end")) AS "end", score FROM alone""",
+)(lambda s, d: sp.resolve_conflicts(span_rows(s, d)).select("doc_id", "entity", "start", "end", "score"))
+query("e8_ordered", f"""SELECT doc_id, "start", "end", entity, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, entity) AS INTEGER) AS pos FROM {SPANS} s""")(lambda s, d: sp.ordered(span_rows(s, d)).select("doc_id", "start", "end", "entity", "pos"))
+query("e9_score_threshold", f'SELECT doc_id, rule, score, "start" FROM {RAW} s WHERE score >= 0.95')(lambda s, d: sp.above_threshold(raw_spans(s, d), 0.95).select("doc_id", "rule", "score", "start"))
+query("e10_priority")(lambda s, d: sp.resolve_by_class(span_rows(s, d), pl.default_policy(s)))
 
 # --- P: policy
 
-_POLICY = "CASE entity WHEN 'CPF' THEN 'replace' WHEN 'CEP_NUMBER' THEN 'replace' ELSE 'mask' END"
-query("p1_policy_join", f"SELECT doc_id, k, entity, {_POLICY} AS op FROM {SPANS} s")(lambda s, d: pl.with_policy(span_rows(s, d), pl.default_policy(s)).select("doc_id", "k", "entity", "op"))
-_PUT = "CASE entity WHEN 'CPF' THEN '<CPF/CIN>' WHEN 'CEP_NUMBER' THEN '<CEP>' ELSE substring(f, 1, greatest(length(f) - 4, 0)) || repeat('*', least(4, length(f))) END"
-
-
-def _put(s: SparkSession, d: str, ops: str) -> DataFrame:
-    rows = span_rows(s, d).join(cases(s, d).select("doc_id", "texto"), "doc_id").withColumn("found", F.substring("texto", F.col("start") + 1, F.col("end") - F.col("start")))
-    return pl.with_policy(rows, pl.default_policy(s)).where(F.col("op") == ops).select("doc_id", "k", pl.replacement(F.col("found")).alias("put"))
-
-
-_PUTS = f"""SELECT doc_id, k, {_PUT} AS put FROM (SELECT s.doc_id, k, entity, substring(texto, "start" + 1, "end" - "start") AS f FROM {SPANS} s JOIN {CASES} c USING (doc_id))"""
-query("p2_keep", f"SELECT doc_id, k, f AS put FROM (SELECT s.doc_id, k, entity, substring(texto, \"start\" + 1, \"end\" - \"start\") AS f FROM {SPANS} s JOIN {CASES} c USING (doc_id)) WHERE entity = 'CPF'")(lambda s, d: _kept(s, d))
-query("p3_replace", f"SELECT * FROM ({_PUTS} WHERE entity <> 'PHONE_NUMBER_BR')")(lambda s, d: _put(s, d, "replace"))
-query("p4_mask", f"SELECT * FROM ({_PUTS} WHERE entity = 'PHONE_NUMBER_BR')")(lambda s, d: _put(s, d, "mask"))
-
-
-def _kept(s: SparkSession, d: str) -> DataFrame:
-    rows = span_rows(s, d).where("entity = 'CPF'").withColumn("entity", F.lit("LEGAL_TITLE")).join(cases(s, d).select("doc_id", "texto"), "doc_id")
-    rows = rows.withColumn("found", F.substring("texto", F.col("start") + 1, F.col("end") - F.col("start")))
-    return pl.with_policy(rows, pl.default_policy(s)).select("doc_id", "k", pl.replacement(F.col("found")).alias("put"))
+_OP = "CASE WHEN entity = 'ID_DOCUMENTO' THEN 'keep' WHEN entity = 'PHONE_NUMBER_BR' THEN 'mask' ELSE 'replace' END"
+query("p1_policy_join", f'SELECT doc_id, entity, "start", "end", {_OP} AS op FROM {SPANS} s')(lambda s, d: pl.with_policy(span_rows(s, d), pl.default_policy(s)).select("doc_id", "entity", "start", "end", "op"))
+_PUT = "CASE entity WHEN 'CPF' THEN '<CPF/CIN>' WHEN 'CEP_NUMBER' THEN '<CEP>' WHEN 'SIAPE' THEN '***' WHEN 'OAB_NUMBER' THEN '<OAB>' WHEN 'ID_DOCUMENTO' THEN found ELSE substring(found, 1, greatest(length(found) - 4, 0)) || repeat('*', least(4, length(found))) END"
+for _name, _op in (("p2_keep", "keep"), ("p3_replace", "replace"), ("p4_mask", "mask")):
+    query(_name, f"SELECT doc_id, entity, \"start\", \"end\", {_PUT} AS put FROM {SPANS} s WHERE {_OP} = '{_op}'")(
+        lambda s, d, op=_op: pl.with_policy(span_rows(s, d), pl.default_policy(s)).where(F.col("op") == op).select("doc_id", "entity", "start", "end", pl.replacement(F.col("found")).alias("put"))
+    )
 
 
 def _flow(s: SparkSession, d: str) -> flow.Anonymized:
-    docs = cases(s, d).select("doc_id", F.col("texto").alias("text"), F.when(F.col("doc_id") % 15 == 14, F.array(F.lit("Antônio de Souza Santos"))).otherwise(F.array().cast("array<string>")).alias("names"))
+    docs = cases(s, d).select("doc_id", F.col("texto").alias("text"), F.array(F.lit(cf.METADATA_NAME)).alias("names"))
     return flow.anonymize(docs, _sample_index(s), titles=terms.SAMPLE_TITLES)
 
 
 query("p5_anonymize")(lambda s, d: _flow(s, d).documents.select("doc_id", "text", "metadado_nomes_pf_total", "metadado_ocorrencias_forcadas"))
-query("p6_entity_table")(lambda s, d: _flow(s, d).entities)
+query("p6_entity_table")(lambda s, d: _flow(s, d).entities.drop("row_id"))
+
+# --- C8 and N4, which rest on spans
+
+_COMPANIES = " UNION ALL ".join(
+    f"SELECT * FROM ({s_located(s_marked(_EDGE_A, p[len(lead) :].removesuffix(tail), _EDGE_Z, flags='s'), 'doc_id', CASES)})"
+    for p, lead, tail in ((tx.COMPANY_UPPER, r"(?U)(?<!\w)", r"(?!\w)"), (tx.COMPANY_MIXED, r"(?U)(?<!\w)", r"(?!\w)"))
+)
+_FIRMS = _ISLANDS.format(name="firms", keys="doc_id", over=">", source=f"(SELECT *, 0 AS score FROM ({_COMPANIES}) WHERE {s_has(s_norm('found'), terms.COMPANY_TERMS)})")
+query("c8_company_spans", f'WITH {_FIRMS} SELECT doc_id, "start", "end" FROM firms')(lambda s, d: cases(s, d).select("doc_id", F.explode(nm.company_spans(F.col("texto"))).alias("s")).select("doc_id", "s.start", "s.end"))
+query(
+    "n4_mask_common_names",
+    f"""WITH {_FIRMS}, w AS ({s_located(s_marked('', tx.LETTERS, '', doubled=False), 'doc_id, texto', CASES)}),
+h AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY "start"), 0) AS e FROM w
+  WHERE list_contains({s_list(terms.SAMPLE_NAMES)}, trim(upper(strip_accents(replace(translate(found, 'ºª', 'oa'), 'ß', 'ss')))))
+  AND NOT EXISTS (SELECT 1 FROM firms f WHERE f.doc_id = w.doc_id AND f."start" <= w."start" AND w."end" <= f."end")
+  AND NOT regexp_matches({s_window('"start"', '"end"', terms.ADDRESS_WINDOW)}, '{re2(tx.ADDRESS_WORDS)}')
+  AND NOT ("start" > 0 AND substring(texto, "start", 1) = '<') AND substring(texto, "end" + 1, 1) <> '>'),
+m AS (SELECT doc_id, string_agg(substring(texto, e + 1, "start" - e) || '<NOME>', '' ORDER BY "start") || substring(any_value(texto), max("end") + 1) AS text FROM h GROUP BY doc_id)
+SELECT c.doc_id, coalesce(m.text, c.texto) AS text FROM {CASES} c LEFT JOIN m USING (doc_id)""",
+)(lambda s, d: nm.mask_common_names(cases(s, d).select("doc_id", F.col("texto").alias("text")), _sample_index(s)))
 
 # --- R: reports
 
-_ENT = f"""(SELECT doc_id, entity AS entidade, "start" AS inicio, "end" AS fim, score, source, rule FROM {SPANS} s)"""
+_ENT = f"""(SELECT doc_id, entity AS entidade, found AS texto_detectado, "start" AS inicio, "end" AS fim, score, source FROM {SPANS} s)"""
 
 
 def _entities(s: SparkSession, d: str) -> DataFrame:
-    return span_rows(s, d).select("doc_id", F.col("entity").alias("entidade"), F.col("rule").alias("texto_detectado"), F.col("start").alias("inicio"), F.col("end").alias("fim"), "score", "source")
+    return span_rows(s, d).select("doc_id", F.col("entity").alias("entidade"), F.col("found").alias("texto_detectado"), F.col("start").alias("inicio"), F.col("end").alias("fim"), "score", "source")
 
 
 query("r1_totals", f"SELECT doc_id, count(*) AS total, count(DISTINCT entidade) AS tipos FROM {_ENT} e GROUP BY doc_id")(lambda s, d: rp.totals(_entities(s, d)))
 _TOP = f"(SELECT doc_id, entidade, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, entidade) AS INTEGER) AS pos FROM (SELECT doc_id, entidade, count(*) AS n FROM {_ENT} e GROUP BY ALL))"
 query("r2_top_types", f"SELECT * FROM {_TOP} t WHERE pos <= 3")(lambda s, d: rp.top_types(_entities(s, d)))
-_SOME = f"(SELECT * FROM {_ENT} e WHERE doc_id % 7 <> 0)"
 query("r3_summary_line", f"""SELECT d.doc_id, '**Resumo (texto):** ' || CASE WHEN n IS NULL THEN 'nenhuma entidade detectada.' ELSE n || ' entidades detectadas em ' || t || ' tipos. Principais ocorrencias: ' || top || '.' END AS resumo
-FROM documents d LEFT JOIN (SELECT doc_id, sum(n) AS n, count(*) AS t, string_agg(entidade || ' (' || n || ')', ', ' ORDER BY pos) AS top FROM {_TOP} x WHERE doc_id % 7 <> 0 GROUP BY doc_id) y USING (doc_id)""")(
-    lambda s, d: rp.summary_lines(documents(s, d), _entities(s, d).where("doc_id % 7 <> 0"), "texto")
+FROM documents d LEFT JOIN (SELECT doc_id, sum(n) AS n, count(*) AS t, string_agg(entidade || ' (' || n || ')', ', ' ORDER BY pos) FILTER (WHERE pos <= 3) AS top FROM {_TOP} x GROUP BY doc_id) y USING (doc_id)""")(
+    lambda s, d: rp.summary_lines(documents(s, d), _entities(s, d), "texto")
 )
-query("r4_empty_result", f"SELECT d.doc_id, CAST(count(e.doc_id) AS INTEGER) AS n FROM documents d LEFT JOIN {_SOME} e USING (doc_id) GROUP BY d.doc_id")(lambda s, d: rp.nested_entities(documents(s, d), _entities(s, d).where("doc_id % 7 <> 0")).select("doc_id", F.size("entidades").alias("n")))
-query("a6_write_results", f"""SELECT d.doc_id, length(text) AS chars, coalesce(string_agg(entidade || ':' || inicio, ',' ORDER BY inicio, fim DESC, entidade, rule), '') AS entidades FROM documents d LEFT JOIN {_SOME} e USING (doc_id) GROUP BY d.doc_id, text""")(
-    lambda s, d: documents(s, d)
-    .select("doc_id", F.length("text").cast("long").alias("chars"))
-    .join(rp.nested_entities(documents(s, d), _entities(s, d).where("doc_id % 7 <> 0")), "doc_id")
-    .withColumn("entidades", F.array_join(F.transform("entidades", lambda e: F.concat(e["entidade"], F.lit(":"), e["inicio"].cast("string"))), ","))
+query("r4_empty_result", f"SELECT d.doc_id, CAST(count(e.doc_id) AS INTEGER) AS n FROM documents d LEFT JOIN {_ENT} e USING (doc_id) GROUP BY d.doc_id")(lambda s, d: rp.nested_entities(documents(s, d), _entities(s, d)).select("doc_id", F.size("entidades").alias("n")))
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    path = f"{run_folder(s)}/results"
+    src.write_results(documents(s, d), _entities(s, d), path)
+    return s.read.parquet(path)
+
+
+query("a6_write_results", f"""SELECT d.doc_id, text AS texto_anonimizado, coalesce(string_agg(entidade || ':' || inicio || ':' || texto_detectado, ',' ORDER BY inicio, fim DESC, entidade), '') AS entidades FROM documents d LEFT JOIN {_ENT} e USING (doc_id) GROUP BY d.doc_id, text""")(
+    lambda s, d: _results(s, d).withColumn("entidades", F.array_join(F.transform("entidades", lambda e: F.concat_ws(":", e["entidade"], e["inicio"].cast("string"), e["texto_detectado"])), ","))
 )
 query("r5_by_entity", f"SELECT entidade, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {_ENT} e GROUP BY entidade")(lambda s, d: rp.by_entity(_entities(s, d)))
 query("r5_rollup", f"SELECT source, entidade, count(*) AS n FROM {_ENT} e GROUP BY ROLLUP (source, entidade)")(lambda s, d: rp.by_source_and_entity(_entities(s, d)))
-query("r6_acceptance", f"SELECT entity, count(*) AS raw, CAST(sum(CASE WHEN score >= 0.4 THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM {SPANS} s GROUP BY entity")(lambda s, d: rp.acceptance(span_rows(s, d).withColumn("kept", F.col("score") >= 0.4)))
+query("r6_acceptance", f"SELECT entity, count(*) AS raw, CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM {KEPT} s GROUP BY entity")(lambda s, d: rp.acceptance(dt.with_context(span_rows(s, d))))
 query("r7_audit_sample", f"""SELECT entity, doc_id, "start", "end", kept, hash, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY entity, kept ORDER BY hash, score) AS INTEGER) AS pos
-FROM (SELECT doc_id, entity, "start", "end", score, score >= 0.4 AS kept, md5(doc_id || ':' || entity || ':' || "start" || ':' || "end") AS hash FROM {SPANS} s)) WHERE pos <= 3""")(
-    lambda s, d: rp.audit_sample(span_rows(s, d).withColumn("kept", F.col("score") >= 0.4)).select("entity", "doc_id", "start", "end", "kept", "hash", "pos")
+FROM (SELECT doc_id, entity, "start", "end", score, kept, md5(doc_id || ':' || entity || ':' || "start" || ':' || "end") AS hash FROM {KEPT} s)) WHERE pos <= 3""")(
+    lambda s, d: rp.audit_sample(dt.with_context(span_rows(s, d))).select("entity", "doc_id", "start", "end", "kept", "hash", "pos")
 )
-query("r7_rules_digest", f"SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS digest, count(*) AS rules FROM (SELECT DISTINCT entity || '|' || rule || '|' || rule || '|0.5' AS l FROM {SPANS} s)")(
-    lambda s, d: rp.rules_digest(span_rows(s, d).select("entity", "rule", F.col("rule").alias("regex"), F.lit(0.5).alias("score")).distinct())
+query("r7_rules_digest", f"SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS digest, count(*) AS rules FROM (SELECT DISTINCT entity || '|' || rule || '|' || found || '|0.5' AS l FROM {SPANS} s)")(
+    lambda s, d: rp.rules_digest(span_rows(s, d).select("entity", "rule", F.col("found").alias("regex"), F.lit(0.5).alias("score")).distinct())
 )
 query("r8_density_by_size", f"""SELECT CASE WHEN chars < 500 THEN '<500' WHEN chars < 2000 THEN '<2000' WHEN chars < 8000 THEN '<8000' ELSE '8000+' END AS bucket, count(*) AS docs,
 quantile_cont(chars, 0.5) AS p50, quantile_cont(chars, 0.95) AS p95, round(1000 * sum(n) / sum(chars), 6) AS density
-FROM (SELECT d.doc_id, CAST(length(text) AS DOUBLE) AS chars, count(e.doc_id) AS n FROM documents d LEFT JOIN {_SOME} e USING (doc_id) GROUP BY d.doc_id, text) GROUP BY 1""")(
-    lambda s, d: rp.density_by_size(documents(s, d), _entities(s, d).where("doc_id % 7 <> 0"))
+FROM (SELECT d.doc_id, CAST(length(text) AS DOUBLE) AS chars, count(e.doc_id) AS n FROM documents d LEFT JOIN {_ENT} e USING (doc_id) GROUP BY d.doc_id, text) GROUP BY 1""")(
+    lambda s, d: rp.density_by_size(documents(s, d), _entities(s, d))
 )
 
-# --- G: regression
+# --- G: regression. Two runs with other rules, each of the documents in which its rules find something; the second one writes
+# its lines with CR LF and CNH in small letters.
 
+FIRST_RUN, SECOND_RUN = ["CPF", "CNH", "CEP_NUMBER"], ["CPF", "CNH", "OAB_NUMBER"]
 
-def _runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+
+def _run(s: SparkSession, d: str, entities: list[str], second: bool = False) -> DataFrame:
     c = cases(s, d)
-    ent = lambda flip: F.when(flip, F.array(F.struct(F.lit("CPF").alias("entity"), F.lit("b").alias("text")), F.struct(F.lit("CPF").alias("entity"), F.lit("a").alias("text")))).otherwise(F.array(F.struct(F.lit("CPF").alias("entity"), F.lit("a").alias("text")), F.struct(F.lit("CPF").alias("entity"), F.lit("b").alias("text"))))
-    a = s.sql(cf.SNAPSHOT, cases=c).withColumn("entities", ent(F.lit(False)))
-    b = s.sql(cf.CURRENT, cases=c).withColumn("entities", F.when(F.col("doc_id") % 19 == 6, F.slice(ent(F.lit(False)), 1, 1)).otherwise(ent(F.col("doc_id") % 2 == 0)))
-    return a, b
+    item = F.struct("start", "end", "entity", F.col("found").alias("text"))
+    found = dt.detect(c, dt.rules_for(entities), "texto").groupBy("doc_id").agg(F.sort_array(F.collect_list(item), asc=not second).alias("e"))
+    output = F.replace(F.replace("texto", F.lit("CNH"), F.lit("cnh")), F.lit("\n"), F.lit("\r\n")) if second else F.col("texto")
+    items = F.transform("e", lambda x: F.struct(x["entity"].alias("entity"), x["text"].alias("text")))
+    return c.join(found, "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.col("texto").alias("input"), output.alias("output"), items.alias("entities"))
 
 
-_STATUS = "CASE WHEN doc_id % 17 = 3 THEN 'missing_in_snapshot' WHEN doc_id % 13 = 4 THEN 'missing_in_current' WHEN doc_id % 11 = 5 THEN 'output_mismatch' WHEN doc_id % 19 = 6 THEN 'entity_mismatch' ELSE 'ok' END"
-_COMPARED = f"(SELECT CAST(doc_id AS VARCHAR) AS id, {_STATUS} AS status FROM documents WHERE NOT (doc_id % 17 = 3 AND doc_id % 13 = 4))"
+def _runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _run(s, d, FIRST_RUN), _run(s, d, SECOND_RUN, True)
+
+
+def s_run(entities: list[str]) -> str:
+    raw = f"({s_rules(dt.rules_for(entities), 'doc_id, texto')})"
+    return f"(SELECT CAST(doc_id AS VARCHAR) AS id, any_value(texto) AS output, list(entity || '|' || found ORDER BY found, entity) AS ent FROM {s_reduced(raw)} a GROUP BY doc_id)"
+
+
+_COMPARED = f"""(SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'missing_in_current' WHEN a.id IS NULL THEN 'missing_in_snapshot' WHEN a.output <> replace(b.output, 'CNH', 'cnh') THEN 'output_mismatch'
+  WHEN a.ent <> b.ent THEN 'entity_mismatch' ELSE 'ok' END AS status FROM {s_run(FIRST_RUN)} a FULL OUTER JOIN {s_run(SECOND_RUN)} b ON a.id = b.id)"""
 query("g1_compare_runs", f"SELECT * FROM {_COMPARED} x")(lambda s, d: rg.compare_runs(*_runs(s, d)))
-query("g2_multiset_compare", f"SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 19 <> 6 AS same FROM documents WHERE doc_id % 17 <> 3 AND doc_id % 13 <> 4")(lambda s, d: _multisets(s, d))
+query("g2_multiset_compare", f"SELECT a.id, a.ent = b.ent AS same FROM {s_run(FIRST_RUN)} a JOIN {s_run(SECOND_RUN)} b ON a.id = b.id")(lambda s, d: _multisets(s, d))
 query("g3_failure_summary", f"SELECT status, count(*) AS n FROM {_COMPARED} x GROUP BY status")(lambda s, d: rg.failure_summary(rg.compare_runs(*_runs(s, d))))
+query("a7_snapshot", f"SELECT id, output, array_to_string(ent, ';') AS entities FROM {s_run(FIRST_RUN)} a")(
+    lambda s, d: _snapshot(s, d).select("id", "output", F.array_join(F.transform(rg.as_multiset(F.col("entities")), lambda e: F.concat_ws("|", e["entity"], e["text"])), ";").alias("entities"))
+)
 
 
 def _multisets(s: SparkSession, d: str) -> DataFrame:
@@ -447,14 +554,9 @@ def _multisets(s: SparkSession, d: str) -> DataFrame:
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """The case files as a stream of requests: written as JSON to the shared folder, read as a stream."""
-    import tempfile
-    import uuid
-
-    from .streaming.requests import anonymize_stream
-
-    top = f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    cases(s, d).select("doc_id", "texto", F.array().cast("array<string>").alias("nomes_metadados")).write.json(f"{top}/in")
-    anonymize_stream(s, f"{top}/in", f"{top}/out", f"{top}/state", _sample_index(s), terms.SAMPLE_TITLES).awaitTermination()
+    top = run_folder(s)
+    stream = rq.read_requests(s, _requests(s, d, top))
+    rq.anonymize_stream(stream, f"{top}/out", f"{top}/state", _sample_index(s), terms.SAMPLE_TITLES, availableNow=True).awaitTermination()
     return s.read.parquet(f"{top}/out").select("doc_id", "texto_anonimizado", F.size("entidades").alias("n"))
 
 
@@ -462,8 +564,7 @@ query("t1_anonymize_stream")(_stream)
 
 
 def _pdf(s: SparkSession, d: str) -> DataFrame:
-    docs = _pdf_docs(s, d, gates=False)
-    admitted, done = flow.anonymize_pdf_corpus(docs, _pages(s, d), _sample_index(s), terms.SAMPLE_TITLES)
+    admitted, done = flow.anonymize_pdf_corpus(_pdf_docs(s, d), _pages(s, d), _sample_index(s), terms.SAMPLE_TITLES)
     lines = rp.summary_lines(done.documents, done.entities, "PDF", done.documents)
     return admitted.select("doc_id", "status").join(done.documents.select("doc_id", "text"), "doc_id", "left").join(lines, "doc_id", "left")
 

@@ -40,13 +40,13 @@ def join_pages(pages: DataFrame) -> DataFrame:
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """A5: (line, value): the lines of a term list, stripped, without blank ones. A missing file is an
-    empty list. ``line`` keeps the order."""
+    empty list. ``line`` grows along a file."""
     try:
-        lines = spark.read.text(path, wholetext=True)
+        lines = spark.read.text(path)
     except AnalysisException:
-        return spark.createDataFrame([], "line int, value string")
-    split = lines.select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return split.withColumn("value", F.regexp_replace("value", r"(?U)^[\s\x{FEFF}]+|\s+$", "")).where(F.col("value") != "")
+        return spark.createDataFrame([], "line long, value string")
+    stripped = F.regexp_replace("value", r"(?U)^[\s\x{FEFF}]+|\s+$", "")
+    return lines.select(F.monotonically_increasing_id().alias("line"), stripped.alias("value")).where(F.col("value") != "")
 
 
 def term_list(df: DataFrame) -> list[str]:
@@ -54,11 +54,11 @@ def term_list(df: DataFrame) -> list[str]:
     return [r["value"] for r in df.orderBy("line").select("value").collect()]
 
 
-def write_results(docs: DataFrame, entities: DataFrame, path: str, form: str = "parquet") -> None:
-    """One row for each document: text and nested entities."""
+def write_results(docs: DataFrame, entities: DataFrame, path: str, form: str = "parquet", by: str = "doc_id") -> None:
+    """One row for each document: id, text and nested entities. ``by`` tells rows apart (row_id for results of the flow)."""
     from ..operators.report import nested_entities
 
-    out = docs.select("doc_id", F.col("text").alias("texto_anonimizado")).join(nested_entities(docs, entities), "doc_id")
+    out = docs.select(*{by: 0, "doc_id": 0}, F.col("text").alias("texto_anonimizado")).join(nested_entities(docs, entities, by), by)
     out.write.mode("overwrite").format(form).save(path)
 
 

@@ -7,23 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.report import nested_entities
-from ..plans.anonymize import anonymize
+from ..plans.anonymize import ROW, Anonymized, anonymize
 from ..sources.documents import REQUEST
 
 
-def answer(batch: DataFrame, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> DataFrame:
-    """(doc_id, texto_anonimizado, entidades) for (doc_id, text, names)."""
-    done = anonymize(batch, index, titles=titles, common=common)
-    return done.documents.select("doc_id", F.col("text").alias("texto_anonimizado")).join(nested_entities(batch, done.entities), "doc_id")
+def read_requests(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
+    """Requests (doc_id, text, names) that arrive as files in ``path``, as a stream."""
+    requests = spark.readStream.schema(REQUEST).format(form).load(path)
+    return requests.select("doc_id", F.col("texto").alias("text"), F.coalesce("nomes_metadados", F.array().cast("array<string>")).alias("names"))
 
 
-def anonymize_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> StreamingQuery:
-    """JSON requests that arrive in ``source``; answers, by batch, in ``sink``. A batch that is run
-    again writes over its own folder, so each request is answered once."""
-    requests = spark.readStream.schema(REQUEST).json(source)
-    docs = requests.select("doc_id", F.col("texto").alias("text"), F.coalesce("nomes_metadados", F.array().cast("array<string>")).alias("names"))
+def answers(done: Anonymized) -> DataFrame:
+    """(doc_id, texto_anonimizado, entidades): one for each request, whatever its doc_id."""
+    texts = done.documents.select(ROW, "doc_id", F.col("text").alias("texto_anonimizado"))
+    return texts.join(nested_entities(done.documents, done.entities, ROW), ROW).drop(ROW)
 
-    def handle(batch: DataFrame, number: int) -> None:
-        answer(batch, index, titles, common).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return docs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def anonymize_stream(requests: DataFrame, sink: str, checkpoint: str, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None, **trigger) -> StreamingQuery:
+    """A stream of requests (doc_id, text, names), from any source; answers, by batch, in ``sink``. A batch that is run
+    again writes over its own folder, so each request is answered once. ``trigger`` as ``DataStreamWriter.trigger`` takes
+    it (``processingTime="5 seconds"``, ``availableNow=True``); without one batches follow each other for as long as the query
+    lives. Intermediate tables of a batch are deleted with its answers written."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        done = anonymize(batch, index, titles=titles, common=common)
+        try:
+            answers(done).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        finally:
+            done.release()
+
+    stream = requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (stream.trigger(**trigger) if trigger else stream).start()
