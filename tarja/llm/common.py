@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import run_folder, written
+
+__all__ = ["components", "limit_batches", "shared_folder", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,23 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ARROW_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a folder of its own."""
+def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/tarja-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Cuts the lineage: ``df`` as a table in the shared folder."""
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the application's shared folder; see ``sources.shared``."""
+    limit_batches(spark)
+    return run_folder(spark)
 
 
 def _rooted(up: DataFrame, folder: str, name: str) -> DataFrame:

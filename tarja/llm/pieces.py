@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import limit_batches, table
 
 SPACE = "▁"
 #: Words kept with their pieces in one Python worker, and the longest that are kept.
@@ -142,6 +142,7 @@ def _coded(path: str):
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded_sha256, round_trip) for every row: the piece ids of the
     text, the digest of their decoding, and whether that is the text. See the module."""
+    limit_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_coded(model), "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
 

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table
+from .common import limit_batches, shared_folder, table
 
 LIMIT = 4096
 SCHEMA = "content binary, tokenizer string, n_tokens long"
@@ -72,6 +72,7 @@ def read_cache(spark, path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs``; see the module."""
     spark = docs.sparkSession
+    limit_batches(spark)
     version = file_digest(tokenizer)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
