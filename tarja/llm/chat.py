@@ -30,6 +30,7 @@ Extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from functools import cache
 
@@ -37,10 +38,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import limit_batches, table
 
-#: Tokens after which a pack ends.
-PACK = 1 << 16
+#: Tokens, and conversations, after which a pack ends.
+PACK, LEAVES = 1 << 16, 2048
 _ESCAPE = re.compile(r"([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>|ROLE=)")
 _UNESCAPE = re.compile(r"([<\[])\\(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>|ROLE=)")
 _TURN = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>(?P<system>.*?)<</SYS>>|\[ROLE=(?P<role>[0-9a-f]*)\](?P<other>.*?)</s>|(?P<assistant>.*?)</s>", re.S)
@@ -87,6 +88,7 @@ def turn_parts(role: str | None, text: str) -> tuple[str, str, str]:
 
 @cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
@@ -135,7 +137,7 @@ def _packed(path: str):
         pack = _Pack()
         for f in frames:
             for conv, turns in zip(f["conv_id"].tolist(), f["turns"].tolist(), strict=True):
-                if len(pack.tokens) >= PACK or len(pack.leaves) >= 4096:
+                if len(pack.tokens) >= PACK or len(pack.leaves) >= LEAVES:
                     yield pd.DataFrame([pack.row()])
                     pack = _Pack()
                 same = 0
@@ -164,6 +166,7 @@ def tokenizer_path() -> str:
 def format_conversations(rows: DataFrame, tokenizer: str) -> DataFrame:
     """Packs (tokens, nodes, leaves) for rows (conv_id, turn, role, text); see the module. ``tokenizer``: the file of
     a byte-level tokenizer, at the same path on every executor."""
+    limit_batches(rows.sparkSession)
     own = _conversations(rows)
     return own.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").drop("path").mapInPandas(_packed(tokenizer), PACK_SCHEMA)
 
@@ -171,30 +174,38 @@ def format_conversations(rows: DataFrame, tokenizer: str) -> DataFrame:
 def _read(path: str):
     def run(frames):
         model = _tokenizer(path)
-        decode = lambda ids: model.decode(ids, skip_special_tokens=False)
         for f in frames:
             for tokens, nodes, leaves in zip(f["tokens"], f["nodes"], f["leaves"], strict=True):
-                tokens, out = list(map(int, tokens)), []
+
+                def decode(start: int, end: int, tokens=tokens) -> str:
+                    return model.decode(tokens[start:end].tolist(), skip_special_tokens=False)
+
+                told: dict[int, tuple] = {}  # by node: copies of a conversation end at one
                 for leaf in leaves:
-                    whole = decode([x for s in nodes[leaf["node"]]["attends"] for x in tokens[s["start"] : s["end"]]])
-                    chain, at = [], leaf["node"]
-                    while at >= 0:
-                        chain.append(nodes[at])
-                        at = nodes[at]["parent"]
-                    loss = "".join([unescape(decode(tokens[x["loss_start"] : x["loss_end"]])) for x in reversed(chain) if x["loss_end"] > x["loss_start"]])
-                    turns = hashlib.sha256()
-                    count = 0
-                    for m in _TURN.finditer(whole, 3):
-                        kind = m.lastgroup
-                        role = bytes.fromhex(m["role"]).decode() if kind == "other" else kind
-                        turns.update(f"{role}\n{unescape(m[kind])}\n".encode())
-                        count += 1
-                    out.append((leaf["conv_id"], count, turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole)))
+                    if leaf["node"] not in told:
+                        whole = "".join([decode(s["start"], s["end"]) for s in nodes[leaf["node"]]["attends"]])
+                        loss, at = [], leaf["node"]
+                        while at >= 0:
+                            loss.append(unescape(decode(nodes[at]["loss_start"], nodes[at]["loss_end"])))
+                            at = nodes[at]["parent"]
+                        told[leaf["node"]] = _digests(whole, "".join(reversed(loss)))
+                out = [(leaf["conv_id"], *told[leaf["node"]]) for leaf in leaves]
                 yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
     return run
 
 
+def _digests(whole: str, loss: str) -> tuple[int, str, int, str, int]:
+    turns = hashlib.sha256()
+    count = 0
+    for m in _TURN.finditer(whole, 3):
+        kind = m.lastgroup
+        role = bytes.fromhex(m["role"]).decode() if kind == "other" else kind
+        turns.update(f"{role}\n{unescape(m[kind])}\n".encode())
+        count += 1
+    return count, turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole)
+
+
 def read_back(packs: DataFrame, tokenizer: str) -> DataFrame:
     """The digests of every conversation, taken from the packs alone: its text is what its last node
     attends to, its turns are parsed from that, its loss text is what its path has under the mask."""
