@@ -177,11 +177,15 @@ BLOCKED = one_of(sorted({*terms.BLOCKED_IN_NAMES, *terms.NOT_A_NAME, *terms.COMP
 
 def semantically_blocked(s: Column) -> Column:
     """Only connectors; all words blocked; or of three and more, three quarters blocked."""
-    words = F.transform(tokenize(s), normalize_token)
-    real = F.filter(words, lambda t: (t != "") & ~t.rlike(one_of(terms.CONNECTORS)))
-    bad = F.size(F.filter(real, lambda t: t.rlike(BLOCKED)))
-    n = F.size(real)
-    return (F.size(words) > 0) & ((n == 0) | ((bad > 0) & ((bad == n) | ((n >= 3) & (4 * bad >= 3 * n)))))
+
+    def told(real: Column) -> Column:
+        n, bad = F.size(real), F.size(F.filter(real, lambda t: t.rlike(BLOCKED)))
+        return (bad == n) | ((n >= 3) & (4 * bad >= 3 * n))
+
+    def of(words: Column) -> Column:
+        return (F.size(words) > 0) & let(F.filter(words, lambda t: (t != "") & ~t.rlike(one_of(terms.CONNECTORS))), told)
+
+    return let(F.transform(tokenize(s), normalize_token), of)
 
 
 def looks_like_person(s: Column) -> Column:
