@@ -77,6 +77,19 @@ def test_token_counts(spark, docs, texts):
     assert got == {i: (len(plain.encode(t or "", add_special_tokens=False).ids),) for i, t in enumerate(texts)}
 
 
+def test_token_counts_of_odd_rows(spark):
+    """Null ids, repeated rows, one id with two texts: each row gives its row."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(None, "a b"), (None, "a b"), (None, None), (1, "a b"), (1, "c <s> d"), (1, "c <s> d"), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in tokens.count_tokens(df, path, f"{shared_folder(spark)}/odd").collect())
+    assert got == Counter((i, len(model.encode(t or ""))) for i, t in rows)
+
+
 # --- 2
 
 
@@ -249,40 +262,42 @@ def test_components_of_long_chains(spark):
 # --- 4
 
 
-def brute_best(codec, text):
-    best = [(0.0, [])] + [None] * len(text)
+def brute_best(codec, scores, text):
+    """The best segmentation by trying every piece that ends at each place, the longer one on ties."""
+    longest = max(map(len, scores))
+    best, back = [0.0] + [float("-inf")] * len(text), [None] * (len(text) + 1)
     for end in range(1, len(text) + 1):
-        options = []
-        for start in range(end):
+        for start in range(max(0, end - longest), end):
             piece = text[start:end]
-            if piece in codec.scores:
-                options.append((best[start][0] + codec.scores[piece][1], start, [codec.scores[piece][0]]))
+            if piece in scores:
+                total, ids = best[start] + scores[piece][1], [scores[piece][0]]
             elif end - start == 1:
-                options.append((best[start][0] + codec.codec.unknown, start, [codec.codec.byte_ids[b] for b in piece.encode()]))
-        total, start, ids = max(options, key=lambda o: (o[0], -o[1]))
-        best[end] = (total, best[start][1] + ids)
-    return best[-1][1]
+                total, ids = best[start] + codec.unknown, [codec.byte_ids[b] for b in piece.encode()]
+            else:
+                continue
+            if total > best[end]:
+                best[end], back[end] = total, (start, ids)
+    out, end = [], len(text)
+    while end:
+        start, ids = back[end]
+        out, end = out + ids[::-1], start
+    return out[::-1]
 
 
 def test_pieces(spark, docs, texts):
     codec = pieces.codec(pieces.model_path())
     model = codec.model
-
-    class Scored:
-        pass
-
-    scored = Scored()
-    scored.codec = codec
-    scored.scores = {codec.pieces[i]: (i, model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    scores = {codec.pieces[i]: (i, model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
     out = {r["doc_id"]: r for r in pieces.encode_pieces(docs, pieces.model_path()).collect()}
     for i, t in enumerate(texts):
-        if len(t or "") < 400:
-            assert out[i]["ids"] == brute_best(scored, model.normalize(t or ""))
+        assert out[i]["ids"] == brute_best(codec, scores, model.normalize(t or ""))
         assert out[i]["round_trip"] and out[i]["n_pieces"] == len(out[i]["ids"])
         assert out[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     back = by_id(pieces.decode_pieces(pieces.encode_pieces(docs, pieces.model_path()), pieces.model_path()), "text")
     assert back == {i: (t or "",) for i, t in enumerate(texts)}
     assert pieces.encode_pieces(empty(spark), pieces.model_path()).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, "c")], "doc_id long, text string")
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in pieces.encode_pieces(odd, pieces.model_path()).collect()) == Counter((i, tuple(codec.encode(t or "").tolist())) for i, t in [(None, "a b"), (None, "a b"), (1, None), (1, "c")])
 
 
 # --- 5
@@ -404,24 +419,60 @@ def test_temperature_reaches_its_targets(spark):
 # --- 7
 
 
-def test_quality(spark, docs, texts):
-    out = {r["doc_id"]: r for r in quality.quality(docs).collect()}
-    assert len(out) == len(texts)
-    for i, t in enumerate(texts):
+def brute_quality(texts):
+    """(measures, base_failed, kept) of each text; the algorithm runs over documents, one by one."""
+    import math
+
+    rows, votes = [], []
+    for t in texts:
         t = t or ""
         w = WORD.findall(t)
         seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
         covered = {j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
         full = [x for x in t.split("\n") if WORD.search(x)]
-        want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(full) - len(set(full)), len(covered))
-        assert tuple(out[i][m] for m in quality.MEASURES) == want
-        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
-        assert out[i]["base_failed"] == failed
-        assert out[i]["kept"] == (not failed and out[i]["posterior"] >= quality.KEEP)
+        n, chars, symbols, lines, repeats_ = len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(full) - len(set(full)), len(covered)
+        rows.append(((n, chars, symbols, lines, repeats_), n < 20 or 100 * repeats_ > 30 * n))
+        good = [n >= 50, 100 * symbols <= chars, 50 * symbols <= n, lines == 0, repeats_ == 0, 3 * n <= chars <= 9 * n]
+        bad = [n < 20, 20 * symbols > chars, 4 * symbols > n, lines >= 3, 100 * repeats_ > 20 * n, chars < 3.5 * n or chars > 12 * n]
+        votes.append(["bad" if b else "good" if g else "none" for g, b in zip(good, bad, strict=True)])
+    prior = {"good": {"none": 0.2, "good": 0.64, "bad": 0.16}, "bad": {"none": 0.2, "good": 0.16, "bad": 0.64}}
+    share, chance, post = 0.8, [prior] * 6, []
+    for _ in range(quality.ROUNDS):
+        post = []
+        for v in votes:
+            a = share * math.prod(chance[r]["good"][x] for r, x in enumerate(v))
+            b = (1 - share) * math.prod(chance[r]["bad"][x] for r, x in enumerate(v))
+            post.append(a / (a + b))
+        mass = {"good": sum(post), "bad": sum(1 - p for p in post)}
+        share = (mass["good"] + 4) / (len(texts) + 5)
+        part = {"good": lambda p: p, "bad": lambda p: 1 - p}
+        chance = [{c: {x: (sum(part[c](p) for p, v in zip(post, votes, strict=True) if v[r] == x) + 10 * prior[c][x]) / (mass[c] + 10) for x in prior[c]} for c in prior} for r in range(6)]
+    return [(m, failed, p, not failed and p >= quality.KEEP) for (m, failed), p in zip(rows, post, strict=True)]
+
+
+def test_quality(spark, docs, texts):
+    want = brute_quality(texts)
+    out = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert len(out) == len(texts) and {k for *_, k in want} == {True, False}
+    for i, (measured, failed, posterior, kept) in enumerate(want):
+        assert tuple(out[i][m] for m in quality.MEASURES) == measured
+        assert (out[i]["base_failed"], out[i]["kept"]) == (failed, kept)
+        assert abs(out[i]["posterior"] - posterior) < 1e-6
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if r["kept"]}
-    assert quality.quality(empty(spark)).count() == 0
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, w in enumerate(want) if w[3]}
+    assert quality.quality(empty(spark)).count() == 0 and quality.keep_good(empty(spark)).count() == 0
+
+
+def test_quality_of_odd_rows(spark):
+    """Null ids and repeated rows each count and pass through."""
+    rng = random.Random(1)
+    clean = [" ".join(words(rng, 60)) for _ in range(6)]
+    rows = [(None, clean[0]), (None, clean[0]), (3, clean[1]), (3, clean[2]), (3, clean[2]), (None, None), (4, "###"), *((k, t) for k, t in enumerate(clean))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, t) for (i, t), w in zip(rows, brute_quality([t for _, t in rows]), strict=True) if w[3])
+    assert Counter(tuple(r) for r in quality.keep_good(df).collect()) == want
+    assert Counter((r["doc_id"], r["kept"]) for r in quality.quality(df).collect()) == Counter((i, w[3]) for (i, t), w in zip(rows, brute_quality([t for _, t in rows]), strict=True))
 
 
 def test_estimate_finds_the_better_rules():
@@ -462,6 +513,17 @@ def test_lines(spark, docs, texts):
     assert lines.line_report(empty(spark)).count() == 0
 
 
+def test_lines_of_odd_rows(spark):
+    """A null id comes first; one id's texts are told apart; equal rows are one text."""
+    block = "L1 a\nL2 b\nL3 c\nL4 d"
+    rows = [(2, block), (2, block), (2, f"x\n{block}"), (None, f"{block}\ny"), (1, f"L2 b\n\nL3 c\nL4 d\nz\n{block}"), (5, None), (None, "")]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = sorted((tuple(r) for r in lines.dedup_lines(df).collect()), key=repr)
+    gone = lambda t: (len(t),)
+    want = [(2, "", *gone("")), (2, "", *gone("")), (2, "x", *gone("x")), (None, f"{block}\ny", *gone(f"{block}\ny")), (1, "\nz", *gone("\nz")), (5, None, 7), (None, "", 0)]
+    assert got == sorted(want, key=repr)
+
+
 # --- 9
 
 

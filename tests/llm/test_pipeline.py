@@ -53,3 +53,28 @@ def test_pipeline(spark, tmp_path):
     for r in five:
         assert r["ids"] == codec.encode(want[r["doc_id"]]).tolist() and r["round_trip"]
         assert sum(1 for _ in WORD.finditer(want[r["doc_id"]])) > 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Unlike texts under one id, equal rows, null ids, a very long text, and columns that operators use themselves."""
+    rng = random.Random(5)
+    w, u, v = (" ".join(words(rng, 80)) for _ in range(3))
+    long = " ".join(f"t{k}q" for k in range(30_000))
+    rows = [(1, w), (5, w), (5, u), (7, u + " tail"), (9, u), (9, u), (None, v), (None, v), (11, long), (12, None), (None, ""), *((20 + k, " ".join(words(rng, 70))) for k in range(8))]
+    full = [(i, t, "en", f"s{(i or 0) % 2}", len(t or ""), 1, 2, 3, "k") for i, t in rows]
+    form = "doc_id long, text string, lang string, source string, n_chars long, row_id long, th long, block long, place string"
+    spark.createDataFrame(full, form).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [x.split(" ")[0] for x in form.split(", ")]
+    stay = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    assert stay == Counter([(1, w), (5, u), (None, v), (11, long), *rows[11:]])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in out.collect()} == {1, 5, None, 11, *range(20, 28)}
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "ids" in out.columns
