@@ -237,6 +237,8 @@ COMPANY_UPPER = r"(?U)(?<!\w)[A-ZÀ-Ý][A-ZÀ-Ý0-9.&/\-]*(?:\s+(?:DE|DA|DO|DAS|
 COMPANY_MIXED = r"(?U)(?<!\w)[A-ZÀ-Ý][A-Za-zÀ-ÖØ-öø-ÿ0-9.&/\-]*(?:\s+(?:de|da|do|das|dos|e|[A-ZÀ-Ý][A-Za-zÀ-ÖØ-öø-ÿ0-9.&/\-]*)){1,14}(?!\w)"
 HONORIFIC = r"(?:sr\.?|sra\.?|senhor(?:a)?|dr\.?|dra\.?|des\.?|desembargador(?:a)?|ministro(?:a)?)"
 # End of the fixed values.
+#: This library's own: for each of CONTEXT_PATTERNS a cheap regex that every text with a match also matches.
+CONTEXT_GATES = [r"(?iU),\s*(?:brasileir|solteir|casad|desempregad|portador)", r"(?iU)\b(?:autor|requer|recorr|r[ée]u|perit|advogad|polo|filia|assinado)", r"(?iU)\(\s*(?:r[ée]u|requerid)", r"(?iU)\(\s*[ivxlc]+\s*\)"]
 
 
 def party_names(text: Column) -> Column:
@@ -246,7 +248,9 @@ def party_names(text: Column) -> Column:
 
 def contextual_names(text: Column) -> Column:
     """Names by civil status, role, role in brackets and Roman item."""
-    return _names([_all(text, p, 1) for p in CONTEXT_PATTERNS], clean_name, generic_name_ok)
+    none = F.array().cast("array<string>")
+    found = [F.when(F.coalesce(text, F.lit("")).rlike(gate), _all(text, p, 1)).otherwise(none) for p, gate in zip(CONTEXT_PATTERNS, CONTEXT_GATES, strict=True)]
+    return _names(found, clean_name, generic_name_ok)
 
 
 def metadata_names(meta: Column) -> Column:

@@ -311,6 +311,10 @@ def s_rule(r: dt.Rule, columns: str) -> str:
             marked = s_marked(before, body, after)
         else:  # its \b before letters is what ``before`` says
             marked = s_marked(before, quoted(r.pattern.removeprefix(r"(?<!/)\b")), after, doubled=False)
+    elif r.entity == "RG_NUMBER":  # what its look-aheads ask of the number is asked of what is found
+        bare = re.sub(r"\(\?=[^()]*\)|\(\?!\\s\+NACIONAL\)", "", r.pattern)
+        found = s_located(s_marked("", quoted(bare), "", doubled=False), f"{columns}, '{r.entity}' AS entity, '{r.name}' AS rule, CAST({r.score} AS DOUBLE) AS score", "cf")
+        return f"SELECT * FROM ({found}) WHERE regexp_matches(found, '[0-9]')"
     elif r.entity == "ENDERECO_LOGRADOURO":
         marked = s_marked(_EDGE_A, quoted(r.pattern.removeprefix(r"\b")), "", doubled=False)
     else:
@@ -331,30 +335,30 @@ def s_reduced(raw: str) -> str:
 _SPAN = ["doc_id", "entity", "rule", "score", "found", "start", "end"]
 
 
-def _detector(name: str, rules: list[dt.Rule], sql: bool = True) -> None:
-    query(name, s_rules(rules) if sql else None)(lambda s, d: dt.detect(cases(s, d), rules, "texto", raw=True).select(*_SPAN))
-
-
-for _name, _entity, _sql in [
-    ("d1_safe_location", "SAFE_LOCATION", True),
-    ("d2_legal_header", "LEGAL_HEADER", True),
-    ("d4_cpf", "CPF", True),
-    ("d5_oab", "OAB_NUMBER", True),
-    ("d6_phone_br", "PHONE_NUMBER_BR", True),
-    ("d7_cep", "CEP_NUMBER", True),
-    ("d8_address", "ENDERECO_LOGRADOURO", True),
-    ("d9_civil_status", "ESTADO_CIVIL", True),
-    ("d10_known_bodies", "ORGANIZACAO_CONHECIDA", True),
-    ("d12_cnh", "CNH", True),
-    ("d13_siape", "SIAPE", True),
-    ("d14_rg", "RG_NUMBER", False),
-    ("d15_siape_word", "MATRICULA_SIAPE", True),
-    ("d16_document_ids", "ID_DOCUMENTO", True),
-    ("d17_email", "EMAIL_ADDRESS", True),
-    ("d18_phone", "PHONE_NUMBER", True),
-    ("d19_date", "DATE_TIME", True),
+def _detector(name: str, rules: list[dt.Rule]) -> None:
+    query(name, s_rules(rules))(lambda s, d: dt.detect(cases(s, d), rules, "texto", raw=True).select(*_SPAN))
+
+
+for _name, _entity in [
+    ("d1_safe_location", "SAFE_LOCATION"),
+    ("d2_legal_header", "LEGAL_HEADER"),
+    ("d4_cpf", "CPF"),
+    ("d5_oab", "OAB_NUMBER"),
+    ("d6_phone_br", "PHONE_NUMBER_BR"),
+    ("d7_cep", "CEP_NUMBER"),
+    ("d8_address", "ENDERECO_LOGRADOURO"),
+    ("d9_civil_status", "ESTADO_CIVIL"),
+    ("d10_known_bodies", "ORGANIZACAO_CONHECIDA"),
+    ("d12_cnh", "CNH"),
+    ("d13_siape", "SIAPE"),
+    ("d14_rg", "RG_NUMBER"),
+    ("d15_siape_word", "MATRICULA_SIAPE"),
+    ("d16_document_ids", "ID_DOCUMENTO"),
+    ("d17_email", "EMAIL_ADDRESS"),
+    ("d18_phone", "PHONE_NUMBER"),
+    ("d19_date", "DATE_TIME"),
 ]:
-    _detector(_name, dt.rules_for([_entity]), _sql)
+    _detector(_name, dt.rules_for([_entity]))
 _detector("d3_legal_title", dt.title_rules(terms.SAMPLE_TITLES))
 _detector("d11_common_terms", dt.rules_for(["TERMO_COMUM"], common=["juntada aos autos", "almoxarifado", "depois"]))
 _detector("d21_own_rule", dt.rules_for(["PROTOCOLO"], more=[dt.Rule("PROTOCOLO", "linha", r"\bquadra\s+\d+\b", 0.9)]))
