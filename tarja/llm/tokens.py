@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, shared_folder, table
+from .common import limit_batches, shared_folder, table, written
 
 LIMIT = 4096
 SCHEMA = "content binary, tokenizer string, n_tokens long"
@@ -80,6 +80,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
     misses = own.groupBy("content").agg(F.first("text").alias("text")).join(known, "content", "left_anti")
     misses.mapInPandas(_encoded(tokenizer, version), SCHEMA).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that both sides of the join are plain shuffles, and a content with very many copies can be split
+    counts = written(counts, shared_folder(spark), "counts")
     sizes = own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
     return sizes.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
