@@ -146,4 +146,51 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents")).withColumn("posterior", F.round("posterior", 6))
+
+
+_PRIOR = {"good": (0.2, 0.64, 0.16), "bad": (0.2, 0.16, 0.64)}
+_ODDS = "ln(share / (1 - share)) + " + " + ".join(f"ln(good[{3 * r + 1} + v[{r + 1}]] / bad[{3 * r + 1} + v[{r + 1}]])" for r in range(RULES))
+
+
+def _step(part: str, mass: str, kind: str) -> str:
+    """The chances of each vote of each rule in a class, as a list of 3 * RULES numbers."""
+    each = [f"(sum({part} * n) FILTER (v[{r + 1}] = {x}) + {10 * _PRIOR[kind][x]}) / ({mass} + 10)" for r in range(RULES) for x in range(3)]
+    return "[" + ", ".join(e.replace("(sum(", "(coalesce(sum(", 1).replace(") + ", "), 0) + ", 1) for e in each) + "]"
+
+
+#: The votes and the algorithm over vote patterns, a round for each row of ``em``.
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), x AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)
+), c AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM x) WHERE k > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN c USING (doc_id)
+), o AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [
+    CASE WHEN n_words < 20 THEN 2 WHEN n_words >= 50 THEN 1 ELSE 0 END,
+    CASE WHEN 20 * n_symbols > word_chars THEN 2 WHEN 100 * n_symbols <= word_chars THEN 1 ELSE 0 END,
+    CASE WHEN 4 * n_symbols > n_words THEN 2 WHEN 50 * n_symbols <= n_words THEN 1 ELSE 0 END,
+    CASE WHEN n_dup_lines >= 3 THEN 2 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END,
+    CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 WHEN n_repeat_words = 0 THEN 1 ELSE 0 END,
+    CASE WHEN 2 * word_chars < 7 * n_words OR word_chars > 12 * n_words THEN 2 WHEN word_chars >= 3 * n_words AND word_chars <= 9 * n_words THEN 1 ELSE 0 END] AS v
+  FROM m
+), p AS (
+  SELECT v, CAST(count(*) AS DOUBLE) AS n FROM o GROUP BY v
+), em AS (
+  SELECT 1 AS k, CAST(0.8 AS DOUBLE) AS share, {[float(x) for _ in range(RULES) for x in _PRIOR["good"]]}::DOUBLE[] AS good, {[float(x) for _ in range(RULES) for x in _PRIOR["bad"]]}::DOUBLE[] AS bad
+  UNION ALL
+  SELECT k + 1, (sum(g * n) + 4) / (sum(n) + 5), {_step("g", "sum(g * n)", "good")}, {_step("(1 - g)", "sum((1 - g) * n)", "bad")}
+  FROM (SELECT k, v, n, 1 / (1 + exp(-({_ODDS}))) AS g FROM em, p WHERE k < {ROUNDS}) GROUP BY k
+), f AS (
+  SELECT v, 1 / (1 + exp(-({_ODDS}))) AS g FROM em, p WHERE k = {ROUNDS}
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND g >= {KEEP} AS kept, round(g, 6) AS posterior
+FROM o JOIN f USING (v)
+"""

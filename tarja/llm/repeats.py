@@ -49,6 +49,25 @@ SORTED = 1 << 19
 #: Texts that a task remembers so as not to cut copies again.
 SEEN = 1 << 20
 
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(h) >= {2 * LENGTH})
+), r AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new
+  FROM (SELECT *, count(*) OVER (PARTITION BY x) AS n FROM w) WHERE n > 1
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM r) GROUP BY doc_id, g
+), k AS (
+  SELECT doc_id, h, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM d JOIN s USING (doc_id)
+), c AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
 SEGMENT = "h long, digest long, th long, start int, windows int, lead int"
 
 
