@@ -116,7 +116,10 @@ def flexible_words(name: Column) -> Column:
 
 def accent_flexible_pattern(name: Column) -> Column:
     """A regex for the name with any accents, any case and any white space between words."""
-    return F.concat(F.lit(r"(?iU)(?<!\w)"), flexible_words(name), F.lit(r"(?!\w)"))
+    words = flexible_words(name)
+    # the first letter is looked for before the costlier bound
+    first = F.regexp_extract(words, r"^(\[[^\]]*\]|\\?.)", 1)
+    return F.concat(F.lit("(?iU)(?="), first, F.lit(r")(?<!\w)"), words, F.lit(r"(?!\w)"))
 
 
 def one_of(words: Iterable[str]) -> str:
@@ -128,9 +131,14 @@ def _real(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~F.upper(t).rlike(one_of(terms.CONNECTORS)))
 
 
+def first_word(name: Column) -> Column:
+    """The first word that isn't a connector, or an empty string."""
+    return F.coalesce(F.get(_real(tokenize(name)), F.lit(0)), F.lit(""))
+
+
 def first_name(name: Column) -> Column:
     """The first word that isn't a connector, unless it is blocked."""
-    word = F.coalesce(F.get(_real(tokenize(name)), F.lit(0)), F.lit(""))
+    word = first_word(name)
     return F.when(semantically_blocked(word), "").otherwise(word)
 
 

@@ -20,7 +20,7 @@ def company_spans(text: Column) -> Column:
     """Runs of capitalised words that hold a company term, merged."""
 
     def of(t: Column, pattern: str) -> Column:
-        named = F.filter(find_matches(t, pattern), lambda s: tx.contains_term(tx.normalize_filter(s["found"]), terms.COMPANY_TERMS))
+        named = F.filter(find_matches(t, pattern.replace("(?U)", "(?U)(?=[A-ZÀ-Ý])", 1)), lambda s: tx.contains_term(tx.normalize_filter(s["found"]), terms.COMPANY_TERMS))
         return F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
     return tx.let(text, lambda t: merge_array(F.concat(of(t, tx.COMPANY_UPPER), of(t, tx.COMPANY_MIXED))))
@@ -102,19 +102,23 @@ def _short_pattern(first: Column) -> Column:
     return F.concat(F.lit(rf"(?iU)\b{tx.HONORIFIC}\s+"), tx.flexible_words(first), F.lit(r"\b"))
 
 
-def name_patterns(names: Column, firsts: Column) -> Column:
+def name_patterns(text: Column, names: Column, firsts: Column) -> Column:
     """N2's patterns for cleaned names: each name and its variants, and an honorific with a first name that only one of
-    the names has. ``firsts``: the names' first names."""
+    the names has. ``firsts``: the names' first names. All patterns of a name hold its first word that is no connector, so a
+    name whose word isn't in the text gives none."""
+
+    none = F.array().cast("array<string>")
 
     def each(own: Column) -> Column:
         def of(name: Column, i: Column) -> Column:
             first = F.get(own["firsts"], i)
             alone = F.size(F.filter(own["firsts"], lambda f: tx.normalize_token(f) == tx.normalize_token(first))) == 1
-            return F.concat(F.transform(tx.name_variants(name), tx.accent_flexible_pattern), F.when((first != "") & alone, F.array(_short_pattern(first))).otherwise(F.array().cast("array<string>")))
+            every = F.concat(F.transform(tx.name_variants(name), tx.accent_flexible_pattern), F.when((first != "") & alone, F.array(_short_pattern(first))).otherwise(none))
+            return F.when(F.rlike(own["text"], tx.accent_flexible_pattern(tx.first_word(name))), every).otherwise(none)
 
         return F.flatten(F.transform(own["names"], of))
 
-    return tx.let(F.struct(names.alias("names"), firsts.alias("firsts")), each)
+    return tx.let(F.struct(text.alias("text"), names.alias("names"), firsts.alias("firsts")), each)
 
 
 def with_metadata_name_spans(df: DataFrame, text: str, names: str, out: str) -> DataFrame:
@@ -122,7 +126,7 @@ def with_metadata_name_spans(df: DataFrame, text: str, names: str, out: str) ->
     spans in companies, addresses and placeholders go."""
     some = (F.size(names) > 0) & (F.col(text) != "")
     df = df.withColumn("__firsts", F.transform(names, tx.first_name))
-    df = df.withColumn("__patterns", F.when(some, name_patterns(F.col(names), F.col("__firsts"))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("__patterns", F.when(some, name_patterns(F.col(text), F.col(names), F.col("__firsts"))).otherwise(F.array().cast("array<string>")))
     found = tx.let(F.struct(F.col(text).alias("text"), F.col("__patterns").alias("patterns")), lambda o: F.flatten(F.transform(o["patterns"], lambda p: find_matches(o["text"], p))))
     df = df.withColumn(out, F.when(F.size("__patterns") > 0, found).otherwise(F.array().cast(LOCATED)))
     named = F.filter(out, lambda s: ~tx.semantically_blocked(s["found"]))

@@ -31,7 +31,7 @@ CASES = "(" + cf.CASE_FILES.format(documents="documents") + ")"
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return src.spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
@@ -442,7 +442,7 @@ for _name, _op in (("p2_keep", "keep"), ("p3_replace", "replace"), ("p4_mask", "
 
 
 def _flow(s: SparkSession, d: str) -> flow.Anonymized:
-    docs = cases(s, d).select("doc_id", F.col("texto").alias("text"), F.array(F.lit(cf.METADATA_NAME)).alias("names"))
+    docs = cases(s, d).select("doc_id", F.col("texto").alias("text"), F.when(F.col("lang") == "es", F.array(F.lit(cf.METADATA_NAME))).alias("names"))
     return flow.anonymize(docs, _sample_index(s), titles=terms.SAMPLE_TITLES)
 
 

@@ -18,6 +18,13 @@ def read_documents(spark: SparkSession, path: str, form: str = "json") -> DataFr
     return df.select("doc_id", F.col("texto").alias("text"), F.coalesce("nomes_metadados", F.array().cast("array<string>")).alias("names"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt evenly over all cores if its table has fewer files than there are cores: work on texts is bound by
+    CPU, and a file of one row group is one task's. Larger tables stay as they are, without a shuffle."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def with_status(docs: DataFrame) -> DataFrame:
     """A2: ``status`` is blank for a null or blank text, else ok."""
     return docs.withColumn("status", F.when(F.coalesce("text", F.lit("")).rlike(r"(?U)\S"), "ok").otherwise("blank"))
