@@ -292,10 +292,11 @@ def _decided(segments: DataFrame, folder: str, name: str) -> DataFrame:
     place = F.xxhash64("th", "start")
     more = F.max(F.size("more") > 0)
     busy = segments.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("z"), more.alias("m")).where("a <> z or m").select("h")
+    # written, so that both sides of the join are plain shuffles, which adaptive execution can split
+    busy = written(busy, folder, f"{name}-busy")
     shared = written(segments.join(busy, "h"), folder, f"{name}-shared")
     equal = shared.groupBy("h", "digest").agg(F.min(place).alias("a"), F.max(place).alias("z"), more.alias("m"))
     equal = written(equal.select("h", "digest", F.col("a").alias("place"), (F.expr("a <> z") | F.col("m")).alias("covered")), folder, f"{name}-equal")
-    # written, so that both sides of the join are plain shuffles, which adaptive execution can split
     kinds = written(equal.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), folder, f"{name}-kinds")
     told = equal.join(kinds, "h", "left").where("covered or kinds > 1").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long")))
     met = shared.join(told, ["h", "digest"]).withColumn("first", place == F.col("place")).drop("place")
