@@ -37,6 +37,11 @@ def run_folder(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    own, files = _file_system(spark, path)
+    return files.exists(own)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     path, files = _file_system(spark, folder)
     files.delete(path, True)
