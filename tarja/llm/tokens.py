@@ -20,10 +20,10 @@ import hashlib
 from functools import cache
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import exists
 from .common import limit_batches, shared_folder, table, written
 
 LIMIT = 4096
@@ -63,10 +63,8 @@ def _encoded(path: str, version: str):
 
 
 def read_cache(spark, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(SCHEMA).parquet(path)
-    except AnalysisException:  # nothing has been written there yet
-        return spark.createDataFrame([], SCHEMA)
+    """What has been counted; empty if nothing has been written there yet. A cache that can't be read is an error."""
+    return spark.read.schema(SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], SCHEMA)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int = LIMIT) -> DataFrame:
