@@ -67,8 +67,11 @@ def covered_lines(docs: DataFrame, folder: str) -> DataFrame:
     windows = written(kept.select("doc_id", "th", F.explode(hashed).alias("w")).select("doc_id", "th", "w.h1", "w.h2", F.get("w.at", F.lit(0)).alias("a"), F.get("w.at", F.lit(1)).alias("b"), F.get("w.at", F.lit(2)).alias("c")), folder, "windows")
     place = F.struct("doc_id", "a", "th")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
+    # written, so that both sides of the join are plain shuffles, and a window in very many texts can be split
+    repeated = written(repeated, folder, "repeated")
     later = windows.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b", "c")))).alias("gone"))
+    gone = later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b", "c")))).alias("gone"))
+    return written(gone, folder, "gone")
 
 
 def _without_gone(docs: DataFrame) -> DataFrame:
