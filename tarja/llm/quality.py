@@ -117,15 +117,26 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> dict
     return good
 
 
-def with_verdict(measured: DataFrame) -> DataFrame:
-    """``measured`` with base_failed, posterior and kept. Reads it twice."""
-    spark = measured.sparkSession
-    voted = measured.withColumn("pattern", F.array_join(F.array(*votes()), ""))
+def _pattern() -> Column:
+    return F.array_join(F.array(*votes()), "").alias("pattern")
+
+
+def _kept() -> Column:
+    return ~F.col("base_failed") & (F.col("posterior") >= KEEP)
+
+
+def with_posterior(voted: DataFrame) -> DataFrame:
+    """``voted``, with a column ``pattern``, with the posterior in its place. Reads it twice."""
     rows = voted.groupBy("pattern").count().collect()  # at most 3 ** RULES
     good = estimate({tuple(map(int, r["pattern"])): r["count"] for r in rows})
-    verdicts = spark.createDataFrame([("".join(map(str, p)), g) for p, g in good.items()], "pattern string, posterior double")
-    joined = voted.join(F.broadcast(verdicts), "pattern", "left").drop("pattern").withColumn("base_failed", base_failed())
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP))
+    verdicts = voted.sparkSession.createDataFrame([("".join(map(str, p)), g) for p, g in good.items()], "pattern string, posterior double")
+    return voted.join(F.broadcast(verdicts), "pattern", "left").drop("pattern")
+
+
+def with_verdict(measured: DataFrame) -> DataFrame:
+    """``measured`` with base_failed, posterior and kept."""
+    told = with_posterior(measured.withColumns({"pattern": _pattern(), "base_failed": base_failed()}))
+    return told.withColumn("kept", _kept())
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -135,14 +146,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. The verdict depends on the measures only, so it joins
-    back by a 128-bit digest of the text, and equal texts share it."""
-    key = [F.xxhash64("text"), F.xxhash64(F.lit(7), F.col("text"))]
-    own = docs.select("text", key[0].alias("k1"), key[1].alias("k2"))
-    measured = written(with_measures(own, "k1", "k2"), shared_folder(docs.sparkSession), "measures")
-    bad = with_verdict(measured).where(~F.col("kept")).select("k1", "k2").distinct()
-    keyed = docs.withColumns({"__k1": key[0], "__k2": key[1]})
-    return keyed.join(bad, (keyed["__k1"] == bad["k1"]) & (keyed["__k2"] == bad["k2"]), "left_anti").drop("__k1", "__k2")
+    """The rows of ``docs`` that the rules keep. Rows are measured once and written with their vote pattern, so the
+    verdict is told inside the row and no text is shuffled."""
+    own = docs.select("text", F.struct(*docs.columns).alias("__row"))
+    measured = with_measures(own, "__row").select("__row", _pattern(), base_failed().alias("base_failed"))
+    told = with_posterior(written(measured, shared_folder(docs.sparkSession), "measured"))
+    return told.where(_kept()).select("__row.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
