@@ -3,7 +3,7 @@
 Every byte of a document covered by a string of LENGTH bytes that also starts anywhere else is
 removed. Suffixes of all the bytes together don't fit one task, so equal strings meet as follows:
 
-1. Texts are known by a 64-bit hash. A text of two documents or more is covered as a whole; its
+1. Texts are known by a hash of 128 bits. A text of two documents or more is covered as a whole; its
    windows stand for all its copies.
 2. Each window of LENGTH bytes is filed under the least key among its byte runs of ANCHOR
    bytes. Equal windows hold the same runs, so they share that key, at the same place. Adjacent
@@ -17,7 +17,7 @@ removed. Suffixes of all the bytes together don't fit one task, so equal strings
 5. A key with over BLOCK representatives would fill a task. Its segments are cut into runs of WIDTHS
    places relative to the anchor, and filed under the bytes that all windows of such a run hold, so
    that windows which can be equal stay together; counting, collapsing and sorting start over on
-   those. At the last width a run is one window and nothing unlike is left under a key.
+   those. At the last width a run is one window, and its bytes themselves say which are equal.
 6. Covered ranges meet the text again and cut it.
 
 A null text is empty. Texts shorter than LENGTH keep everything. Rows alike in doc_id and text
@@ -286,20 +286,20 @@ def _kept(length: int):
     return run
 
 
-def _decided(segments: DataFrame, folder: str, name: str) -> DataFrame:
+def _decided(segments: DataFrame, folder: str, name: str, same: str) -> DataFrame:
     """``segments`` that matter, with ``covered`` (its equal stands elsewhere), ``first`` (it
-    represents its equals) and ``kinds`` (unlike representatives of its key)."""
+    represents its equals) and ``kinds`` (unlike representatives of its key). Segments of a key are equal by ``same``."""
     place = F.xxhash64("th", "start")
     more = F.max(F.size("more") > 0)
     busy = segments.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("z"), more.alias("m")).where("a <> z or m").select("h")
     # written, so that both sides of the join are plain shuffles, which adaptive execution can split
     busy = written(busy, folder, f"{name}-busy")
     shared = written(segments.join(busy, "h"), folder, f"{name}-shared")
-    equal = shared.groupBy("h", "digest").agg(F.min(place).alias("a"), F.max(place).alias("z"), more.alias("m"))
-    equal = written(equal.select("h", "digest", F.col("a").alias("place"), (F.expr("a <> z") | F.col("m")).alias("covered")), folder, f"{name}-equal")
+    equal = shared.groupBy("h", same).agg(F.min(place).alias("a"), F.max(place).alias("z"), more.alias("m"))
+    equal = written(equal.select("h", same, F.col("a").alias("place"), (F.expr("a <> z") | F.col("m")).alias("covered")), folder, f"{name}-equal")
     kinds = written(equal.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), folder, f"{name}-kinds")
     told = equal.join(kinds, "h", "left").where("covered or kinds > 1").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long")))
-    met = shared.join(told, ["h", "digest"]).withColumn("first", place == F.col("place")).drop("place")
+    met = shared.join(told, ["h", same]).withColumn("first", place == F.col("place")).drop("place")
     return written(met.where(F.col("covered") | F.col("first")), folder, f"{name}-decided")
 
 
@@ -312,12 +312,12 @@ def removed_spans(docs: DataFrame, folder: str, length: int = LENGTH) -> DataFra
     texts = docs.select("th", "text")
     segments = written(texts.mapInArrow(_segments(length), f"{SEGMENT}, more array<int>"), folder, "segments")
     for k, width in enumerate((*WIDTHS, 0)):
-        met = _decided(segments, folder, f"round-{k}")
+        met = _decided(segments, folder, f"round-{k}", "digest" if width else "piece")
         places = F.explode(F.concat(F.array("start"), "more"))
         ranges = ranges.unionByName(met.where("covered").select("th", places.alias("start"), "windows"))
         unlike = met.where(F.col("first") & (F.col("kinds") > 1))
         if k == 0:
-            own = unlike.groupBy("th").agg(F.collect_list(F.struct("h", "start", "windows", "lead", "kinds")).alias("places"))
+            own = written(unlike.groupBy("th").agg(F.collect_list(F.struct("h", "start", "windows", "lead", "kinds")).alias("places")), folder, "places")
             pieces = texts.join(own, "th").mapInArrow(_cut(length), "h long, th long, start int, windows int, lead int, kinds long, piece binary")
             unlike = written(pieces, folder, "pieces")
         few = unlike if not width else unlike.where(F.col("kinds") <= BLOCK)
@@ -330,13 +330,25 @@ def removed_spans(docs: DataFrame, folder: str, length: int = LENGTH) -> DataFra
     return ranges
 
 
+def _with_text_key(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, th, text): a 64-bit key for each text. Where unlike texts, told apart by 128 bits, share their first 64,
+    the key is made of all of them."""
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(7), text).alias("__h2"), text.alias("text"))
+    keys = own.groupBy("th").agg(F.min("__h2").alias("a"), F.max("__h2").alias("z"))
+    shared = written(keys.where("a <> z").select("th", F.lit(True).alias("__shared")), folder, "shared-keys")
+    if shared.isEmpty():
+        return own.drop("__h2")
+    return own.join(shared, "th", "left").select("doc_id", F.when(F.col("__shared"), F.xxhash64(F.lit(11), "th", "__h2")).otherwise(F.col("th")).alias("th"), "text")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row: the size of the text, the maximal removed runs of
     its bytes, and the bytes that remain, which may split a character; see the module."""
     folder = shared_folder(docs.sparkSession)
-    text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    own = removed_spans(docs, folder, length).groupBy("th").agg(F.collect_list(F.struct("start", "windows")).alias("places"))
+    docs = _with_text_key(docs, folder)
+    # written, so that a text with very many copies can be split in the join
+    own = written(removed_spans(docs, folder, length).groupBy("th").agg(F.collect_list(F.struct("start", "windows")).alias("places")), folder, "removed")
     return docs.join(own, "th", "left").select("doc_id", "text", "places").mapInArrow(_kept(length), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
