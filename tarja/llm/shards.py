@@ -120,16 +120,28 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return _ranked(rows, shards, folder).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
 
 
+def own_names(taken: list[str], names: tuple[str, ...]) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to be none of ``taken``."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 1) -> None:
     """``docs`` as Parquet, a folder for each shard with about ``files`` files, rows in the order of their slots; with
-    ``shard``, ``slot`` and ``size``."""
+    ``shard``, ``slot`` and ``size``. Columns of ``docs`` stay as they are: where one has such a name, the new one has an
+    underscore behind it (``shard_``)."""
     folder = shared_folder(docs.sparkSession)
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), folder, "keyed")
+    shard, slot, size, row = own_names(docs.columns, ("shard", "slot", "size", "__row"))
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), folder, "keyed")
     own = _described(docs)
-    rows = written(keyed.select("__row", *(x.alias(c) for c, x in own.items())), folder, "rows")
-    places = _ranked(rows, shards, folder).select("__row", "shard", "slot", "size")
-    placed = keyed.drop("shard", "slot", "size").join(places, "__row").drop("__row")
-    placed.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = written(keyed.select(F.col(row).alias("__row"), *(x.alias(c) for c, x in own.items())), folder, "rows")
+    places = _ranked(rows, shards, folder).select(F.col("__row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot), F.col("size").alias(size))
+    placed = keyed.join(places, row).drop(row)
+    placed.repartitionByRange(shards * files, shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

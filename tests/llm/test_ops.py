@@ -604,11 +604,14 @@ def test_shards(spark, docs, texts, monkeypatch, part):
 
 def test_shard_files_can_be_skipped(spark, tmp_path):
     rng = random.Random(6)
-    rows = [(i, "x" * int(10 ** rng.uniform(0, 3)), rng.choice(["de", "en", "es", "fr"]), f"site{rng.randrange(40):02}", "shard", i) for i in range(4000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, name string, slot long").repartition(7)
+    rows = [(i, "x" * int(10 ** rng.uniform(0, 3)), rng.choice(["de", "en", "es", "fr"]), f"site{rng.randrange(40):02}", "shard", f"mine{i}", -i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, name string, slot string, Size long").repartition(7)
     shards.write_shards(df, str(tmp_path / "s"), files=2)
     out = spark.read.parquet(str(tmp_path / "s"))
-    assert out.count() == 4000 and set(df.columns) <= set(out.columns)
+    assert Counter(tuple(r) for r in out.select(df.columns).collect()) == Counter(rows)
+    places = {r["doc_id"]: (r["size"], r["shard"], r["slot"]) for r in shards.assign_shards(df.drop("slot", "Size")).collect()}
+    assert {r["doc_id"]: (r["size_"], r["shard"], r["slot_"]) for r in out.collect()} == places
+    out = out.drop("Size").withColumnRenamed("size_", "size")
     files = out.groupBy(F.input_file_name().alias("f")).agg(*(F.min(c).alias(f"{c}_a") for c in shards.DIMENSIONS), *(F.max(c).alias(f"{c}_z") for c in shards.DIMENSIONS)).collect()
     assert len(files) >= 16
     for c, value in (("lang", "es"), ("source", "site07"), ("size", 40)):
