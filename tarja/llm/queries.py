@@ -16,6 +16,8 @@ QUERIES = {
     "op8_line_dedup": "lines",
     "op9_chat_format": "chat",
     "op10_sharding": "shards",
+    "op11_simhash": "simhash",
+    "op13_merkle_manifest": "manifest",
 }
 
 
