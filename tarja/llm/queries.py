@@ -17,6 +17,7 @@ QUERIES = {
     "op9_chat_format": "chat",
     "op10_sharding": "shards",
     "op11_simhash": "simhash",
+    "op12_collocations": "phrases",
     "op13_merkle_manifest": "manifest",
 }
 
