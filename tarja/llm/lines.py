@@ -79,6 +79,7 @@ def _without_gone(docs: DataFrame) -> DataFrame:
     base = docs.withColumn("text", F.col("text").cast("string"))
     own = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     gone = covered_lines(own, folder).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    gone = gone.hint("merge")  # what is lost grows with the rows, so it isn't broadcast where it happens to be small
     met = base.join(gone, base["doc_id"].cast("long").eqNullSafe(gone["__doc"]) & (F.xxhash64(base["text"]) == gone["__th"]), "left")
 
     def kept(lines: Column) -> Column:
