@@ -87,6 +87,14 @@ def rules_digest(rules: DataFrame) -> DataFrame:
     return rules.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("rules"))
 
 
+def rules_used(spans: DataFrame, by: str = "doc_id") -> DataFrame:
+    """R7 for results: for each document a digest of the rules that found something in it, and their number, so that two runs
+    show where other rules decided. A document has as many distinct rules as the rule table at most."""
+    line = F.concat_ws("|", "entity", "rule", F.format_string("%.3f", F.col("score")))
+    own = spans.select(by, line.alias("l")).distinct().groupBy(by)
+    return own.agg(F.md5(F.array_join(F.array_sort(F.collect_list("l")), "\n")).alias("digest"), F.count("*").alias("rules"))
+
+
 def density_by_size(docs: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
     """Documents, median and 95th percentile of length, and entities per 1,000 characters, by size."""
     n = entities.groupBy("doc_id").agg(F.count("*").alias("n"))

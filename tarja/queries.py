@@ -170,7 +170,7 @@ query("a5_term_list", "SELECT v AS value, count(*) AS n FROM (SELECT regexp_repl
 def _snapshot(s: SparkSession, d: str) -> DataFrame:
     path = f"{run_folder(s)}/snapshot"
     src.write_snapshot(_run(s, d, FIRST_RUN), path)
-    return s.read.schema(src.SNAPSHOT).json(path)
+    return src.read_snapshot(s, path)
 
 
 # --- B: scalars
@@ -395,9 +395,11 @@ SELECT doc_id, entity, rule, "start", "end" FROM s WHERE entity <> 'ID_DOCUMENTO
     lambda s, d: (lambda x: sp.drop_contained(x.where("entity <> 'ID_DOCUMENTO'"), x.where("entity = 'ID_DOCUMENTO'")).select("doc_id", "entity", "rule", "start", "end"))(span_rows(s, d))
 )
 query("e2_dedupe_same_entity", f'SELECT doc_id, entity, rule, score, found, "start", "end" FROM {SPANS} s')(lambda s, d: sp.dedupe_same_entity(raw_spans(s, d)).select(*_SPAN))
+#: Spans that stand twice count once, so that no order of ties is left to the windows.
 _ISLANDS = """{name} AS (SELECT {keys}, min("start") AS "start", max("end") AS "end", max(score) AS score FROM (
   SELECT *, sum(CASE WHEN r IS NULL OR "start" {over} r THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, max("end") OVER (PARTITION BY {keys} ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM {source})) GROUP BY {keys}, g)"""
+    SELECT *, max("end") OVER (PARTITION BY {keys} ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r
+    FROM (SELECT {keys}, "start", "end", max(score) AS score FROM {source} GROUP BY {keys}, "start", "end"))) GROUP BY {keys}, g)"""
 _MERGED = f"WITH s AS (SELECT * FROM {SPANS} s), {_ISLANDS.format(name='x', keys='doc_id', over='>', source='s')}"
 query("e3_merge_spans", f'{_MERGED} SELECT doc_id, "start", "end", score FROM x')(lambda s, d: sp.merge_spans(span_rows(s, d)).select("doc_id", "start", "end", "score"))
 _NEAR = "regexp_matches(" + s_window('"start"', '"end"', terms.CPF_WINDOW) + f", '{re2(tx.CPF_WORDS)}')"
@@ -504,8 +506,8 @@ query("r7_audit_sample", f"""SELECT entity, doc_id, "start", "end", kept, hash,
 FROM (SELECT doc_id, entity, "start", "end", score, kept, md5(doc_id || ':' || entity || ':' || "start" || ':' || "end") AS hash FROM {KEPT} s)) WHERE pos <= 3""")(
     lambda s, d: rp.audit_sample(dt.with_context(span_rows(s, d))).select("entity", "doc_id", "start", "end", "kept", "hash", "pos")
 )
-query("r7_rules_digest", f"SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS digest, count(*) AS rules FROM (SELECT DISTINCT entity || '|' || rule || '|' || found || '|0.5' AS l FROM {SPANS} s)")(
-    lambda s, d: rp.rules_digest(span_rows(s, d).select("entity", "rule", F.col("found").alias("regex"), F.lit(0.5).alias("score")).distinct())
+query("r7_rules_digest", f"""SELECT doc_id, md5(string_agg(l, chr(10) ORDER BY l)) AS digest, count(*) AS rules FROM (SELECT DISTINCT doc_id, entity || '|' || rule || '|' || printf('%.3f', score) AS l FROM {SPANS} s) GROUP BY doc_id""")(
+    lambda s, d: rp.rules_used(span_rows(s, d))
 )
 query("r8_density_by_size", f"""SELECT CASE WHEN chars < 500 THEN '<500' WHEN chars < 2000 THEN '<2000' WHEN chars < 8000 THEN '<8000' ELSE '8000+' END AS bucket, count(*) AS docs,
 quantile_cont(chars, 0.5) AS p50, quantile_cont(chars, 0.95) AS p95, round(1000 * sum(n) / sum(chars), 6) AS density

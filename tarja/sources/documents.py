@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,10 @@ def read_documents(spark: SparkSession, path: str, form: str = "json") -> DataFr
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs``, dealt evenly over all cores if its table has fewer files than there are cores: work on texts is bound by
+    """``docs``, dealt evenly over all cores if its scan has fewer partitions than there are cores: work on texts is bound by
     CPU, and a file of one row group is one task's. Larger tables stay as they are, without a shuffle."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def with_status(docs: DataFrame) -> DataFrame:
@@ -50,7 +51,9 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     empty list. ``line`` grows along a file."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "line long, value string")
     stripped = F.regexp_replace("value", r"(?U)^[\s\x{FEFF}]+|\s+$", "")
     return lines.select(F.monotonically_increasing_id().alias("line"), stripped.alias("value")).where(F.col("value") != "")
@@ -70,10 +73,25 @@ def write_results(docs: DataFrame, entities: DataFrame, path: str, form: str = "
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array, with or without a byte order mark."""
-    return spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
-
-
-def write_snapshot(run: DataFrame, path: str) -> None:
-    """A7."""
-    run.write.mode("overwrite").json(path)
+    """Files of one JSON array each, with or without a byte order mark, or of one object in each line. The first sign in the
+    first file with any says which."""
+    head = spark.read.text(path).select(F.regexp_extract("value", r"(?U)^[\s\x{FEFF}]*(\S)", 1).alias("c")).where("c <> ''").first()
+    return spark.read.schema(SNAPSHOT).option("multiLine", head is not None and head["c"] == "[").json(path)
+
+
+def _arrays(batches):
+    yield pa.RecordBatch.from_pydict({"value": ["["]})
+    first = True
+    for b in batches:
+        lines = b.column("value").to_pylist()
+        if lines:
+            yield pa.RecordBatch.from_pydict({"value": [line if first and not k else f",{line}" for k, line in enumerate(lines)]})
+            first = False
+    yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
+def write_snapshot(run: DataFrame, path: str, files: int | None = None) -> None:
+    """Each partition's rows as a file with one JSON array; ``files``: so many, by ranges of id, rows in its order."""
+    if files:
+        run = run.repartitionByRange(files, "id").sortWithinPartitions("id")
+    run.select(F.to_json(F.struct("id", "input", "output", "entities")).alias("value")).mapInArrow(_arrays, "value string").write.mode("overwrite").text(path)
