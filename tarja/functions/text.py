@@ -86,7 +86,10 @@ def digits_only(s: Column) -> Column:
 
 def cpf_valid(s: Column) -> Column:
     """Eleven digits, not all alike, with both check digits right."""
-    d = digits_only(s)
+    return _valid(digits_only(s))
+
+
+def _valid(d: Column) -> Column:
     digit = [F.coalesce(F.substring(d, k, 1).try_cast("int"), F.lit(0)) for k in range(1, 12)]
 
     def check(n: int) -> Column:
@@ -97,6 +100,15 @@ def cpf_valid(s: Column) -> Column:
     return (F.length(d) == 11) & ~alike & (digit[9] == check(9)) & (digit[10] == check(10))
 
 
+def cpf_valid_of(s: Column) -> Column:
+    """B7 for use in a lambda."""
+    return let(digits_only(s), _valid)
+
+
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def contains_term(normalized: Column, options: Iterable[str]) -> Column:
     """One of the terms stands in the text, not inside a longer word."""
     return normalized.rlike(f"(?<![A-Z0-9])(?:{any_of(options)})(?![A-Z0-9])")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..functions import text as tx
 from ..functions.patterns import grouped, quick
-from .spans import above_threshold, chunks, clean_marks, cut, dedupe_same_entity, located, marked
+from .spans import above_threshold, chunks, clean_marks, cut, dedupe_array, dedupe_same_entity, located, marked
 
 FLAGS = "(?iUsmd)"
 
@@ -26,19 +26,21 @@ class Rule(NamedTuple):
     gate: str = ""
     #: What runs in the pattern's place, if it isn't the pattern itself: the same matches in less time.
     run: str = ""
+    #: Whether the pattern is a list of terms or a form.
+    source: str = "regex"
 
 
 def _deny(entity: str, words: Iterable[str], score: float) -> list[Rule]:
     """One alternation in list order, not inside a word."""
     words = list(words)
     form = r"(?:^|(?<=\W))(?:{})(?:(?=\W)|$)"
-    return [Rule(entity, entity.lower(), form.format(tx.any_of(words)), score, run=form.format(grouped([tx.literal(w) for w in words])))] if words else []
+    return [Rule(entity, entity.lower(), form.format(tx.any_of(words)), score, run=form.format(grouped([tx.literal(w) for w in words])), source="list")] if words else []
 
 
 def _listed(entity: str, words: Iterable[str], score: float) -> list[Rule]:
     """One alternation, longest first: where terms nest, the longest is the span that would remain."""
     words = sorted(set(words), key=lambda w: (-len(w), w))
-    return [Rule(entity, entity.lower(), rf"\b(?:{tx.any_of(words)})\b", score, run=rf"\b(?:{grouped([tx.literal(w) for w in words])})\b")] if words else []
+    return [Rule(entity, entity.lower(), rf"\b(?:{tx.any_of(words)})\b", score, run=rf"\b(?:{grouped([tx.literal(w) for w in words])})\b", source="list")] if words else []
 
 
 def title_gate(titles: list[str]) -> str:
@@ -57,7 +59,7 @@ def title_gate(titles: list[str]) -> str:
 def title_rules(titles: list[str]) -> list[Rule]:
     """D3: titles are regexes as they stand, tried in their order; their first words gate."""
     form = r"\b({})(?:\([A-Z]\))?\b"
-    return [Rule("LEGAL_TITLE", "legal_title", form.format("|".join(titles)), 1.0, title_gate(titles), form.format(grouped(titles)))] if titles else []
+    return [Rule("LEGAL_TITLE", "legal_title", form.format("|".join(titles)), 1.0, title_gate(titles), form.format(grouped(titles)), "list")] if titles else []
 
 
 _DIGIT, _STREETS = r"(?U)\d", r"(?iU)\b(?:ru?a|av|trav|alameda|pra|rodovia|estrada|vicinal)"
@@ -171,6 +173,17 @@ def reduced(rows: DataFrame, by: str = "doc_id") -> DataFrame:
     return dedupe_same_entity(above_threshold(rows, terms.MIN_SCORE), by)
 
 
+def reduced_array(spans: Column) -> Column:
+    """E9 and E2 inside a row."""
+    return dedupe_array(F.filter(spans, lambda s: s["score"] >= terms.MIN_SCORE))
+
+
+def with_context_array(spans: Column) -> Column:
+    """E4 and E5 inside a row: each span with ``kept``."""
+    kept = lambda s: F.when(s["entity"] == "OAB_NUMBER", F.rlike(s["found"], F.lit(r"(?iU)\bOAB\b")) | s["context"]).when(s["entity"].isin("CPF", "CIN"), tx.cpf_valid_of(s["found"]) | s["context"]).otherwise(True)
+    return F.transform(spans, lambda s: s.withField("kept", kept(s)))
+
+
 def with_context(spans: DataFrame) -> DataFrame:
     """``kept``: E4 (a CPF is valid or in context) and E5 (a bar number says so or is in context), for spans of ``detect``."""
     cpf = tx.cpf_valid(F.col("found")) | F.col("context")

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as tx
-from .spans import LOCATED, NO_SPANS, chunks, clean_marks, cut, find_matches, find_spans, merge_array, outside_all, splice_array
+from ..sources.shared import run_folder, written
+from .spans import LOCATED, NO_SPANS, STEPS, chunks, clean_marks, cut, find_matches, find_spans, merge_array, outside_all, splice_array, step
+
+#: Words of a name list that go into the plan, as one set that each row looks its words up in. A longer list is joined.
+LISTED = 50_000
 
 
 def mask_names(text: Column, names: Column, placeholder: str) -> Column:
@@ -16,6 +20,21 @@ def mask_names(text: Column, names: Column, placeholder: str) -> Column:
     return F.when(F.size(names) == 0, text).otherwise(F.aggregate(order, text, lambda acc, s: F.regexp_replace(acc, tx.accent_flexible_pattern(s["n"]), F.lit(placeholder))))
 
 
+def mask_names_in_steps(text: Column, names: Column, placeholder: str, source: str) -> Column:
+    """N1 as struct<text, steps>: the same text, and a step for each name that stands in it."""
+    order = F.array_sort(F.transform(F.filter(names, lambda n: F.trim(n) != ""), lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n"))))
+    start = F.struct(text.alias("text"), F.array().cast(STEPS).alias("steps"))
+
+    def one(acc: Column, s: Column) -> Column:
+        def of(x: Column) -> Column:
+            done = F.struct(splice_array(acc["text"], x).alias("text"), F.concat(acc["steps"], step(source, x)).alias("steps"))
+            return F.when(F.size(x) > 0, done).otherwise(acc)
+
+        return tx.let(put_all(find_spans(acc["text"], tx.accent_flexible_pattern(s["n"])), placeholder), of)
+
+    return F.when(F.size(names) == 0, start).otherwise(F.aggregate(order, start, one))
+
+
 def company_spans(text: Column) -> Column:
     """Runs of capitalised words that hold a company term, merged."""
 
@@ -77,18 +96,49 @@ def _content() -> list[Column]:
     return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), F.col("text")).alias("k2")]
 
 
-def mask_common_names(docs: DataFrame, index: DataFrame, placeholder: str = terms.NAME_PLACEHOLDER) -> DataFrame:
-    """``docs`` with each listed word replaced, unless it stands in a company's name, in an address,
-    or beside < or >."""
+def small_list(index: DataFrame, most: int = LISTED) -> list[str] | None:
+    """The words of an index that is small enough for the plan."""
+    words = [r["token"] for r in index.select("token").limit(most + 1).collect()]
+    return words if len(words) <= most else None
+
+
+def listed_in_row(docs: DataFrame, words: list[str]) -> DataFrame:
+    """``docs`` with ``__listed``: the words of its text that are in the list, or null."""
+    every = F.array_distinct(F.transform(F.array_distinct(tx.tokenize(F.col("text"))), tx.normalize_token))
+    if not words:
+        return docs.withColumn("__listed", F.lit(None).cast("array<string>"))
+    found = docs.withColumn("__words", every).withColumn("__listed", F.expr(f"filter(__words, w -> w IN ({', '.join(map(tx.sql_string, words))}))"))
+    return found.withColumn("__listed", F.when(F.size("__listed") > 0, F.col("__listed"))).drop("__words")
+
+
+def listed_by_join(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """The same for a long list. What texts have found is written, so that a text with very many copies can be split."""
     one, two = _content()
-    listed = listed_words(docs, index).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("listed").alias("__listed"))
-    met = docs.join(listed, (one == F.col("__k1")) & (two == F.col("__k2")), "left")
+    listed = written(listed_words(docs, index), run_folder(docs.sparkSession), "listed")
+    listed = listed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("listed").alias("__listed"))
+    return docs.join(listed, (one == F.col("__k1")) & (two == F.col("__k2")), "left").drop("__k1", "__k2")
+
+
+def with_listed_spans(docs: DataFrame, index: DataFrame | list[str], out: str) -> DataFrame:
+    """``docs`` with N4's spans, array<struct<start, end>>, as the column ``out``. A list of up to LISTED words, or one given as such, is looked
+    up inside the row, and no text moves; a longer one is joined with the distinct words of texts."""
+    words = index if isinstance(index, list) else small_list(index)
+    met = listed_by_join(docs, index) if words is None else listed_in_row(docs, words)
     # only the document's listed words are looked for, as whole words with any accents
     letter = tx.LETTERS.removesuffix("+")
     word = F.concat(F.lit(f"(?iu)(?<!{letter})(?:"), F.array_join(F.transform("__listed", tx.flexible_words), "|"), F.lit(f")(?!{letter})"))
     hits = F.when(F.col("__listed").isNotNull(), find_spans(F.col("text"), word)).otherwise(F.array().cast(NO_SPANS))
-    found = with_open_spans(met.withColumn("__hits", hits), "text", "__hits")
-    return found.withColumn("text", F.when(F.size("__hits") > 0, spliced("text", "__hits", placeholder)).otherwise(F.col("text"))).select(*docs.columns)
+    return with_open_spans(met.withColumn(out, hits).drop("__listed"), "text", out)
+
+
+def mask_common_names(docs: DataFrame, index: DataFrame | list[str], placeholder: str = terms.NAME_PLACEHOLDER, steps: str = "") -> DataFrame:
+    """``docs`` with each listed word replaced, unless it stands in a company's name, in an address,
+    or beside < or >. ``steps``: a column of steps that takes this one too."""
+    found = with_listed_spans(docs, index, "__hits")
+    cols = {"text": F.when(F.size("__hits") > 0, spliced("text", "__hits", placeholder)).otherwise(F.col("text"))}
+    if steps:
+        cols[steps] = F.concat(steps, step("list", put_all(F.col("__hits"), placeholder)))
+    return found.withColumns(cols).select(*docs.columns)
 
 
 def clean_metadata_names(names: Column) -> Column:
@@ -135,8 +185,9 @@ def with_metadata_name_spans(df: DataFrame, text: str, names: str, out: str) ->
     return df.withColumn(out, merge_array(F.col(out))).drop("__firsts", "__patterns")
 
 
-def mask_metadata_names(docs: DataFrame, placeholder: str = terms.NAME_PLACEHOLDER) -> DataFrame:
-    """``docs`` (text, names, ...) with the names masked, and the metrics. All inside the row."""
+def mask_metadata_names(docs: DataFrame, placeholder: str = terms.NAME_PLACEHOLDER, steps: str = "") -> DataFrame:
+    """``docs`` (text, names, ...) with the names masked, and the metrics. All inside the row. ``steps``: the name of a new
+    column for what was done."""
     own = docs.withColumn("__t", clean_marks(F.coalesce(F.col("text"), F.lit("")))).withColumn("__names", clean_metadata_names(F.col("names")))
     own = with_metadata_name_spans(own, "__t", "__names", "__spans")
     some = F.col("__t") != ""
@@ -146,5 +197,6 @@ def mask_metadata_names(docs: DataFrame, placeholder: str = terms.NAME_PLACEHOLD
             "metadado_nome_identificado": (F.size("__names") > 0) & some,
             "metadado_nomes_pf_total": F.when(some, F.size("__names")).otherwise(0),
             "metadado_ocorrencias_forcadas": F.size("__spans"),
+            **({steps: step("metadata", put_all(F.col("__spans"), placeholder))} if steps else {}),
         }
     ).drop("__t", "__names", "__spans")

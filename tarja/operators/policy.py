@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .spans import chunks, cut, merge_across_space, resolve_conflicts, splice_array
+from .spans import chunks, cut, merge_across_space, resolve_array, resolve_conflicts, splice_array
 
 SCHEMA = "entity string, op string, new_value string, masking_char string, chars_to_mask int, from_end boolean, class int"
 
@@ -60,10 +60,10 @@ FIELDS = ["op", "new_value", "masking_char", "chars_to_mask", "from_end"]
 
 def with_policy(spans: DataFrame, policy: DataFrame) -> DataFrame:
     """Each span with its entity's operator and values; without one, with DEFAULT's, else keep. ``policy`` has a row
-    for each entity; Spark's size check decides whether it is broadcast."""
-    own = policy.dropDuplicates(["entity"])
-    default = own.where(F.col("entity") == "DEFAULT").select(F.lit(True).alias("__any"), F.struct(*FIELDS).alias("__default"))
-    met = spans.join(own.select("entity", F.struct(*FIELDS).alias("__own")), "entity", "left").withColumn("__any", F.lit(True)).join(default, "__any", "left")
+    for each entity (of several the least counts); Spark's size check decides whether it is broadcast."""
+    own = policy.groupBy("entity").agg(F.min(F.struct(*FIELDS)).alias("__own"))
+    default = own.where(F.col("entity") == "DEFAULT").select(F.lit(True).alias("__any"), F.col("__own").alias("__default"))
+    met = spans.join(own, "entity", "left").withColumn("__any", F.lit(True)).join(default, "__any", "left")
     # an operator comes with its own values, none of DEFAULT's
     met = met.withColumn("__op", F.coalesce("__own", "__default"))
     return met.select(*(F.col(c) for c in spans.columns if c not in FIELDS), F.coalesce("__op.op", F.lit("keep")).alias("op"), *(F.col(f"__op.{c}").alias(c) for c in FIELDS[1:]))
@@ -104,6 +104,51 @@ def apply_spans(docs: DataFrame, spans: DataFrame, policy: DataFrame, text: str
     return met.withColumn(text, tx.public_placeholder(F.when(F.size("__put") > 0, done).otherwise(F.col(text)))).drop("__by", "__spans", "__parts", "__put")
 
 
+#: Rows of a policy that go into the plan; a longer one is joined.
+LISTED = 1_000
+
+
+def small_policy(policy: DataFrame, most: int = LISTED) -> list | None:
+    """The rows of a policy that is small enough for the plan. An entity that stands twice is an error."""
+    rows = policy.select("entity", *FIELDS).limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    twice = {r["entity"] for r in rows if sum(x["entity"] == r["entity"] for x in rows) > 1}
+    if twice:
+        raise ValueError(f"the policy has several rows for {', '.join(sorted(twice))}")
+    return rows
+
+
+OPERATOR = "struct<op:string,new_value:string,masking_char:string,chars_to_mask:int,from_end:boolean>"
+
+
+def operator_of(entity: Column, policy: list) -> Column:
+    """P1 inside a row: the entity's operator with its values; without one DEFAULT's, else keep."""
+    values = {r["entity"]: F.struct(*(F.lit(r[f]).alias(f) for f in FIELDS)).cast(OPERATOR) for r in policy}
+    default = values.get("DEFAULT", F.struct(F.lit("keep").alias("op"), *(F.lit(None).alias(f) for f in FIELDS[1:])).cast(OPERATOR))
+    if not values:
+        return default
+    return F.coalesce(F.try_element_at(F.create_map(*(x for e, v in values.items() for x in (F.lit(e), v))), entity), default)
+
+
+def applied(text: Column, spans: Column, policy: list) -> Column:
+    """E7 and P1 to P4 inside a row: array<struct<start, end, put, entity>> of what is to be replaced in the text, a column of its own."""
+
+    def of(parts: Column) -> Column:
+        def put(s: Column) -> Column:
+            def value(o: Column) -> Column:
+                found = cut(parts, s["start"], s["end"])
+                new = F.when(o["op"] == "replace", F.coalesce(o["new_value"], F.lit(""))).otherwise(masked(found, o["masking_char"], o["chars_to_mask"], o["from_end"]))
+                return F.struct(s["start"].alias("start"), s["end"].alias("end"), new.alias("put"), s["entity"].alias("entity"), (o["op"] == "keep").alias("stays"))
+
+            return tx.let(operator_of(s["entity"], policy), value)
+
+        return F.filter(F.transform(merge_across_space(parts, resolve_array(spans)), put), lambda x: ~x["stays"])
+
+    found = F.transform(tx.let(chunks(text), of), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["put"].alias("put"), x["entity"].alias("entity")))
+    return F.when(F.size(spans) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,put:string,entity:string>>"))
+
+
 def entity_table(spans: DataFrame, *keep: str) -> DataFrame:
     """Accepted spans, before conflicts are resolved, with the columns ``keep``. Offsets refer to the text after name masking."""
     return spans.select(

@@ -116,6 +116,67 @@ def inside_any(start: Column, end: Column, spans: Column) -> Column:
     return F.exists(spans, lambda p: (p["start"] <= start) & (end <= p["end"]))
 
 
+#: More than any offset: sets groups of one array apart.
+BASE = 1 << 32
+
+
+def _bases(s: Column, key: Callable[[Column], Column]) -> Column:
+    """For each place of an array, in which equal keys stand together, BASE times the number of its group, from 0."""
+    return running(F.transform(s, lambda x, i: F.when((i > 0) & (key(x) != key(F.get(s, i - 1))), F.lit(BASE)).otherwise(F.lit(0).cast("long"))))
+
+
+def dedupe_array(spans: Column) -> Column:
+    """E2 inside a row, for an array<struct<entity, rule, score, start, end, ...>>, by entity and start.
+
+    One sweep for each score that occurs: the widest reach, so far, of the entity's spans of at least that score."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["entity"].alias("e"), s["start"].alias("a"), (-s["end"]).alias("z"), (-s["score"]).alias("k"), s["rule"].alias("r"), s.alias("s"))))
+
+    def of(s: Column) -> Column:
+        def swept(b: Column) -> Column:
+            def reach(level: Column) -> Column:
+                return running(F.transform(s, lambda x, i: F.when(x["score"] >= level, x["end"] + F.get(b, i)).otherwise(F.lit(-1).cast("long"))), F.greatest)
+
+            def kept(o: Column) -> Column:
+                before = lambda x, i: F.get(F.get(o["reach"], (F.array_position(o["levels"], x["score"]) - 1).cast("int")), i - 1)
+                return F.filter(s, lambda x, i: (i == 0) | (before(x, i) < x["end"] + F.get(b, i)))
+
+            levels = F.array_distinct(F.transform(s, lambda x: x["score"]))
+            return let(let(levels, lambda l: F.struct(l.alias("levels"), F.transform(l, reach).alias("reach"))), kept)
+
+        return F.when(F.size(s) > 1, let(_bases(s, lambda x: x["entity"]), swept)).otherwise(s)
+
+    return let(F.transform(order, lambda x: x["s"]), of)
+
+
+def resolve_array(spans: Column) -> Column:
+    """E7 inside a row: array<struct<start, end, entity, score>>, by start, of an array with at least these fields."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["entity"].alias("entity"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))))
+
+    def merged(s: Column) -> Column:
+        def islands(o: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] + F.get(o["base"], i) >= F.get(o["reach"], i - 1)))
+
+            def island(h: Column, i: Column, j: Column) -> Column:
+                after = F.coalesce(F.get(h, j + 1), F.size(s))
+                end = (F.get(o["reach"], after - 1) - F.get(o["base"], i)).cast("int")
+                score = F.array_max(F.transform(F.slice(s, i + 1, after - i), lambda x: x["score"]))
+                return F.struct(F.get(s, i)["start"].alias("start"), (-end).alias("k"), (-score).alias("q"), F.get(s, i)["entity"].alias("entity"), end.alias("end"), score.alias("score"))
+
+            return let(heads, lambda h: F.transform(h, lambda i, j: island(h, i, j)))
+
+        reach = lambda b: F.struct(b.alias("base"), running(F.transform(s, lambda x, i: x["end"] + F.get(b, i)), F.greatest).alias("reach"))
+        return let(let(_bases(s, lambda x: x["entity"]), reach), islands)
+
+    def alone(m: Column) -> Column:
+        return let(running(F.transform(m, lambda x: x["end"]), F.greatest), lambda r: F.filter(m, lambda x, i: (i == 0) | (x["end"] > F.get(r, i - 1))))
+
+    def cut_off(a: Column) -> Column:
+        return F.transform(a, lambda x, i: F.struct(x["start"].alias("start"), F.least(x["end"], F.coalesce(F.get(a, i + 1)["start"], x["end"])).alias("end"), x["entity"].alias("entity"), x["score"].alias("score")))
+
+    one = lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["entity"].alias("entity"), x["score"].alias("score")))
+    return let(order, lambda s: F.when(F.size(s) > 1, let(let(F.array_sort(merged(s)), alone), cut_off)).otherwise(one(s)))
+
+
 def outside_all(spans: Column, protected: Column) -> Column:
     """E1 inside a row: array<struct<start, end>> of the spans that lie fully inside none of ``protected``, by start.
 
@@ -160,6 +221,53 @@ def splice_array(text: Column, spans: Column) -> Column:
     return let(F.array_sort(spans), own)
 
 
+# --- steps: how one text became another. A step is the spans that were replaced in one go, with what was put there.
+
+STEPS = "array<struct<source:string,spans:array<struct<start:int,end:int,put:string>>>>"
+
+
+def step(source: str, spans: Column) -> Column:
+    """An array of one step, or of none if nothing was replaced. ``spans``: array<struct<start, end, put>>, disjoint, by start."""
+    return F.when(F.size(spans) > 0, F.array(F.struct(F.lit(source).alias("source"), spans.alias("spans")))).otherwise(F.array()).cast(STEPS)
+
+
+def tables(steps: Column) -> Column:
+    """For each step its replaced stretches with their places before (start, end) and after (at, upto), by prefix sums."""
+
+    def table(s: Column) -> Column:
+        grown = running(F.transform(s, lambda x: F.length(x["put"]) - (x["end"] - x["start"])))
+        place = lambda g: F.transform(s, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["end"] + F.get(g, i) - F.length(x["put"])).alias("at"), (x["end"] + F.get(g, i)).alias("upto")))
+        return let(grown, place)
+
+    return F.transform(steps, lambda s: table(s["spans"]))
+
+
+def _before(table: Column, offset: Column, end: bool) -> Column:
+    """An offset after a step as one before it. An offset inside a replaced stretch becomes that stretch's start, or its end if
+    it is a span's end. The stretch is found by bisection."""
+
+    def halved(x: Column, _: Column) -> Column:
+        def of(m: Column) -> Column:
+            left = F.get(table, m)["at"] < offset if end else F.get(table, m)["at"] <= offset
+            return F.when(x["low"] >= x["high"], x).when(left, F.struct((m + 1).alias("low"), x["high"].alias("high"))).otherwise(F.struct(x["low"].alias("low"), m.alias("high")))
+
+        return let(F.shiftright(x["low"] + x["high"], 1), of)
+
+    def placed(e: Column) -> Column:
+        return F.when(e.isNull(), offset).when(offset < e["upto"], e["end"] if end else e["start"]).otherwise(offset - e["upto"] + e["end"])
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(table) + 1.0)).cast("int"))
+    found = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(table).alias("high")), halved)
+    return let(F.get(table, found["low"] - 1), placed)
+
+
+def traced(start: Column, end: Column, tables: Column) -> Column:
+    """struct<start, end>: a span's place in the text before all the steps that ``tables`` are of."""
+    kind = "struct<start:int,end:int>"
+    back = lambda x, t: F.struct(_before(t, x["start"], False).alias("start"), _before(t, x["end"], True).alias("end")).cast(kind)
+    return F.aggregate(F.reverse(tables), F.struct(start.alias("start"), end.alias("end")).cast(kind), back)
+
+
 def drop_contained(spans: DataFrame, protected: DataFrame, by: str = "doc_id") -> DataFrame:
     """Without the spans that lie fully inside a protected span of their document.
 

@@ -459,18 +459,34 @@ _COMPANIES = " UNION ALL ".join(
 )
 _FIRMS = _ISLANDS.format(name="firms", keys="doc_id", over=">", source=f"(SELECT *, 0 AS score FROM ({_COMPANIES}) WHERE {s_has(s_norm('found'), terms.COMPANY_TERMS)})")
 query("c8_company_spans", f'WITH {_FIRMS} SELECT doc_id, "start", "end" FROM firms')(lambda s, d: cases(s, d).select("doc_id", F.explode(nm.company_spans(F.col("texto"))).alias("s")).select("doc_id", "s.start", "s.end"))
-query(
-    "n4_mask_common_names",
-    f"""WITH {_FIRMS}, w AS ({s_located(s_marked('', tx.LETTERS, '', doubled=False), 'doc_id, texto', CASES)}),
+_LISTED = f"""WITH {_FIRMS}, w AS ({s_located(s_marked('', tx.LETTERS, '', doubled=False), 'doc_id, texto', CASES)}),
 h AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY "start"), 0) AS e FROM w
   WHERE list_contains({s_list(terms.SAMPLE_NAMES)}, trim(upper(strip_accents(replace(translate(found, 'ºª', 'oa'), 'ß', 'ss')))))
   AND NOT EXISTS (SELECT 1 FROM firms f WHERE f.doc_id = w.doc_id AND f."start" <= w."start" AND w."end" <= f."end")
   AND NOT regexp_matches({s_window('"start"', '"end"', terms.ADDRESS_WINDOW)}, '{re2(tx.ADDRESS_WORDS)}')
-  AND NOT ("start" > 0 AND substring(texto, "start", 1) = '<') AND substring(texto, "end" + 1, 1) <> '>'),
-m AS (SELECT doc_id, string_agg(substring(texto, e + 1, "start" - e) || '<NOME>', '' ORDER BY "start") || substring(any_value(texto), max("end") + 1) AS text FROM h GROUP BY doc_id)
+  AND NOT ("start" > 0 AND substring(texto, "start", 1) = '<') AND substring(texto, "end" + 1, 1) <> '>')"""
+query(
+    "n4_mask_common_names",
+    f"""{_LISTED}, m AS (SELECT doc_id, string_agg(substring(texto, e + 1, "start" - e) || '<NOME>', '' ORDER BY "start") || substring(any_value(texto), max("end") + 1) AS text FROM h GROUP BY doc_id)
 SELECT c.doc_id, coalesce(m.text, c.texto) AS text FROM {CASES} c LEFT JOIN m USING (doc_id)""",
 )(lambda s, d: nm.mask_common_names(cases(s, d).select("doc_id", F.col("texto").alias("text")), _sample_index(s)))
 
+
+def _n4_places(s: SparkSession, d: str) -> DataFrame:
+    """What N4 replaced, before and after, and where the word behind it came from."""
+    own = cases(s, d).select("doc_id", F.col("texto").alias("text"), F.col("texto").alias("original"), F.array().cast(sp.STEPS).alias("steps"))
+    done = nm.mask_common_names(own, _sample_index(s), steps="steps").withColumn("tables", sp.tables(F.col("steps")))
+    placed = done.select("doc_id", "text", "original", "tables", F.explode(F.flatten("tables")).alias("t"))
+    behind = sp.traced(F.col("t.upto"), F.col("t.upto") + 1, F.col("tables"))
+    return placed.select("doc_id", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.substring("original", F.col("t.start") + 1, F.col("t.end") - F.col("t.start")).alias("found"), F.col("t.at").alias("new_start"), F.substring("text", F.col("t.at") + 1, F.col("t.upto") - F.col("t.at")).alias("put"), behind["start"].alias("behind"))
+
+
+query(
+    "n4_places",
+    f"""{_LISTED} SELECT doc_id, "start", "end", found, CAST("start" + coalesce(sum(6 - length(found)) OVER (PARTITION BY doc_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS new_start, '<NOME>' AS put, "end" AS behind FROM h""",
+)(_n4_places)
+query("p6_stretches")(lambda s, d: _flow(s, d).stretches.drop("row_id"))
+
 # --- R: reports
 
 _ENT = f"""(SELECT doc_id, entity AS entidade, found AS texto_detectado, "start" AS inicio, "end" AS fim, score, source FROM {SPANS} s)"""

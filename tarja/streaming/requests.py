@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.report import nested_entities
-from ..plans.anonymize import ROW, Anonymized, anonymize
+from ..plans.anonymize import Anonymized, anonymize
 from ..sources.documents import REQUEST
 
 
@@ -19,8 +19,9 @@ def read_requests(spark: SparkSession, path: str, form: str = "json") -> DataFra
 
 def answers(done: Anonymized) -> DataFrame:
     """(doc_id, texto_anonimizado, entidades): one for each request, whatever its doc_id."""
-    texts = done.documents.select(ROW, "doc_id", F.col("text").alias("texto_anonimizado"))
-    return texts.join(nested_entities(done.documents, done.entities, ROW), ROW).drop(ROW)
+    row = done.row
+    texts = done.documents.select(row, "doc_id", F.col("text").alias("texto_anonimizado"))
+    return texts.join(nested_entities(done.documents, done.entities, row), row).drop(row)
 
 
 def anonymize_stream(requests: DataFrame, sink: str, checkpoint: str, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None, **trigger) -> StreamingQuery:
