@@ -7,14 +7,14 @@ partition by ``by`` and carry no text, so one very long document costs a sort of
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources.shared import run_folder, written
 
 OPEN, CLOSE = "\u0001", "\u0002"
 MARKS = f"[{OPEN}{CLOSE}]"
@@ -340,28 +340,32 @@ def merge_across_space(parts: Column, spans: Column) -> Column:
     return let(spans, lambda s: F.when(F.size(s) > 1, of(s)).otherwise(s))
 
 
-def _picked(group: pd.DataFrame) -> pd.DataFrame:
-    """Spans of one document: in the order of preference, each that meets none taken before."""
-    ranked = group.assign(__n=group["start"] - group["end"], __s=-group["score"]).sort_values(["class", "__s", "__n", "start", "end", "entity"], kind="stable")
-    starts: list[int] = []
-    ends: list[int] = []  # of the spans taken, which don't overlap, both in order
-    taken = []
-    for at, a, z in zip(ranked.index, ranked["start"].tolist(), ranked["end"].tolist(), strict=True):
-        k = bisect_left(starts, a)
-        if (k == 0 or ends[k - 1] <= a) and (k == len(starts) or z <= starts[k]):
-            starts.insert(k, a)
-            ends.insert(k, z)
-            taken.append(at)
-    return group.loc[taken].drop(columns="class")
-
-
 def resolve_by_class(spans: DataFrame, classes: DataFrame, by: str = "doc_id") -> DataFrame:
     """(by, entity, start, end, score): no overlap is left, and who stays is decided by class (1 first), then score, then
-    length, then start. ``classes``: (entity, class). Taking spans in turn is no set operation, so a
-    document's spans, without text, go through a sorted list of those taken."""
+    length, then start, end and entity.
+
+    In rounds: of spans that hang together the first in that order outranks all it meets, so it stays, what it meets goes, and what is
+    left falls apart into smaller groups. A round is windows over the spans that are still open, without text; most spans meet
+    none and stay in the first one. Groups fall apart by halves, about, unless the order follows their places."""
+    folder = run_folder(spans.sparkSession)
     own = spans.select(by, "entity", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"))
-    ranked = own.join(classes.select("entity", F.col("class").cast("int").alias("class")), "entity", "left").select(*own.columns, F.coalesce("class", F.lit(99)).alias("class"))
-    return ranked.groupBy(by).applyInPandas(_picked, own.schema)
+    ranks = classes.groupBy("entity").agg(F.min(F.col("class").cast("int")).alias("__class"))
+    ranked = own.join(ranks, "entity", "left").select(*own.columns, F.coalesce("__class", F.lit(99)).alias("__class"))
+    order = Window.partitionBy(by).orderBy("__class", F.desc("score"), F.col("start") - F.col("end"), "start", "end", "entity")
+    left = written(ranked.withColumn("__place", F.row_number().over(order)).drop("__class"), folder)
+    taken = []
+    while True:
+        w = Window.partitionBy(by).orderBy("start", "end", "__place")
+        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        told = left.withColumn("__new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
+        told = told.withColumn("__group", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        told = told.withColumn("__best", F.min(F.struct("__place", "start", "end")).over(Window.partitionBy(by, "__group")))
+        told = told.withColumn("__stays", F.col("__place") == F.col("__best.__place")).where(F.col("__stays") | (F.col("end") <= F.col("__best.start")) | (F.col("start") >= F.col("__best.end")))
+        told = written(told.select(*own.columns, "__place", "__stays"), folder)
+        taken.append(told.where("__stays").select(*own.columns))
+        left = told.where("not __stays").drop("__stays")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
 
 
 def ordered(spans: DataFrame, by: str = "doc_id") -> DataFrame:

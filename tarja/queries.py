@@ -430,7 +430,15 @@ SELECT doc_id, entity, "start", least("end", coalesce(lead("start") OVER (PARTIT
 )(lambda s, d: sp.resolve_conflicts(span_rows(s, d)).select("doc_id", "entity", "start", "end", "score"))
 query("e8_ordered", f"""SELECT doc_id, "start", "end", entity, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, entity) AS INTEGER) AS pos FROM {SPANS} s""")(lambda s, d: sp.ordered(span_rows(s, d)).select("doc_id", "start", "end", "entity", "pos"))
 query("e9_score_threshold", f'SELECT doc_id, rule, score, "start" FROM {RAW} s WHERE score >= 0.95')(lambda s, d: sp.above_threshold(raw_spans(s, d), 0.95).select("doc_id", "rule", "score", "start"))
-query("e10_priority")(lambda s, d: sp.resolve_by_class(span_rows(s, d), pl.default_policy(s)))
+_CLASS = "CASE entity WHEN 'ID_DOCUMENTO' THEN 1 WHEN 'PHONE_NUMBER_BR' THEN 3 ELSE 2 END"
+query(  # one span after another, in the order of preference, unless it meets one that was taken
+    "e10_priority",
+    f"""WITH RECURSIVE s AS (SELECT doc_id, entity, "start" AS a, "end" AS z, score, row_number() OVER (PARTITION BY doc_id ORDER BY {_CLASS}, score DESC, "start" - "end", "start", "end", entity) AS k FROM {SPANS} s),
+r AS (SELECT doc_id, 0 AS k, CAST([] AS STRUCT(a INTEGER, z INTEGER, k BIGINT)[]) AS taken FROM (SELECT DISTINCT doc_id FROM s)
+  UNION ALL SELECT r.doc_id, r.k + 1, CASE WHEN len(list_filter(taken, lambda t: t.a < s.z AND s.a < t.z)) > 0 THEN taken ELSE list_append(taken, {{'a': s.a, 'z': s.z, 'k': s.k}}) END FROM r JOIN s ON s.doc_id = r.doc_id AND s.k = r.k + 1),
+t AS (SELECT doc_id, unnest(list_transform(taken, lambda t: t.k)) AS k FROM (SELECT doc_id, arg_max(taken, k) AS taken FROM r GROUP BY doc_id))
+SELECT doc_id, entity, a AS "start", z AS "end", score FROM s JOIN t USING (doc_id, k)""",
+)(lambda s, d: sp.resolve_by_class(span_rows(s, d), pl.default_policy(s)))
 
 # --- P: policy
 
@@ -559,6 +567,11 @@ _COMPARED = f"""(SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN
   WHEN a.ent <> b.ent THEN 'entity_mismatch' ELSE 'ok' END AS status FROM {s_run(FIRST_RUN)} a FULL OUTER JOIN {s_run(SECOND_RUN)} b ON a.id = b.id)"""
 query("g1_compare_runs", f"SELECT * FROM {_COMPARED} x")(lambda s, d: rg.compare_runs(*_runs(s, d)))
 query("g2_multiset_compare", f"SELECT a.id, a.ent = b.ent AS same FROM {s_run(FIRST_RUN)} a JOIN {s_run(SECOND_RUN)} b ON a.id = b.id")(lambda s, d: _multisets(s, d))
+_EACH = "SELECT id, unnest(ent) AS e, {n} AS n FROM {run} x"
+query("g2_entity_differences", f"""SELECT id, split_part(e, '|', 1) AS entity, substring(e, length(split_part(e, '|', 1)) + 2) AS text, CAST(greatest(sum(n), 0) AS BIGINT) AS missing, CAST(greatest(-sum(n), 0) AS BIGINT) AS extra
+FROM ({_EACH.format(n=1, run=s_run(FIRST_RUN))} UNION ALL {_EACH.format(n=-1, run=s_run(SECOND_RUN))}) GROUP BY id, e HAVING sum(n) <> 0""")(lambda s, d: rg.entity_differences(*_runs(s, d)))
+query("g2_first_differences", f"""SELECT id, p - 1 AS "at", substring(a, p, 1) AS before, substring(b, p, 1) AS after FROM (SELECT id, a, b, list_filter(range(1, greatest(length(a), length(b)) + 1), lambda i: substring(a, i, 1) <> substring(b, i, 1))[1] AS p
+FROM (SELECT a.id, a.output AS a, replace(b.output, 'CNH', 'cnh') AS b FROM {s_run(FIRST_RUN)} a JOIN {s_run(SECOND_RUN)} b ON a.id = b.id) WHERE a <> b)""")(lambda s, d: rg.first_differences(*_runs(s, d)))
 query("g3_failure_summary", f"SELECT status, count(*) AS n FROM {_COMPARED} x GROUP BY status")(lambda s, d: rg.failure_summary(rg.compare_runs(*_runs(s, d))))
 query("a7_snapshot", f"SELECT id, output, array_to_string(ent, ';') AS entities FROM {s_run(FIRST_RUN)} a")(
     lambda s, d: _snapshot(s, d).select("id", "output", F.array_join(F.transform(rg.as_multiset(F.col("entities")), lambda e: F.concat_ws("|", e["entity"], e["text"])), ";").alias("entities"))
