@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..functions import text as tx
 from ..functions.patterns import grouped, quick
+from .dictionary import term_marks
 from .spans import above_threshold, chunks, clean_marks, cut, dedupe_array, dedupe_same_entity, located, marked
 
 FLAGS = "(?iUsmd)"
@@ -28,12 +29,20 @@ class Rule(NamedTuple):
     run: str = ""
     #: Whether the pattern is a list of terms or a form.
     source: str = "regex"
+    #: The terms themselves, if they are many: they are looked up by tokens, and the pattern, which says the same, isn't run.
+    terms: tuple[str, ...] = ()
+
+
+#: Of so many terms on a list is looked up.
+MANY = 1_000
 
 
 def _deny(entity: str, words: Iterable[str], score: float) -> list[Rule]:
     """One alternation in list order, not inside a word."""
     words = list(words)
     form = r"(?:^|(?<=\W))(?:{})(?:(?=\W)|$)"
+    if len(words) >= MANY:
+        return [Rule(entity, entity.lower(), form.format(tx.any_of(words)), score, source="list", terms=tuple(words))]
     return [Rule(entity, entity.lower(), form.format(tx.any_of(words)), score, run=form.format(grouped([tx.literal(w) for w in words])), source="list")] if words else []
 
 
@@ -138,7 +147,7 @@ def span_array(text: Column, rules: list[Rule]) -> Column:
     literals, whatever they hold. ``context``, for CPF, CIN and OAB_NUMBER, says whether a word of theirs is near (C10, C11)."""
 
     def tried(r: Rule) -> Column:
-        found = marked(text, FLAGS + quick(r.run or r.pattern))
+        found = term_marks(list(r.terms))(text) if r.terms else marked(text, FLAGS + quick(r.run or r.pattern))
         return F.struct(F.lit(r.entity).alias("entity"), F.lit(r.name).alias("rule"), F.lit(float(r.score)).alias("score"), (F.when(F.rlike(text, F.lit(r.gate)), found) if r.gate else found).alias("marked"))
 
     def rows(r: Column) -> Column:
