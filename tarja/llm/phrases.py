@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table, written
+from .common import forget, shared_folder, table, written
 from .hashing import RangeDigest, U, mix, text_slices
 from .shingles import _LOWER
 
@@ -46,13 +46,13 @@ MARGIN = 4
 MASS = 1 << 25
 PARTS = 256
 #: Hashes that a task sums up at a time, and counted phrases that it holds.
-HELD = 1 << 22
+HELD = 1 << 21
 COUNTED = 1 << 18
 #: Bytes of text that are cut into phrases at a time.
-SLICE = 1 << 19
-#: Bits of the map of survivors: at most, and for each of them.
+SLICE = 1 << 17
+#: Bits of the map of survivors, as a power of two: at most, and beyond that of their number.
 MAP_BITS = 28
-SPARSE = 8
+SPARSE = 6
 SALT = 64
 
 _SPLITS = np.zeros(256, dtype=bool)
@@ -147,7 +147,10 @@ def _summed(bits: int):
     """Rows (part, mass, summary) of a task's phrases; ``bits``: of the number of partitions."""
 
     def summaries(held):
-        ids, counts = np.unique(np.concatenate(held), return_counts=True)
+        ids = np.concatenate(held)
+        ids.sort()
+        at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        counts, ids = np.diff(np.append(at, len(ids))), ids[at]
         part = (ids >> U(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         keys = (ids & U(0xFFFFFFFF)).astype(np.uint32)
@@ -170,13 +173,13 @@ def _summed(bits: int):
     return run
 
 
-def _survivors(bits: int, map_bits: int):
+def _survivors(bits: int):
     """From rows (part, mass, summary, total) sorted by part, total being the part's mass: the fronts of the hashes whose phrases may occur LEAST times."""
 
     def kept(part, state, taken):
         keys, counts = state
         ids = (U(part) << U(32)) | keys[counts + taken >= LEAST].astype(U)
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(ids >> U(bits + 32 - map_bits)).view(np.int64))], ["bit"])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(ids >> U(bits + 32 - MAP_BITS)).view(np.int64))], ["bit"])
 
     def run(batches):
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -200,13 +203,15 @@ def _survivors(bits: int, map_bits: int):
     return run
 
 
-def _bit_map(survivors: DataFrame, map_bits: int) -> np.ndarray:
-    """The survivors' bits; at most 2 ** MAP_BITS, 32 MB, in pages of 4 KB."""
+def _bit_map(survivors: DataFrame) -> tuple[np.ndarray, int]:
+    """The survivors' bits and how many make a place in them; at most 2 ** MAP_BITS, 32 MB, in pages of 4 KB."""
+    map_bits = min(MAP_BITS, max(15, survivors.count().bit_length() + SPARSE))
+    survivors = survivors.select(F.shiftright("bit", MAP_BITS - map_bits).alias("bit"))
     pages = survivors.groupBy(F.floor(F.col("bit") / 32768).alias("page")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("bits"))
     out = np.zeros(max(4096, (1 << map_bits) // 8), dtype=np.uint8)
     for r in pages.toLocalIterator():
         out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
+    return out, map_bits
 
 
 def _counted(marks: np.ndarray, map_bits: int):
@@ -265,14 +270,13 @@ def counted_phrases(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
     bits = max(PARTS, -(-size * LONGEST // (2 * MASS))).bit_length() - 1  # a word takes two bytes at least
     rows = written(texts.mapInArrow(_summed(bits), "part long, mass long, summary binary"), folder, "summaries")
     mass = written(rows.groupBy("part").agg(F.sum("mass").alias("total")), folder, "masses")
-    total = mass.agg(F.sum("total")).first()[0] or 0
-    map_bits = min(MAP_BITS, max(15, (MARGIN * total // LEAST + 1).bit_length() + SPARSE))
     own = rows.join(F.broadcast(mass), "part") if mass.count() <= 1 << 16 else rows.join(mass, "part")
-    found = own.repartition("part").sortWithinPartitions("part").mapInArrow(_survivors(bits, map_bits), "bit long")
-    marks = _bit_map(written(found, folder, "survivors"), map_bits)
+    found = own.repartition("part").sortWithinPartitions("part").mapInArrow(_survivors(bits), "bit long")
+    marks, map_bits = _bit_map(written(found, folder, "survivors"))
     every = texts.mapInArrow(_counted(marks, map_bits), "lang string, phrase binary, f long")
     every = every.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= LEAST) | (F.col("phrase") == F.lit(b"")))
     every = written(every.withColumn("phrase", F.col("phrase").cast("string")), folder, "counted")
+    forget(docs.sparkSession, folder, "summaries", "masses", "survivors")
     return every.where("phrase <> ''"), every.where("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
