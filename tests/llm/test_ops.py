@@ -323,10 +323,37 @@ def test_topk(spark, monkeypatch):
         got = {tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0")).collect()}
         assert got == want
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+    # two vectors under one query id, and numbers beyond 53 and 63 bits, beside ones that stay small
+    twice = topk.integer_vectors(spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), *((i, [float(i), -float(i)]) for i in range(1, 30))], "vec_id long, embedding array<double>"))
+    best = sorted([(-s, i) for i in range(1, 30) for s in (1024**2 * i, -(1024**2) * i)] + [(0, 0)] * 0)[:10]
+    assert [(-r["score"], r["vec_id"]) for r in topk.top_k(twice, twice.where("vec_id = 0")).orderBy("rank").collect()] == best
+    sizes = [1.0, 3.0, 1e13, -1e13, 1e16, -1e16, 1e300]
+    wide = topk.integer_vectors(spark.createDataFrame([(i, [x, 1.0]) for i, x in enumerate(sizes)] + [(9, [1e308 * 1.7, 1.0])], "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(wide, wide).collect()}
+    cut = lambda s: max(-(2**63), min(2**63 - 1, s))
+    assert got == {(i, j): cut(int(1024 * x) * int(1024 * y) + 1024**2) for i, x in enumerate(sizes) for j, y in enumerate(sizes) if i != j}
     huge = topk.integer_vectors(spark.createDataFrame([(0, [2.0e6, 1.0]), (1, [3.0e6, 2.0]), (2, [1.0e6, 1.0])], "vec_id long, embedding array<double>"))
     assert [(r["vec_id"], r["score"]) for r in topk.top_k(huge, huge.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 2000000 * 3000000 * 1024**2 + 2 * 1024**2), (2, 2000000 * 1000000 * 1024**2 + 1024**2)]
 
 
+def test_queries_go_where_they_can_win(spark, monkeypatch):
+    """Clustered vectors in many parts: few pairs of part and query are compared, and the result is the same."""
+    monkeypatch.setattr(topk, "PART", 32 * 50)
+    rng = random.Random(12)
+    centres = [[rng.gauss(0, 3) for _ in range(32)] for _ in range(40)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in centres[i % 40]]) for i in range(2000)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).cache()
+    shuffled = []
+    got = {}
+    for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), shuffled=shuffled).collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    v = {r["vec_id"]: r["v"] for r in vectors.collect()}
+    assert set(got) == {i for i in v if i % 50 == 0}
+    for q, best in got.items():
+        assert sorted(best) == sorted((-int(sum(x * y for x, y in zip(v[q], v[i], strict=True))), i) for i in v if i != q)[:10]
+    assert shuffled[0] < 0.3 * shuffled[1], shuffled
+
+
 # --- 6
 
 
