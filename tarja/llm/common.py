@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import run_folder, written
+from ..sources.shared import delete_folder, run_folder, written
 
-__all__ = ["components", "limit_batches", "shared_folder", "table", "written"]
+__all__ = ["components", "forget", "limit_batches", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return run_folder(spark)
 
 
+def forget(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes tables of a run that nothing still to be computed reads."""
+    for name in names:
+        delete_folder(spark, f"{folder}/{name}")
+
+
 def _rooted(up: DataFrame, folder: str, name: str) -> DataFrame:
     """(id, component) of a forest whose pointers lead to smaller ids: pointers jump, twice as far each round, until all meet roots."""
     k = 0
@@ -37,6 +43,7 @@ def _rooted(up: DataFrame, folder: str, name: str) -> DataFrame:
         up = written(up.join(top, "component").select("id", F.col("root").alias("component"), (F.col("root") < F.col("component")).alias("moved")), folder, f"{name}-{k}")
         still = up.where("moved").isEmpty()
         up = up.select("id", "component")
+        forget(up.sparkSession, folder, f"{name}-{k - 1}")
         if still:
             return up
 
@@ -67,6 +74,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         half = e.join(root, e.b == root.component).select("a", F.col("root").alias("b")).where("a <> b").distinct()
         left = half.join(root, half.a == root.component).select(F.col("root").alias("a"), "b").where("a <> b")
         e = written(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-{phase}-links")
+        forget(e.sparkSession, folder, f"{name}-links" if phase == 0 else f"{name}-{phase - 1}-links")
         if e.isEmpty():
             return labels
         phase += 1

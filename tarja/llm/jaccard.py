@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, shared_folder, table, written
+from .common import components, forget, shared_folder, table, written
 from .hashing import U, text_slices
 from .rtree import count_vector, fold, needed, spanning, vectors
 from .shingles import set_digests, shingle_sets
@@ -414,6 +414,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if not size.where("large").isEmpty():
         links = written(links.unionByName(_large_clusters(written(held.where("large"), folder, "large"), folder)), folder, "all-links")
     linked = written(components(links, folder, "components").join(named, "id").select("id", "component", "doc"), folder, "linked")
+    forget(docs.sparkSession, folder, "groups", "wanted", "may", "clustered", "held", "sizes", "links", "all-links", "large", "large-members", "large-wanted", "large-points", "pivot-links", "group-pivot-links")
 
     least = linked.groupBy("component").agg(F.min("doc").alias("component_id"))
     found = classes.join(linked.join(least, "component").select(F.col("id").alias("d1"), "component_id"), "d1", "left")

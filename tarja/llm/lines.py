@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import shared_folder, table, written
+from .common import forget, shared_folder, table, written
 
 WINDOW = 3
 
@@ -71,7 +71,9 @@ def covered_lines(docs: DataFrame, folder: str) -> DataFrame:
     repeated = written(repeated, folder, "repeated")
     later = windows.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b", "c")))).alias("gone"))
-    return written(gone, folder, "gone")
+    gone = written(gone, folder, "gone")
+    forget(docs.sparkSession, folder, "windows", "repeated")
+    return gone
 
 
 def _without_gone(docs: DataFrame) -> DataFrame:
