@@ -79,6 +79,11 @@ def weight(n):
     return 256 + 10 * n
 
 
+def identity(d1: np.ndarray, d2: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """A set's id: its first digest, or, where unlike sets share it, both. The same as ``_named`` gives."""
+    return np.where(np.isin(d1, shared), d1 ^ d2, d1) if len(shared) else d1
+
+
 def _unseen(b: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
     """The rows whose text this task hasn't had yet."""
     if len(seen) > SEEN:
@@ -119,7 +124,7 @@ def _frequent(batches):
         yield counted()
 
 
-def _first_tokens(hot: np.ndarray, counts: np.ndarray):
+def _first_tokens(hot: np.ndarray, counts: np.ndarray, shared: np.ndarray):
     def run(batches):
         texts: set[int] = set()
         seen: set[int] = set()
@@ -128,7 +133,7 @@ def _first_tokens(hot: np.ndarray, counts: np.ndarray):
                 h, starts = shingle_sets(data, offsets)
                 if not len(h):
                     continue
-                d1, _ = set_digests(h, starts)
+                d1 = identity(*set_digests(h, starts), shared)
                 n = np.diff(starts)
                 fresh = np.zeros(len(n), dtype=bool)
                 for i, d in enumerate(d1.tolist()):
@@ -209,7 +214,7 @@ def _groups(block: int):
     return run
 
 
-def _candidates(bits: np.ndarray | None, whole: bool):
+def _candidates(bits: np.ndarray | None, whole: bool, shared: np.ndarray):
     def run(batches):
         texts: set[int] = set()
         seen: set[int] = set()
@@ -221,7 +226,7 @@ def _candidates(bits: np.ndarray | None, whole: bool):
                 seen.clear()
             for _, data, offsets in text_slices(_unseen(b, texts).column("text")):
                 h, starts = shingle_sets(data, offsets)
-                d1 = set_digests(h, starts)[0].view(np.int64).tolist()
+                d1 = identity(*set_digests(h, starts), shared).view(np.int64).tolist()
                 own = [i for i, d in enumerate(d1) if starts[i] < starts[i + 1] and d not in seen and not seen.add(d)]
                 sets = [h[starts[i] : starts[i + 1]] for i in own]
                 cols = [pa.array([d1[i] for i in own], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([count_vector(x) for x in sets], pa.binary())]
@@ -234,20 +239,20 @@ def _candidates(bits: np.ndarray | None, whole: bool):
     return run
 
 
-def _points(texts: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
+def _points(texts: DataFrame, wanted: DataFrame, whole: bool, shared: np.ndarray) -> DataFrame:
     """(id, n, vec) of the sets of the wanted texts (th), with their tokens if ``whole``, and perhaps of some more. Up
     to MAPPED texts are told to the scan by a bit map of 4 MB; beyond that all texts are shuffled to
     meet them. A set that several tasks have met comes once."""
     form = "id long, n long, vec binary" + ", tokens binary" * whole
     if wanted.count() > MAPPED:
-        found = texts.join(wanted, "th", "left_semi").mapInArrow(_candidates(None, whole), form)
+        found = texts.join(wanted, "th", "left_semi").mapInArrow(_candidates(None, whole, shared), form)
     else:
         bit = F.pmod("th", F.lit(1 << BITMAP_BITS))
         pages = wanted.groupBy(F.floor(bit / 32768).alias("page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits"))
         bits = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
         for r in pages.collect():  # at most 1,024 pages of 4 KB
             bits[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-        found = texts.mapInArrow(_candidates(bits, whole), form)
+        found = texts.mapInArrow(_candidates(bits, whole, shared), form)
     return found.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "vec", "tokens")[: 2 + whole]))
 
 
@@ -343,7 +348,7 @@ def _block_pairs(members: DataFrame, key: str, linked: DataFrame, folder: str, n
     return pairs.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
 
-def _large_groups(texts: DataFrame, large: DataFrame, classes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+def _large_groups(texts: DataFrame, large: DataFrame, classes: DataFrame, shared: np.ndarray, folder: str) -> tuple[DataFrame, DataFrame]:
     """Of tokens with many members, ``large`` (g, n, id): bounded links to pivots (a, b), and the
     members (g, low, high, own, id, n, vec) of the pairs of blocks that are left to bound."""
     sizes = Window.partitionBy("g").orderBy("n")
@@ -353,7 +358,7 @@ def _large_groups(texts: DataFrame, large: DataFrame, classes: DataFrame, folder
     prints = members.groupBy("g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     one = prints.where("size > 1").groupBy("size", "x", "y").agg(F.min("g").alias("g")).select("g", "size")
     members = written(members.join(one, "g").select("g", "size", "id", "n").distinct(), folder, "large-members")
-    points = written(_points(texts, written(_texts_of(members, classes), folder, "large-wanted"), False), folder, "large-points")
+    points = written(_points(texts, written(_texts_of(members, classes), folder, "large-wanted"), False, shared), folder, "large-points")
     pairs = members.join(_pivots(members, "g"), "g").select("id", "pivot").where("id <> pivot").distinct()
     pairs = pairs.join(points, "id").join(points.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("vec").alias("pivot_vec")), "pivot")
     linked = written(pairs.select("id", "pivot", "n", "pivot_n", "vec", "pivot_vec").mapInArrow(_near_pivot, "a long, b long").distinct(), folder, "group-pivot-links")
@@ -374,6 +379,18 @@ def _texts_of(members: DataFrame, classes: DataFrame) -> DataFrame:
     return members.select("id").distinct().join(classes, "id").select("th").distinct()
 
 
+def _shared_digests(classes: DataFrame) -> np.ndarray:
+    """The first digests that unlike sets share: about n ** 2 / 2 ** 65 of n sets, so some ten of 3 * 10 ** 10."""
+    twice = classes.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
+    return np.array([r["d1"] for r in twice.collect()], dtype=np.int64).view(U)
+
+
+def _named(classes: DataFrame, shared: np.ndarray) -> DataFrame:
+    """``classes`` with ``id``, which tells them apart by both digests."""
+    both = F.col("d1").bitwiseXOR(F.col("d2"))
+    return classes.withColumn("id", F.when(F.col("d1").isin(shared.view(np.int64).tolist()), both).otherwise(F.col("d1")) if len(shared) else F.col("d1"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; see the module."""
     folder = shared_folder(docs.sparkSession)
@@ -382,7 +399,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = docs.select("th", "text")
     sets = written(docs.mapInArrow(_signatures, "doc_id long, th long, n long, d1 long, d2 long"), folder, "sets")
     classes = written(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.min("th").alias("th")), folder, "classes")
-    named = classes.select(F.col("d1").alias("id"), "doc", "th")
+    shared = _shared_digests(classes)
+    named = _named(classes, shared)
 
     frequent = texts.mapInArrow(_frequent, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HOT_FROM)
     top = frequent.orderBy(F.desc("count"), "token").limit(HOT_TOKENS).toPandas()
@@ -390,22 +408,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     order = np.argsort(token)
     hot, counts = token[order], top["count"].to_numpy(dtype=np.int64)[order]
 
-    first = texts.mapInArrow(_first_tokens(hot, counts), "token long, d1 long, n long")
+    first = texts.mapInArrow(_first_tokens(hot, counts, shared), "token long, d1 long, n long")
     groups = _sorted_groups(first, ["token"]).mapInArrow(_groups(BLOCK), "g long, large boolean, n long, d1 long").withColumnRenamed("d1", "id")
     groups = written(groups.distinct(), folder, "groups")
     few, large = groups.where("not large").select("g", "id"), groups.where("large").select("g", "n", "id")
 
-    points = _points(texts, written(_texts_of(few, named), folder, "wanted"), False)
+    points = _points(texts, written(_texts_of(few, named), folder, "wanted"), False, shared)
     zero = F.lit(0).cast("long")
     members = few.join(points, "id").select("g", zero.alias("low"), zero.alias("high"), zero.alias("own"), "id", "n", "vec")
     near = None
     if not large.isEmpty():
-        near, left = _large_groups(texts, large, named, folder)
+        near, left = _large_groups(texts, large, named, shared, folder)
         members = members.unionByName(left)
     bounded = _sorted_groups(members, ["g", "low", "high"]).mapInArrow(_bounded, "a long, b long")
     may = written((bounded.unionByName(near) if near else bounded).distinct(), folder, "may")
     clusters = components(may, folder, "clusters").withColumnRenamed("component", "cluster")
-    held = written(_points(texts, written(_texts_of(clusters, named), folder, "clustered"), True).join(clusters, "id"), folder, "held")
+    held = written(_points(texts, written(_texts_of(clusters, named), folder, "clustered"), True, shared).join(clusters, "id"), folder, "held")
     size = held.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(weight(F.col("n"))).alias("bytes"))
     size = written(size.select("cluster", "size", ((F.col("size") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).alias("large")), folder, "sizes")
     held = held.join(size, "cluster")
@@ -417,8 +435,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     forget(docs.sparkSession, folder, "groups", "wanted", "may", "clustered", "held", "sizes", "links", "all-links", "large", "large-members", "large-wanted", "large-points", "pivot-links", "group-pivot-links")
 
     least = linked.groupBy("component").agg(F.min("doc").alias("component_id"))
-    found = classes.join(linked.join(least, "component").select(F.col("id").alias("d1"), "component_id"), "d1", "left")
+    # written, so that a set of very many copies can be split where it meets its rows
+    found = named.join(linked.join(least, "component").select("id", "component_id"), "id", "left")
     found = found.select("d1", "d2", F.when(F.col("component_id").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    found = written(found, folder, "found")
     met = sets.join(found, ["d1", "d2"], "left")
     return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +207,19 @@ def test_words_of_one_pattern_are_told_apart(spark):
     assert by_id(jaccard.jaccard_components(df), "component_id") == {1: (1,), 2: (2,), 3: (2,)}
 
 
+def test_sets_that_share_a_digest_are_told_apart(spark):
+    rows = [(5, 1, 0), (5, 2, 1), (6, 3, 2), (-7, -8, 3), (-7, 9, 4)]
+    classes = spark.createDataFrame([(a, b, i, i) for a, b, i in rows], "d1 long, d2 long, doc long, th long")
+    shared = jaccard._shared_digests(classes)
+    assert sorted(shared.view("int64").tolist()) == [-7, 5]
+    named = {r["doc"]: r["id"] for r in jaccard._named(classes, shared).collect()}
+    d1, d2 = (np.array([r[c] for r in rows], dtype=np.int64).view(np.uint64) for c in (0, 1))
+    assert named == dict(enumerate(jaccard.identity(d1, d2, shared).view(np.int64).tolist()))
+    assert len(set(named.values())) == 5 and named[2] == 6
+    none = jaccard._shared_digests(classes.where("doc = 2"))
+    assert not len(none) and jaccard._named(classes.where("doc = 2"), none).first()["id"] == 6
+
+
 def test_jaccard_by_rows(spark):
     """Null ids, and unlike texts under one id."""
     rng = random.Random(9)
