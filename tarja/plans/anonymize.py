@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -27,7 +27,8 @@ class Anonymized:
     what kind of rule found them (``source``) and their place in the original text. ``entities``: the entity table. ``stretches``: what was
     replaced, names included. All have row_id and doc_id, and join on row_id; a doc_id may be null or stand
     at several rows. The input's columns stay: where one is called row_id, or as a metric, the new one has an
-    underscore behind its name; ``row`` is the key's name.
+    underscore behind its name; ``row`` is the key's name. ``metrics`` were counted while the results were written: rows, signs of the
+    original texts (``chars``), and for each entity found (``raw ENTITY``) and accepted spans (``kept ENTITY``).
 
     They read one intermediate table that holds personal data; ``release`` deletes it once the results are written."""
 
@@ -37,6 +38,7 @@ class Anonymized:
     stretches: DataFrame
     folder: str
     row: str
+    metrics: dict[str, int]
 
     def release(self) -> None:
         delete_folder(self.documents.sparkSession, self.folder)
@@ -88,8 +90,8 @@ def anonymize(docs: DataFrame, index: DataFrame | list[str] | None = None, polic
     if rules is None:
         wanted = analysed_entities(policy, spark.createDataFrame([(e,) for e in PROTECTED], "entity string"))
         rules = rules_for((r["entity"] for r in wanted.collect()), titles, common)  # one for each entity
-    found, replaced = _unused("__spans", docs.columns), _unused("__stretches", docs.columns)
-    row, metrics = _unused(ROW, docs.columns), {m: _unused(m, docs.columns) for m in METRICS}
+    found, replaced, original = (_unused(c, docs.columns) for c in ("__spans", "__stretches", "__original"))
+    row, named = _unused(ROW, docs.columns), {m: _unused(m, docs.columns) for m in METRICS}
     names = F.col("names") if "names" in docs.columns else F.array().cast("array<string>")
     own = docs.select(F.struct(*docs.columns).alias("__user"), "text", names.alias("names"), F.monotonically_increasing_id().alias("__row"))
 
@@ -117,15 +119,21 @@ def anonymize(docs: DataFrame, index: DataFrame | list[str] | None = None, polic
     text = F.col("text") if ops is None else tx.public_placeholder(F.when(F.size("__put") > 0, spliced).otherwise(F.col("text")))
     done = out.select(
         *(F.col(f"__user.{c}").alias(c) if c != "text" else text.alias("text") for c in docs.columns),
-        F.col("__row").alias(row), *(F.col(m).alias(n) for m, n in metrics.items()), F.col("__spans").alias(found), F.when(F.size("__stretches") > 0, cut_out).alias(replaced),
+        F.col("__row").alias(row), *(F.col(m).alias(n) for m, n in named.items()), F.col("__spans").alias(found), F.when(F.size("__stretches") > 0, cut_out).alias(replaced), F.col("__user.text").alias(original),
     )
-    done = written(done, folder, "done")
+    entities = sorted({r.entity for r in rules})
+    of = lambda e, kept: F.sum(F.size(F.filter(F.col(found), lambda s: (s["entity"] == e) & (s["kept"] | F.lit(not kept)))))
+    counts = [of(e, kept).alias(f"{'kept' if kept else 'raw'} {e}") for e in entities for kept in (False, True)]
+    seen = Observation()
+    chars = F.sum(F.length(F.coalesce(F.col(original), F.lit(""))).cast("long")).alias("chars")
+    done = written(done.observe(seen, F.count(F.lit(1)).alias("rows"), chars, *counts).drop(original), folder, "done")
+    metrics = {m: n or 0 for m, n in seen.get.items()}
     spans = done.select(row, "doc_id", F.explode(found).alias("__s")).select(row, "doc_id", "__s.*")
     documents = done.drop(found, replaced)
     if ops is None:
         documents = apply_spans(documents, spans.where("kept"), policy, by=row)
     stretches = done.select(row, "doc_id", F.explode(replaced).alias("__s")).select(row, "doc_id", "__s.*")
-    return Anonymized(documents, spans, entity_table(spans.where("kept"), row), stretches, folder, row)
+    return Anonymized(documents, spans, entity_table(spans.where("kept"), row), stretches, folder, row, metrics)
 
 
 def anonymize_pdf_corpus(pdf_docs: DataFrame, pages: DataFrame, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> tuple[DataFrame, Anonymized]:

@@ -592,7 +592,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     top = run_folder(s)
     stream = rq.read_requests(s, _requests(s, d, top))
     rq.anonymize_stream(stream, f"{top}/out", f"{top}/state", _sample_index(s), terms.SAMPLE_TITLES, availableNow=True).awaitTermination()
-    return s.read.parquet(f"{top}/out").select("doc_id", "texto_anonimizado", F.size("entidades").alias("n"))
+    return rq.read_answers(s, f"{top}/out").select("doc_id", "texto_anonimizado", F.size("entidades").alias("n"))
 
 
 query("t1_anonymize_stream")(_stream)

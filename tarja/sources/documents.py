@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +42,41 @@ def admit_pdfs(pdf_docs: DataFrame, pages: DataFrame) -> DataFrame:
     return met.withColumn("status", status).drop("__some")
 
 
+def pdf_files(spark: SparkSession, path: str, modified_after: str | None = None, glob: str = "*.pdf") -> DataFrame:
+    """A3 at the source: (path, size_bytes, modified, status) of the files below ``path``; ``status`` is too_large or ok. Sizes come from the
+    listing, so no file is opened. ``modified_after``, as ``2026-01-31T00:00:00``: only files that are newer."""
+    files = _binary(spark, path, modified_after, glob)
+    status = F.when(F.col("length") > terms.MAX_PDF_MB * 1024 * 1024, "too_large").otherwise("ok")
+    return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), status.alias("status"))
+
+
+def _binary(spark: SparkSession, path: str, modified_after: str | None, glob: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    return (reader.option("modifiedAfter", modified_after) if modified_after else reader).load(path)
+
+
+def pdf_pages(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[str]], modified_after: str | None = None, glob: str = "*.pdf") -> DataFrame:
+    """(path, page_no, text): the pages of the files that aren't too large, which alone are opened, one at a time in a task. ``pages_of``, the
+    user's, gives a file's pages; a file that it fails on, or that has too many pages, gives one row without page_no or text, and its ``problem``."""
+
+    def read(frames):
+        for f in frames:
+            for name, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    found = pages_of(bytes(content))
+                    problem = "too_many_pages" if len(found) > terms.MAX_PDF_PAGES else None
+                except Exception as e:  # whatever a file makes the user's function raise is that file's problem
+                    problem = f"unreadable: {type(e).__name__}"
+                if problem:
+                    yield pd.DataFrame({"path": [name], "page_no": pd.array([None], "Int32"), "text": [None], "problem": [problem]})
+                else:
+                    yield pd.DataFrame({"path": name, "page_no": pd.array(range(1, len(found) + 1), "Int32"), "text": pd.Series(found, dtype=object), "problem": None})
+
+    small = _binary(spark, path, modified_after, glob).where(F.col("length") <= terms.MAX_PDF_MB * 1024 * 1024)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", terms.MAX_PDF_MB * 1024 * 1024)
+    return small.select("path", "content").mapInPandas(read, "path string, page_no int, text string, problem string")
+
+
 def join_pages(pages: DataFrame) -> DataFrame:
     """A4: (doc_id, text): a document's pages in order, with nothing between. Run it on admitted
     documents, whose pages are at most MAX_PDF_PAGES."""

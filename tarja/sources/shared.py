@@ -42,6 +42,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(own)
 
 
+def put_file(spark: SparkSession, path: str, value: str) -> None:
+    """A small file that is there as a whole or not at all: written beside and then renamed."""
+    own, files = _file_system(spark, path)
+    beside, _ = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = files.create(beside)
+    out.write(bytearray(value.encode()))
+    out.close()
+    if not files.rename(beside, own):
+        files.delete(beside, False)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    own, files = _file_system(spark, path)
+    return [str(f.getPath().getName()) for f in files.listStatus(own) if f.isDirectory()] if files.exists(own) else []
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     path, files = _file_system(spark, folder)
     files.delete(path, True)

@@ -6,7 +6,7 @@ from collections import Counter
 from tarja.functions import terms
 from tarja.operators import names as nm
 from tarja.plans.anonymize import anonymize
-from tarja.streaming.requests import anonymize_stream, read_requests
+from tarja.streaming.requests import anonymize_stream, read_answers, read_requests
 
 from .golden_cases import CASES, NOT_COMPARED, TITLES
 
@@ -40,7 +40,9 @@ def test_golden_cases_as_a_stream(spark, tmp_path):
     lines = [json.dumps({"doc_id": i, "texto": c["input"], "nomes_metadados": c.get("names", [])}, ensure_ascii=False) for i, c in enumerate(CASES)]
     (tmp_path / "in" / "a.json").write_text("\n".join(lines), encoding="utf-8")
     anonymize_stream(read_requests(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), index(spark), TITLES, availableNow=True).awaitTermination()
-    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+    answers = read_answers(spark, str(tmp_path / "out")).collect()
+    assert len(answers) == len(CASES)
+    for r in answers:
         case = CASES[r["doc_id"]]
         assert r["texto_anonimizado"] == case["output"]
         assert Counter((e["entidade"], e["texto_detectado"]) for e in r["entidades"] if e["entidade"] not in NOT_COMPARED) == wanted(case)
