@@ -46,8 +46,8 @@ MARGIN = 4
 MASS = 1 << 25
 PARTS = 256
 #: Hashes that a task sums up at a time, and counted phrases that it holds.
-HELD = 1 << 21
-COUNTED = 1 << 18
+HELD = 1 << 20
+COUNTED = 1 << 17
 #: Bytes of text that are cut into phrases at a time.
 SLICE = 1 << 17
 #: Bits of the map of survivors, as a power of two: at most, and beyond that of their number.
@@ -253,12 +253,14 @@ def _counted(marks: np.ndarray, map_bits: int):
                 if n > COUNTED:
                     t = summed()
                     if t.num_rows > COUNTED // 2:
-                        yield from t.to_batches(max_chunksize=1 << 16)
                         held, n = [], 0
+                        yield from t.to_batches(max_chunksize=1 << 15)
+                        del t
+                        pa.default_memory_pool().release_unused()
                     else:
                         held, n = [t.cast(held[0].schema)], t.num_rows
         if held:
-            yield from summed().to_batches(max_chunksize=1 << 16)
+            yield from summed().to_batches(max_chunksize=1 << 15)
 
     return run
 
