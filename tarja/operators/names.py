@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..functions import text as tx
 from ..sources.shared import run_folder, written
-from .spans import LOCATED, NO_SPANS, STEPS, chunks, clean_marks, cut, find_matches, find_spans, merge_array, outside_all, splice_array, step
+from .spans import LOCATED, NO_SPANS, STEPS, apart, chunks, clean_marks, cut, find_matches, find_spans, merge_array, outside_all, splice_array, step
 
 #: Words of a name list that go into the plan, as one set that each row looks its words up in. A longer list is joined.
 LISTED = 50_000
@@ -147,42 +147,71 @@ def clean_metadata_names(names: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(good, tx.clean_metadata_name)))
 
 
-def _short_pattern(first: Column) -> Column:
-    """An honorific and a first name."""
-    return F.concat(F.lit(rf"(?iU)\b{tx.HONORIFIC}\s+"), tx.flexible_words(first), F.lit(r"\b"))
+#: Letters with accents that a name's letters match, and signs that a case-insensitive match takes for plain ones.
+_ACCENTED = "".join(v for letters in tx.VARIANTS.values() for v in letters[1:])
+_BARE = "".join(base * (len(letters) - 1) for base, letters in tx.VARIANTS.items())
+_ODD, _EVEN = "\u017f\u0131\u0130\u212a", "siik"
 
 
-def name_patterns(text: Column, names: Column, firsts: Column) -> Column:
-    """N2's patterns for cleaned names: each name and its variants, and an honorific with a first name that only one of
-    the names has. ``firsts``: the names' first names. All patterns of a name hold its first word that is no connector, so a
-    name whose word isn't in the text gives none."""
+def _bare(word: Column) -> Column:
+    """A word as the patterns of B9 compare it."""
+    return F.translate(F.lower(F.translate(word, _ODD, _EVEN)), _ACCENTED, _BARE)
 
-    none = F.array().cast("array<string>")
 
-    def each(own: Column) -> Column:
-        def of(name: Column, i: Column) -> Column:
-            first = F.get(own["firsts"], i)
-            alone = F.size(F.filter(own["firsts"], lambda f: tx.normalize_token(f) == tx.normalize_token(first))) == 1
-            every = F.concat(F.transform(tx.name_variants(name), tx.accent_flexible_pattern), F.when((first != "") & alone, F.array(_short_pattern(first))).otherwise(none))
-            return F.when(F.rlike(own["text"], tx.accent_flexible_pattern(tx.first_word(name))), every).otherwise(none)
+def _runs(text: Column, variants: Column) -> Column:
+    """array<struct<start, end, found>>: where one of the ``variants`` (arrays of bare words) stands as whole words with nothing but white space between them.
+
+    The text's words are cut once, and only words that some variant begins with are looked at. Occurrences of one variant don't overlap, the first counts."""
+
+    def of(o: Column) -> Column:
+        w, bare = o["words"], o["bare"]
 
-        return F.flatten(F.transform(own["names"], of))
+        def fits(i: Column, v: Column) -> Column:
+            inner = F.sequence(F.lit(0), F.size(v) - 1)
+            spaced = lambda k: (k == 0) | F.rlike(cut(o["parts"], F.get(w, i + k - 1)["end"], F.get(w, i + k)["start"]), F.lit(r"(?U)^\s+$"))
+            return (F.slice(bare, i + 1, F.size(v)) == v) & F.forall(inner, spaced)
 
-    return tx.let(F.struct(text.alias("text"), names.alias("names"), firsts.alias("firsts")), each)
+        def found(heads: Column, v: Column) -> Column:
+            own = F.filter(heads, lambda i: (F.get(v, F.lit(0)) == F.get(bare, i)) & fits(i, v))
+            own = apart(F.transform(own, lambda i: F.struct(i.alias("start"), (i + F.size(v)).alias("end"))))
+            return F.transform(own, lambda x: F.struct(F.get(w, x["start"])["start"].alias("start"), F.get(w, x["end"] - 1)["end"].alias("end")))
+
+        firsts = F.array_distinct(F.transform(variants, lambda v: F.get(v, F.lit(0))))
+        heads = tx.let(firsts, lambda f: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(f, F.get(bare, i))))
+        spans = F.array_distinct(F.flatten(tx.let(heads, lambda h: F.transform(variants, lambda v: found(h, v)))))
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), cut(o["parts"], x["start"], x["end"]).alias("found")))
+
+    words = find_matches(text, r"(?U)\w+")
+    cut_once = lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: _bare(x["found"])).alias("bare"), chunks(text).alias("parts"))
+    return tx.let(words, lambda w: F.when(F.size(w) > 0, tx.let(cut_once(w), of)).otherwise(F.array().cast(LOCATED)))
 
 
 def with_metadata_name_spans(df: DataFrame, text: str, names: str, out: str) -> DataFrame:
-    """N2's spans, array<struct<start, end>>, merged, as the column ``out``, for cleaned ``names``. Each pattern is tried on its own, inside the row, and
-    spans in companies, addresses and placeholders go."""
+    """N2's spans, array<struct<start, end>>, merged, as the column ``out``, for cleaned ``names``: each name and its variants, and an honorific with
+    a first name that only one of the names has; spans in companies, addresses and placeholders go. The text is cut into words once, whatever the number of
+    names; names none of whose words begin a word of the text cost one pass."""
+    none = F.array().cast("array<string>")
     some = (F.size(names) > 0) & (F.col(text) != "")
     df = df.withColumn("__firsts", F.transform(names, tx.first_name))
-    df = df.withColumn("__patterns", F.when(some, name_patterns(F.col(text), F.col(names), F.col("__firsts"))).otherwise(F.array().cast("array<string>")))
-    found = tx.let(F.struct(F.col(text).alias("text"), F.col("__patterns").alias("patterns")), lambda o: F.flatten(F.transform(o["patterns"], lambda p: find_matches(o["text"], p))))
-    df = df.withColumn(out, F.when(F.size("__patterns") > 0, found).otherwise(F.array().cast(LOCATED)))
+    first_words = F.array_join(F.transform(F.filter(F.transform(names, tx.first_word), lambda w: w != ""), tx.flexible_words), "|")
+    df = df.withColumn("__any", some & (first_words != "") & F.rlike(F.col(text), F.concat(F.lit(r"(?iU)(?<!\w)(?:"), first_words, F.lit(r")(?!\w)"))))
+    variants = F.array_distinct(F.flatten(F.transform(names, tx.name_variants)))
+    df = df.withColumn("__variants", F.when(F.col("__any"), F.transform(variants, lambda v: F.transform(F.split(v, " "), _bare))).otherwise(F.array().cast("array<array<string>>")))
+    runs = tx.let(F.struct(F.col(text).alias("text"), F.col("__variants").alias("variants")), lambda o: _runs(o["text"], o["variants"]))
+    df = df.withColumn(out, F.when(F.size("__variants") > 0, runs).otherwise(F.array().cast(LOCATED)))
+
+    def lonely(firsts: Column) -> Column:
+        token = F.transform(firsts, tx.normalize_token)
+        return tx.let(token, lambda t: F.filter(firsts, lambda f, i: (f != "") & (F.size(F.filter(t, lambda x: x == F.get(t, i))) == 1)))
+
+    df = df.withColumn("__firsts", F.when(F.col("__any"), tx.let(F.col("__firsts"), lonely)).otherwise(none))
+    titled = F.concat(F.lit(rf"(?iU)\b{tx.HONORIFIC}\s+(?:"), F.array_join(F.transform("__firsts", tx.flexible_words), "|"), F.lit(r")\b"))
+    short = tx.let(F.struct(F.col(text).alias("text"), titled.alias("pattern")), lambda o: find_matches(o["text"], o["pattern"]))
+    df = df.withColumn(out, F.concat(out, F.when(F.size("__firsts") > 0, short).otherwise(F.array().cast(LOCATED))))
     named = F.filter(out, lambda s: ~tx.semantically_blocked(s["found"]))
     df = df.withColumn(out, F.array_distinct(F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
     df = with_open_spans(df, text, out)
-    return df.withColumn(out, merge_array(F.col(out))).drop("__firsts", "__patterns")
+    return df.withColumn(out, merge_array(F.col(out))).drop("__firsts", "__any", "__variants")
 
 
 def mask_metadata_names(docs: DataFrame, placeholder: str = terms.NAME_PLACEHOLDER, steps: str = "") -> DataFrame:

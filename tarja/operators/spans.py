@@ -198,6 +198,16 @@ def _one_after_another(spans: Column) -> Column:
     return F.transform(F.aggregate(F.sequence(F.lit(0), F.size(spans) - 1), start, step)["used"], lambda i: F.get(spans, i))
 
 
+def apart(spans: Column) -> Column:
+    """Spans sorted by start without those that start before the end of the one used last. Only where some cross, they are gone through in turn."""
+
+    def of(s: Column) -> Column:
+        crossed = F.exists(F.sequence(F.lit(1), F.size(s)), lambda i: F.coalesce(F.get(s, i)["start"] < F.get(s, i - 1)["end"], F.lit(False)))
+        return F.when(F.size(s) < 2, s).when(crossed, _one_after_another(s)).otherwise(s)
+
+    return let(spans, of)
+
+
 def splice_array(text: Column, spans: Column) -> Column:
     """E6 inside a row: the text with each span of array<struct<start, end, put>> replaced. A span that
     starts before the end of the one used last is passed over."""
@@ -215,8 +225,7 @@ def splice_array(text: Column, spans: Column) -> Column:
         return let(chunks(text), whole)
 
     def own(s: Column) -> Column:
-        crossed = F.exists(F.sequence(F.lit(1), F.size(s)), lambda i: F.coalesce(F.get(s, i)["start"] < F.get(s, i - 1)["end"], F.lit(False)))
-        return F.when(F.size(s) == 0, text).otherwise(let(F.when(crossed, _one_after_another(s)).otherwise(s), spliced))
+        return F.when(F.size(s) == 0, text).otherwise(let(apart(s), spliced))
 
     return let(F.array_sort(spans), own)
 
