@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable
 from typing import NamedTuple
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,6 +178,40 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text",
     return spans if raw else reduced(spans, by)
 
 
+def detect_by_set(docs: DataFrame, sets: dict[str, list[Rule]], column: str = "rule_set", text: str = "text", by: str = "doc_id", keep: Iterable[str] = (), raw: bool = False) -> DataFrame:
+    """D20 and D21 for groups of documents (courts, clients): ``column`` says which of the ``sets`` of rules is a document's. Each distinct
+    rule is run once, over all documents, and spans stay that the rules of their document's set have found; a document of another set, or of none, has
+    none. Rules of several sets may share a name. The same spans as a run for each set on its own documents."""
+    every = list(dict.fromkeys(r for rules in sets.values() for r in rules))
+    place = {r: str(k) for k, r in enumerate(every)}
+    rows = [(name, place[r], r.name) for name, rules in sets.items() for r in dict.fromkeys(rules)]
+    own = docs.sparkSession.createDataFrame(rows, "__set string, rule string, __name string")
+    found = detect(docs, [r._replace(name=place[r]) for r in every], text, True, by, [*{column: 0, **dict.fromkeys(keep)}])
+    met = found.join(own, (found[column] == own["__set"]) & (found["rule"] == own["rule"])).drop(own["rule"]).withColumn("rule", F.col("__name"))
+    met = met.select(*found.columns)
+    return met if raw else reduced(met, by)
+
+
+def rule_problems(spark, rules: Iterable[Rule]) -> DataFrame:
+    """(entity, rule, problem): rules that can't be run, to be told before a run: patterns that Java's regexes don't take or
+    that match an empty text, names that stand twice in an entity, and scores out of 0 to 1."""
+    compile_ = spark.sparkContext._jvm.java.util.regex.Pattern.compile
+    rows, seen = [], set()
+    for r in rules:
+        for pattern in (r.pattern, r.gate):
+            try:
+                if compile_(FLAGS + pattern).matcher("").find() and pattern == r.pattern:
+                    rows.append((r.entity, r.name, "the pattern matches an empty text"))
+            except IllegalArgumentException as e:
+                rows.append((r.entity, r.name, str(e).split("\n")[0]))
+        if (r.entity, r.name) in seen:
+            rows.append((r.entity, r.name, "the name stands twice"))
+        seen.add((r.entity, r.name))
+        if not 0 <= r.score <= 1:
+            rows.append((r.entity, r.name, f"the score is {r.score}"))
+    return spark.createDataFrame(rows, "entity string, rule string, problem string")
+
+
 def reduced(rows: DataFrame, by: str = "doc_id") -> DataFrame:
     """E9 and E2 on raw spans."""
     return dedupe_same_entity(above_threshold(rows, terms.MIN_SCORE), by)

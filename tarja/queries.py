@@ -22,7 +22,7 @@ from .operators import spans as sp
 from .plans import anonymize as flow
 from .plans import casefiles as cf
 from .sources import documents as src
-from .sources.shared import run_folder
+from .sources.shared import run_folder, written
 from .streaming import requests as rq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -362,6 +362,11 @@ for _name, _entity in [
 _detector("d3_legal_title", dt.title_rules(terms.SAMPLE_TITLES))
 _detector("d11_common_terms", dt.rules_for(["TERMO_COMUM"], common=["juntada aos autos", "almoxarifado", "depois"]))
 _detector("d21_own_rule", dt.rules_for(["PROTOCOLO"], more=[dt.Rule("PROTOCOLO", "linha", r"\bquadra\s+\d+\b", 0.9)]))
+_SETS = {"en": ["CPF", "CEP_NUMBER"], "es": ["CPF", "SIAPE"], "fr": ["ID_DOCUMENTO"]}
+_OF_SET = " OR ".join(f"(lang = '{lang}' AND list_contains({s_list(names)}, entity))" for lang, names in _SETS.items())
+query("d21_rule_sets", f"SELECT * FROM ({s_rules(dt.rules_for({e for names in _SETS.values() for e in names}), 'doc_id, lang')}) WHERE {_OF_SET}")(
+    lambda s, d: dt.detect_by_set(cases(s, d), {lang: dt.rules_for(names) for lang, names in _SETS.items()}, "lang", "texto", raw=True).select("lang", *_SPAN)
+)
 _PROTECTED = s_list(pl.PROTECTED)
 
 #: The rules whose spans the queries below work on.
@@ -539,6 +544,35 @@ FROM (SELECT d.doc_id, CAST(length(text) AS DOUBLE) AS chars, count(e.doc_id) AS
     lambda s, d: rp.density_by_size(documents(s, d), _entities(s, d))
 )
 
+
+
+def _over_runs(s: SparkSession, d: str, sketch: Callable[[DataFrame], DataFrame], rows: DataFrame) -> DataFrame:
+    """The sketches of four runs, each of its own documents, as their tables."""
+    folder = run_folder(s)
+    for k in range(4):
+        sketch(rows.where(F.pmod("doc_id", F.lit(4)) == k)).write.parquet(f"{folder}/sketches/run={k}")
+    return s.read.parquet(f"{folder}/sketches")
+
+
+def _entities_over_runs(s: SparkSession, d: str) -> DataFrame:
+    rows = written(_entities(s, d), run_folder(s))
+    folded = rp.folded_entities(_over_runs(s, d, rp.entity_sketches, rows))
+    exact = rp.by_entity(rows).select("entidade", F.col("docs").alias("exact"))
+    return folded.join(exact, "entidade").select("entidade", "n", (F.abs(F.col("docs") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
+def _sizes_over_runs(s: SparkSession, d: str) -> DataFrame:
+    """With the true rank of the median that the sketches give."""
+    docs = documents(s, d).select("doc_id", "text")
+    folded = rp.folded_sizes(_over_runs(s, d, rp.size_sketches, docs))
+    size = docs.select(F.length("text").alias("chars")).withColumn("bucket", rp._size_bucket())
+    ranked = size.join(folded, "bucket").groupBy("bucket").agg(F.avg((size["chars"] <= F.col("p50")).cast("double")).alias("upto"), F.avg((size["chars"] < F.col("p50")).cast("double")).alias("below"))
+    return folded.join(ranked, "bucket").select("bucket", "docs", folded["chars"].alias("chars"), ((F.col("upto") >= 0.47) & (F.col("below") <= 0.53)).alias("close"))
+
+
+query("r5_over_runs", f"SELECT entidade, count(*) AS n, true AS close FROM {_ENT} e GROUP BY entidade")(_entities_over_runs)
+query("r8_over_runs", "SELECT CASE WHEN n < 500 THEN '<500' WHEN n < 2000 THEN '<2000' WHEN n < 8000 THEN '<8000' ELSE '8000+' END AS bucket, count(*) AS docs, CAST(sum(n) AS BIGINT) AS chars, true AS close FROM (SELECT length(text) AS n FROM documents) GROUP BY 1")(_sizes_over_runs)
+
 # --- G: regression. Two runs with other rules, each of the documents in which its rules find something; the second one writes
 # its lines with CR LF and CNH in small letters.
 
