@@ -30,12 +30,12 @@ _HEADINGS = [
     "'Terreno na Vicinal ' || substring(n9, 1, 2) || ' com Vicinal ' || substring(n9, 3, 2) || '; quadra ' || substring(n9, 1, 1) || ', lote ' || substring(n9, 2, 2) || '.'",
     "'Autos ' || substring(n9, 1, 7) || '-' || substring(n9, 8, 2) || '.2021.8.14.0301 e NB ' || substring(n9, 1, 3) || '.' || substring(n9, 4, 3) || '.' || substring(n9, 7, 3) || '-5.'",
     "'Depôs o perito Caio Bastos Nogueira, casado, servidor da FUNASA.'",
-    "'HELENA VIANA TORRES (REQUERIDA)' || chr(10) || 'COOPERATIVA DOS PESCADORES (AUTORA)'",
-    "'RECORRENTE: Joaquim Teles Moreira' || chr(10) || 'Falou JOÁQUIM TELES MOREIRA ao final.'",
+    "'Presentes na reunião de terça:' || chr(10) || 'HELENA VIANA TORRES (REQUERENTE)' || chr(10) || 'a tesoureira da COOPERATIVA DOS PESCADORES, sem voto'",
+    "'Recibo assinado por JOÁQUIM  TELES MOREIRA, em duas vias.' || chr(10) || 'REQUERENTE: Joaquim Teles Moreira'",
     "'AUTORA: Beatriz Pires Falcão e outros' || chr(10) || 'matrícula SIAPE ' || substring(n9, 1, 7) || ' ativa'",
     "'Dra. TEREZA, relatora, atendeu no telefone (91) 9' || substring(n9, 1, 4) || '-' || substring(n9, 5, 4) || ' em 03/05/2022.'",
-    "'DANIEL E FILHOS LTDA escreveu de caixa' || n9 || '@exemplo.org no dia 21/09/2022.'",
-    "'Ouviu-se EDUARDO DA COSTA LEAL; depois Eduardo da Costa saiu com o Dr. Eduardo. SIAPE ' || substring(n9, 1, 7) || ', CNH ' || raw11",
+    "'Orçamento pedido à OFICINA DANIEL E IRMÃOS LTDA pelo endereço caixa' || n9 || '@exemplo.org até 21/09/2022.'",
+    "'Escala de plantão: segunda, Dr. Eduardo; quinta, EDUARDO DA COSTA LEAL, SIAPE ' || substring(n9, 1, 7) || '; sexta, Eduardo da Costa, CNH ' || raw11",
 ]
 #: A name that the headings hold, for masking by metadata.
 METADATA_NAME = "Eduardo da Costa Leal"
