@@ -12,19 +12,41 @@ from pyspark.sql import functions as F
 from . import terms
 
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-
-
-def _fold_table() -> tuple[str, str]:
-    """Characters below U+0250 whose compatibility decomposition is one plain character with marks."""
-    pairs = []
-    for c in map(chr, range(0xA0, 0x250)):
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != c:
-            pairs.append((c, plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-ACCENTED, PLAIN = _fold_table()
+#: White space, with the four separators that Java leaves out.
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def _plain(c: str) -> str:
+    """A character's compatibility decomposition without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def char_class(chars: Iterable[str]) -> str:
+    """The inside of a regex class for the characters, as ranges of code points."""
+    ranges: list[list[int]] = []
+    for p in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in ranges)
+
+
+#: Every character that folding changes, with what it gives: another one, several, or, for a mark, nothing.
+FOLDED = {c: _plain(c) for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if not unicodedata.is_normalized("NFKD", c) or unicodedata.combining(c)}
+FOLDED = {c: plain for c, plain in FOLDED.items() if c != plain}
+#: Syllables of Hangul give two or three letters each, which follow from their number.
+SYLLABLES = ("\uac00", "\ud7a3")
+ONE = {c: plain for c, plain in FOLDED.items() if len(plain) == 1}
+NONE = "".join(c for c, plain in FOLDED.items() if not plain)
+MORE = {c: plain for c, plain in FOLDED.items() if len(plain) > 1 and not SYLLABLES[0] <= c <= SYLLABLES[1]}
+LATIN_END = "\u0250"
+LATIN = {c: plain for c, plain in ONE.items() if c < LATIN_END}
+#: A text with no other characters than these is folded by LATIN alone.
+EASY = char_class(c for c in map(chr, range(ord(LATIN_END))) if c not in MORE)
+_GROWING = char_class(c for c, plain in FOLDED.items() if len(plain) > 1)
+#: Plain characters are told first, at little cost.
+GROWS = rf"[[^\x00-\x7f]&&[{_GROWING}]]"
 
 
 def literal(term: str) -> str:
@@ -48,18 +70,48 @@ def let(value: Column, use) -> Column:
 # --- B: scalars
 
 
+def _syllable(c: Column) -> Column:
+    """The letters of a syllable of Hangul: 19 first ones, 21 middle ones, 27 last ones or none."""
+    n = F.ascii(c) - ord(SYLLABLES[0])
+    part = lambda first, count, k: F.substring(F.lit("".join(map(chr, range(first, first + count)))), k + 1, F.lit(1))
+    last = F.when(n % 28 > 0, part(0x11A8, 27, (n % 28 - 1).cast("int"))).otherwise("")
+    return F.concat(part(0x1100, 19, F.floor(n / 588).cast("int")), part(0x1161, 21, F.floor(n % 588 / 28).cast("int")), last)
+
+
+def _grown(s: Column) -> Column:
+    """The text with each character that stands for several as these."""
+
+    def one(c: Column) -> Column:
+        more = F.get(F.split(F.lit("\n".join(MORE.values())), "\n"), F.instr(F.lit("".join(MORE)), c) - 1)
+        return F.when((c >= SYLLABLES[0]) & (c <= SYLLABLES[1]) & (F.length(c) == 1), _syllable(c)).otherwise(F.coalesce(more, c))
+
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(f"[{_GROWING}]|[^{_GROWING}]+"), F.lit(0)), one), "")
+
+
+def fold_latin(s: Column) -> Column:
+    """``fold`` of a text of Latin letters, as tokens are."""
+    return F.translate(s, "".join(LATIN), "".join(LATIN.values()))
+
+
 def fold(s: Column) -> Column:
-    return F.regexp_replace(F.translate(s, ACCENTED, PLAIN), r"\p{M}", "")
+    """Compatibility decomposition without combining marks, over all code points."""
+    whole = F.translate(F.when(s.rlike(GROWS), _grown(s)).otherwise(s), "".join(ONE) + NONE, "".join(ONE.values()))
+    return F.when(s.rlike(f"[^{EASY}]"), whole).otherwise(fold_latin(s))
 
 
 def normalize_filter(s: Column) -> Column:
     """B1: no accents, upper case, white space collapsed."""
-    return F.trim(F.upper(F.regexp_replace(fold(s), r"(?U)\s+", " ")))
+    return F.trim(F.upper(F.regexp_replace(fold(s), rf"(?U){SPACE}+", " ")))
 
 
 def normalize_token(s: Column) -> Column:
     """B2."""
-    return F.trim(F.upper(fold(s)))
+    return F.regexp_replace(F.upper(fold(s)), rf"(?U)^{SPACE}+|{SPACE}+$", "")
+
+
+def normal(token: Column) -> Column:
+    """B2 of what ``tokenize`` gives."""
+    return F.upper(fold_latin(token))
 
 
 def tokenize(s: Column) -> Column:
@@ -116,10 +168,13 @@ def contains_term(normalized: Column, options: Iterable[str]) -> Column:
 
 #: Letters that a name may write with other accents.
 VARIANTS = {base: base + "".join(c for c in map(chr, range(0xE0, 0x100)) if unicodedata.normalize("NFKD", c)[0] == base) for base in "aceinouy"}
+#: All other characters that are such a letter without its marks, in either case: a name may hold them.
+BASES = {c: plain.lower() for c, plain in ONE.items() if plain.lower() in VARIANTS and c.lower() not in VARIANTS[plain.lower()]}
 
 
 def flexible_words(name: Column) -> Column:
     """The inside of B9's pattern."""
+    name = F.when(name.rlike("[^\\x00-\\xff]|ª|º"), F.translate(name, "".join(BASES), "".join(BASES.values()))).otherwise(name)
     out = F.regexp_replace(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")), r"([^\p{L}\p{M}\p{N} ])", r"\\$1")
     for letters in VARIANTS.values():
         out = F.regexp_replace(out, f"(?iu)[{letters}]", f"[{letters}]")
@@ -205,7 +260,7 @@ def semantically_blocked(s: Column) -> Column:
     def of(words: Column) -> Column:
         return (F.size(words) > 0) & let(F.filter(words, lambda t: (t != "") & ~t.rlike(one_of(terms.CONNECTORS))), told)
 
-    return let(F.transform(tokenize(s), normalize_token), of)
+    return let(F.transform(tokenize(s), normal), of)
 
 
 def looks_like_person(s: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,21 @@ def mask_names_in_steps(text: Column, names: Column, placeholder: str, source: s
     return F.when(F.size(names) == 0, start).otherwise(F.aggregate(order, start, one))
 
 
+#: A letter and the mark behind it, by the one sign that stands for both.
+_PAIRS = {unicodedata.normalize("NFD", c): c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) == 2 and unicodedata.normalize("NFD", c)[0].isascii()}
+_MARKED = f"[A-Za-z][{tx.char_class({p[1] for p in _PAIRS})}]"
+
+
+def composed_spans(text: Column) -> Column:
+    """array<struct<start, end, put>>: where a letter and a mark stand for one letter of names (NFC of Latin letters with one mark)."""
+    none = F.array().cast("array<struct<start:int,end:int,put:string>>")
+    # the pairs begin with a letter and end with a mark, so a pair can only stand at an even place
+    at = lambda s: F.instr(F.lit("".join(_PAIRS)), s["found"])
+    found = F.filter(find_matches(text, _MARKED), lambda s: at(s) > 0)
+    put = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.lit("".join(_PAIRS.values())), F.shiftright(at(s), 1) + 1, F.lit(1)).alias("put")))
+    return F.when(F.rlike(text, F.lit(_MARKED)), put).otherwise(none)
+
+
 def company_spans(text: Column) -> Column:
     """Runs of capitalised words that hold a company term, merged."""
 
@@ -77,7 +94,7 @@ def put_all(spans: Column, placeholder: str) -> Column:
 def name_index(names: DataFrame) -> DataFrame:
     """The distinct normalized words (``token``) of a list (``value``) that N4 masks."""
     blocked = [t for t in {*terms.NOT_A_NAME, *terms.COMPANY_TERMS} if " " not in t]
-    word = tx.normalize_token(F.col("w"))
+    word = tx.normal(F.col("w"))
     own = names.select(F.explode(tx.tokenize(F.col("value"))).alias("w")).select(word.alias("token"))
     return own.where((F.length("token") >= 3) & ~F.col("token").isin([*terms.CONNECTORS, *sorted(blocked)])).distinct()
 
@@ -87,7 +104,7 @@ def listed_words(docs: DataFrame, index: DataFrame) -> DataFrame:
 
     Distinct words are looked up, not their occurrences; Spark's own size check decides whether the
     index is broadcast. Texts go by their content, so ids play no part."""
-    every = F.array_distinct(F.transform(F.array_distinct(tx.tokenize(F.col("text"))), tx.normalize_token))
+    every = F.array_distinct(F.transform(F.array_distinct(tx.tokenize(F.col("text"))), tx.normal))
     words = docs.select(*_content(), F.explode(every).alias("token"))
     return words.join(index, "token", "left_semi").groupBy("k1", "k2").agg(F.collect_set("token").alias("listed"))
 
@@ -104,7 +121,7 @@ def small_list(index: DataFrame, most: int = LISTED) -> list[str] | None:
 
 def listed_in_row(docs: DataFrame, words: list[str]) -> DataFrame:
     """``docs`` with ``__listed``: the words of its text that are in the list, or null."""
-    every = F.array_distinct(F.transform(F.array_distinct(tx.tokenize(F.col("text"))), tx.normalize_token))
+    every = F.array_distinct(F.transform(F.array_distinct(tx.tokenize(F.col("text"))), tx.normal))
     if not words:
         return docs.withColumn("__listed", F.lit(None).cast("array<string>"))
     found = docs.withColumn("__words", every).withColumn("__listed", F.expr(f"filter(__words, w -> w IN ({', '.join(map(tx.sql_string, words))}))"))
@@ -201,7 +218,7 @@ def with_metadata_name_spans(df: DataFrame, text: str, names: str, out: str) ->
     df = df.withColumn(out, F.when(F.size("__variants") > 0, runs).otherwise(F.array().cast(LOCATED)))
 
     def lonely(firsts: Column) -> Column:
-        token = F.transform(firsts, tx.normalize_token)
+        token = F.transform(firsts, tx.normal)
         return tx.let(token, lambda t: F.filter(firsts, lambda f, i: (f != "") & (F.size(F.filter(t, lambda x: x == F.get(t, i))) == 1)))
 
     df = df.withColumn("__firsts", F.when(F.col("__any"), tx.let(F.col("__firsts"), lonely)).otherwise(none))

@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..operators import names as nm
 from ..operators.detect import Rule, reduced_array, rules_for, span_array, with_context_array
 from ..operators.policy import PROTECTED, analysed_entities, applied, apply_spans, default_policy, entity_table, small_policy
-from ..operators.spans import chunks, clean_marks, cut, splice_array, tables, traced
+from ..operators.spans import chunks, clean_marks, cut, splice_array, step, tables, traced
 from ..sources.documents import admit_pdfs, join_pages, with_status
 from ..sources.shared import delete_folder, run_folder, written
 
@@ -44,11 +44,22 @@ class Anonymized:
         delete_folder(self.documents.sparkSession, self.folder)
 
 
-def mask_named_persons(docs: DataFrame, steps: str = "__steps") -> DataFrame:
+#: The step that makes letters and their marks one sign. It masks nothing.
+COMPOSED = "composed"
+
+
+def mask_named_persons(docs: DataFrame, steps: str = "__steps", compose: bool = False) -> DataFrame:
     """S1 to S3 on ``docs`` (text, names, ...): metadata names, target parties, contextual names, with the ``steps`` that were taken.
-    All inside the row."""
-    own = docs.withColumn("text", clean_marks(F.coalesce("text", F.lit("")))).withColumn("__original", F.col("text"))
+    All inside the row. ``compose``: letters with marks of their own are made one sign first, in texts and names."""
+    own = docs.withColumn("text", clean_marks(F.coalesce("text", F.lit(""))))
+    if compose:
+        own = own.withColumn("__pairs", nm.composed_spans(F.col("text")))
+        own = own.withColumn("text", F.when(F.size("__pairs") > 0, tx.let(F.struct("text", "__pairs"), lambda o: splice_array(o["text"], o["__pairs"]))).otherwise(F.col("text")))
+        own = own.withColumn("names", F.transform("names", lambda n: splice_array(n, nm.composed_spans(n))))
+    own = own.withColumn("__original", F.col("text"))
     out = nm.mask_metadata_names(own, steps=steps)
+    if compose:
+        out = out.withColumn(steps, F.concat(step(COMPOSED, F.col("__pairs")), steps)).drop("__pairs")
 
     def masked(df: DataFrame, names: Column, placeholder: str, source: str) -> DataFrame:
         df = df.withColumn("__names", names)
@@ -66,7 +77,7 @@ def _stretches(steps: Column, before: Column, put: Column) -> Column:
     """STRETCH: what each step and then the policy replaced, in places of the original text. ``before``: the steps' tables."""
     of = lambda source, entity, x, t: tx.let(traced(x["start"], x["end"], t), lambda p: F.struct(source.alias("source"), entity.alias("entity"), p["start"].alias("start"), p["end"].alias("end"), x["put"].alias("put")))
     none = F.lit(None).cast("string")
-    names = F.flatten(F.transform(steps, lambda s, k: F.transform(s["spans"], lambda x: of(s["source"], none, x, F.slice(before, F.lit(1), k)))))
+    names = F.flatten(F.transform(steps, lambda s, k: F.transform(F.when(s["source"] != COMPOSED, s["spans"]).otherwise(F.array().cast("array<struct<start:int,end:int,put:string>>")), lambda x: of(s["source"], none, x, F.slice(before, F.lit(1), k)))))
     found = F.transform(put, lambda x: of(F.lit("policy"), x["entity"], x, before))
     return F.concat(names.cast(STRETCH), found.cast(STRETCH))
 
@@ -77,10 +88,13 @@ def _unused(name: str, taken: list[str]) -> str:
     return name
 
 
-def anonymize(docs: DataFrame, index: DataFrame | list[str] | None = None, policy: DataFrame | None = None, rules: list[Rule] | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> Anonymized:
+def anonymize(docs: DataFrame, index: DataFrame | list[str] | None = None, policy: DataFrame | None = None, rules: list[Rule] | None = None, titles: list[str] | None = None, common: list[str] | None = None, compose: bool = False) -> Anonymized:
     """P5: the flow S1 to S7 on ``docs`` (doc_id, text, and names, an array, if there are any), with the
     user's titles and common terms unless ``rules`` are given.
 
+    By default a letter and a mark that stands for itself are two signs, and a name written so is cut at its marks. With ``compose`` they
+    are made one sign first, so such names are found whole; places still refer to the text as it came.
+
     All of it happens inside the row, in one stage: the name list and the policy, unless they are too long for the plan, are part of it, and no text is
     shuffled. Each row is anonymized for itself: null and repeated doc_ids, repeated rows, null and empty texts (which give an
     empty text) and other columns pass through. An empty table gives empty results."""
@@ -95,7 +109,7 @@ def anonymize(docs: DataFrame, index: DataFrame | list[str] | None = None, polic
     names = F.col("names") if "names" in docs.columns else F.array().cast("array<string>")
     own = docs.select(F.struct(*docs.columns).alias("__user"), "text", names.alias("names"), F.monotonically_increasing_id().alias("__row"))
 
-    out = mask_named_persons(own)
+    out = mask_named_persons(own, compose=compose)
     listed = nm.small_list(index) if isinstance(index, DataFrame) else index
     if listed is not None:  # S4
         out = nm.mask_common_names(out, listed, steps="__steps")
