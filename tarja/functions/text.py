@@ -181,6 +181,23 @@ def flexible_words(name: Column) -> Column:
     return F.replace(out, F.lit(" "), F.lit(r"\s+"))
 
 
+#: Letters that a match in any case takes for plain ones.
+ODD = {"i": "\u0131\u0130", "s": "\u017f", "k": "\u212a"}
+
+
+def flexible(word: str) -> str:
+    """``flexible_words`` of a single word of letters that is known beforehand."""
+    return "".join(f"[{VARIANTS[c.lower()]}]" if c.lower() in VARIANTS else c for c in word)
+
+
+def begins(words: Iterable[str], capital: bool = False) -> str:
+    """A class of all signs that a word may begin with where ``flexible`` is matched in any case; ``capital``: of those that are capitals of its
+    letters, with accents."""
+    every = {x for c in {w[0].lower() for w in words if w} for x in VARIANTS.get(c, c)}
+    capitals = {u for u in map(str.upper, every) if len(u) == 1}
+    return f"[{''.join(sorted(capitals if capital else every | capitals | {x for c in every for x in ODD.get(c, '')}))}]"
+
+
 def accent_flexible_pattern(name: Column) -> Column:
     """A regex for the name with any accents, any case and any white space between words."""
     words = flexible_words(name)
@@ -316,15 +333,22 @@ HONORIFIC = r"(?:sr\.?|sra\.?|senhor(?:a)?|dr\.?|dra\.?|des\.?|desembargador(?:a
 CONTEXT_GATES = [r"(?iU),\s*(?:brasileir|solteir|casad|desempregad|portador)", r"(?iU)\b(?:autor|requer|recorr|r[ée]u|perit|advogad|polo|filia|assinado)", r"(?iU)\(\s*(?:r[ée]u|requerid)", r"(?iU)\(\s*[ivxlc]+\s*\)"]
 
 
+#: The same for PARTY_LABEL and PARTY_IN_BRACKETS.
+PARTY_GATES = [rf"(?iU)\b(?:{ROLES})\s*:", rf"(?iU)\(\s*(?:{ROLES})\s*\)"]
+
+
+def _gated(text: Column, pattern: str, group: int, gate: str) -> Column:
+    return F.when(F.coalesce(text, F.lit("")).rlike(gate), _all(text, pattern, group)).otherwise(F.array().cast("array<string>"))
+
+
 def party_names(text: Column) -> Column:
     """``ROLE: name`` and ``name (ROLE)`` lines."""
-    return _names([_all(text, PARTY_LABEL, 2), _all(text, PARTY_IN_BRACKETS, 1)], clean_name, party_name_ok)
+    return _names([_gated(text, p, k, gate) for p, k, gate in zip((PARTY_LABEL, PARTY_IN_BRACKETS), (2, 1), PARTY_GATES, strict=True)], clean_name, party_name_ok)
 
 
 def contextual_names(text: Column) -> Column:
     """Names by civil status, role, role in brackets and Roman item."""
-    none = F.array().cast("array<string>")
-    found = [F.when(F.coalesce(text, F.lit("")).rlike(gate), _all(text, p, 1)).otherwise(none) for p, gate in zip(CONTEXT_PATTERNS, CONTEXT_GATES, strict=True)]
+    found = [_gated(text, p, 1, gate) for p, gate in zip(CONTEXT_PATTERNS, CONTEXT_GATES, strict=True)]
     return _names(found, clean_name, generic_name_ok)
 
 

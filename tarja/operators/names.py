@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from .spans import LOCATED, NO_SPANS, STEPS, apart, chunks, clean_marks, cut, fi
 
 #: Words of a name list that go into the plan, as one set that each row looks its words up in. A longer list is joined.
 LISTED = 50_000
+#: Of a list of up to so many words it is asked first whether a text holds any of them.
+TRIED = 200
 
 
 def mask_names(text: Column, names: Column, placeholder: str) -> Column:
@@ -52,14 +55,21 @@ def composed_spans(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(_MARKED)), put).otherwise(none)
 
 
+_TERMS = rf"(?iU)(?:{'|'.join(tx.flexible(t).replace('SS', '(?:SS|ß)').replace(' ', '[^A-Za-z]+') for t in terms.COMPANY_TERMS)})(?![A-Za-z0-9])"
+#: One of these matches in every text with a company's name: a term of COMPANY_TERMS with any accents that begins with a capital, or that stands right behind
+#: a sign, or a letter without plain form, of such a name. Two S may be written as one letter.
+_SOME_FIRM = [rf"(?={tx.begins(terms.COMPANY_TERMS, capital=True)})(?<![A-Za-z0-9]){_TERMS}", rf"[.&/\-ØøÆæÐðÞþ]{_TERMS}"]
+
+
 def company_spans(text: Column) -> Column:
-    """Runs of capitalised words that hold a company term, merged."""
+    """Runs of capitalised words that hold a company term, merged. They are looked for only where some term stands."""
 
     def of(t: Column, pattern: str) -> Column:
         named = F.filter(find_matches(t, pattern.replace("(?U)", "(?U)(?=[A-ZÀ-Ý])", 1)), lambda s: tx.contains_term(tx.normalize_filter(s["found"]), terms.COMPANY_TERMS))
         return F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    return tx.let(text, lambda t: merge_array(F.concat(of(t, tx.COMPANY_UPPER), of(t, tx.COMPANY_MIXED))))
+    both = lambda t: merge_array(F.concat(of(t, tx.COMPANY_UPPER), of(t, tx.COMPANY_MIXED)))
+    return tx.let(text, lambda t: F.when(F.rlike(t, F.lit(_SOME_FIRM[0])) | F.rlike(t, F.lit(_SOME_FIRM[1])), both(t)).when(t.isNotNull(), F.array().cast(NO_SPANS)))
 
 
 def with_open_spans(df: DataFrame, text: str, spans: str) -> DataFrame:
@@ -124,6 +134,11 @@ def listed_in_row(docs: DataFrame, words: list[str]) -> DataFrame:
     every = F.array_distinct(F.transform(F.array_distinct(tx.tokenize(F.col("text"))), tx.normal))
     if not words:
         return docs.withColumn("__listed", F.lit(None).cast("array<string>"))
+    known = [w for w in words if re.fullmatch(tx.LETTERS, w)]
+    if 0 < len(known) <= TRIED:  # a text that holds none of them, in any spelling, isn't cut into words
+        letter = tx.LETTERS.removesuffix("+")
+        some = rf"(?={tx.begins(known)})(?iu)(?<!{letter})(?:{'|'.join(map(tx.flexible, known))})(?!{letter})"
+        every = F.when(F.rlike("text", F.lit(some)), every).otherwise(F.array().cast("array<string>"))
     found = docs.withColumn("__words", every).withColumn("__listed", F.expr(f"filter(__words, w -> w IN ({', '.join(map(tx.sql_string, words))}))"))
     return found.withColumn("__listed", F.when(F.size("__listed") > 0, F.col("__listed"))).drop("__words")
 
@@ -178,7 +193,8 @@ def _bare(word: Column) -> Column:
 def _runs(text: Column, variants: Column) -> Column:
     """array<struct<start, end, found>>: where one of the ``variants`` (arrays of bare words) stands as whole words with nothing but white space between them.
 
-    The text's words are cut once, and only words that some variant begins with are looked at. Occurrences of one variant don't overlap, the first counts."""
+    Only words that stand in some variant are cut out of the text, in one pass; another word between two of them shows in what lies between. Of
+    these, only words that some variant begins with are looked at. Occurrences of one variant don't overlap, the first counts."""
 
     def of(o: Column) -> Column:
         w, bare = o["words"], o["bare"]
@@ -198,7 +214,8 @@ def _runs(text: Column, variants: Column) -> Column:
         spans = F.array_distinct(F.flatten(tx.let(heads, lambda h: F.transform(variants, lambda v: found(h, v)))))
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), cut(o["parts"], x["start"], x["end"]).alias("found")))
 
-    words = find_matches(text, r"(?U)\w+")
+    wanted = F.replace(tx.flexible_words(F.array_join(F.array_distinct(F.flatten(variants)), " ")), F.lit(r"\s+"), F.lit("|"))
+    words = tx.let(F.struct(text.alias("text"), F.concat(F.lit(r"(?iU)\b(?:"), wanted, F.lit(r")(?!\w)")).alias("wanted")), lambda o: find_matches(o["text"], o["wanted"]))
     cut_once = lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: _bare(x["found"])).alias("bare"), chunks(text).alias("parts"))
     return tx.let(words, lambda w: F.when(F.size(w) > 0, tx.let(cut_once(w), of)).otherwise(F.array().cast(LOCATED)))
 

@@ -26,7 +26,7 @@ CHUNK = 1024
 
 def clean_marks(text: Column) -> Column:
     """Spaces for the two control characters that mark matches."""
-    return F.translate(text, OPEN + CLOSE, "  ")
+    return F.replace(F.replace(text, F.lit(OPEN), F.lit(" ")), F.lit(CLOSE), F.lit(" "))
 
 
 #: How far apart the neighbours lie that ``running`` joins, round by round.
