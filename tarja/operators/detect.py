@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
+from itertools import groupby
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.errors import IllegalArgumentException
@@ -32,6 +35,10 @@ class Rule(NamedTuple):
     source: str = "regex"
     #: The terms themselves, if they are many: they are looked up by tokens, and the pattern, which says the same, isn't run.
     terms: tuple[str, ...] = ()
+    #: What every match begins with, as beginnings of words, each with the look-ahead that tells it, if any; and a form that the text's numbers
+    #: hold where there is a match. Both are asked of what one pass over the text for all rules has found, in place of ``gate``.
+    words: tuple[str, ...] = ()
+    numbers: str = ""
 
 
 #: Of so many terms on a list is looked up.
@@ -122,12 +129,67 @@ RULES = [
 
 RULES += _deny("SAFE_LOCATION", terms.SAFE_LOCATIONS, 0.99) + _deny("LEGAL_HEADER", terms.LEGAL_HEADERS, 0.99)
 RULES += _listed("ESTADO_CIVIL", terms.CIVIL_STATUS, 0.99) + _listed("ORGANIZACAO_CONHECIDA", terms.KNOWN_BODIES, 0.99)
+
+
+def _first_words(words: Iterable[str]) -> tuple[str, ...]:
+    return tuple(sorted({re.match(r"\w+", w)[0] + r"(?!\w)" for w in words}))
+
+
+#: Runs of digits and of what stands between them in a number. A form of digits, points, dashes, slashes and spaces that begins with a digit
+#: stands in one of them as it stands in the text.
+NUMBERS = r"(?U)\d[\d.\-/\s]*"
+_ELEVEN = r"\d{3}\.?\d{3}\.?\d{3}-?\d{2}"
+_STREET = tuple(w + r"(?=\.?\s)" for w in ("rua", "ra", "avenida", "av", "travessa", "trav", "alameda", "praca", "praça", "rodovia", "estrada"))
+#: For the rules of the table: ``words`` and ``numbers``.
+_HOLDS: dict[str, tuple[tuple[str, ...], str]] = {
+    "cpf_formatado": ((), r"\d{3}\.\d{3}\.\d{3}-\d{2}"),
+    "cpf_com_separadores": ((), r"\d{3}[.\s]\d{3}[.\s]\d{3}[-\s]\d{2}"),
+    "cpf_com_rotulo": (("cpf",), _ELEVEN),
+    "cin_com_rotulo": (("cin",), _ELEVEN),
+    "carteira_identidade_nacional_com_numero": ((r"carteira(?=\s)",), _ELEVEN),
+    "cpf_apenas_numeros": ((), r"(?<!\d)\d{11}(?!\d)"),
+    "oab_uf_numero": (("oab",), r"\d"),
+    "oab_numero_uf": (("oab",), r"\d"),
+    "oab_uf_numero_compacto": (("oab",), r"\d{4}"),
+    "oab_uf_numero_sem_prefixo": (tuple(uf + r"(?=\s*[-.]?\s*\d{4})" for uf in "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()), r"\d{4}"),
+    "telefone_com_ddd": ((), r"\d{4}[-\s]\d{4}(?!\d)"),
+    "telefone_sem_ddd": ((), r"(?<!\d)(?:9\d{4}|\d{4})-\d{4}(?!\d)"),
+    "cep_com_rotulo": (("cep",), r"\d{5}-?\d{3}"),
+    "cep_hifen": ((), r"(?<!\d)\d{5}-\d{3}(?!\d)"),
+    "cep_pontuado": ((), r"(?<!\d)\d{2}\.\d{3}-\d{3}(?!\d)"),
+    "logradouro_com_numero_e_complemento": (_STREET, r"\d"),
+    "logradouro_prefixado": ((*_STREET, r"vicinal(?=\s)"), ""),
+    "beco_viela_ramal_com_numero": (tuple(w + r"(?=\s)" for w in ("beco", "viela", "ramal", "ladeira", "passagem")), r"\d"),
+    "vicinal_composta": ((r"vicinal(?=\s)",), r"\d"),
+    "quadra_lote": (("quadra", "qd"), ""),
+    "setor_condominio_residencial": ((r"setor(?=\s)", r"condominio(?=\s)", r"condomínio(?=\s)", r"residencial(?=\s)"), ""),
+    "cnh_formatado": (("cnh",), r"\d{11}"),
+    "siape_formatado": (("siape",), r"\d{7}"),
+    "siape_apenas_numeros": ((), r"(?<!\d)\d{7}(?!\d)"),
+    "rg_com_rotulo": (("rg",), r"\d"),
+    "registro_geral_com_numero": ((r"registro(?=\s)",), r"\d"),
+    "cedula_ou_carteira_identidade_com_numero": (("identidade",), r"\d"),
+    "matricula_siape": ((r"matricula(?!\w)", r"matrícula(?!\w)", r"siape(?!\w)"), ""),
+    "numero_beneficio_nb_formatado": ((r"nb(?=\s*\d)",), r"\d"),
+    "id_numerico_longo_pje": ((), r"(?<!\d)\d{10,25}(?!\d)"),
+    "id_prefixo_numerico": ((r"id(?=\s*\d)",), r"\d{8}"),
+    "numero_processo_cnj": ((), r"\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}"),
+    "numero_rnm": (("rnm",), ""),
+    "numero_crm": (("crm",), r"\d"),
+    "safe_location": (_first_words(terms.SAFE_LOCATIONS), ""),
+    "legal_header": (_first_words(terms.LEGAL_HEADERS), ""),
+    "estado_civil": (_first_words(terms.CIVIL_STATUS), ""),
+    "organizacao_conhecida": (_first_words(terms.KNOWN_BODIES), ""),
+    "phone_digits": ((), r"\d{10}"),
+    "numeric_date": ((), r"(?<!\d)\d{1,2}/\d{1,2}/\d{4}"),
+}
 #: This library's own patterns.
 RULES += [
     Rule("EMAIL_ADDRESS", "email", r"\b[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}\b", 1.0, "@"),
     Rule("PHONE_NUMBER", "phone_digits", r"(?<![\d.\-/])(?:\+\d{1,3}\s?)?\d{10,11}(?![\d.\-/])", 0.40, _DIGIT),
     Rule("DATE_TIME", "numeric_date", r"(?<![\d.\-/])\d{1,2}/\d{1,2}/\d{4}(?![\d\-/])", 0.60, "/"),
 ]
+RULES = [r._replace(words=_HOLDS[r.name][0], numbers=_HOLDS[r.name][1]) if r.name in _HOLDS else r for r in RULES]
 
 
 def rules_for(entities: Iterable[str] | None = None, titles: list[str] | None = None, common: list[str] | None = None, more: Iterable[Rule] = ()) -> list[Rule]:
@@ -141,15 +203,35 @@ def rule_table(spark, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([(r.entity, r.name, r.pattern, r.score) for r in rules], "entity string, rule string, regex string, score double")
 
 
+def _words_of(words: Iterable[str]) -> str:
+    """The whole words that begin with one of ``words``, which are tried by their first letter."""
+    either = lambda c: c + c.upper() + tx.ODD.get(c, "")
+    groups = {c: "|".join(g) for c, g in groupby(sorted(words, key=lambda w: (w[0].lower(), w)), key=lambda w: w[0].lower())}
+    return rf"(?U)\b(?=[{''.join(map(either, groups))}])(?i)(?:{'|'.join(f'(?=[{either(c)}])(?:{g})' for c, g in groups.items())})\w*"
+
+
+def _begun(words: tuple[str, ...]) -> str:
+    """Whether one of the words found, which stand between bars, begins with one of ``words``."""
+    return rf"(?iU)(?<![^|])(?:{'|'.join(re.sub(r'[(][?][=!].*$', '', w) for w in words)})" if words else ""
+
+
+def _all_of(text: Column, pattern: str) -> Column:
+    return F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "|")
+
+
 def span_array(text: Column, rules: list[Rule]) -> Column:
     """All rules' spans of a text, a column of its own, as one array<struct<entity, rule, score, start, end, found, context>>.
 
-    A rule whose gate finds nothing costs its gate only; of a rule without a match nothing but one pass. Patterns and names are
+    One pass finds the words and one the numbers that any rule asks for; a rule whose own aren't among them costs no pass. Another rule whose gate finds
+    nothing costs its gate only; of a rule without a match nothing but one pass. Patterns and names are
     literals, whatever they hold. ``context``, for CPF, CIN and OAB_NUMBER, says whether a word of theirs is near (C10, C11)."""
 
-    def tried(r: Rule) -> Column:
-        found = term_marks(list(r.terms))(text) if r.terms else marked(text, FLAGS + quick(r.run or r.pattern))
-        return F.struct(F.lit(r.entity).alias("entity"), F.lit(r.name).alias("rule"), F.lit(float(r.score)).alias("score"), (F.when(F.rlike(text, F.lit(r.gate)), found) if r.gate else found).alias("marked"))
+    looked_up = [r for r in rules if r.terms]
+
+    def tried(o: Column, r: Rule) -> Column:
+        found = F.get(o["looked_up"], F.lit(looked_up.index(r))) if r.terms else marked(o["text"], FLAGS + quick(r.run or r.pattern))
+        asked = [F.rlike(o[c], F.lit(p)) for c, p in (("words", _begun(r.words)), ("numbers", f"(?U){r.numbers}" if r.numbers else "")) if p] or [F.rlike(o["text"], F.lit(r.gate))] * bool(r.gate)
+        return F.struct(F.lit(r.entity).alias("entity"), F.lit(r.name).alias("rule"), F.lit(float(r.score)).alias("score"), (F.when(reduce(and_, asked), found) if asked else found).alias("marked"))
 
     def rows(r: Column) -> Column:
         return F.transform(located(r["marked"]), lambda s: F.struct(r["entity"].alias("entity"), r["rule"].alias("rule"), r["score"].alias("score"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
@@ -166,7 +248,14 @@ def span_array(text: Column, rules: list[Rule]) -> Column:
 
     if not rules:
         return F.array().cast("array<struct<entity:string,rule:string,score:double,start:int,end:int,found:string,context:boolean>>")
-    hits = F.filter(F.array(*map(tried, rules)), lambda r: r["marked"] != text)
+    words = sorted({w for r in rules for w in r.words})
+    own = F.struct(
+        text.alias("text"),
+        (_all_of(text, _words_of(words)) if words else F.lit("")).alias("words"),
+        (_all_of(text, NUMBERS) if any(r.numbers for r in rules) else F.lit("")).alias("numbers"),
+        F.array(*(term_marks(list(r.terms))(text) for r in looked_up)).cast("array<string>").alias("looked_up"),
+    )
+    hits = tx.let(own, lambda o: F.filter(F.array(*(tried(o, r) for r in rules)), lambda r: r["marked"] != o["text"]))
     return tx.let(F.flatten(F.transform(hits, rows)), with_words)
 
 
