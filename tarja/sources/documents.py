@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,13 +118,18 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).option("multiLine", head is not None and head["c"] == "[").json(path)
 
 
+#: What the tasks that write a snapshot take at a time, so that their memory doesn't follow a partition's rows.
+SNAPSHOT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 * 1024 * 1024}
+
+
 def _arrays(batches):
     yield pa.RecordBatch.from_pydict({"value": ["["]})
     first = True
     for b in batches:
-        lines = b.column("value").to_pylist()
-        if lines:
-            yield pa.RecordBatch.from_pydict({"value": [line if first and not k else f",{line}" for k, line in enumerate(lines)]})
+        lines = b.column("value")
+        if len(lines):
+            head = pa.array(["" if first else ","] + [","] * (len(lines) - 1), lines.type)
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(head, lines, pa.scalar("", lines.type))], ["value"])
             first = False
     yield pa.RecordBatch.from_pydict({"value": ["]"]})
 
@@ -132,4 +138,12 @@ def write_snapshot(run: DataFrame, path: str, files: int | None = None) -> None:
     """Each partition's rows as a file with one JSON array; ``files``: so many, by ranges of id, rows in its order."""
     if files:
         run = run.repartitionByRange(files, "id").sortWithinPartitions("id")
-    run.select(F.to_json(F.struct("id", "input", "output", "entities")).alias("value")).mapInArrow(_arrays, "value string").write.mode("overwrite").text(path)
+    conf = run.sparkSession.conf
+    before = {k: conf.get(k) for k in SNAPSHOT_BATCH}
+    try:
+        for k, most in SNAPSHOT_BATCH.items():
+            conf.set(k, most)
+        run.select(F.to_json(F.struct("id", "input", "output", "entities")).alias("value")).mapInArrow(_arrays, "value string").write.mode("overwrite").text(path)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
