@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import terms
+from .patterns import grouped
 
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 #: White space, with the four separators that Java leaves out.
@@ -163,7 +164,9 @@ def sql_string(value: str) -> str:
 
 def contains_term(normalized: Column, options: Iterable[str]) -> Column:
     """One of the terms stands in the text, not inside a longer word."""
-    return normalized.rlike(f"(?<![A-Z0-9])(?:{any_of(options)})(?![A-Z0-9])")
+    options = list(options)
+    first = f"(?=[{''.join(sorted({t[0] for t in options}))}])" if all(t[:1].isalpha() for t in options) else ""
+    return normalized.rlike(f"{first}(?<![A-Z0-9])(?:{grouped([literal(t) for t in options])})(?![A-Z0-9])")
 
 
 #: Letters that a name may write with other accents.
@@ -208,7 +211,7 @@ def accent_flexible_pattern(name: Column) -> Column:
 
 def one_of(words: Iterable[str]) -> str:
     """A pattern for exactly one of many words: one expression, where a list would be one for each."""
-    return f"^(?:{any_of(words)})$"
+    return f"^(?:{grouped([literal(w) for w in words])})$"
 
 
 def _real(tokens: Column) -> Column:
