@@ -79,3 +79,51 @@ def grouped(alternatives: list[str]) -> str:
             return "|".join(alternatives)
         groups.setdefault(a[0].lower(), []).append(a)
     return "|".join(f"(?:{'|'.join(g)})" if len(g) == 1 else f"(?=[{g[0][0].lower()}{g[0][0].upper()}])(?:{'|'.join(g)})" for g in groups.values())
+
+
+def _looks(items) -> int:
+    """How much a parsed pattern looks at in look-arounds, at most."""
+    n = 0
+    for op, arg in items:
+        name = str(op)
+        if name in ("ASSERT", "ASSERT_NOT"):
+            n += arg[1].getwidth()[1] + _looks(arg[1])
+        elif name == "BRANCH":
+            n += sum(map(_looks, arg[1]))
+        elif name in ("SUBPATTERN", "ATOMIC_GROUP") or name.endswith("_REPEAT"):
+            n += _looks(arg if name == "ATOMIC_GROUP" else arg[-1])
+        elif name in ("GROUPREF", "GROUPREF_EXISTS"):
+            n += 1 << 32
+    return n
+
+
+def _holds_digit(items) -> bool:
+    """Whether every match holds a digit."""
+
+    def digit(op, arg) -> bool:
+        name = str(op)
+        if name == "LITERAL":
+            return chr(arg).isdecimal()
+        if name == "RANGE":
+            return 48 <= arg[0] <= arg[1] <= 57
+        if name == "CATEGORY":
+            return str(arg) == "CATEGORY_DIGIT"
+        if name == "IN":
+            return all(digit(*x) for x in arg)
+        if name == "BRANCH":
+            return all(map(_holds_digit, arg[1]))
+        return (name == "SUBPATTERN" or (name.endswith("_REPEAT") and arg[0] > 0)) and _holds_digit(arg[-1])
+
+    return any(digit(*x) for x in items)
+
+
+@cache
+def around_digit(pattern: str, blank: int) -> int | None:
+    """How wide a match is at most, with all that is looked at around it, where no more than ``blank`` signs of white space stand in a row;
+    None if that isn't bounded or known, or if a match may be without a digit."""
+    try:
+        own = re._parser.parse(re.sub(r"(?<!\\)\\s[*+]", rf"\\s{{0,{blank}}}", pattern))  # type: ignore[attr-defined]
+    except re.error:
+        return None
+    widest = own.getwidth()[1] + _looks(own) + 1  # and the sign before or behind it, for a word's bound
+    return widest if widest < 1 << 16 and _holds_digit(own) else None

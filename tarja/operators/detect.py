@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as tx
-from ..functions.patterns import grouped, quick
+from ..functions.patterns import around_digit, grouped, quick
 from .dictionary import term_marks
-from .spans import above_threshold, chunks, clean_marks, cut, dedupe_array, dedupe_same_entity, located, marked
+from .spans import MARKS, above_threshold, chunks, clean_marks, cut, dedupe_array, dedupe_same_entity, located, marked, running, tables, traced
 
 FLAGS = "(?iUsmd)"
 
@@ -207,7 +207,7 @@ def _words_of(words: Iterable[str]) -> str:
     """The whole words that begin with one of ``words``, which are tried by their first letter."""
     either = lambda c: c + c.upper() + tx.ODD.get(c, "")
     groups = {c: "|".join(g) for c, g in groupby(sorted(words, key=lambda w: (w[0].lower(), w)), key=lambda w: w[0].lower())}
-    return rf"(?U)\b(?=[{''.join(map(either, groups))}])(?i)(?:{'|'.join(f'(?=[{either(c)}])(?:{g})' for c, g in groups.items())})\w*"
+    return rf"(?U)(?=[{''.join(map(either, groups))}])\b(?i)(?:{'|'.join(f'(?=[{either(c)}])(?:{g})' for c, g in groups.items())})\w*"
 
 
 def _begun(words: tuple[str, ...]) -> str:
@@ -215,18 +215,57 @@ def _begun(words: tuple[str, ...]) -> str:
     return rf"(?iU)(?<![^|])(?:{'|'.join(re.sub(r'[(][?][=!].*$', '', w) for w in words)})" if words else ""
 
 
+RAW = "array<struct<entity:string,rule:string,score:double,start:int,end:int,found:string,context:boolean>>"
+
+
 def _all_of(text: Column, pattern: str) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "|")
 
 
+#: How much of a text is kept on either side of a digit for rules whose matches hold one, if no more than so many signs of white space stand in a row there.
+REACH, BLANK = 200, 12
+#: What stands for a stretch that is left out: no sign of a word, a number or a space.
+GAP = "\u0003"
+
+
+def at_digits(r: Rule) -> bool:
+    """Whether each match of a rule lies, with its neighbours and its context, within REACH of a digit of its own."""
+    wide = None if r.terms or not r.numbers else around_digit(r.run or r.pattern, BLANK)
+    window = {"OAB_NUMBER": terms.OAB_WINDOW, "CPF": terms.CPF_WINDOW, "CIN": terms.CPF_WINDOW}.get(r.entity, 0)
+    return wide is not None and wide + window <= REACH
+
+
+def near_digits(text: Column) -> Column:
+    """struct<text, cuts>: a text without the middles of its long stretches that hold no digit, and, as one step or none, what was left out. Where
+    it holds more white space than BLANK in a row, whole."""
+    none = F.array().cast("array<struct<start:int,end:int,put:string>>")
+
+    def without(p: Column) -> Column:
+        """``p``: in turn what stands between blocks that begin with a digit, and the blocks."""
+        left = lambda i: F.when(i == 0, 0).otherwise(REACH)
+        right = lambda i: F.when(i == F.size(p) - 1, 0).otherwise(REACH)
+        long = lambda x, i: (i % 2 == 0) & (F.length(x) > left(i) + right(i))
+        tail = lambda x, i: F.when(right(i) > 0, F.substring(x, F.lit(-REACH), F.lit(REACH))).otherwise("")
+        kept = F.transform(p, lambda x, i: F.when(long(x, i), F.concat(F.substring(x, F.lit(1), left(i)), F.lit(GAP), tail(x, i))).otherwise(x))
+        gap = lambda end, i: F.when(long(F.get(p, i), i), F.struct((end - F.length(F.get(p, i)) + left(i)).alias("start"), (end - right(i)).alias("end"), F.lit(GAP).alias("put")))
+        cuts = F.filter(F.transform(running(F.transform(p, F.length)), gap), lambda s: s.isNotNull())
+        return F.struct(F.array_join(kept, "").alias("text"), cuts.alias("cuts"))
+
+    whole = F.struct(text.alias("text"), none.alias("cuts"))
+    cut_out = tx.let(F.split(marked(text, r"(?sU)\d.{0,99}"), MARKS), without)
+    return tx.let(cut_out, lambda o: F.when(F.rlike(o["text"], F.lit(rf"(?U)\s{{{BLANK + 1}}}")), whole).otherwise(o))
+
+
 def span_array(text: Column, rules: list[Rule]) -> Column:
     """All rules' spans of a text, a column of its own, as one array<struct<entity, rule, score, start, end, found, context>>.
 
-    One pass finds the words and one the numbers that any rule asks for; a rule whose own aren't among them costs no pass. Another rule whose gate finds
+    Rules whose matches hold a digit and are bounded see only what stands near digits, which is cut out in one pass; their spans are traced back. One pass
+    finds the words and one the numbers that any rule asks for; a rule whose own aren't among them costs no pass. Another rule whose gate finds
     nothing costs its gate only; of a rule without a match nothing but one pass. Patterns and names are
     literals, whatever they hold. ``context``, for CPF, CIN and OAB_NUMBER, says whether a word of theirs is near (C10, C11)."""
 
     looked_up = [r for r in rules if r.terms]
+    near, far = [r for r in rules if at_digits(r)], [r for r in rules if not at_digits(r)]
 
     def tried(o: Column, r: Rule) -> Column:
         found = F.get(o["looked_up"], F.lit(looked_up.index(r))) if r.terms else marked(o["text"], FLAGS + quick(r.run or r.pattern))
@@ -241,22 +280,43 @@ def span_array(text: Column, rules: list[Rule]) -> Column:
         cpf, oab = F.rlike(near(terms.CPF_WINDOW), F.lit(tx.CPF_WORDS)), F.rlike(near(terms.OAB_WINDOW), F.lit(tx.OAB_WORDS))
         return s.withField("context", F.when(s["entity"] == "OAB_NUMBER", oab).when(s["entity"].isin("CPF", "CIN"), cpf))
 
-    def with_words(every: Column) -> Column:
+    def with_words(every: Column, text: Column) -> Column:
         doubtful = F.exists(every, lambda s: s["entity"].isin("CPF", "CIN", "OAB_NUMBER"))
         plain = F.transform(every, lambda s: s.withField("context", F.lit(None).cast("boolean")))
         return F.when(doubtful, tx.let(chunks(text), lambda parts: F.transform(every, lambda s: told(parts, s)))).otherwise(plain)
 
+    def spans_of(text: Column, numbers: Column, lists: Column, some: list[Rule]) -> Column:
+        """What ``some`` rules find in a text, whose numbers and terms that are looked up are known."""
+        words = sorted({w for r in some for w in r.words})
+        own = F.struct(
+            text.alias("text"),
+            (_all_of(text, _words_of(words)) if words else F.lit("")).alias("words"),
+            numbers.alias("numbers"),
+            lists.alias("looked_up"),
+        )
+        hits = tx.let(own, lambda o: F.filter(F.array(*(tried(o, r) for r in some)), lambda r: r["marked"] != o["text"]))
+        return tx.let(F.flatten(F.transform(hits, rows)), lambda every: with_words(every, text))
+
+    def back(s: Column, table: Column) -> Column:
+        return tx.let(traced(s["start"], s["end"], table), lambda p: s.withField("start", p["start"]).withField("end", p["end"]))
+
+    def both(o: Column) -> Column:
+        held = spans_of(o["near"]["text"], o["numbers"], o["looked_up"], near) if near else None
+        if held is not None:
+            step = F.array(F.struct(F.lit("").alias("source"), o["near"]["cuts"].alias("spans")))
+            placed = lambda every: F.when((F.size(every) > 0) & (F.size(o["near"]["cuts"]) > 0), tx.let(tables(step), lambda t: F.transform(every, lambda s: back(s, t)))).otherwise(every)
+            held = F.when(o["numbers"] != "", tx.let(held, placed)).otherwise(F.array().cast(RAW))
+        rest = spans_of(o["text"], o["numbers"], o["looked_up"], far) if far else None
+        return held if rest is None else rest if held is None else F.concat(held.cast(RAW), rest.cast(RAW))
+
     if not rules:
-        return F.array().cast("array<struct<entity:string,rule:string,score:double,start:int,end:int,found:string,context:boolean>>")
-    words = sorted({w for r in rules for w in r.words})
-    own = F.struct(
-        text.alias("text"),
-        (_all_of(text, _words_of(words)) if words else F.lit("")).alias("words"),
-        (_all_of(text, NUMBERS) if any(r.numbers for r in rules) else F.lit("")).alias("numbers"),
-        F.array(*(term_marks(list(r.terms))(text) for r in looked_up)).cast("array<string>").alias("looked_up"),
-    )
-    hits = tx.let(own, lambda o: F.filter(F.array(*(tried(o, r) for r in rules)), lambda r: r["marked"] != o["text"]))
-    return tx.let(F.flatten(F.transform(hits, rows)), with_words)
+        return F.array().cast(RAW)
+    lists = F.array(*(term_marks(list(r.terms))(text) for r in looked_up)).cast("array<string>")
+    if not any(r.numbers for r in rules):
+        return spans_of(text, F.lit(""), lists, rules)
+    own = F.struct(text.alias("text"), lists.alias("looked_up"))
+    cut_out = tx.let(own, lambda o: F.struct(o["text"].alias("text"), o["looked_up"].alias("looked_up"), near_digits(o["text"]).alias("near")))
+    return tx.let(tx.let(cut_out, lambda o: o.withField("numbers", _all_of(o["near"]["text"], NUMBERS))), both)
 
 
 def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", raw: bool = False, by: str = "doc_id", keep: Iterable[str] = ()) -> DataFrame:
