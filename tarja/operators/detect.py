@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as tx
-from ..functions.patterns import around_digit, grouped, quick
+from ..functions.patterns import around_digit, grouped, lead, quick
 from .dictionary import term_marks
 from .spans import MARKS, above_threshold, chunks, clean_marks, cut, dedupe_array, dedupe_same_entity, located, marked, running, tables, traced
 
@@ -207,7 +207,14 @@ def _words_of(words: Iterable[str]) -> str:
     """The whole words that begin with one of ``words``, which are tried by their first letter."""
     either = lambda c: c + c.upper() + tx.ODD.get(c, "")
     groups = {c: "|".join(g) for c, g in groupby(sorted(words, key=lambda w: (w[0].lower(), w)), key=lambda w: w[0].lower())}
-    return rf"(?U)(?=[{''.join(map(either, groups))}])\b(?i)(?:{'|'.join(f'(?=[{either(c)}])(?:{g})' for c, g in groups.items())})\w*"
+    return rf"(?=[{''.join(map(either, groups))}])\b(?:{'|'.join(f'(?=[{either(c)}])(?iU:{g})' for c, g in groups.items())})(?U)\w*"
+
+
+def _run(pattern: str) -> str:
+    """A rule's pattern as it is matched. Look-aheads for one letter name its cases themselves, which costs less than a match in any case."""
+    first = lead(pattern)
+    pattern = re.sub(r"[(][?]=\[([a-z])([A-Z])\][)]", lambda m: f"(?-iU:(?=[{m[1]}{m[2]}{tx.ODD.get(m[1], '')}]))" if m[1].upper() == m[2] else m[0], pattern)
+    return first + FLAGS + (f"(?:{pattern})" if first else quick(pattern))
 
 
 def _begun(words: tuple[str, ...]) -> str:
@@ -268,7 +275,7 @@ def span_array(text: Column, rules: list[Rule]) -> Column:
     near, far = [r for r in rules if at_digits(r)], [r for r in rules if not at_digits(r)]
 
     def tried(o: Column, r: Rule) -> Column:
-        found = F.get(o["looked_up"], F.lit(looked_up.index(r))) if r.terms else marked(o["text"], FLAGS + quick(r.run or r.pattern))
+        found = F.get(o["looked_up"], F.lit(looked_up.index(r))) if r.terms else marked(o["text"], _run(r.run or r.pattern))
         asked = [F.rlike(o[c], F.lit(p)) for c, p in (("words", _begun(r.words)), ("numbers", f"(?U){r.numbers}" if r.numbers else "")) if p] or [F.rlike(o["text"], F.lit(r.gate))] * bool(r.gate)
         return F.struct(F.lit(r.entity).alias("entity"), F.lit(r.name).alias("rule"), F.lit(float(r.score)).alias("score"), (F.when(reduce(and_, asked), found) if asked else found).alias("marked"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -39,9 +39,12 @@ class Anonymized:
     folder: str
     row: str
     metrics: dict[str, int]
+    #: Of a PDF corpus also the admission, with the names of the metadata.
+    admission: str = ""
 
     def release(self) -> None:
-        delete_folder(self.documents.sparkSession, self.folder)
+        for folder in filter(None, (self.folder, self.admission)):
+            delete_folder(self.documents.sparkSession, folder)
 
 
 #: The step that makes letters and their marks one sign. It masks nothing.
@@ -152,8 +155,11 @@ def anonymize(docs: DataFrame, index: DataFrame | list[str] | None = None, polic
 
 def anonymize_pdf_corpus(pdf_docs: DataFrame, pages: DataFrame, index: DataFrame | None = None, titles: list[str] | None = None, common: list[str] | None = None) -> tuple[DataFrame, Anonymized]:
     """(admission with names, result): gate, pages joined, names from the metadata, the flow. Pages belong to a
-    document by doc_id, so here it is unique and not null."""
-    admitted = admit_pdfs(pdf_docs, pages).withColumn("names", tx.metadata_names(F.col("metadata")))
+    document by doc_id, so here it is unique and not null. The admission is written once; ``release`` deletes it, too."""
+    folder = run_folder(pdf_docs.sparkSession)
+    # read three times, and each time it would ask all pages and find the names anew
+    admitted = written(admit_pdfs(pdf_docs, pages).withColumn("names", tx.metadata_names(F.col("metadata"))), folder, "admitted")
     good = admitted.where(F.col("status") == "ok").select("doc_id", "names")
     texts = join_pages(pages.join(good, "doc_id", "left_semi"))
-    return admitted, anonymize(with_status(texts.join(good, "doc_id")).where(F.col("status") == "ok").drop("status"), index, titles=titles, common=common)
+    done = anonymize(with_status(texts.join(good, "doc_id")).where(F.col("status") == "ok").drop("status"), index, titles=titles, common=common)
+    return admitted, replace(done, admission=folder)
